@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, urls
+from . import jaccard, mixing, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.op5_sharding,
     "op7_urls": urls.op7_urls,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
