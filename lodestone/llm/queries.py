@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, sharding, urls
+from . import jaccard, mixing, quality, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": substrings.op1_suffix_array,
     "op5_sharding": sharding.op5_sharding,
     "op7_urls": urls.op7_urls,
     "op8_jaccard": jaccard.op8_jaccard,
