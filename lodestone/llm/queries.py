@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, sharding, substrings, urls
+from . import jaccard, mixing, packing, quality, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": substrings.op1_suffix_array,
     "op5_sharding": sharding.op5_sharding,
+    "op6_packing": packing.op6_packing,
     "op7_urls": urls.op7_urls,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
