@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality, sharding, substrings, urls
+from . import jaccard, mixing, packing, quality, sharding, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": substrings.op1_suffix_array,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
     "op7_urls": urls.op7_urls,
