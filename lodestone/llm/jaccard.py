@@ -11,6 +11,10 @@ steers cost and never the result.
 Documents with equal sets are one class. Components need no list of all pairs within a group: first each prefix
 shingle links its documents to one of them, verified exactly; then all candidate pairs *between* the components
 found so far are verified. Pairs inside a component can't change it, so no link between components is lost.
+
+A bound keeps loose groups cheap, such as many documents around one passage. Prefix shingles of A that no other
+prefix holds are lone. If A's prefix ends before B's in the global order, none of A's lone shingles is in B, so
+the overlap is at most n less their number. Pairs for which that is too little are dropped inside the join.
 """
 
 from __future__ import annotations
@@ -70,8 +74,9 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and how many of it a similar set must share: the ``l`` of least estimated cost."""
+def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, float]:
+    """The prefix of a set in global order, how many of it a similar set must share (the ``l`` of least estimated
+    cost), and the estimate by which its last shingle is ordered."""
     n = len(shingles)
     need = (percent * n + 99) // 100
     others = np.maximum(sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - (1.0 + usual), 0.0)
@@ -80,7 +85,8 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: i
     choices = _CHOICES[_CHOICES <= need]
     cost = met[n - need + choices - 1] / choices * n + choices * INDEX_COST
     k = int(choices[np.argmin(cost)])
-    return shingles[order[: n - need + k]], k
+    order = order[: n - need + k]
+    return shingles[order], k, float(others[order[-1]])
 
 
 def _prefixes(n: int, seed: int, sketch, percent: int):
@@ -89,20 +95,39 @@ def _prefixes(n: int, seed: int, sketch, percent: int):
         typical = float(np.median(counts))
         usual = typical + 3 * typical**0.5
         for batch in batches:
-            rows, ks, entries = [], [], []
+            rows, ks, ends, entries = [], [], [], []
             for row, s in zip(batch.column("_row").to_pylist(), shingler.sets(batch.column("text"))):
                 if len(s):
-                    entry, k = prefix_of(s, counts, usual, percent)
+                    entry, k, end = prefix_of(s, counts, usual, percent)
                     rows.append(row)
                     ks.append(k)
+                    ends.append(end)
                     entries.append(entry)
             offsets = np.cumsum([0, *map(len, entries)])
-            flat = np.concatenate(entries).view(np.int64) if entries else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["_row", "k", "entries"])
+            flat = np.concatenate(entries) if entries else np.empty(0, np.uint64)
+            # The top bit flipped, signed order is the order of the hashes.
+            last = (flat[offsets[1:] - 1] ^ np.uint64(1 << 63)).view(np.int64) if entries else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.array(ends, pa.float64()), pa.array(last), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["_row", "k", "end", "last", "entries"],
+            )
 
     return run
 
 
+def _may_be_similar(percent: int):
+    """Condition on two documents' columns ``xn, xlone, xend, xlast`` and ``yn, ...``: sizes and lone shingles allow it."""
+    most = F.least(
+        F.when((F.col("xend") < F.col("yend")) | (F.col("xend") == F.col("yend")) & (F.col("xlast") <= F.col("ylast")), F.col("xn") - F.col("xlone")).otherwise(F.col("xn")),
+        F.when((F.col("yend") < F.col("xend")) | (F.col("yend") == F.col("xend")) & (F.col("ylast") <= F.col("xlast")), F.col("yn") - F.col("ylone")).otherwise(F.col("yn")),
+    )
+    return 100 * most >= percent * (F.col("xn") + F.col("yn") - most)
+
+
+def _side(info: DataFrame, s: str, key: str) -> DataFrame:
+    return info.select(F.col("_row").alias(key), *(F.col(c).alias(s + c) for c in ("n", "k", "lone", "end", "last")))
+
+
 def _verify(n: int, seed: int, percent: int):
     """Rows sorted by ``a, part, b``; the row of ``a`` itself has a null ``b``. Yields the pairs that are similar."""
 
@@ -124,15 +149,17 @@ def _verify(n: int, seed: int, percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, found: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts (``found``: _row, text) are similar. A document with many partners is sent to
-    as many tasks as they need."""
+def _similar(pairs: DataFrame, rows: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts (in ``rows``) are similar. A document with many partners is sent to as many
+    tasks as they need."""
+    wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+    found = materialize(rows.select("_row", "text").join(wanted, "_row", "left_semi"))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("parts"))
     text = found.select(F.col("_row").alias("b"), "text")
     members = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(text, "b").select("a", "part", "b", "text")
     own = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(text.withColumnRenamed("b", "a"), "a")
-    rows = own.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text").unionByName(members)
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(n, seed, percent), "a bigint, b bigint")
+    sent = own.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text").unionByName(members)
+    return sent.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(n, seed, percent), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int = 5) -> DataFrame:
@@ -157,32 +184,36 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int
     classes = materialize(listed.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n")))
     first = classes.select(F.col("rep").alias("_row"), "n")
 
-    entries = rows.mapInArrow(_prefixes(n, seed, shared, percent), "_row bigint, k int, entries array<bigint>").join(first, "_row")
-    entries = entries.select("_row", "k", "n", F.explode("entries").alias("entry"))
+    prefixes = rows.mapInArrow(_prefixes(n, seed, shared, percent), "_row bigint, k int, end double, last bigint, entries array<bigint>")
+    prefixes = materialize(prefixes.join(first, "_row"))
+    entries = prefixes.select("_row", F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("_row").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = materialize(entries.join(pivots, "entry"))
+    lengths = prefixes.select("_row", "n", "k", "end", "last", F.size("entries").alias("length"))
+    info = lengths.join(met.groupBy("_row").agg(F.count("*").alias("met")), "_row").withColumn("lone", F.col("length") - F.col("met"))
+    info = materialize(info.drop("length", "met"))
 
-    texts = materialize(rows.select("_row", "text").join(met.select("_row").distinct(), "_row", "left_semi"))
-    sized = met.select("_row", "n", "k").distinct()
-    close = f"least(an, bn) * 100 >= greatest(an, bn) * {percent}"
-    a = sized.select(F.col("_row").alias("a"), F.col("n").alias("an"), F.col("k").alias("ak"))
-    starred = met.where("_row <> pivot").groupBy(F.col("pivot").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("bn"), F.first("k").alias("bk"))
+    may = _may_be_similar(percent)
+    starred = met.where("_row <> pivot").groupBy(F.col("pivot").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("c"))
+    starred = starred.join(_side(info, "x", "a"), "a").join(_side(info, "y", "b"), "b").where(may)
     # What this round leaves out the next one looks at, so it asks for half the matches only to save work.
-    tried = materialize(starred.join(a, "a").where(close).where("2 * c >= least(ak, bk)").select("a", "b"))
-    links = materialize(_similar(tried, texts, n, seed, percent))
+    tried = materialize(starred.where("2 * c >= least(xk, yk)").select("a", "b"))
+    links = materialize(_similar(tried, rows, n, seed, percent))
 
     group = connected_components(links).select(F.col("node").alias("_row"), "component")
     grouped = met.drop("pivot").join(group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
-    open_ = grouped.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry")
-    grouped = materialize(grouped.join(open_, "entry"))
-    # Components that meet, then their documents: pairs within one component are never made.
-    meet = grouped.select("entry", "component").distinct()
-    meet = meet.select("entry", F.col("component").alias("ca")).join(meet.select("entry", F.col("component").alias("cb")), "entry").where("ca < cb")
-    side = lambda s: grouped.select("entry", F.col("component").alias(f"c{s}"), F.col("_row").alias(s), F.col("n").alias(f"{s}n"), F.col("k").alias(f"{s}k"))
-    crossing = meet.join(side("a"), ["entry", "ca"]).join(side("b"), ["entry", "cb"]).where(close)
-    crossing = crossing.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("ak", "bk")).alias("k")).where("c >= k")
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(materialize(crossing), texts, n, seed, percent))
+    each = grouped.groupBy("entry", "component").agg(F.count("*").alias("c"))
+    main = each.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").drop("components")
+    grouped = materialize(grouped.join(main, "entry").join(info, "_row"))
+    # Of two documents in different components one at least is outside the entry's main component, so only those
+    # look for partners: pairs inside a large component are never met.
+    cols = ("n", "k", "lone", "end", "last")
+    x = grouped.where("component <> main").select("entry", F.col("_row").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias("x" + c) for c in cols))
+    y = grouped.select("entry", F.col("_row").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias("y" + c) for c in cols))
+    pairs = x.join(y, (x["entry"] == y["entry"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & may)
+    crossing = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("xk", "yk")).alias("k"))
+    crossing = materialize(crossing.where("c >= k").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(_similar(crossing, rows, n, seed, percent))
 
     group = connected_components(links).select(F.col("node").alias("rep"), "component")
     class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
