@@ -163,10 +163,26 @@ def _similar(pairs: DataFrame, rows: DataFrame, n: int, seed: int, percent: int)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int = 5) -> DataFrame:
-    """``docs`` (doc_id, text) -> ``doc_id, n_shingles, component_id`` for every row.
+    """As ``_components``, for every row: ``doc_id, n_shingles, component_id``, the smallest doc_id of its component."""
+    placed = _components(docs, n, percent, seed)
+    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(ids, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: int = 5) -> DataFrame:
+    """``docs`` with one row of each component of similar texts, the one of smallest doc_id (null last), then the
+    first in file order. Rows without words all stay. All columns are kept."""
+    placed = _components(docs, n, percent, seed)
+    first = placed.groupBy("component").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    gone = materialize(placed.join(first, "component").where("_row <> first").select("_row"))
+    return docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+
+
+def _components(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """``docs`` (doc_id, text) -> ``_row, doc_id, n, component`` (a row number) for every row.
 
     Two rows link when their sets of ``n``-word shingles (A-Z lower-cased) overlap by ``percent`` % of their union
-    or more; ``component_id`` is the smallest doc_id among all rows reachable by links. A text with fewer than
+    or more; a component is all rows reachable by links. A text with fewer than
     ``n`` words is one shingle; null texts and texts without words have no shingles and link with nothing. Rows
     with equal doc_id or null doc_id are separate rows; a component of null ids only has a null id. Other columns
     of ``docs`` are ignored. ``docs`` must give the same rows in the same order on every read, as files do.
@@ -217,9 +233,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int
 
     group = connected_components(links).select(F.col("node").alias("rep"), "component")
     class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(listed.join(class_of, "print", "left").withColumn("component", F.coalesce("component", "_row")))
-    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return materialize(listed.join(class_of, "print", "left").select("_row", "doc_id", "n", F.coalesce("component", "_row").alias("component")))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, jaccard, mixing, packing, quality, sharding, substrings, toxicity, urls
+from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": substrings.op1_suffix_array,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
