@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import crm, text
+
+MODULES = (crm, text)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLES.items()}
