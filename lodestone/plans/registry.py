@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crm, text
+from . import crm, graph, retrieval, text
 
-MODULES = (crm, text)
+MODULES = (crm, text, retrieval, graph)
 
 
 def queries() -> dict:
