@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crm, graph, retrieval, text
+from . import crm, graph, retrieval, service, text
 
-MODULES = (crm, text, retrieval, graph)
+MODULES = (crm, text, retrieval, graph, service)
 
 
 def queries() -> dict:
