@@ -14,7 +14,12 @@ found so far are verified. Pairs inside a component can't change it, so no link
 
 A bound keeps loose groups cheap, such as many documents around one passage. Prefix shingles of A that no other
 prefix holds are lone. If A's prefix ends before B's in the global order, none of A's lone shingles is in B, so
-the overlap is at most n less their number. Pairs for which that is too little are dropped inside the join.
+the overlap is at most n less their number. Pairs for which that is too little are dropped inside the join. And
+frequent shingles, which come last, don't join documents whose rare ones must decide: if both prefixes reach into
+the frequent ones, all their rare shingles are in them; where a document has more rare ones than the overlap can
+spare, similar pairs share rare ones too, how many follows from the sizes, and are found by those alone.
+
+Joins whose sides grow with the data are sort-merge joins at every size, so that small runs show the plan of large ones.
 """
 
 from __future__ import annotations
@@ -74,9 +79,9 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, float]:
+def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, float, int]:
     """The prefix of a set in global order, how many of it a similar set must share (the ``l`` of least estimated
-    cost), and the estimate by which its last shingle is ordered."""
+    cost), the estimate by which its last shingle is ordered, and how many of it are rare."""
     n = len(shingles)
     need = (percent * n + 99) // 100
     others = np.maximum(sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - (1.0 + usual), 0.0)
@@ -86,7 +91,7 @@ def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: i
     cost = met[n - need + choices - 1] / choices * n + choices * INDEX_COST
     k = int(choices[np.argmin(cost)])
     order = order[: n - need + k]
-    return shingles[order], k, float(others[order[-1]])
+    return shingles[order], k, float(others[order[-1]]), int((others[order] == 0).sum())
 
 
 def _prefixes(n: int, seed: int, sketch, percent: int):
@@ -95,10 +100,11 @@ def _prefixes(n: int, seed: int, sketch, percent: int):
         typical = float(np.median(counts))
         usual = typical + 3 * typical**0.5
         for batch in batches:
-            rows, ks, ends, entries = [], [], [], []
+            rows, ks, ends, rare, entries = [], [], [], [], []
             for row, s in zip(batch.column("_row").to_pylist(), shingler.sets(batch.column("text"))):
                 if len(s):
-                    entry, k, end = prefix_of(s, counts, usual, percent)
+                    entry, k, end, r = prefix_of(s, counts, usual, percent)
+                    rare.append(r)
                     rows.append(row)
                     ks.append(k)
                     ends.append(end)
@@ -108,8 +114,8 @@ def _prefixes(n: int, seed: int, sketch, percent: int):
             # The top bit flipped, signed order is the order of the hashes.
             last = (flat[offsets[1:] - 1] ^ np.uint64(1 << 63)).view(np.int64) if entries else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.array(ends, pa.float64()), pa.array(last), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["_row", "k", "end", "last", "entries"],
+                [pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.array(ends, pa.float64()), pa.array(last), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
+                names=["_row", "k", "end", "last", "rare", "entries"],
             )
 
     return run
@@ -124,8 +130,15 @@ def _may_be_similar(percent: int):
     return 100 * most >= percent * (F.col("xn") + F.col("yn") - most)
 
 
+_INFO = ("n", "k", "lone", "end", "last", "rare", "mixed")
+
+
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 def _side(info: DataFrame, s: str, key: str) -> DataFrame:
-    return info.select(F.col("_row").alias(key), *(F.col(c).alias(s + c) for c in ("n", "k", "lone", "end", "last")))
+    return info.select(F.col("_row").alias(key), *(F.col(c).alias(s + c) for c in _INFO))
 
 
 def _verify(n: int, seed: int, percent: int):
@@ -153,10 +166,11 @@ def _similar(pairs: DataFrame, rows: DataFrame, n: int, seed: int, percent: int)
     """The pairs ``a, b`` whose texts (in ``rows``) are similar. A document with many partners is sent to as many
     tasks as they need."""
     wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    found = materialize(rows.select("_row", "text").join(wanted, "_row", "left_semi"))
+    found = materialize(_join(rows.select("_row", "text"), wanted, "_row", "left_semi"))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("parts"))
     text = found.select(F.col("_row").alias("b"), "text")
-    members = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(text, "b").select("a", "part", "b", "text")
+    members = _join(pairs, many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    members = _join(members, text, "b").select("a", "part", "b", "text")
     own = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(text.withColumnRenamed("b", "a"), "a")
     sent = own.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text").unionByName(members)
     return sent.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(n, seed, percent), "a bigint, b bigint")
@@ -200,35 +214,37 @@ def _components(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     classes = materialize(listed.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n")))
     first = classes.select(F.col("rep").alias("_row"), "n")
 
-    prefixes = rows.mapInArrow(_prefixes(n, seed, shared, percent), "_row bigint, k int, end double, last bigint, entries array<bigint>")
-    prefixes = materialize(prefixes.join(first, "_row"))
-    entries = prefixes.select("_row", F.explode("entries").alias("entry"))
+    prefixes = rows.mapInArrow(_prefixes(n, seed, shared, percent), "_row bigint, k int, end double, last bigint, rare int, entries array<bigint>")
+    prefixes = materialize(_join(prefixes, first, "_row"))
+    entries = prefixes.select("_row", "rare", F.posexplode("entries").alias("at", "entry")).select("_row", "entry", (F.col("at") >= F.col("rare")).alias("hot"))
     pivots = entries.groupBy("entry").agg(F.min("_row").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = materialize(entries.join(pivots, "entry"))
-    lengths = prefixes.select("_row", "n", "k", "end", "last", F.size("entries").alias("length"))
-    info = lengths.join(met.groupBy("_row").agg(F.count("*").alias("met")), "_row").withColumn("lone", F.col("length") - F.col("met"))
-    info = materialize(info.drop("length", "met"))
+    met = materialize(_join(entries, pivots, "entry"))
+    lengths = prefixes.select("_row", "n", "k", "end", "last", "rare", F.size("entries").alias("length"))
+    info = _join(lengths, met.groupBy("_row").agg(F.count("*").alias("met")), "_row").withColumn("lone", F.col("length") - F.col("met"))
+    info = materialize(info.withColumn("mixed", F.col("rare") < F.col("length")).drop("length", "met"))
 
     may = _may_be_similar(percent)
     starred = met.where("_row <> pivot").groupBy(F.col("pivot").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("c"))
-    starred = starred.join(_side(info, "x", "a"), "a").join(_side(info, "y", "b"), "b").where(may)
+    starred = _join(_join(starred, _side(info, "x", "a"), "a"), _side(info, "y", "b"), "b").where(may)
     # What this round leaves out the next one looks at, so it asks for half the matches only to save work.
     tried = materialize(starred.where("2 * c >= least(xk, yk)").select("a", "b"))
     links = materialize(_similar(tried, rows, n, seed, percent))
 
     group = connected_components(links).select(F.col("node").alias("_row"), "component")
-    grouped = met.drop("pivot").join(group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
+    grouped = _join(met.drop("pivot"), group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
     each = grouped.groupBy("entry", "component").agg(F.count("*").alias("c"))
     main = each.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").drop("components")
-    grouped = materialize(grouped.join(main, "entry").join(info, "_row"))
+    grouped = materialize(_join(_join(grouped, main, "entry"), info, "_row"))
     # Of two documents in different components one at least is outside the entry's main component, so only those
     # look for partners: pairs inside a large component are never met.
-    cols = ("n", "k", "lone", "end", "last")
-    x = grouped.where("component <> main").select("entry", F.col("_row").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias("x" + c) for c in cols))
-    y = grouped.select("entry", F.col("_row").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias("y" + c) for c in cols))
-    pairs = x.join(y, (x["entry"] == y["entry"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & may)
-    crossing = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("xk", "yk")).alias("k"))
-    crossing = materialize(crossing.where("c >= k").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    x = grouped.where("component <> main").select("entry", F.col("_row").alias("a"), F.col("component").alias("ca"), "hot", *(F.col(c).alias("x" + c) for c in _INFO))
+    y = grouped.select("entry", F.col("_row").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias("y" + c) for c in _INFO))
+    need = F.expr(f"({percent} * (xn + yn) + {99 + percent}) div {100 + percent}")
+    by_rare = F.col("xmixed") & F.col("ymixed") & ((F.col("xrare") > F.col("xn") - need) | (F.col("yrare") > F.col("yn") - need))
+    pairs = _join(x, y, (x["entry"] == y["entry"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & may & ~(F.col("hot") & by_rare))
+    matches = F.when(by_rare, F.greatest(F.lit(1), need - F.least(F.col("xn") - F.col("xrare"), F.col("yn") - F.col("yrare")))).otherwise(F.least("xk", "yk"))
+    crossing = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(matches).alias("least"))
+    crossing = materialize(_join(crossing.where(F.col("c") >= F.col("least")).select("a", "b"), tried, ["a", "b"], "left_anti"))
     links = links.unionByName(_similar(crossing, rows, n, seed, percent))
 
     group = connected_components(links).select(F.col("node").alias("rep"), "component")

@@ -270,18 +270,18 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == RANGE, F.struct("at", "upto"))).alias("ranges"),
     )
     # Both uses below read the one exchange of the texts.
-    found = materialize(each).join(rows.select("_row", "text"), "_row")
+    found = materialize(each).join(rows.select("_row", "text").hint("merge"), "_row")
     border = found.where(F.size("border") > 0).select("_row", "ord", "border", "text").mapInArrow(_contexts, "key bigint, ord bigint, _row bigint, at int, before int, bytes binary")
     merged = border.repartition("key").sortWithinPartitions("key", "ord", "_row", "at").mapInArrow(_merge, "_row bigint, low int, high int")
     merged = merged.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("merged"))
-    cut = found.drop("ord", "border").join(merged, "_row", "left").where(F.col("merged").isNotNull() | (F.size("full") > 0) | (F.size("ranges") > 0))
+    cut = found.drop("ord", "border").join(merged.hint("merge"), "_row", "left").where(F.col("merged").isNotNull() | (F.size("full") > 0) | (F.size("ranges") > 0))
     schema = "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     cut = cut.mapInArrow(_remove, schema).withColumnRenamed("kept_sha256", "cut_sha256")
     if not with_kept:
         cut = cut.drop("kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = rows.select("_row", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole_sha256"))
-    return whole.join(cut, "_row", "left").select(
+    return whole.join(cut.hint("merge"), "_row", "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
