@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import crm, graph, retrieval, service, text
+from . import composites, crm, graph, retrieval, service, text
 
-MODULES = (crm, text, retrieval, graph, service)
+MODULES = (crm, text, retrieval, graph, service, composites)
 
 
 def queries() -> dict:
