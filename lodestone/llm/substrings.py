@@ -38,9 +38,9 @@ WIDTH, CORE = 100, 36
 REACH = WIDTH - CORE
 _LAST = np.iinfo(np.int64).max
 FULL, BORDER, RANGE = 0, 1, 2
-#: ``key`` holds 48 bits of the core's name and 16 of the triple's, ``rest`` 32 bits more of it and the position.
-#: Cores that share 48 bits do no harm: the triple's name and the bytes that are merged later tell them apart.
-_SAMPLES = "key bigint, rest bigint, ord bigint, _row bigint, upto int"
+#: 48 bits of the names of core and triple. Cores that share 48 bits do no harm: the triple's name and the bytes that
+#: are merged later tell them apart.
+_SAMPLES = "core bigint, name bigint, ord bigint, _row bigint, at int, upto int"
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -98,16 +98,16 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, whose = _joined(low[ok], high[ok], whose[ok])
         own = mix(rows[whose].astype(np.uint64) * np.uint64(2654435761) + low.astype(np.uint64))
         key, around = np.concatenate((key[first], own)), np.concatenate((around[first], own))
-        at = np.concatenate((pos[first], low)).astype(np.uint64)
         out = [
-            ((key & np.uint64(0xFFFFFFFFFFFF0000)) | (around >> np.uint64(48))).view(np.int64),
-            ((around << np.uint64(32)) | at).view(np.int64),
+            (key >> np.uint64(16)).view(np.int64),
+            (around >> np.uint64(16)).view(np.int64),
             np.concatenate((order[doc[first]], order[whose])),
             np.concatenate((rows[doc[first]], rows[whose])),
+            np.concatenate((pos[first], low)).astype(np.int32),
             np.concatenate((np.full(int(first.sum()), -1), high)).astype(np.int32),
         ]
         for a in range(0, len(out[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], names=["key", "rest", "ord", "_row", "upto"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in out], names=["core", "name", "ord", "_row", "at", "upto"])
 
 
 def _first_here(key, around, order, row, pos) -> np.ndarray:
@@ -252,15 +252,14 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     samples = rows.where("text is not null").mapInArrow(_sample, _SAMPLES)
-    core = Window.partitionBy(F.shiftright("key", 16))
-    around = F.shiftright("rest", 32)
-    triple = Window.partitionBy(F.shiftright("key", 16), "key", around).orderBy("ord", "_row", "rest")
-    name = F.struct("key", around)
+    # One exchange by core serves both windows.
+    core = Window.partitionBy("core")
+    triple = Window.partitionBy("core", "name").orderBy("ord", "_row", "at")
     named = (
-        samples.withColumn("place", F.row_number().over(triple))
-        .withColumn("names", F.min(name).over(core) != F.max(name).over(core))
+        samples.repartition("core")
+        .withColumn("place", F.row_number().over(triple))
+        .withColumn("names", F.min("name").over(core) != F.max("name").over(core))
         .where("upto >= 0 or place > 1 or names")
-        .withColumn("at", F.col("rest").bitwiseAND(0x7FFFFFFF).cast("int"))
     )
     kind = F.when(F.col("upto") >= 0, RANGE).when(F.col("place") > 1, FULL).otherwise(BORDER)
     each = named.select("_row", "ord", "at", "upto", kind.alias("kind")).groupBy("_row").agg(
