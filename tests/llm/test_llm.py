@@ -1,0 +1,428 @@
+"""The training-data operators against brute force, with nulls, empty texts, ties, repeated rows and empty tables."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import components, embeddings, hashing, jaccard, mixing, packing, pii, quality, queries, sharding, substrings, toxicity, urls
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def groups_of(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# Repeated substrings
+
+
+def brute_repeats(rows):
+    seen, out = set(), []
+    for doc_id, text in rows:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                gone[i : i + 100] = b"\1" * 100
+            else:
+                seen.add(w)
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((doc_id, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(documents):
+    r = random.Random(1)
+    passage, base = prose(r, 40), prose(r, 120)
+    rows = [(0, base), (1, None), (2, ""), (3, "x" * 99), (4, "y" * 700), (5, base[:50] + "ö" + base[50:]), (6, prose(r, 30) + passage + prose(r, 9)), (7, passage), (8, base)]
+    rows += [(9 + i, prose(r, r.randrange(60)) + passage[r.randrange(80) :] + prose(r, 30)) for i in range(30)]
+    rows += [(50, passage + passage + "ab" * 200), (51, "ab" * 90), (52, "z" * 99 + "\n" + "z" * 120)]
+    got = substrings.remove_repeats(documents(rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
+
+
+def test_repeats_of_null_ids_and_repeated_rows(documents):
+    text = prose(random.Random(2), 60)
+    got = [tuple(r)[:3] for r in substrings.remove_repeats(documents([(None, text), (1, text), (1, text)], 1)).collect()]
+    n = len(text)
+    assert sorted(got, key=str) == sorted([(None, n, n), (1, n, 0), (1, n, n)], key=str)
+
+
+def test_repeats_of_an_empty_table(documents):
+    assert substrings.remove_repeats(documents([])).count() == 0
+
+
+def test_merge_state_crosses_batches():
+    import pyarrow as pa
+
+    data = os.urandom(164)
+    rows = [(5, i, i, 64, 64, data) for i in range(7)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[a : a + 2]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "ord", "_row", "at", "before", "bytes"]) for a in range(0, 7, 2)]
+    found = [x for b in substrings._merge(iter(batches)) for x in b.to_pylist()]
+    assert [(x["_row"], x["low"], x["high"]) for x in found] == [(i, 0, 64) for i in range(1, 7)]
+
+
+# Jaccard
+
+
+def shingles(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def near_copies(r, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(r.randrange(edits + 1)):
+            w[r.randrange(len(w))] = r.choice(WORDS[:20])
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_components_against_brute_force(documents, n, percent):
+    r = random.Random(n)
+    passage = prose(r, 50)
+    texts = near_copies(r, prose(r, 140), 60, 6) + near_copies(r, prose(r, 40), 20, 2) + [passage + " " + prose(r, 20) for _ in range(25)]
+    texts += [None, "", "  ", "One two", "one TWO", "one two three", "Éa b c d", "éa b c d", prose(r, 300)] + [texts[0]] * 5
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    sets = {i: shingles(t, n) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = groups_of(len(ids), links)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(documents(rows), n, percent).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in ids}
+    left = {x.doc_id for x in jaccard.drop_near_duplicates(documents(rows), n, percent).collect()}
+    assert left == set(want)
+
+
+def test_prefixes_share_enough_shingles():
+    r = np.random.default_rng(0)
+    sketch = r.integers(0, 50, 1 << jaccard.SKETCH_BITS).astype(np.float32)
+    for _ in range(200):
+        common = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a = np.unique(np.concatenate((common, r.integers(0, 1 << 63, r.integers(0, 20), dtype=np.uint64))))
+        b = np.unique(np.concatenate((common[r.integers(0, 15) :], r.integers(0, 1 << 63, r.integers(0, 20), dtype=np.uint64))))
+        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
+            (p, k, _, _), (q, m, _, _) = jaccard.prefix_of(a, sketch, 20.0, 85), jaccard.prefix_of(b, sketch, 20.0, 85)
+            assert len(np.intersect1d(p, q)) >= min(k, m)
+
+
+def test_jaccard_of_null_ids_and_an_empty_table(documents):
+    assert jaccard.jaccard_components(documents([])).count() == 0
+    got = jaccard.jaccard_components(documents([(None, "a b c d e"), (None, "a b c d e"), (None, "")])).collect()
+    assert [(x.n_shingles, x.component_id) for x in sorted(got, key=lambda x: x.n_shingles)] == [(0, None), (2, None), (2, None)]
+
+
+def test_long_chains_are_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(120)] + [(500, 501), (7, 7)], "a long, b long")
+    got = {x.node: x.component for x in components.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(121)}, 500: 500, 501: 500}
+
+
+def test_hashes_depend_on_content_only():
+    roll = hashing.Roller(9)
+    data = np.frombuffer(b"xxabcdefghij--abcdefghij", np.uint8)
+    w = roll.windows(roll.sums(data), 10)
+    assert w[2] == w[14] and len(set(w.tolist())) == len(w) - 1
+
+
+# Embeddings
+
+
+@pytest.mark.parametrize("kind", ["spread", "tight"])
+def test_links_against_brute_force(spark, tmp_path, kind):
+    r = np.random.default_rng(4)
+    if kind == "spread":
+        x = r.normal(size=(300, 16))
+    else:
+        x = np.concatenate([c + r.normal(size=(60, 16)) * s for c, s in zip(r.normal(size=(5, 16)) * 3, (0.01, 0.3, 0.5, 0.9, 2))])
+    x = np.concatenate([x, x[:3], x[:2] * 7])
+    rows = [(i, [float(a) for a in np.float32(v)]) for i, v in enumerate(x)]
+    n = len(rows)
+    bad = [(n, None), (n + 1, [0.0] * 16), (n + 2, [float("nan")] * 16), (n + 3, [None] + [1.0] * 15), (n + 4, [1.0, 2.0]), (n + 5, [])]
+    spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "v"))
+    v = np.array([b for _, b in rows])
+    length = np.sqrt((v * v).sum(1))
+    hit = (v @ v.T) / (length[:, None] * length[None, :]) >= 0.95
+    np.fill_diagonal(hit, False)
+    comp = groups_of(n, list(zip(*np.nonzero(np.triu(hit)))))
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embeddings.near_duplicates(spark.read.parquet(str(tmp_path / "v")), sample=64, tile=50).collect()}
+    assert got == {**{i: (int(hit[i].sum()), comp[i], comp[i] == i) for i in range(n)}, **{i: (0, i, True) for i, _ in bad}}
+
+
+def test_no_vectors(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_cover_tree_reaches_all_its_points():
+    r = np.random.default_rng(1)
+    x = np.concatenate([c + r.normal(size=(100, 8)) * 0.05 for c in r.normal(size=(6, 8))])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    t = embeddings.CoverTree(x, leaf=10)
+    for i, m in enumerate(t.members):
+        assert np.sqrt(np.maximum(0, 2 - 2 * x[m] @ x[t.centre[i]])).max() <= t.reach[i] + 1e-12
+        if t.children[i]:
+            assert sorted(np.concatenate([t.members[c] for c in t.children[i]])) == sorted(m)
+
+
+# Sharding and mixing
+
+
+def test_shards_are_exact(documents, spark):
+    rows = [(i, f"t{i % 5}") for i in range(500)] + [(None, None)] * 40
+    docs = documents(rows).select("doc_id", "text", F.lit(9).alias("slot"))
+    got = sharding.shuffle_into_shards(docs, 7, block_rows=20).collect()
+    by = defaultdict(list)
+    for x in got:
+        by[x.shard].append(x.slot)
+    assert len(got) == 540 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert Counter(x.doc_id for x in got)[None] == 40
+    assert sharding.shuffle_into_shards(docs.limit(0), 7).count() == 0
+    assert sharding.shuffle_into_shards(docs.limit(3), 7).count() == 3
+
+
+def test_communication_matrix_law():
+    matrix = sharding.communication_matrix([30, 0, 70], 4, 1)
+    assert [sum(x) for x in matrix] == [30, 0, 70] and [sum(c) for c in zip(*matrix)] == [25] * 4
+    draws = [sharding.communication_matrix([10, 30], 4, s)[0][0] for s in range(400)]
+    assert abs(np.mean(draws) - 2.5) < 0.25 and abs(np.var(draws) - 10 * 0.25 * 0.75 * 30 / 39) < 0.45
+
+
+def test_hypergeometric_beyond_numpy():
+    rng = np.random.default_rng(2)
+    good, bad, n = 2 * 10**9, 6 * 10**9, 10**9
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(300)], float)
+    p = good / (good + bad)
+    sd = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean() - n * p) < 4 * sd / 300**0.5 and 0.8 < x.std() / sd < 1.2
+
+
+def test_mix_meets_its_targets(documents):
+    r = random.Random(3)
+    rows = [(i, prose(r, r.randrange(1, 60)), r.choice(["a", "b", "c", None])) for i in range(600)] + [(700, None, "a"), (701, "", "zero")]
+    docs = documents(rows)
+    of = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    got = mixing.mix_sources(of).collect()
+    size = defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, free, rest = {}, set(size), 1.5 * sum(size.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        rest -= sum(2 * size[s] for s in full)
+        free -= full
+    taken = defaultdict(int)
+    for x in got:
+        taken[x.source] += x.taken
+        assert x.source_size == size[x.source] and abs(x.target - target[x.source]) < 1e-6 and x.taken <= 2 * x.size and len(x.shards) == x.copies
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 5 for s in size)
+    assert sorted(got, key=str) == sorted(mixing.mix_sources(of).collect(), key=str)
+    assert mixing.mix_sources(of.limit(0)).count() == 0
+
+
+def test_splitting_tree_keeps_quotas():
+    leaves = mixing.splitting_tree(np.random.default_rng(0), [7, 0, 25, 1], 8)
+    assert [sum(x) for x in zip(*leaves)] == [7, 0, 25, 1] and {sum(x) for x in leaves} <= {4, 5}
+
+
+# Packing
+
+
+def test_packing_is_exact_and_tight(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    rows = [(i, prose(r, r.randrange(400))) for i in range(60)] + [(100, None), (101, ""), (None, "a <|endoftext|> b"), (102, prose(r, 1500)), (103, "é ü 漢字 " * 50), (103, "same id")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    ids = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for k, x in ((repr(row), row[1]) for row in rows)}
+    got = packing.pack_documents(documents(rows), path).collect()
+    want = Counter()
+    for row in rows:
+        x = ids[repr(row)]
+        first = (len(x) - 1) % 1024 + 1
+        for k, at in enumerate([0, *range(first, len(x), 1024)]):
+            part = x[at : first if k == 0 else at + 1024]
+            want[row[0], k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter(tuple(x)[:5] for x in got) == want
+    place = defaultdict(list)
+    for x in got:
+        place[x.sequence_id].append((x.offset, x.length))
+    for v in place.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(place) <= -(-sum(map(len, ids.values())) // 1024) + 1
+    assert packing.pack_documents(documents([]), path).count() == 0
+
+
+def test_configurations_hold_every_piece():
+    r = random.Random(1)
+    for sizes in ([600] * 10, [1024] * 3, [1], [341] * 9 + [342] * 3, [r.randrange(1, 1025) for _ in range(300)]):
+        packed = packing.configurations(Counter(sizes))
+        held = Counter()
+        for times, config in packed:
+            assert sum(x * k for x, k in config) <= 1024
+            for x, k in config:
+                held[x] += times * k
+        assert held == Counter(sizes)
+        assert sum(t for t, _ in packed) <= sum(t for t, _ in packing._best_fit(np.bincount(sizes, minlength=1025), 1024)) + 1
+
+
+# Toxicity
+
+
+def test_toxicity_learns_from_labels(spark, documents):
+    r = random.Random(8)
+    rude = ["blarg", "zonkoid", "fnarble"]
+    texts = [(i, prose(r, 40) + (" " + r.choice(rude) + str(i % 7) + " you " + r.choice(rude) if i % 4 == 0 else "")) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts] + [(5, None), (99999, 1)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(documents([*texts, (5000, None), (5001, "")]), labels, trees=5).collect()}
+    assert len(got) == 1202
+    for i, x in got.items():
+        assert x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5)
+    held = [i for i, _ in texts if got[i].held_out]
+    assert sum(got[i].predicted == int(i % 4 == 0) for i in held) >= 0.95 * len(held)
+    assert got[5000].score == got[5001].score
+
+
+def test_toxicity_without_labels(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score_toxicity(documents([(1, "you idiot"), (2, "fine"), (None, None)]), none).collect()}
+    assert got == {1: 1, 2: 0, None: 0}
+
+
+# Personal data
+
+
+def test_surrogates_keep_type_and_identity(documents):
+    rows = [(1, "Mail a.b@x.org, card 4111 1111 1111 1111, ip 10.2.3.4."), (2, "Again A.B@x.org and +1 (743) 555-3824; Mrs. Anna Smith met Mr. John Smith."), (3, "clean text 12345 and 2024-01-02"), (4, None), (5, ""), (6, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (1, "Mail a.b@x.org, card 4111 1111 1111 1111, ip 10.2.3.4."), (7, "г-жа Анна Петрова")]
+    got = pii.replace_personal_data(documents(rows)).collect()
+    by = {x.doc_id: x.text for x in got}
+    assert len(got) == len(rows) and (by[3], by[4], by[5]) == (rows[2][1], None, "")
+    mail = re.search(r"\S+@\S+\.org", by[1])[0].rstrip(",")
+    assert mail.lower() in by[2].lower() and "a.b@x.org" not in by[1].lower()
+    card = re.search(r"4\d{3} \d{4} \d{4} \d{4}", by[1])[0]
+    assert card != "4111 1111 1111 1111" and pii._luhn(card)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", by[2]) and "743) 555" not in by[2]
+    woman, man = re.search(r"Mrs\. (\w+) \w+ met Mr\. (\w+)", by[2]).groups()
+    assert woman in pii.NAMES["latin", "f"] and man in pii.NAMES["latin", "m"]
+    assert re.search(r'"[0-9a-f]{40}"', by[6]) and "24be64" not in by[6]
+    assert re.search("[А-Я]", by[7]) and "Петрова" not in by[7]
+    assert pii.replace_personal_data(documents([])).count() == 0
+
+
+def test_surrogates_never_collide(spark):
+    real = [("name", f"f:Ann{i} Lee{i}") for i in range(700)] + [("ip", f"1.2.{i // 250}.{i % 250}") for i in range(500)] + [("name", "f:Alma Adler")]
+    got = pii.surrogate_table(spark.createDataFrame(real, "kind string, normal string")).collect()
+    assert len(got) == len(real) == len({(x.kind, x.surrogate) for x in got}) and not {(x.kind, x.surrogate) for x in got} & set(real)
+
+
+# Quality rules and urls
+
+
+def test_line_rules():
+    rules = {"a | b | c | d": "navigation", "x### y*** z$$$": "noise", "LOUD!! WORDS!! HERE!!": "shouting", "All rights reserved 2024": "boilerplate", "w " * 70: "noise", "A sentence.": None, "– a dash – here.": None}
+    assert {x: quality.line_failure(x, x.split(), False) for x in rules} == rules
+    assert quality.judge(None)[:7] == (0, 0, 0, 0, 0, True, False)
+    assert quality.judge("a\x1cb c\x85d")[0] == 2
+
+
+def test_repeated_words_counts_the_first():
+    assert quality.repeated_words("a b c d e x a b c d e".split()) == 10 and quality.repeated_words(["a"] * 6) == 6 and quality.repeated_words([]) == 0
+
+
+def test_quality_keeps_rows(documents):
+    r = random.Random(4)
+    rows = [(1, prose(r, 30) + "."), (1, prose(r, 30) + "."), (2, None), (None, "")]
+    assert quality.clean_lines(documents(rows)).count() == 4 and quality.clean_lines(documents([])).count() == 0
+
+
+def test_url_parts_and_rules(spark):
+    seen = {"http://A.Example.NET/en/x?q": ("a.example.net", "/en/x", "example.net/en/"), "x://net": ("net", "", None), "https://b.net/z": ("b.net", "/z", "net/"), "no scheme": ("", "", None), None: ("", "", None), "h://example.com/de/": ("example.com", "/de/", "example.com/de/"), "h://notexample.com/de/": ("notexample.com", "/de/", None), "h://x.org/fr/a#b": ("x.org", "/fr/a", "org/fr/")}
+    pages = spark.createDataFrame(list(enumerate(seen)) + [(0, "http://A.Example.NET/en/x?q")], "page_id long, url string")
+    labels = spark.createDataFrame([(0, True), (2, None), (99, True), (None, True)], "page_id long, bad boolean")
+    got = urls.filter_urls(pages, labels).collect()
+    assert len(got) == len(seen) + 1 and {x.page_id: (x.host, x.path, x.rule) for x in got} == dict(enumerate(seen.values()))
+    assert urls.filter_urls(pages.limit(0), labels).count() == 0
+
+
+def test_bad_hosts_are_blocked(spark):
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.site.info/{i}") for i in range(200)] + [(i, f"http://h{i}.other.info/") for i in range(200, 260)]
+    labels = [(i, bool(i % 2) if i < 200 else i % 10 == 0) for i in range(260)]
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    assert {x.verdict for x in got if x.host == "bad.site.info"} == {"block"} and {x.verdict for x in got if x.host == "good.site.info"} == {"allow"}
+
+
+# Queries and pipeline
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    cursor = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = None
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.materialize(stage(spark, docs, sf))
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        if name == "near_duplicates":
+            sets = [shingles(x.text, 5) for x in out.collect()]
+            assert not any(a and 100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+            kept = out.count()
+        if name == "personal_data":
+            assert out.count() == kept and not any(re.search(r"@mail\d\.example\.com", x.text) for x in out.collect())
+        docs = out
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
+    assert len({x.doc_id for x in pieces}) == docs.select("doc_id").distinct().count()

@@ -197,9 +197,8 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame([("a", "/qa", i, i * 2.0) for i in range(60)], "ip string, path string, request_id long, at double")
     log.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.rate_limit_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("limited").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {r.request_id: r.allowed for r in spark.table("limited").collect()}
     assert got == {r.request_id: r.allowed for r in limits.rate_limit(log).collect()}
 
@@ -209,9 +208,8 @@ def test_windowed_stream(spark, tmp_path):
     rows = [(t0 + dt.timedelta(minutes=m), 500 if m % 3 == 0 else 200) for m in range(0, 300, 2)]
     spark.createDataFrame(rows, "ts timestamp, status int").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.windowed_counts(spark.readStream.schema("ts timestamp, status int").parquet(str(tmp_path / "in")), "30 minutes", late="10 minutes")
-    q = stream.writeStream.format("memory").queryName("windows").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     got = {r.start: r.total for r in spark.table("windows").collect()}
     assert got[t0] == 15 and len(got) >= 8
 
@@ -220,9 +218,8 @@ def test_recent_messages_stream(spark, tmp_path):
     rows = [(1, i, "user", f"m{i}") for i in range(15)]
     spark.createDataFrame(rows, "session_id long, turn long, role string, content string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.recent_messages_stream(spark.readStream.schema("session_id long, turn long, role string, content string").parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("recent").outputMode("update").start()
-    q.processAllAvailable()
-    q.stop()
+    q = stream.writeStream.format("memory").queryName("recent").outputMode("update").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert sorted(r.turn for r in spark.table("recent").collect()) == list(range(5, 15))
 
 
