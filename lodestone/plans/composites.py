@@ -43,8 +43,8 @@ def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k
 
 
 def _qa(s, d):
-    q = T.table(s, d, "benchmark").where(F.col("item_id") < RQ.N_QUERIES).select(F.col("item_id").alias("query_id"), F.concat(F.when(F.col("item_id") % 3 == 0, "hello ").when(F.col("item_id") % 3 == 1, "explain ").otherwise("define "), F.substring("text", 1, 60)).alias("query"))
-    q = q.join(RQ._vq(s, d), "query_id")
+    q = T.table(s, d, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.concat(F.when(F.col("item_id") % 3 == 0, "hello ").when(F.col("item_id") % 3 == 1, "explain ").otherwise("define "), F.col("text")).alias("query"))
+    q = q.join(RQ._vq(s, d), "query_id", "left")
     return answer_pipeline(q, RQ._chunks(s, d), RQ._corpus(s, d).select("id", "embedding"))
 
 
@@ -54,7 +54,7 @@ def _rerank(s, d):
 
 
 def _limiter(s, d):
-    log = T.request_log(s, d).where("path = '/view'").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    log = T.request_log(s, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return limits.rate_limit(log.select(F.lit("all").alias("ip"), "path", "request_id", "at"), limit=2, window=600.0, burst=1)
 
 
@@ -63,8 +63,7 @@ def _docs(s, d):
 
 
 def _embedded(s, d):
-    chunks = files.chunks(_docs(s, d)).where("chunk_index = 0")
-    return chunks.select("document_id", F.size(ML.embed(F.col("content"))).alias("dims"))
+    return files.chunks(_docs(s, d)).select("document_id", "chunk_index", F.size(ML.embed(F.col("content"))).alias("dims"))
 
 
 def _fuzzy(s, d):

@@ -9,18 +9,11 @@ from ..operators import graph as G
 from ..sources import tables as T
 from ..sources.tables import with_sql
 
-#: Edges of the dense graph that a traversal walks: the heavy ones, so that it doesn't reach all at once.
-HEAVY = "weight % 7 = 0"
-
 
 def _edges(s, d):
     return G.cooccurrence(T.mentions(s, d))
 
 
-def _walk(s, d):
-    return _edges(s, d).where(HEAVY)
-
-
 def _entities(s, d):
     m = T.mentions(s, d).groupBy("entity").agg(F.count("*").alias("n"))
     return m.select("entity", F.substring("entity", 1, 7).alias("type"), F.when(F.col("n") % 5 != 0, F.round(F.col("n") / 1000.0, 3)).alias("confidence"))
@@ -67,10 +60,10 @@ QUERIES = {
     "graph_delete_doc": _delete,
     "entity_match": lambda s, d: _entities(s, d).where(G.match_entity(F.col("entity"), "all of brand#12 and brand#34")).select("entity"),
     "entity_search": lambda s, d: G.search(_entities(s, d), "brand#2", None, 5),
-    "related_entities": lambda s, d: G.related_entities(_walk(s, d), _entities(s, d), "Brand#1", 2, 2, 15),
-    "expand_entities": lambda s, d: G.expand_entities(_walk(s, d), _entities(s, d), "Brand#", 3).select("entity", F.array_join("neighbours", ",").alias("neighbours")),
-    "entity_subgraph": lambda s, d: G.subgraph(_walk(s, d), _seeds(s, d), 2)[0],
-    "entity_subgraph_edges": lambda s, d: G.subgraph(_walk(s, d), _seeds(s, d), 1)[1].select("source", "target", "weight"),
+    "related_entities": lambda s, d: G.related_entities(_edges(s, d), _entities(s, d), "Brand#1", 2, 2, 15),
+    "expand_entities": lambda s, d: G.expand_entities(_edges(s, d), _entities(s, d), "Brand#", 3).select("entity", F.array_join("neighbours", ",").alias("neighbours")),
+    "entity_subgraph": lambda s, d: G.subgraph(_edges(s, d), _seeds(s, d), 2)[0],
+    "entity_subgraph_edges": lambda s, d: G.subgraph(_edges(s, d), _seeds(s, d), 1)[1].select("source", "target", "weight"),
     "entity_mentions": _text_mentions,
     "entity_parse": _parse,
     "relation_parse": _relations,
@@ -78,7 +71,7 @@ QUERIES = {
 }
 
 _EDGES = """edges AS (SELECT a.entity AS source, b.entity AS target, count(*) AS weight, round(least(1.0::DOUBLE, count(*) / 10.0::DOUBLE), 2) AS confidence FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2),
-walk AS (SELECT * FROM edges WHERE weight % 7 = 0), both_ways AS (SELECT source, target FROM walk UNION SELECT target, source FROM walk),
+both_ways AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
 entities AS (SELECT entity, substr(entity, 1, 7) AS type, CASE WHEN count(*) % 5 <> 0 THEN round(count(*) / 1000.0::DOUBLE, 3) END AS confidence FROM mentions GROUP BY entity)"""
 
 
@@ -99,9 +92,9 @@ ORACLES = {
     "entity_match": _g("SELECT entity FROM entities WHERE contains(lower(entity), 'all of brand#12 and brand#34') OR contains('all of brand#12 and brand#34', lower(entity))"),
     "entity_search": _g("SELECT * FROM entities WHERE contains(lower(entity), 'brand#2') ORDER BY confidence DESC NULLS FIRST, entity LIMIT 5"),
     "related_entities": _g("SELECT * FROM reach WHERE distance > 0 ORDER BY distance, entity LIMIT 15", _REACH("SELECT entity FROM entities WHERE contains(lower(entity), 'brand#1') ORDER BY entity LIMIT 2", 2)),
-    "expand_entities": _g("SELECT e.entity, coalesce(string_agg(DISTINCT target, ',' ORDER BY target), '') AS neighbours FROM (SELECT entity FROM entities ORDER BY entity LIMIT 3) e LEFT JOIN walk ON source = e.entity GROUP BY e.entity"),
+    "expand_entities": _g("SELECT e.entity, coalesce(string_agg(DISTINCT target, ',' ORDER BY target), '') AS neighbours FROM (SELECT entity FROM entities ORDER BY entity LIMIT 3) e LEFT JOIN edges ON source = e.entity GROUP BY e.entity"),
     "entity_subgraph": _g("SELECT entity, distance = 0 AS is_center FROM reach", _REACH("SELECT entity FROM entities WHERE entity = 'Brand#11'", 2)),
-    "entity_subgraph_edges": _g("SELECT source, target, weight FROM walk WHERE source IN (SELECT entity FROM reach) AND target IN (SELECT entity FROM reach)", _REACH("SELECT entity FROM entities WHERE entity = 'Brand#11'", 1)),
+    "entity_subgraph_edges": _g("SELECT source, target, weight FROM edges WHERE source IN (SELECT entity FROM reach) AND target IN (SELECT entity FROM reach)", _REACH("SELECT entity FROM entities WHERE entity = 'Brand#11'", 1)),
     "entity_parse": "SELECT substr(md5(lower(p_type) || '|brand'), 1, 16) AS entity_id, min(p_partkey) AS first_seen, max((p_partkey % 10) / 10.0::DOUBLE) AS confidence FROM part WHERE length(p_type) >= 2 AND (p_partkey % 10) / 10.0 >= 0.5 GROUP BY 1",
     "relation_parse": _g("SELECT source, target, max(confidence) AS confidence FROM (SELECT p_brand AS source, 'Brand#' || ((p_partkey % 5 + 1) * 10 + p_size % 5 + 1) AS target, (p_partkey % 10) / 10.0::DOUBLE AS confidence FROM part) WHERE confidence >= 0.6 AND source <> target AND source IN (SELECT entity FROM entities WHERE confidence IS NOT NULL) AND target IN (SELECT entity FROM entities WHERE confidence IS NOT NULL) GROUP BY ALL"),
     "graph_score": with_sql("SELECT chunk_id, round((contains(lower(content), 'tion')::INT + contains(lower(content), 'the')::INT + contains(lower(content), 'zzzz')::INT) * 0.3::DOUBLE, 6) AS graph_score FROM lines", "lines"),

@@ -9,19 +9,18 @@ from ..operators import retrieval as R
 from ..operators import upsert as U
 from ..sources import tables as T
 
-N_QUERIES = 10
-
 
 def _vectors(s, d):
     return T.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 def _vq(s, d):
-    return _vectors(s, d).where(F.col("id") < N_QUERIES).select(F.col("id").alias("query_id"), "embedding")
+    """Every hundredth vector is a query against all."""
+    return _vectors(s, d).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "embedding")
 
 
 def _corpus(s, d):
-    return _vectors(s, d).where(F.col("id") >= N_QUERIES)
+    return _vectors(s, d)
 
 
 def _chunks(s, d):
@@ -29,9 +28,8 @@ def _chunks(s, d):
 
 
 def _text_queries(s, d):
-    """The first six words of the first ten benchmark texts."""
-    q = T.table(s, d, "benchmark").where(F.col("item_id") < N_QUERIES)
-    return q.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    """Every benchmark text; the numbers meet those of the vector queries."""
+    return T.table(s, d, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.col("text").alias("query"))
 
 
 def _semantic(s, d, k=R.CANDIDATES):
@@ -91,13 +89,13 @@ QUERIES = {
     "vector_count": lambda s, d: _vectors(s, d).agg(F.count("embedding").alias("n")),
     "vector_upsert": _upsert,
     "vector_delete": lambda s, d: _vectors(s, d).select("id", F.when(F.col("label") != 3, F.size("embedding")).alias("dims")),
-    "vector_migrate": lambda s, d: _vectors(s, d).withColumn("embedding", F.when(F.col("id") % 10 != 0, F.col("embedding"))).where("embedding is not null").select("id", "label"),
+    "vector_migrate": lambda s, d: _vectors(s, d).where("embedding is not null").select("id", "label"),
     "vector_verify": _verify,
 }
 
 _TOK = "regexp_split_to_array({}, '[^a-zA-Z0-9]+')"
-_SEM = f"""vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {N_QUERIES}),
-sem0 AS (SELECT query_id, vec_id AS id, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM vq, embeddings WHERE vec_id >= {N_QUERIES} AND embedding IS NOT NULL),
+_SEM = f"""vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+sem0 AS (SELECT query_id, vec_id AS id, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM vq, embeddings WHERE embedding IS NOT NULL),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM sem0)"""
 _INDEX = """tok AS (SELECT doc_id AS id, lower(t) AS token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS t FROM documents) WHERE t <> ''),
 postings AS (SELECT token, id, count(*) AS tf FROM tok GROUP BY ALL),
@@ -105,7 +103,7 @@ dl AS (SELECT doc_id AS id, len(list_filter(regexp_split_to_array(text, '[^a-zA-
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 idf0 AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, totals GROUP BY token),
 idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM idf0) ELSE raw END AS idf FROM idf0)"""
-_TQ = f"tq AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id < {N_QUERIES})"
+_TQ = "tq AS (SELECT item_id * 100 AS query_id, text AS query FROM benchmark)"
 
 
 def _bm25_sql(name: str, queries: str) -> str:
@@ -118,7 +116,7 @@ _SCALE = lambda c: f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN CASE WHEN
 _HYB = f"""{_SEM}, {_INDEX}, {_TQ}, {_bm25_sql('bm', 'tq')},
 bm100 AS (SELECT query_id, id, bm25_score, rank FROM bm WHERE rank <= 100 AND bm25_score > 0), sem100 AS (SELECT * FROM sem WHERE rank <= 100),
 both0 AS (SELECT query_id, id, coalesce(similarity, 0.0) AS similarity, coalesce(bm25_score, 0.0) AS bm25_score FROM (SELECT query_id, id, similarity FROM sem100) FULL JOIN (SELECT query_id, id, bm25_score FROM bm100) USING (query_id, id)),
-scored AS (SELECT query_id, id, similarity, bm25_score, round((0.5::DOUBLE * ({_SCALE('similarity')}) + 0.5::DOUBLE * ({_SCALE('bm25_score')})) / 1.0, 6) AS hybrid_score FROM both0 WINDOW w AS (PARTITION BY query_id)),
+scored AS (SELECT query_id, id, similarity, bm25_score, round((0.5::DOUBLE * ({_SCALE('similarity')}) + 0.5::DOUBLE * ({_SCALE('bm25_score')})) / 1.0, 8) AS hybrid_score FROM both0 WINDOW w AS (PARTITION BY query_id)),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id)::INT AS rank FROM scored QUALIFY rank <= 50)"""
 
 ORACLES = {
@@ -141,6 +139,6 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grp, CASE WHEN grp <
     "vector_count": "SELECT count(embedding) AS n FROM embeddings",
     "vector_upsert": "SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 99 ELSE label END AS label, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 1 END, 4) AS norm FROM embeddings",
     "vector_delete": "SELECT vec_id AS id, CASE WHEN label <> 3 THEN len(embedding)::INT END AS dims FROM embeddings",
-    "vector_migrate": "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 10 <> 0 AND embedding IS NOT NULL",
+    "vector_migrate": "SELECT vec_id AS id, label FROM embeddings WHERE embedding IS NOT NULL",
     "vector_verify": f"WITH {_SEM} SELECT query_id, count(*) AS overlap FROM sem WHERE rank <= 5 GROUP BY query_id",
 }

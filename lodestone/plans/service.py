@@ -40,14 +40,12 @@ def _cascade(s, d):
 
 
 def _hits(s, d):
-    """A few lines for each benchmark item: those whose number is the item's, modulo 200."""
-    lines = T.lines(s, d).where("chunk_index = 0")
-    hit = lines.select((F.col("document_id") % 20).alias("query_id"), "document_id", "chunk_id", "content").where("document_id < 100")
-    return hit.withColumn("rank", (F.floor(F.col("document_id") / 20) + 1).cast("int"))
+    """Every document is a question, its lines are the hits in order."""
+    return T.lines(s, d).select(F.col("document_id").alias("query_id"), "document_id", "chunk_id", "content", (F.col("chunk_index") + 1).cast("int").alias("rank"))
 
 
 def _claims(s, d):
-    q = T.table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
+    q = T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     context = _hits(s, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("content")), " ").alias("context"))
     return q.join(context, "query_id").select("query_id", F.round(A.claim_support(F.col("answer"), F.col("context")), 6).alias("support"), (A.claim_support(F.col("answer"), F.col("context")) >= A.MIN_SUPPORT).alias("passed"))
 
@@ -96,7 +94,7 @@ QUERIES = {
     "ttl_prune": lambda s, d: M.expire(T.activities(s, d), "date", F.lit(NOW), 5).select("activity_id", "date"),
     "prune_low_conf": lambda s, d: M.confident(_facts(s, d)).select("id", "confidence"),
     "facts_min_conf": lambda s, d: M.confident(_facts(s, d), 0.5).select("id", "confidence"),
-    "fact_search": lambda s, d: R.semantic_search(_facts(s, d).where("id < 5").select(F.col("id").alias("query_id"), "embedding"), M.confident(_facts(s, d), 0.5), 5),
+    "fact_search": lambda s, d: R.semantic_search(_facts(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), M.confident(_facts(s, d), 0.5), 5),
     "usage_increment": lambda s, d: M.count_usage(T.table(s, d, "events").select("event_type", F.lit(1).alias("usage_count")).distinct(), T.table(s, d, "events").where("value > 10"), "event_type"),
     "topics_overlap": lambda s, d: M.with_topics(_wiki(s, d), ["the", "of", "der", "de"]).select("document_id", "summary"),
     "metadata_filter": lambda s, d: T.table(s, d, "events").where(F.get_json_object("props", "$.k").cast("int") == 42).select("event_id", "props"),
@@ -127,7 +125,7 @@ QUERIES = {
 _short = lambda c, n: f"CASE WHEN length({c}) > {n} THEN substr({c}, 1, {n - 3}) || '...' ELSE {c} END"
 _VEC = "list_dot_product({}, {})"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')))"
-_HITS = "hits AS (SELECT document_id % 20 AS query_id, document_id, chunk_id, content, (document_id // 20 + 1)::INT AS rank FROM lines WHERE chunk_index = 0 AND document_id < 100)"
+_HITS = "hits AS (SELECT document_id AS query_id, document_id, chunk_id, content, (chunk_index + 1)::INT AS rank FROM lines)"
 _CITE = """cited AS (SELECT item_id, text, CASE WHEN item_id % 3 < 2 THEN chr(10) || '---' || chr(10) || '**Sources:**' || chr(10) || '1. `' || item_id || '` (document `' || item_id * 2 || '`)' || chr(10) || '   > ' || substr(text, 1, 200) ELSE '' END || CASE WHEN item_id % 3 = 0 THEN chr(10) || '2. `x` (document `y`)' ELSE '' END AS block FROM benchmark)"""
 _SUMMARY = lambda where: f"SELECT session_id, count(*) AS message_count, CASE WHEN count(*) FILTER (role = 'user') = 0 THEN 'Conversation with no recorded queries' ELSE 'Conversation about: ' || {_short('arg_min(content, turn) FILTER (role = ' + chr(39) + 'user' + chr(39) + ')', 120)} END AS summary FROM messages {where} GROUP BY session_id"
 _LE = "CASE " + " ".join(f"WHEN latency <= {b} THEN {b}" for b in O.BUCKETS) + " ELSE 'inf'::DOUBLE END"
@@ -144,7 +142,7 @@ ORACLES = {
     "ttl_prune": with_sql("SELECT activity_id, date FROM activities WHERE date >= TIMESTAMP '2024-01-10' - INTERVAL 5 DAY", "activities"),
     "prune_low_conf": "SELECT vec_id AS id, (vec_id % 10) / 10.0::DOUBLE AS confidence FROM embeddings WHERE (vec_id % 10) / 10.0 >= 0.3",
     "facts_min_conf": "SELECT vec_id AS id, (vec_id % 10) / 10.0::DOUBLE AS confidence FROM embeddings WHERE (vec_id % 10) / 10.0 >= 0.5",
-    "fact_search": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) AS similarity FROM e q, e c WHERE q.vec_id < 5 AND c.vec_id % 10 >= 5) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM h QUALIFY rank <= 5",
+    "fact_search": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) AS similarity FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id % 10 >= 5) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM h QUALIFY rank <= 5",
     "usage_increment": "SELECT event_type, 1 + count(*) FILTER (value > 10) AS usage_count FROM events GROUP BY event_type",
     "topics_overlap": "SELECT doc_id AS document_id, substr(text, 1, 120) AS summary FROM documents WHERE list_has_any(string_split(lower(text), ' ')[1:5], ['the', 'of', 'der', 'de'])",
     "metadata_filter": "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k')::INT = 42",

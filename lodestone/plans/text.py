@@ -72,7 +72,7 @@ def _llm_json(s, d):
 
 
 QUERIES = {
-    "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.slice(X.tokenize(F.col("text")), 1, 20), " ").alias("head"), F.size(X.tokenize(F.col("text"))).alias("n_tokens")),
+    "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.tokenize(F.col("text")), " ")).alias("digest"), F.size(X.tokenize(F.col("text"))).alias("n_tokens")),
     "route_query": _route,
     "is_crm_query": lambda s, d: _questions(s).select("query_id", X.is_crm_query(F.col("query")).alias("is_crm")),
     "crm_intent": lambda s, d: _questions(s).select("query_id", X.crm_intent(F.col("query")).alias("intent")),
@@ -89,7 +89,7 @@ QUERIES = {
     "content_hash": lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("content_hash")),
     "entity_id": lambda s, d: T.table(s, d, "part").select("p_partkey", X.entity_id(F.col("p_brand"), F.lit("Organization")).alias("entity_id")),
     "regex_entities": _entities,
-    "topics_normalize": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.normalize_topics(F.slice(F.split("text", "[.,]"), 1, 12)), "|").alias("topics")),
+    "topics_normalize": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.normalize_topics(F.split("text", "[.,]")), "|").alias("topics")),
     "llm_json": _llm_json,
     "page_count": lambda s, d: _docs(s, d).groupBy("source").agg(F.count("*").alias("n")).select("source", FM.page_count(F.col("n"), 10).alias("pages")),
 }
@@ -113,7 +113,7 @@ _crm_ents = " UNION ALL ".join(f"SELECT query_id, regexp_replace(trim(unnest(reg
 _TOKENS = "list_transform(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda t: t <> ''), lambda t: lower(t))"
 
 ORACLES = {
-    "tokenize": f"SELECT doc_id, array_to_string(({_TOKENS})[1:20], ' ') AS head, len({_TOKENS})::INT AS n_tokens FROM documents",
+    "tokenize": f"SELECT doc_id, md5(array_to_string({_TOKENS}, ' ')) AS digest, len({_TOKENS})::INT AS n_tokens FROM documents",
     "route_query": f"WITH {_Q} SELECT query_id::INT AS query_id, {_ROUTE} AS query_type FROM (SELECT query_id, lower(trim(query)) AS q FROM questions UNION ALL SELECT item_id + 1000, lower(trim(text)) FROM benchmark)",
     "is_crm_query": f"WITH {_Q} SELECT query_id, {_any('lower(trim(query))', X.CRM_QUERY)} AS is_crm FROM questions",
     "crm_intent": f"WITH {_Q}, scored AS (SELECT query_id, {_INTENT} FROM (SELECT query_id, lower(trim(query)) AS q FROM questions)) SELECT query_id, CASE WHEN {_BEST} = 0 THEN 'none' " + " ".join(f"WHEN s_{i} = {_BEST} THEN '{i}'" for i in X.CRM_INTENT) + " END AS intent FROM scored",
@@ -130,7 +130,7 @@ ORACLES = {
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "entity_id": "SELECT p_partkey, substr(md5(lower(p_brand) || '|organization'), 1, 16) AS entity_id FROM part",
     "regex_entities": f"WITH e AS (SELECT *, substr(md5(lower(name) || '|' || lower(type)), 1, 16) AS entity_id FROM ({_ents}) WHERE length(name) >= 2) SELECT doc_id, entity_id, name, type, confidence FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, entity_id ORDER BY place) = 1",
-    "topics_normalize": "SELECT doc_id, coalesce(string_agg(t, '|' ORDER BY i), '') AS topics FROM (SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, lower(trim(unnest(p))) AS t, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.,]')[1:12] AS p FROM documents)) WHERE t <> '' GROUP BY ALL) GROUP BY doc_id",
+    "topics_normalize": "SELECT doc_id, coalesce(string_agg(t, '|' ORDER BY i), '') AS topics FROM (SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, lower(trim(unnest(p))) AS t, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.,]') AS p FROM documents)) WHERE t <> '' GROUP BY ALL) GROUP BY doc_id",
     "llm_json": "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN regexp_replace(substr(text, 1, 30), '[^a-zA-Z ]', '', 'g') END AS answer_text, CASE WHEN item_id % 3 < 2 THEN (item_id % 10) / 10.0::DOUBLE END AS confidence FROM benchmark",
     "page_count": "SELECT source, greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM documents GROUP BY source",
 }
