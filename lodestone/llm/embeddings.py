@@ -194,41 +194,38 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 3, sam
     dealt = materialize(classes.mapInArrow(deal, "v array<double>, rep bigint, w bigint, dim int, leaf int, distance double"))
     reach = {(r["dim"], r["leaf"]): (r["n"], r["far"]) for r in dealt.groupBy("dim", "leaf").agg(F.count("*").alias("n"), F.max("distance").alias("far")).collect()}
 
-    # Tiles: neighbouring leaves together, a large leaf in several parts. Then the pairs of tiles that can link.
+    # Neighbouring small leaves share a tile, a large leaf has several to itself. The driver finds the groups of leaves
+    # that can link, at most as many pairs as the sample allows; Spark expands them to pairs of tiles.
     threshold = float(np.sqrt(2 - 2 * cosine))
     tiles: list[tuple[int, int, int, int]] = []  # (dim, leaf, first tile, tiles)
-    pairs: list[tuple[int, int]] = []
-    count = 0
+    near: set[tuple[int, int, int, int]] = set()  # (first tile, tiles) of two groups
+    first = 0
     for d in sorted({k[0] for k in reach}):
-        filled, members = 0, {}
         mine = [k for k in range(max(1, len(leaves.get(d, [0])))) if (d, k) in reach]
-        of: dict[int, list[int]] = {}
+        of: dict[int, tuple[int, int]] = {}
+        shares, filled = None, 0  # the group that still takes leaves, and its rows
         for k in mine:
             n = reach[(d, k)][0]
             parts = -(-n // tile)
-            if parts > 1 or filled + n > tile or not members:
-                count, filled = (count + 1 if members else count), 0
-                members = {}
-            of[k] = list(range(count, count + parts))
-            tiles.append((d, k, count, parts))
-            members[k] = n
-            count, filled = count + parts - 1, (filled + n if parts == 1 else tile)
-        count += 1
+            if shares is not None and filled + n <= tile:
+                of[k], filled = shares, filled + n
+                continue
+            of[k], first = (first, parts), first + parts
+            shares, filled = (of[k], n) if parts == 1 else (None, 0)
+        tiles += [(d, k, *of[k]) for k in mine]
         centres = shared.value.get(d)
         if centres is None:
             gap = np.zeros((1, 1))
         else:
             far = np.array([reach.get((d, k), (0, 0.0))[1] for k in range(len(centres))])
             gap = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T))) - far[:, None] - far[None, :]
-        found = set()
-        for k in mine:
-            for m in mine:
-                if gap[k, m] <= threshold + _SLACK:
-                    found |= {(min(i, j), max(i, j)) for i in of[k] for j in of[m]}
-        pairs += sorted(found)
+        near |= {(*min(of[k], of[m]), *max(of[k], of[m])) for k in mine for m in mine if gap[k, m] <= threshold + _SLACK}
     rowed = spark.createDataFrame(tiles or [(0, 0, 0, 1)], "dim int, leaf int, first int, parts int")
     tiled = dealt.join(rowed, ["dim", "leaf"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("parts")).cast("int"))
-    wanted = spark.createDataFrame([(i, j, t) for i, j in pairs for t in {i, j}] or [(0, 0, 0)], "a int, b int, tile int")
+    pairs = spark.createDataFrame(sorted(near) or [(0, 1, 0, 1)], "fa int, na int, fb int, nb int")
+    for x in "ab":
+        pairs = pairs.withColumn(x, F.explode(F.sequence(F.col(f"f{x}"), F.col(f"f{x}") + F.col(f"n{x}") - 1)))
+    wanted = pairs.where("a <= b").select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
     sent = tiled.select("tile", "rep", "w", "v").join(wanted, "tile")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
