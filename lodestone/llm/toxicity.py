@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ SECOND_PERSON = frozenset("you your yours yourself you're u ur du dein deine dic
 #: Lengths of word beginnings that the lexicon may hold, written with a trailing ``*``.
 STEMS = (4, 5, 6)
 NEAR = 5
+#: Words whose rating a task remembers.
+REMEMBERED = 200_000
 FEATURES = (
     "lexicon_share", "lexicon_hits", "lexicon_kinds", "strong_hits", "strong_share", "near_second_person", "second_person_share",
     "capital_share", "capital_words", "exclamations", "questions", "punctuation_share", "obfuscated_share", "repeat_letters", "log_words",
@@ -55,9 +58,17 @@ def word_forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The values of ``FEATURES`` for a text; zeros for null and empty texts."""
+def rate_word(word: str, lexicon: dict[str, float]) -> tuple[float, str, bool]:
+    """A lower-case word's weight in the lexicon, its plain form, and whether it was obfuscated."""
+    odd = not word.isalpha() and bool(_ODD.search(word))
+    plain = word.translate(_PLAIN).replace("*", "") if odd else word
+    return max((lexicon.get(f, 0.0) for f in word_forms(plain)), default=0.0), plain, odd
+
+
+def features(text: str | None, lexicon: dict[str, float], rated: dict[str, tuple] | None = None) -> list[float]:
+    """The values of ``FEATURES`` for a text; zeros for null and empty texts. ``rated`` remembers words."""
     text = text or ""
+    rated = {} if rated is None else rated
     raw = _WORD.findall(text)
     n = len(raw)
     if not n:
@@ -66,17 +77,16 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     hits, strong, kinds = [], 0.0, set()
     odd = 0
     for i, w in enumerate(words):
-        plain = w
-        if not w.isalpha() and _ODD.search(w):
-            odd += 1
-            plain = w.translate(_PLAIN).replace("*", "")
-        best = max((lexicon.get(f, 0.0) for f in word_forms(plain)), default=0.0)
+        if w not in rated:
+            rated[w] = rate_word(w, lexicon)
+        best, plain, is_odd = rated[w]
+        odd += is_odd
         if best:
             hits.append(i)
             strong += best
             kinds.add(plain)
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = sum(1 for i in hits if any(abs(i - j) <= NEAR for j in you)) if you else 0
+    near = sum(1 for i in hits if (k := bisect_left(you, i - NEAR)) < len(you) and you[k] <= i + NEAR)
     letters = sum(map(len, raw))
     capitals = sum(map(str.isupper, text))
     return [
@@ -122,8 +132,11 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON_SIZE, least_rows: int
 
 def _featurize(lexicon: dict[str, float], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rated: dict[str, tuple] = {}
         for batch in batches:
-            values = np.array([features(t, lexicon) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            if len(rated) > REMEMBERED:
+                rated.clear()
+            values = np.array([features(t, lexicon, rated) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *map(pa.array, values.T)], names=[*keep, *FEATURES])
 
     return run
