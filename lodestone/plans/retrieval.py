@@ -41,7 +41,8 @@ def _bm25(s, d, k=R.CANDIDATES):
 
 
 def _hybrid(s, d):
-    return R.hybrid_search(_semantic(s, d), _bm25(s, d), R.FUSED)
+    # Half of a score of six digits has seven: eight leave no ties to round.
+    return R.hybrid_search(_semantic(s, d), _bm25(s, d), R.FUSED, digits=8)
 
 
 def _date_boost(s, d):
