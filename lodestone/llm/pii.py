@@ -27,7 +27,7 @@ MAX_DRAWS = 64
 #: (type, pattern), in order of precedence where matches overlap. A group named x is what is replaced, else the match.
 PATTERNS = (
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
-    ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|auth)\b[\"']?\s{0,3}[:=]\s{0,3})[\"']?(?P<x>[A-Za-z0-9_\-]{16,128})"),
+    ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|auth)\b[\"']?\s{0,3}[:=]\s{0,3})[\"']?(?P<x>[A-Za-z0-9_\-]{16,})"),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
@@ -39,8 +39,20 @@ PATTERNS = (
     ("name", r"(?:г-н|г-жа|господин|госпожа) (?P<x>[А-ЯЁ][а-яё-]+(?: [А-ЯЁ][а-яё-]+){0,2})"),
 )
 _COMPILED = tuple((kind, re.compile(p)) for kind, p in PATTERNS)
-#: A text without any of these holds no entity.
-_HINT = re.compile(r"@|\d{3}|\d\.\d|\(\d{3}|[Tt]oken|TOKEN|[Ss]ecret|[Pp]assw|[Aa]uth|[Aa]pi|API|gh[pousr]_|Mr|Ms|Miss|Dr|Prof|Herr|Frau|M[ao]|Mme|Se[ñn]or|Sra?|г-|госпо")
+#: What each pattern's matches hold at least, in the order of PATTERNS: without it the pattern needn't run on a text.
+_HINTS = tuple(map(re.compile, (
+    r"@",
+    r"[:=]\s{0,3}[\"']?[A-Za-z0-9_\-]{16}",
+    r"AKIA|ASIA|gh[pousr]_",
+    r"[A-Z]{2}\d{2}",
+    r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d",
+    r"\d{3}-\d{2}-",
+    r"\d\.\d",
+    r"\+\d",
+    r"\d{3}[) .-]",
+    r"Mr|Ms|Miss|Dr|Prof|Herr|Frau|M[ao]|Mme|Se[ñn]or|Sra?",
+    r"г-|госпо",
+)))
 _FEMALE = re.compile(r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа|госпожа)\.? $")
 _MALE = re.compile(r"(?:Mr|Herr|Monsieur|Señor|Sr|г-н|господин)\.? $")
 #: Given names by script and gender ('f', 'm', and 'n' for unknown), and family names.
@@ -56,10 +68,12 @@ NAMES = {
 
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normalized form) of all entities, without overlaps, in text order."""
-    if not text or not _HINT.search(text):
+    if not text:
         return []
     found: list[tuple[int, int, str, str]] = []
-    for kind, pattern in _COMPILED:
+    for hint, (kind, pattern) in zip(_HINTS, _COMPILED, strict=True):
+        if not hint.search(text):
+            continue
         for m in pattern.finditer(text):
             s, e = m.span("x") if "x" in pattern.groupindex else m.span()
             surface = text[s:e]
