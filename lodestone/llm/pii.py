@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -209,21 +209,34 @@ def _draw(key: bytes):
     return run
 
 
+def _entity(normal: str) -> Column:
+    """What an entity looks like in a text: a name without the gender of its title."""
+    return F.when(F.col("kind") == "name", F.substring_index(normal, ":", -1)).otherwise(F.col(normal))
+
+
 def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """``kind, normal`` (distinct) -> also ``surrogate``, distinct within a kind and none of them a real entity.
 
-    In each round the drawn surrogates are grouped; of equal ones the first draw, then the smallest entity, stays,
-    and the rest, and whatever equals an entity that occurs, draw again. Rounds after the first see only those.
+    A name is one entity whatever its titles: it has the gender that all titles with one agree on, else none. Names
+    are compared as they are written, without gender. In each round the drawn surrogates are grouped; of equal ones
+    the first draw, then the smallest entity, stays, and the rest, and whatever equals an entity that occurs, draw
+    again. Rounds after the first see only those.
     """
-    real = entities.select(F.col("kind"), F.col("normal").alias("surrogate")).withColumn("taken", F.lit(1))
+    named = entities.select("kind", "normal", _entity("normal").alias("entity"))
+    gender = F.when(F.col("kind") == "name", F.nullif(F.substring_index("normal", ":", 1), F.lit("n")))
+    titles = named.groupBy("kind", "entity").agg(F.min(gender).alias("low"), F.max(gender).alias("high"))
+    one = F.concat(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("n"), F.lit(":"), F.col("entity"))
+    single = titles.select("kind", F.when(F.col("kind") == "name", one).otherwise(F.col("entity")).alias("normal"))
+    real = titles.select("kind", F.col("entity").alias("shown")).withColumn("taken", F.lit(1))
     schema = "kind string, normal string, draw int, surrogate string"
-    table = materialize(entities.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), schema))
+    table = materialize(single.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), schema))
     for _ in range(MAX_DRAWS):
-        same = Window.partitionBy("kind", "surrogate").orderBy("draw", "normal")
-        judged = table.join(real, ["kind", "surrogate"], "left").withColumn("place", F.row_number().over(same))
+        same = Window.partitionBy("kind", "shown").orderBy("draw", "normal")
+        judged = table.withColumn("shown", _entity("surrogate")).join(real, ["kind", "shown"], "left").withColumn("place", F.row_number().over(same))
         again = materialize(judged.where("place > 1 or taken is not null").select("kind", "normal", "draw"))
         if again.isEmpty():
-            return table.select("kind", "normal", "surrogate")
+            drawn = table.select("kind", _entity("normal").alias("entity"), "surrogate")
+            return named.join(drawn, ["kind", "entity"]).select("kind", "normal", "surrogate")
         redrawn = again.withColumn("draw", F.col("draw") + 1).mapInArrow(_draw(key), schema)
         table = materialize(table.join(again.drop("draw"), ["kind", "normal"], "left_anti").unionByName(redrawn))
     raise RuntimeError(f"entities still collide after {MAX_DRAWS} draws: use longer surrogates")

@@ -387,6 +387,19 @@ def test_surrogates_never_collide(spark):
     assert len(got) == len(real) == len({(x.kind, x.surrogate) for x in got}) and not {(x.kind, x.surrogate) for x in got} & set(real)
 
 
+def test_written_names_never_collide(spark):
+    people = [("name", f"{g}:Ann{g}{i} Lee{i}") for i in range(400) for g in "fmn"] + [("name", f"{'fmn'[i % 3]}:{a} {b}") for a in ("Alma", "Anton") for i, b in enumerate(pii.NAMES["latin", ""])]
+    got = pii.surrogate_table(spark.createDataFrame(people, "kind string, normal string")).collect()
+    shown = {pii.written("name", x.normal, x.surrogate) for x in got}
+    assert len(got) == len(people) == len(shown) and not shown & {n.partition(":")[2] for _, n in people}
+
+
+def test_a_name_is_one_person_under_all_titles(documents):
+    rows = [(1, "Dr Anna Stone"), (2, "Mrs Anna Stone"), (3, "Mr Alex Hale"), (4, "Ms Alex Hale"), (5, "Prof Alex Hale")]
+    by = {x.doc_id: x.text.split(" ", 1)[1] for x in pii.replace_personal_data(documents(rows)).collect()}
+    assert by[1] == by[2] != by[3] == by[4] == by[5] and by[1].split()[0] in pii.NAMES["latin", "f"]
+
+
 # Quality rules and urls
 
 
