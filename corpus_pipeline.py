@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, pii, quality
-from lodestone.llm.storage import materialize
+from lodestone.llm.storage import materialize, numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,7 +30,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document comes as often as the mix takes it, in shards of random order."""
-    keyed = docs.withColumn("_doc", F.monotonically_increasing_id())
+    keyed = numbered(docs, "_doc")
     mixed = mixing.mix_sources(keyed.select("_doc", "source", mixing.word_count(F.col("text")).alias("size")))
     places = mixing.mixed_rows(mixed.select("_doc", "shards"))
     return keyed.join(places, "_doc").repartition("shard").sortWithinPartitions("shard", F.xxhash64("_doc", "shard")).select(*COLUMNS)

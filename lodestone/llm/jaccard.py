@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import Shingler
-from .storage import materialize
+from .storage import materialize, numbered
 
 #: Counters of the sketch (4 bytes each) and the parts in which it is summed.
 SKETCH_BITS, SKETCH_PARTS = 19, 32
@@ -178,7 +178,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, n: int, seed: int, percent: int)
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int = 5) -> DataFrame:
     """As ``_components``, for every row: ``doc_id, n_shingles, component_id``, the smallest doc_id of its component."""
-    placed = _components(docs, n, percent, seed)
+    placed = _components(numbered(docs.select("doc_id", "text")), n, percent, seed)
     ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(ids, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -186,23 +186,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: int = 5) -> DataFrame:
     """``docs`` with one row of each component of similar texts, the one of smallest doc_id (null last), then the
     first in file order. Rows without words all stay. All columns are kept."""
-    placed = _components(docs, n, percent, seed)
+    rows = numbered(docs.drop("_row"))
+    placed = _components(rows.select("_row", "doc_id", "text"), n, percent, seed)
     first = placed.groupBy("component").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
     gone = materialize(placed.join(first, "component").where("_row <> first").select("_row"))
-    return docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
-def _components(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
-    """``docs`` (doc_id, text) -> ``_row, doc_id, n, component`` (a row number) for every row.
+def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """``rows`` (_row, doc_id, text; numbered once) -> ``_row, doc_id, n, component`` (a row number) for every row.
 
     Two rows link when their sets of ``n``-word shingles (A-Z lower-cased) overlap by ``percent`` % of their union
     or more; a component is all rows reachable by links. A text with fewer than
     ``n`` words is one shingle; null texts and texts without words have no shingles and link with nothing. Rows
-    with equal doc_id or null doc_id are separate rows; a component of null ids only has a null id. Other columns
-    of ``docs`` are ignored. ``docs`` must give the same rows in the same order on every read, as files do.
+    with equal doc_id or null doc_id are separate rows; a component of null ids only has a null id.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    spark = rows.sparkSession
     counted = materialize(rows.mapInArrow(_count_shingles(n, seed), "_row bigint, doc_id bigint, n bigint, print binary, part int, counts binary"))
     parts = counted.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))

@@ -263,21 +263,22 @@ def replace_personal_data(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     Null and empty texts and texts without entities come back unchanged with 0. Repeated rows are all rewritten,
     alike. Other columns are kept; ``n_entities`` and underscored working columns of that name are replaced.
-    ``docs`` must give the same rows in the same order on every read, as files do.
+    ``docs`` must give the same rows on every read, as files do.
     """
     docs = docs.drop("n_entities", "entities", "spans", "_row")
     names = [c for c in docs.columns if c != "text"]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = rows.select("_row", "text").mapInArrow(_detect(True, ["_row", "text"]), "_row bigint, text string, entities array<struct<start:int,end:int,kind:string,normal:string>>")
+    columns = ", ".join(f"`{c}` {types[c]}" for c in [*names, "text"])
+    # The numbers of the rows with entities are written once, with all their columns.
+    found = rows.mapInArrow(_detect(True, ["_row", *names, "text"]), f"_row bigint, {columns}, entities array<struct<start:int,end:int,kind:string,normal:string>>")
     found = materialize(found)
     each = found.select("_row", F.explode("entities").alias("e")).select("_row", "e.*")
     table = surrogate_table(each.select("kind", "normal").distinct(), key)
     spans = each.join(table, ["kind", "normal"]).groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("spans"))
     rewritten = found.select("_row", "text").join(spans, "_row").mapInArrow(_rewrite(["_row"]), "_row bigint, text string, n_entities int")
-    others = rows.drop("text").join(rewritten, "_row").select(*names, "text", "n_entities")
-    clean_schema = ", ".join(f"`{c}` {types[c]}" for c in [*names, "text"])
-    clean = docs.mapInArrow(_detect(False, [*names, "text"]), clean_schema).withColumn("n_entities", F.lit(0))
+    others = found.drop("text", "entities").join(rewritten, "_row").select(*names, "text", "n_entities")
+    clean = docs.mapInArrow(_detect(False, [*names, "text"]), columns).withColumn("n_entities", F.lit(0))
     return others.unionByName(clean).select(*docs.columns, "n_entities")
 
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,3 +35,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with row numbers in its order as ``name``, written once: numbers that are made again at each read change
+    when Spark cuts the files differently, as it does with other numbers of cores."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Roller, mix, slices, texts
-from .storage import materialize
+from .storage import materialize, numbered
 
 WIDTH, CORE = 100, 36
 #: A string of WIDTH bytes starts at most REACH bytes before its sample.
@@ -248,9 +248,9 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     in the text) is removed. Strings are judged on the input and never cross documents. Null texts are empty;
     texts under WIDTH bytes lose nothing; null doc_ids come last; rows with equal doc_id are separate texts in
     file order. Other columns of ``docs`` are ignored. With ``with_kept`` also ``kept``, the bytes that are left
-    (null where nothing was removed). ``docs`` must give the same rows in the same order on every read, as files do.
+    (null where nothing was removed).
     """
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs.select("doc_id", "text"))
     samples = rows.where("text is not null").mapInArrow(_sample, _SAMPLES)
     # One exchange by core serves both windows.
     core = Window.partitionBy("core")

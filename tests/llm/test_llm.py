@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, embeddings, hashing, jaccard, mixing, packing, pii, quality, queries, sharding, substrings, toxicity, urls
+from lodestone.llm import components, embeddings, hashing, jaccard, mixing, packing, pii, quality, queries, sharding, storage, substrings, toxicity, urls
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -400,6 +400,43 @@ def test_a_name_is_one_person_under_all_titles(documents):
     assert by[1] == by[2] != by[3] == by[4] == by[5] and by[1].split()[0] in pii.NAMES["latin", "f"]
 
 
+# Row numbers
+
+
+@pytest.mark.parametrize("job", ["components", "drop", "repeats", "private", "mix"])
+def test_other_splits_between_jobs_change_nothing(spark, documents, monkeypatch, job):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    texts = [prose(r, 60) for _ in range(12)]
+    rows = [(i, f"{texts[i % 12]} {i % 3 or ''} mail u{i}@x.org", "ab"[i % 2]) for i in range(36)]
+    docs = documents(rows, parts=4).select("doc_id", "text", "source", F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    run = {
+        "components": lambda: jaccard.jaccard_components(docs),
+        "drop": lambda: jaccard.drop_near_duplicates(docs),
+        "repeats": lambda: substrings.remove_repeats(docs),
+        "private": lambda: pii.replace_personal_data(docs),
+        "mix": lambda: corpus_pipeline.source_mix(spark, docs, ""),
+    }[job]
+    expected = sorted(map(repr, run().collect()))
+    before, count = spark.conf.get("spark.sql.files.maxPartitionBytes"), [0]
+    write = storage.materialize
+
+    def moved(df):
+        out = write(df)
+        count[0] += 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(600 + 150 * count[0]))
+        return out
+
+    for module in (storage, jaccard, substrings, pii, mixing):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", moved)
+    try:
+        assert sorted(map(repr, run().collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 # Quality rules and urls
 
 
