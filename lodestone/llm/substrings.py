@@ -13,7 +13,8 @@ The shape is that of difference-cover suffix sorting, bounded to the ``WIDTH`` b
    all but the first are settled without looking at bytes. Only the first of each name goes on, and only where
    one core has several names.
 4. *Merge remaining suffixes.* For these the strings at the offsets between samples are named from their bytes and
-   merged, core by core, in text order.
+   merged, core by core, in text order. Those around a core with more than ``CROWD`` samples are dealt by core and
+   name instead, so that no task has to hold a frequent core's strings.
 5. *Compare adjacent prefixes.* Equal neighbours share ``WIDTH`` bytes; all but the earliest are removed.
 
 Names are 64-bit hashes, so their order is arbitrary but the same everywhere, which is all that comparing
@@ -37,7 +38,9 @@ WIDTH, CORE = 100, 36
 #: A string of WIDTH bytes starts at most REACH bytes before its sample.
 REACH = WIDTH - CORE
 _LAST = np.iinfo(np.int64).max
-FULL, BORDER, RANGE = 0, 1, 2
+FULL, BORDER, RANGE, CROWDED = 0, 1, 2, 3
+#: Samples of a core up to which one task merges the strings around it.
+CROWD = 10_000
 #: 48 bits of the names of core and triple. Cores that share 48 bits do no harm: the triple's name and the bytes that
 #: are merged later tell them apart.
 _SAMPLES = "core bigint, name bigint, ord bigint, _row bigint, at int, upto int"
@@ -160,6 +163,32 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["key", "ord", "_row", "at", "before", "bytes"])
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names and starts of the strings around the samples of crowded cores."""
+    core, roll = Roller(101), Roller(303)
+    for batch in batches:
+        data, offsets = texts(batch.column("text"))
+        lists = batch.column("crowded")
+        out: list[list] = [[], [], [], [], []]
+        many = 0
+        for i, (row, order) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("ord").to_pylist())):
+            pos = np.sort(lists[i].values.to_numpy().astype(np.int64))
+            own = data[offsets[i] : offsets[i + 1]]
+            keys = core.spans(core.sums(own), pos, pos + CORE).view(np.int64)
+            sums, last = roll.sums(own), {}
+            for p, k in zip(pos.tolist(), keys.tolist()):
+                # A string that holds its core twice belongs to the core's first place, as in ``_merge``.
+                start = np.arange(max(p - REACH, 0, last.get(k, -1) + 1), min(p, len(own) - WIDTH) + 1)
+                last[k] = p
+                for column, x in zip(out, (np.full(len(start), k), roll.spans(sums, start, start + WIDTH).view(np.int64), np.full(len(start), order), np.full(len(start), row), start)):
+                    column.append(x)
+                many += len(start)
+            if many > 100_000 or i == batch.num_rows - 1:
+                columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.int32()])], names=["key", "name", "ord", "_row", "at"])
+                out, many = [[], [], [], [], []], 0
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Border samples sorted by core and text order -> ranges of starts of strings that occurred before.
 
@@ -259,19 +288,30 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         samples.repartition("core")
         .withColumn("place", F.row_number().over(triple))
         .withColumn("names", F.min("name").over(core) != F.max("name").over(core))
+        .withColumn("crowd", F.count(F.lit(1)).over(core))
         .where("upto >= 0 or place > 1 or names")
     )
-    kind = F.when(F.col("upto") >= 0, RANGE).when(F.col("place") > 1, FULL).otherwise(BORDER)
+    kind = F.when(F.col("upto") >= 0, RANGE).when(F.col("place") > 1, FULL).when(F.col("crowd") > CROWD, CROWDED).otherwise(BORDER)
     each = named.select("_row", "ord", "at", "upto", kind.alias("kind")).groupBy("_row").agg(
         F.first("ord").alias("ord"),
         F.collect_list(F.when(F.col("kind") == FULL, F.col("at"))).alias("full"),
         F.collect_list(F.when(F.col("kind") == BORDER, F.col("at"))).alias("border"),
+        F.collect_list(F.when(F.col("kind") == CROWDED, F.col("at"))).alias("crowded"),
         F.collect_list(F.when(F.col("kind") == RANGE, F.struct("at", "upto"))).alias("ranges"),
     )
+    each = materialize(each)
     # Both uses below read the one exchange of the texts.
-    found = materialize(each).join(rows.select("_row", "text").hint("merge"), "_row")
+    found = each.drop("crowded").join(rows.select("_row", "text").hint("merge"), "_row")
     border = found.where(F.size("border") > 0).select("_row", "ord", "border", "text").mapInArrow(_contexts, "key bigint, ord bigint, _row bigint, at int, before int, bytes binary")
     merged = border.repartition("key").sortWithinPartitions("key", "ord", "_row", "at").mapInArrow(_merge, "_row bigint, low int, high int")
+    crowded = each.where(F.size("crowded") > 0).select("_row", "ord", "crowded")
+    if not crowded.isEmpty():
+        strings = crowded.join(rows.select("_row", "text").hint("merge"), "_row").mapInArrow(_strings, "key bigint, name bigint, ord bigint, _row bigint, at int")
+        strings = materialize(strings)
+        place = F.struct("ord", "_row", "at")
+        first = strings.groupBy("key", "name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = strings.join(first.hint("merge"), ["key", "name"]).where(place > F.col("first"))
+        merged = merged.unionByName(again.select("_row", F.col("at").alias("low"), F.col("at").alias("high")))
     merged = merged.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("merged"))
     cut = found.drop("ord", "border").join(merged.hint("merge"), "_row", "left").where(F.col("merged").isNotNull() | (F.size("full") > 0) | (F.size("ranges") > 0))
     schema = "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"

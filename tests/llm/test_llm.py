@@ -66,6 +66,22 @@ def test_repeats_against_brute_force(documents):
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
 
 
+@pytest.mark.parametrize("crowd", [0, 40])
+def test_a_frequent_core_is_no_single_tasks_work(documents, monkeypatch, crowd):
+    r = random.Random(3)
+    phrase, passage = "(c) 2024 all rights of this text are reserved ok", prose(r, 40)
+    rows = [(i, prose(r, 30) + phrase + prose(r, 30)) for i in range(60)]
+    rows += [(60 + i, prose(r, r.randrange(60)) + passage[r.randrange(80) :] + phrase + (phrase + prose(r, 5)) * (i % 3) + prose(r, 30)) for i in range(30)]
+    rows += [(90, passage + passage + "ab" * 200), (91, "ab" * 90), (92, None), (93, rows[3][1])]
+    monkeypatch.setattr(substrings, "CROWD", crowd, raising=False)
+    merged, write = [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df: merged.append(write(df)) or merged[-1])
+    got = substrings.remove_repeats(documents(rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows))
+    at = Counter(text[p : p + 36] for t in merged if "border" in t.columns for x in t.collect() for text in [dict(rows)[x.ord]] for p in x.border)
+    assert max(at.values(), default=0) <= crowd
+
+
 def test_repeats_of_null_ids_and_repeated_rows(documents):
     text = prose(random.Random(2), 60)
     got = [tuple(r)[:3] for r in substrings.remove_repeats(documents([(None, text), (1, text), (1, text)], 1)).collect()]
