@@ -232,3 +232,10 @@ def test_embedder_and_scorer_are_deterministic():
     a, b = ML.hashing_embedder()(["one two", ""])
     assert a == ML.hashing_embedder()(["one two"])[0] and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b)
     assert ML.lexical_scorer()(["a b", ""], ["b c", "x"]) == [0.5, 0.0]
+
+
+def test_semantic_search_of_more_queries_than_a_block(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7) - 3, float(i % 11), 1.0]) for i in range(60)] + [(99, None)], "id long, embedding array<double>")
+    queries = vectors.where("id < 25").withColumnRenamed("id", "query_id")
+    found = [sorted(map(tuple, R.semantic_search(queries, vectors, 5, n).collect())) for n in (4, 25)]
+    assert found[0] == found[1] and len(found[0]) == 125
