@@ -1,12 +1,11 @@
-"""Packing of tokenized documents into sequences by a configuration linear program.
+"""Packing of tokenized documents into sequences by greedy configurations.
 
 Only longer documents are cut. What has to be packed is then a histogram of piece lengths, at most ``capacity``
-entries however large the corpus. A configuration is a multiset of lengths that fits one sequence; the program
-looks for the fewest sequences whose configurations hold all pieces. Its dual puts a price on every length, and
-the best configuration for given prices is a knapsack, solved by dynamic programming. Multiplicative weights
-drive the prices: a length that is left over gets dearer, one that was packed cheaper. Taking each answer only
-as often as whole pieces are left rounds as it goes, so nothing is ever packed twice; the last few pieces, of
-which no configuration can be used a second time, go by best fit.
+entries however large the corpus. A configuration is a multiset of lengths that fits one sequence. Each round prices
+the lengths, mostly by size and a premium for long ones and a little by how much of each is left, takes the best
+configuration, a knapsack solved by dynamic programming, and packs it as often as whole pieces allow. No linear
+program over configurations is solved and no gap to its optimum is known. What is left after the last round goes by
+best fit: with all lengths there and many pieces of each, that can be a good part of them.
 
 The driver sees the histogram and returns configurations with repetitions; pieces find their place by their rank
 within their length.
