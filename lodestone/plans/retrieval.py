@@ -82,7 +82,7 @@ QUERIES = {
     "rrf_search": lambda s, d: R.reciprocal_rank_fusion(_semantic(s, d), _bm25(s, d), 20),
     "bm25_date_boost": _date_boost,
     "min_max_normalize": _min_max,
-    "cosine_pairs": lambda s, d: R.semantic_search(_vq(s, d), _vq(s, d).withColumnRenamed("query_id", "id"), 100).select("query_id", "id", "similarity"),
+    "cosine_pairs": lambda s, d: R.semantic_search(_vq(s, d), _vq(s, d).withColumnRenamed("query_id", "id"), None).select("query_id", "id", "similarity"),
     "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.round(R.l2_normalize(F.col("embedding"))[0], 6).alias("first"), F.round(R.norm(R.l2_normalize(F.col("embedding"))), 6).alias("norm")),
     "recall_at_k": lambda s, d: R.recall_at_k(_semantic(s, d, 10), _vectors(s, d).select("id", "label")),
     "list_vector_ids": lambda s, d: _vectors(s, d).where("embedding is not null").select("id").orderBy("id").limit(10_000),

@@ -239,3 +239,11 @@ def test_semantic_search_of_more_queries_than_a_block(spark):
     queries = vectors.where("id < 25").withColumnRenamed("id", "query_id")
     found = [sorted(map(tuple, R.semantic_search(queries, vectors, 5, n).collect())) for n in (4, 25)]
     assert found[0] == found[1] and len(found[0]) == 125
+
+
+def test_cosine_pairs_keeps_partners_beyond_a_hundred(spark, tmp_path):
+    from lodestone.plans.retrieval import QUERIES
+
+    rows = [(i * 100, 0, [float(i % 7) + 1, float(i % 11), 1.0]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert QUERIES["cosine_pairs"](spark, str(tmp_path)).count() == 120 * 120
