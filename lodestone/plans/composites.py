@@ -55,7 +55,7 @@ def _rerank(s, d):
 
 def _limiter(s, d):
     log = T.request_log(s, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return limits.rate_limit(log.select(F.lit("all").alias("ip"), "path", "request_id", "at"), limit=2, window=600.0, burst=1)
+    return limits.rate_limit(log.select("ip", "path", "request_id", "at"), limit=2, window=600.0, burst=1)
 
 
 def _docs(s, d):

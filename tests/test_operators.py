@@ -247,3 +247,12 @@ def test_cosine_pairs_keeps_partners_beyond_a_hundred(spark, tmp_path):
     rows = [(i * 100, 0, [float(i % 7) + 1, float(i % 11), 1.0]) for i in range(120)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert QUERIES["cosine_pairs"](spark, str(tmp_path)).count() == 120 * 120
+
+
+def test_rate_limit_query_keeps_the_clients(spark, tmp_path):
+    from lodestone.plans.composites import QUERIES
+
+    rows = [(i, dt.datetime(2024, 1, 1, 0, 0, i), 1 + (i >= 5), "click", 1.0) for i in range(8)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((x.request_id, x.ip, x.allowed) for x in QUERIES["rate_limit"](spark, str(tmp_path)).collect())
+    assert got == [(i, "2" if i >= 5 else "1", i not in (3, 4)) for i in range(8)]
