@@ -1,23 +1,26 @@
 """Exact Jaccard components of documents by an n-gram join with adaptive multi-match prefixes.
 
-All shingles have one global order, rare ones first. Two sets of n and m shingles with 100 |A and B| >= P |A or B|
-share at least ceil(P n / 100) of A's and ceil(P m / 100) of B's shingles, so for any l they share at least l
-shingles of the first n - ceil(P n / 100) + l of A and of the like prefix of B. Each document picks its own l: a
-longer prefix costs index entries but asks for more matches, so documents whose prefix is estimated to meet many
-others lengthen it. A pair must share as many prefix shingles as the smaller of its two l before it is verified.
-The estimate, as the order, comes from a sketch of document counts of bounded size over the whole corpus; it
-steers cost and never the result.
-
-Documents with equal sets are one class. Components need no list of all pairs within a group: first each prefix
-shingle links its documents to one of them, verified exactly; then all candidate pairs *between* the components
-found so far are verified. Pairs inside a component can't change it, so no link between components is lost.
-
-A bound keeps loose groups cheap, such as many documents around one passage. Prefix shingles of A that no other
-prefix holds are lone. If A's prefix ends before B's in the global order, none of A's lone shingles is in B, so
-the overlap is at most n less their number. Pairs for which that is too little are dropped inside the join. And
-frequent shingles, which come last, don't join documents whose rare ones must decide: if both prefixes reach into
-the frequent ones, all their rare shingles are in them; where a document has more rare ones than the overlap can
-spare, similar pairs share rare ones too, how many follows from the sizes, and are found by those alone.
+Two sets of n and m shingles with 100 |A and B| >= P |A or B| share at least ceil(P n / 100) of A's and ceil(P m / 100)
+of B's shingles. So in any global order of the shingles, for any l, they share at least l shingles of the first
+n - ceil(P n / 100) + l of A and of the like prefix of B: each document may pick its own l, and a pair is verified
+when it shares as many prefix shingles as the smaller of its two l. Documents with equal sets are one class.
+
+The join runs twice. The first time every class has a prefix in the order of the hashes, with l of a twentieth of
+what a partner must share. A class that has fewer than l prefix shingles in common with any other class links with
+nothing and is done; that takes one count over a fifth of all shingles and leaves near copies and little else.
+
+The second time the order is by the exact number of documents that hold a shingle, rare ones first. Shingles that one
+document alone holds (lone) match nothing; of the others up to ``RARE`` documents hold a rare one, more a frequent
+one. Two documents whose frequent shingles alone don't reach the overlap share rare ones, how many follows from the
+sizes; they meet over prefixes of their rare shingles, whose groups are small by definition. The others consist of
+frequent shingles almost wholly, as copies of one text do. They meet over prefixes of their frequent shingles, together
+with a class of sizes, since two sizes bound what both must hold. In both orders a document picks the l of least
+estimated cost: a longer prefix costs index entries but asks for more matches.
+
+Components need no list of all pairs within a group: first each prefix shingle links its documents to the one of
+them with the least of its own, verified exactly; then all candidate pairs *between* the components found so far are
+verified. Pairs inside a component can't change it, so no link between components is lost. Inside the join a pair is
+dropped when counts of their shared kind of shingles, bucket by bucket, can't add up to the overlap.
 
 Joins whose sides grow with the data are sort-merge joins at every size, so that small runs show the plan of large ones.
 """
@@ -25,132 +28,164 @@ Joins whose sides grow with the data are sort-merge joins at every size, so that
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import Shingler
 from .storage import materialize, numbered
 
-#: Counters of the sketch (4 bytes each) and the parts in which it is summed.
-SKETCH_BITS, SKETCH_PARTS = 19, 32
-#: Cost of an index entry against one of comparing a shingle, and the chance of an unseen match per entry.
-INDEX_COST, UNSEEN = 20.0, 0.05
-_CHOICES = np.array([1, 2, 4, 8, 16, 32, 64, 128])
+#: A shingle of more documents than this is frequent. Steers cost, never the result.
+RARE = 32
+#: Cost of an index entry against one of comparing a shingle.
+INDEX_COST = 20.0
+#: Buckets in which a document's shingles are counted for the bound on overlaps.
+BUCKETS = 16
+#: Ratio of the sizes in one class of sizes.
+SIZE_CLASS = 1.05
 #: Members that are compared with one document in one task.
 MEMBERS_A_TASK = 2_000
+_CHOICES = np.array([1, 2, 4, 8, 16, 32, 64, 128])
+
+
+def _head(n: int, percent: int) -> tuple[int, int]:
+    """Length of the first prefix of a set of ``n`` and how many of it the prefix of a similar set, which may be
+    smaller and ask for fewer, shares."""
+    need = (percent * n + 99) // 100
+    smallest = (percent * need + 99) // 100
+    return n - need + 1 + need // 20, 1 + smallest // 20
 
 
-def _count_shingles(n: int, seed: int):
+def _count_shingles(n: int, seed: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch = Shingler(n, seed), np.zeros(1 << SKETCH_BITS, np.uint32)
+        shingler = Shingler(n, seed)
         for batch in batches:
-            sizes, prints, pending, many = [], [], [], 0
+            sizes, prints, heads, least = [], [], [], []
             for s in shingler.sets(batch.column("text")):
+                m, k = _head(len(s), percent) if len(s) else (0, 0)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
-                pending.append(s >> np.uint64(64 - SKETCH_BITS))
-                many += len(s)
-                if many > 1 << 17:
-                    sketch += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-                    pending, many = [], 0
-            if pending:
-                sketch += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            nothing = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *nothing], names=["_row", "doc_id", "n", "print", "part", "counts"])
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_PARTS)]
-        null = pa.nulls(SKETCH_PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["_row", "doc_id", "n", "print", "part", "counts"])
+                heads.append(s[:m].view(np.int64))
+                least.append(k)
+            offsets = np.cumsum([0, *map(len, heads)])
+            flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
+            short = [int.from_bytes(p[:8], "little", signed=True) if p else None for p in prints]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(short, pa.int64()), pa.array(least, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                names=["_row", "doc_id", "n", "print", "short", "least", "head"],
+            )
 
     return run
 
 
-def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-            x = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.uint64)
-            sums[part] = sums[part] + x if part in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+def _sets(n: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n, seed)
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingler.sets(batch.column("text"))]
+            offsets = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["_row", "entries"])
 
+    return run
+
+
+def prefix_of(held: np.ndarray, least: int) -> tuple[int, int]:
+    """Length of the prefix of shingles that ``held`` documents hold each, in order, of which a similar set shares
+    ``least`` in all, and how many of the prefix it shares: the ``l`` of least estimated cost."""
+    met = np.cumsum(held.astype(np.float64))
+    choices = _CHOICES[_CHOICES <= least]
+    lengths = len(held) - least + choices
+    cost = met[lengths - 1] / choices * len(held) + choices * INDEX_COST
+    k = int(np.argmin(cost))
+    return int(lengths[k]), int(choices[k])
 
-def prefix_of(shingles: np.ndarray, sketch: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, float, int]:
-    """The prefix of a set in global order, how many of it a similar set must share (the ``l`` of least estimated
-    cost), the estimate by which its last shingle is ordered, and how many of it are rare."""
-    n = len(shingles)
-    need = (percent * n + 99) // 100
-    others = np.maximum(sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - (1.0 + usual), 0.0)
-    order = np.lexsort((shingles, others))
-    met = np.cumsum(others[order] + UNSEEN)
-    choices = _CHOICES[_CHOICES <= need]
-    cost = met[n - need + choices - 1] / choices * n + choices * INDEX_COST
-    k = int(choices[np.argmin(cost)])
-    order = order[: n - need + k]
-    return shingles[order], k, float(others[order[-1]]), int((others[order] == 0).sum())
 
+def _prefixes(percent: int):
+    """``_row, n, met`` (array of structs of the documents that hold it, ``c``, and the shingle, ``e``) -> the prefixes
+    of the rare and the frequent ones, in order."""
 
-def _prefixes(n: int, seed: int, sketch, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(n, seed), sketch.value
-        typical = float(np.median(counts))
-        usual = typical + 3 * typical**0.5
         for batch in batches:
-            rows, ks, ends, rare, entries = [], [], [], [], []
-            for row, s in zip(batch.column("_row").to_pylist(), shingler.sets(batch.column("text"))):
-                if len(s):
-                    entry, k, end, r = prefix_of(s, counts, usual, percent)
-                    rare.append(r)
-                    rows.append(row)
-                    ks.append(k)
-                    ends.append(end)
-                    entries.append(entry)
-            offsets = np.cumsum([0, *map(len, entries)])
-            flat = np.concatenate(entries) if entries else np.empty(0, np.uint64)
-            # The top bit flipped, signed order is the order of the hashes.
-            last = (flat[offsets[1:] - 1] ^ np.uint64(1 << 63)).view(np.int64) if entries else np.empty(0, np.int64)
+            met = batch.column("met")
+            offsets = met.offsets.to_numpy()
+            inner = met.values
+            counts, shingles = inner.field("c").to_numpy(), inner.field("e").to_numpy()
+            columns: tuple[list, ...] = ([], [], [], [])
+            entries: list[np.ndarray] = []
+            signs = []
+            for n, a, b in zip(batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
+                c, e = counts[a:b], shingles[a:b]
+                order = np.lexsort((e, c))
+                c, e = c[order], e[order]
+                need = (percent * n + 99) // 100
+                m = int(np.searchsorted(c, RARE, "right"))
+                signs.append(np.bincount(e & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32))
+                rare, k = prefix_of(c[:m], max(1, need - (len(c) - m))) if m else (0, 0)
+                hot, l = prefix_of(c[m:], max(1, need - m)) if len(c) - m >= need else (0, 0)
+                for col, x in zip(columns, (len(c) - m, k, l, rare)):
+                    col.append(x)
+                entries.append(np.concatenate((e[:rare], e[m : m + hot])))
+            ends = np.cumsum([0, *map(len, entries)])
+            flat = np.concatenate(entries) if entries else np.empty(0, np.int64)
+            sign = np.concatenate(signs) if signs else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.array(ends, pa.float64()), pa.array(last), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
-                names=["_row", "k", "end", "last", "rare", "entries"],
+                [
+                    batch.column("_row"),
+                    batch.column("n"),
+                    *(pa.array(x, pa.int32()) for x in columns),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * BUCKETS, pa.int32()), pa.array(sign)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                ],
+                names=["_row", "n", "frequent", "krare", "khot", "rares", "sign", "entries"],
             )
 
     return run
 
 
-def _may_be_similar(percent: int):
-    """Condition on two documents' columns ``xn, xlone, xend, xlast`` and ``yn, ...``: sizes and lone shingles allow it."""
-    most = F.least(
-        F.when((F.col("xend") < F.col("yend")) | (F.col("xend") == F.col("yend")) & (F.col("xlast") <= F.col("ylast")), F.col("xn") - F.col("xlone")).otherwise(F.col("xn")),
-        F.when((F.col("yend") < F.col("xend")) | (F.col("yend") == F.col("xend")) & (F.col("ylast") <= F.col("xlast")), F.col("yn") - F.col("ylone")).otherwise(F.col("yn")),
-    )
-    return 100 * most >= percent * (F.col("xn") + F.col("yn") - most)
-
-
-_INFO = ("n", "k", "lone", "end", "last", "rare", "mixed")
+_INFO = ("n", "frequent", "krare", "khot", "sign")
 
 
 def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     return left.join(right.hint("merge"), on, how)
 
 
-def _side(info: DataFrame, s: str, key: str) -> DataFrame:
-    return info.select(F.col("_row").alias(key), *(F.col(c).alias(s + c) for c in _INFO))
+def _side(info: DataFrame, s: str) -> list[Column]:
+    return [info[c].alias(s + c) for c in _INFO]
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_CLASS))).cast("int")
 
 
-def _verify(n: int, seed: int, percent: int):
+def _overlap(percent: int) -> Column:
+    """The overlap that sets of ``xn`` and ``yn`` shingles need."""
+    return F.expr(f"({percent} * (xn + yn) + {99 + percent}) div {100 + percent}")
+
+
+def _may_be_similar(percent: int) -> Column:
+    """The sizes, and the shingles in each bucket that others hold too, allow the overlap."""
+    most = sum((F.least(F.col("xsign")[i], F.col("ysign")[i]) for i in range(1, BUCKETS)), F.least(F.col("xsign")[0], F.col("ysign")[0]))
+    return (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (most >= _overlap(percent))
+
+
+def _verify(percent: int):
     """Rows sorted by ``a, part, b``; the row of ``a`` itself has a null ``b``. Yields the pairs that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, of, own = Shingler(n, seed), None, np.empty(0, np.uint64)
+        of, own = None, np.empty(0, np.uint64)
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingler.sets(batch.column("text"))):
+            sets = batch.column("entries")
+            offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+            for a, b, i, j in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), offsets[:-1], offsets[1:]):
+                s = flat[i:j]
                 if b is None:
-                    of, own = a, s
+                    of, own = a, s.copy()
                 elif of == a:
                     at = np.searchsorted(own, s)
                     both = int((own[np.minimum(at, len(own) - 1)] == s).sum())
@@ -162,18 +197,15 @@ def _verify(n: int, seed: int, percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts (in ``rows``) are similar. A document with many partners is sent to as many
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose shingles (in ``sets``) are similar. A document with many partners is sent to as many
     tasks as they need."""
-    wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-    found = materialize(_join(rows.select("_row", "text"), wanted, "_row", "left_semi"))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("parts"))
-    text = found.select(F.col("_row").alias("b"), "text")
+    other = sets.select(F.col("_row").alias("b"), "entries")
     members = _join(pairs, many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = _join(members, text, "b").select("a", "part", "b", "text")
-    own = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(text.withColumnRenamed("b", "a"), "a")
-    sent = own.select("a", "part", F.lit(None).cast("bigint").alias("b"), "text").unionByName(members)
-    return sent.repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(n, seed, percent), "a bigint, b bigint")
+    members = _join(members, other, "b").select("a", "part", "b", "entries")
+    own = _join(many, sets.select(F.col("_row").alias("a"), "entries"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "entries")
+    return own.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "b").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seed: int = 5) -> DataFrame:
@@ -193,6 +225,32 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, seed: i
     return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
+def _crossing(index: DataFrame, group: DataFrame, info: DataFrame, percent: int, frequent: bool) -> DataFrame:
+    """Pairs ``a, b`` of different components (``group``) that share enough of the prefixes in ``index``."""
+    grouped = _join(index, group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
+    each = grouped.groupBy("entry", "component").agg(F.count("*").alias("c"))
+    main = each.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").drop("components")
+    grouped = materialize(_join(_join(grouped, main, "entry"), info, "_row"))
+    # Of two documents in different components one at least is outside the entry's main component, so only those
+    # look for partners: pairs inside a large component are never met.
+    x = grouped.where("component <> main").select(F.col("entry").alias("xentry"), F.col("_row").alias("a"), F.col("component").alias("ca"), *_side(grouped, "x"))
+    y = grouped.select(F.col("entry").alias("yentry"), F.col("_row").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *_side(grouped, "y"))
+    shared = F.least("xfrequent", "yfrequent")
+    keys = F.col("xentry") == F.col("yentry")
+    if frequent:
+        # A partner is no smaller than the overlap and no larger than this document's frequent shingles allow.
+        low = F.expr(f"({percent} * xn + 99) div 100")
+        high = F.least(F.expr(f"100 * xn div {percent}"), F.expr(f"{100 + percent} * xfrequent div {percent} - xn"))
+        x = x.where(low <= high).withColumn("xsize", F.explode(F.sequence(_size_class(low), _size_class(high))))
+        y = y.withColumn("ysize", _size_class(F.col("yn")))
+        keys = keys & (F.col("xsize") == F.col("ysize"))
+    decided = (shared >= _overlap(percent)) if frequent else (shared < _overlap(percent))
+    least = F.least("xkhot", "ykhot") if frequent else F.least("xkrare", "ykrare")
+    pairs = _join(x, y, keys & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & decided & _may_be_similar(percent))
+    counted = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(least).alias("least"))
+    return counted.where("c >= least").select("a", "b")
+
+
 def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """``rows`` (_row, doc_id, text; numbered once) -> ``_row, doc_id, n, component`` (a row number) for every row.
 
@@ -201,50 +259,37 @@ def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     ``n`` words is one shingle; null texts and texts without words have no shingles and link with nothing. Rows
     with equal doc_id or null doc_id are separate rows; a component of null ids only has a null id.
     """
-    spark = rows.sparkSession
-    counted = materialize(rows.mapInArrow(_count_shingles(n, seed), "_row bigint, doc_id bigint, n bigint, print binary, part int, counts binary"))
-    parts = counted.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_sum_parts, "part int, counts binary").collect()
-    sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))
-    for p in parts:
-        sketch[p["part"]] = np.frombuffer(p["counts"], np.uint64)
-    shared = spark.sparkContext.broadcast(sketch.ravel().astype(np.float32))
-
-    listed = counted.where("part is null").select("_row", "doc_id", "n", "print")
-    classes = materialize(listed.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n")))
-    first = classes.select(F.col("rep").alias("_row"), "n")
-
-    prefixes = rows.mapInArrow(_prefixes(n, seed, shared, percent), "_row bigint, k int, end double, last bigint, rare int, entries array<bigint>")
-    prefixes = materialize(_join(prefixes, first, "_row"))
-    entries = prefixes.select("_row", "rare", F.posexplode("entries").alias("at", "entry")).select("_row", "entry", (F.col("at") >= F.col("rare")).alias("hot"))
-    pivots = entries.groupBy("entry").agg(F.min("_row").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = materialize(_join(entries, pivots, "entry"))
-    lengths = prefixes.select("_row", "n", "k", "end", "last", "rare", F.size("entries").alias("length"))
-    info = _join(lengths, met.groupBy("_row").agg(F.count("*").alias("met")), "_row").withColumn("lone", F.col("length") - F.col("met"))
-    info = materialize(info.withColumn("mixed", F.col("rare") < F.col("length")).drop("length", "met"))
-
-    may = _may_be_similar(percent)
-    starred = met.where("_row <> pivot").groupBy(F.col("pivot").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("c"))
-    starred = _join(_join(starred, _side(info, "x", "a"), "a"), _side(info, "y", "b"), "b").where(may)
-    # What this round leaves out the next one looks at, so it asks for half the matches only to save work.
-    tried = materialize(starred.where("2 * c >= least(xk, yk)").select("a", "b"))
-    links = materialize(_similar(tried, rows, n, seed, percent))
-
-    group = connected_components(links).select(F.col("node").alias("_row"), "component")
-    grouped = _join(met.drop("pivot"), group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
-    each = grouped.groupBy("entry", "component").agg(F.count("*").alias("c"))
-    main = each.groupBy("entry").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").drop("components")
-    grouped = materialize(_join(_join(grouped, main, "entry"), info, "_row"))
-    # Of two documents in different components one at least is outside the entry's main component, so only those
-    # look for partners: pairs inside a large component are never met.
-    x = grouped.where("component <> main").select("entry", F.col("_row").alias("a"), F.col("component").alias("ca"), "hot", *(F.col(c).alias("x" + c) for c in _INFO))
-    y = grouped.select("entry", F.col("_row").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias("y" + c) for c in _INFO))
-    need = F.expr(f"({percent} * (xn + yn) + {99 + percent}) div {100 + percent}")
-    by_rare = F.col("xmixed") & F.col("ymixed") & ((F.col("xrare") > F.col("xn") - need) | (F.col("yrare") > F.col("yn") - need))
-    pairs = _join(x, y, (x["entry"] == y["entry"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & may & ~(F.col("hot") & by_rare))
-    matches = F.when(by_rare, F.greatest(F.lit(1), need - F.least(F.col("xn") - F.col("xrare"), F.col("yn") - F.col("yrare")))).otherwise(F.least("xk", "yk"))
-    crossing = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(matches).alias("least"))
-    crossing = materialize(_join(crossing.where(F.col("c") >= F.col("least")).select("a", "b"), tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(_similar(crossing, rows, n, seed, percent))
+    counted = materialize(rows.mapInArrow(_count_shingles(n, seed, percent), "_row bigint, doc_id bigint, n bigint, print binary, short bigint, least int, head array<bigint>"))
+    listed = counted.select("_row", "doc_id", "n", "print")
+    # Equal sets have equal prints: a shingle whose least and greatest (short) print are equal is in one class only.
+    held = counted.select("short", F.explode("head").alias("entry")).groupBy("entry").agg(F.min("short").alias("short"), F.max("short").alias("other"))
+    lone = held.where("short = other").groupBy("short").agg(F.count("*").alias("lone"))
+    classes = counted.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), F.first(F.size("head") - F.col("least")).alias("most"))
+    classes = materialize(_join(classes, lone, "short", "left").select("print", "rep", "n", (F.coalesce("lone", F.lit(0)) <= F.col("most")).alias("meets")))
+
+    met = classes.where("meets").select(F.col("rep").alias("_row"), "n")
+    sets = materialize(_join(rows.select("_row", "text"), met, "_row", "left_semi").mapInArrow(_sets(n, seed), "_row bigint, entries array<bigint>"))
+    entries = sets.select("_row", F.explode("entries").alias("e"))
+    counts = entries.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    held = _join(entries, counts, "e").groupBy("_row").agg(F.collect_list(F.struct("c", "e")).alias("met"))
+    left = _join(held, met, "_row").where(100 * F.size("met") >= percent * F.col("n")).select("_row", "n", "met")
+    prefixes = materialize(left.mapInArrow(_prefixes(percent), "_row bigint, n bigint, frequent int, krare int, khot int, rares int, sign array<int>, entries array<bigint>"))
+    info = prefixes.select("_row", *_INFO)
+    index = prefixes.select("_row", (F.col("n") - F.col("frequent")).alias("own"), "rares", F.posexplode("entries").alias("at", "entry")).select("_row", "own", "entry", (F.col("at") >= F.col("rares")).alias("frequent"))
+    pivots = index.groupBy("entry").agg(F.min_by("_row", F.struct("own", "_row")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+    index = materialize(_join(index, pivots, "entry"))
+
+    starred = index.where("_row <> a").select("a", F.col("_row").alias("b")).distinct()
+    for s, key in (("x", "a"), ("y", "b")):
+        starred = _join(starred, info.select(F.col("_row").alias(key), *_side(info, s)), key)
+    tried = materialize(starred.where(_may_be_similar(percent)).select("a", "b"))
+    links = materialize(_similar(tried, sets, percent))
+
+    group = materialize(connected_components(links).select(F.col("node").alias("_row"), "component"))
+    kinds = [_crossing(index.where("frequent" if kind else "not frequent").select("entry", "_row"), group, info, percent, kind) for kind in (False, True)]
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = materialize(_join(kinds[0].unionByName(kinds[1]), known, ["a", "b"], "left_anti"))
+    links = links.unionByName(_similar(crossing, sets, percent))
 
     group = connected_components(links).select(F.col("node").alias("rep"), "component")
     class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))

@@ -121,8 +121,9 @@ def near_copies(r, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_components_against_brute_force(documents, n, percent):
+@pytest.mark.parametrize("n,percent,rare", [(4, 85, 32), (5, 80, 32), (4, 85, 3), (5, 80, 1), (3, 60, 8)])
+def test_components_against_brute_force(documents, monkeypatch, n, percent, rare):
+    monkeypatch.setattr(jaccard, "RARE", rare)
     r = random.Random(n)
     passage = prose(r, 50)
     texts = near_copies(r, prose(r, 140), 60, 6) + near_copies(r, prose(r, 40), 20, 2) + [passage + " " + prose(r, 20) for _ in range(25)]
@@ -141,14 +142,42 @@ def test_components_against_brute_force(documents, n, percent):
 
 def test_prefixes_share_enough_shingles():
     r = np.random.default_rng(0)
-    sketch = r.integers(0, 50, 1 << jaccard.SKETCH_BITS).astype(np.float32)
-    for _ in range(200):
-        common = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    held = lambda s: 2 + (s % np.uint64(50)).astype(np.int64)
+    for percent in [85, 80] * 150:
+        common = r.integers(0, 1 << 63, r.integers(1, 200), dtype=np.uint64)
         a = np.unique(np.concatenate((common, r.integers(0, 1 << 63, r.integers(0, 20), dtype=np.uint64))))
         b = np.unique(np.concatenate((common[r.integers(0, 15) :], r.integers(0, 1 << 63, r.integers(0, 20), dtype=np.uint64))))
-        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
-            (p, k, _, _), (q, m, _, _) = jaccard.prefix_of(a, sketch, 20.0, 85), jaccard.prefix_of(b, sketch, 20.0, 85)
-            assert len(np.intersect1d(p, q)) >= min(k, m)
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            chosen = []
+            for s in (a, b):
+                s = s[np.lexsort((s, held(s)))]
+                m, k = jaccard.prefix_of(held(s), (percent * len(s) + 99) // 100)
+                chosen.append((s[:m], k))
+            assert len(np.intersect1d(chosen[0][0], chosen[1][0])) >= min(chosen[0][1], chosen[1][1])
+            (m, k), (o, l) = jaccard._head(len(a), percent), jaccard._head(len(b), percent)
+            assert len(np.intersect1d(a[:m], b[:o])) >= max(k, l)
+
+
+def test_copies_around_one_text_and_passage_stay_linear(documents, spark, monkeypatch):
+    r = random.Random(8)
+    passage, base = prose(r, 50), prose(r, 90)
+    texts = [passage + " " + prose(r, 20 + i % 30) for i in range(1500)]
+    texts += near_copies(r, base, 1500, 40)
+    monkeypatch.setattr(jaccard, "RARE", 8)
+    written, write = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df: written.append(write(df)) or written[-1])
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(documents(rows), 5, 80).collect()}
+    pairs = sum(df.count() for df in written if df.columns == ["a", "b"])
+    assert pairs < 10 * len(rows)
+    sets = [shingles(t, 5) for t in texts]
+    of = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            of[x].append(i)
+    both = Counter((j, i) for i, s in enumerate(sets[1500:], 1500) for x in s for j in of[x] if j < i)
+    links = [(a, b) for (a, b), c in both.items() if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c)]
+    assert got == dict(enumerate(groups_of(len(rows), links)))
 
 
 def test_jaccard_of_null_ids_and_an_empty_table(documents):
