@@ -10,6 +10,8 @@ from lodestone.llm import jaccard, mixing, packing, pii, quality
 from lodestone.llm.storage import materialize, numbered
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Shards of the source mix, and the bytes of text in a part of one.
+SHARDS, PART_BYTES = 16, 32 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +31,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as the mix takes it, in shards of random order."""
+    """Sources at their target weights: a document comes as often as the mix takes it, in shards of random order.
+
+    A shard of more than ``PART_BYTES`` is dealt to as many random parts as it needs, each in random order: no task
+    grows with the input.
+    """
     keyed = numbered(docs, "_doc")
-    mixed = mixing.mix_sources(keyed.select("_doc", "source", mixing.word_count(F.col("text")).alias("size")))
-    places = mixing.mixed_rows(mixed.select("_doc", "shards"))
-    return keyed.join(places, "_doc").repartition("shard").sortWithinPartitions("shard", F.xxhash64("_doc", "shard")).select(*COLUMNS)
+    sized = keyed.select("_doc", "source", mixing.word_count(F.col("text")).alias("size"), F.octet_length("text").alias("bytes"))
+    mixed = materialize(mixing.mix_sources(sized, n_shards=SHARDS).select("_doc", "shards", "bytes", "copies"))
+    total = mixed.agg(F.sum(F.col("bytes") * F.col("copies"))).first()[0] or 0
+    parts = 1 + total // (SHARDS * PART_BYTES)
+    places = mixed.select("_doc", F.posexplode("shards").alias("copy", "shard")).withColumn("_order", F.xxhash64("_doc", "copy"))
+    dealt = keyed.join(places, "_doc").withColumn("_part", F.pmod(F.col("_order"), F.lit(parts)))
+    return dealt.repartition(SHARDS * parts, "shard", "_part").sortWithinPartitions("shard", "_part", "_order").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

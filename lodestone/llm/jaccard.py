@@ -5,9 +5,9 @@ of B's shingles. So in any global order of the shingles, for any l, they share a
 n - ceil(P n / 100) + l of A and of the like prefix of B: each document may pick its own l, and a pair is verified
 when it shares as many prefix shingles as the smaller of its two l. Documents with equal sets are one class.
 
-The join runs twice. The first time every class has a prefix in the order of the hashes, with l of a twentieth of
+The join runs twice. The first time every class has a prefix in the order of the hashes, with l of a tenth of
 what a partner must share. A class that has fewer than l prefix shingles in common with any other class links with
-nothing and is done; that takes one count over a fifth of all shingles and leaves near copies and little else.
+nothing and is done; that takes one count over a quarter of all shingles and leaves near copies and little else.
 
 The second time the order is by the exact number of documents that hold a shingle, rare ones first. Shingles that one
 document alone holds (lone) match nothing; of the others up to ``RARE`` documents hold a rare one, more a frequent
@@ -57,7 +57,7 @@ def _head(n: int, percent: int) -> tuple[int, int]:
     smaller and ask for fewer, shares."""
     need = (percent * n + 99) // 100
     smallest = (percent * need + 99) // 100
-    return n - need + 1 + need // 20, 1 + smallest // 20
+    return n - need + 1 + need // 10, 1 + smallest // 10
 
 
 def _count_shingles(n: int, seed: int, percent: int):
