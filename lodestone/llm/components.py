@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     every node points to its component's smallest: a few rounds even for long chains. Minima are combined
     before the exchange; a hub's rows are spread by Spark's skew join.
     """
-    now = materialize(_directed(edges.select("a", "b")).distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(_directed(small.unionByName(least.select("a", F.col("m").alias("b")))).distinct())
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    spark = edges.sparkSession
+    with scratch(spark):
+        now = materialize(_directed(edges.select("a", "b")).distinct())
+        state = None
+        while True:
+            both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            now = materialize(_directed(small.unionByName(least.select("a", F.col("m").alias("b")))).distinct())
+            row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(row) == state:
+                break
+            state = tuple(row)
+        stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return materialize(stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), keep=True)
 
 
 def _directed(edges: DataFrame) -> DataFrame:

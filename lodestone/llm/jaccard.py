@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import Shingler
-from .storage import materialize, numbered
+from .storage import materialize, numbered, scratch
 
 #: A shingle of more documents than this is frequent. Steers cost, never the result.
 RARE = 32
@@ -259,21 +259,38 @@ def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     ``n`` words is one shingle; null texts and texts without words have no shingles and link with nothing. Rows
     with equal doc_id or null doc_id are separate rows; a component of null ids only has a null id.
     """
-    counted = materialize(rows.mapInArrow(_count_shingles(n, seed, percent), "_row bigint, doc_id bigint, n bigint, print binary, short bigint, least int, head array<bigint>"))
-    listed = counted.select("_row", "doc_id", "n", "print")
-    # Equal sets have equal prints: a shingle whose least and greatest (short) print are equal is in one class only.
-    held = counted.select("short", F.explode("head").alias("entry")).groupBy("entry").agg(F.min("short").alias("short"), F.max("short").alias("other"))
-    lone = held.where("short = other").groupBy("short").agg(F.count("*").alias("lone"))
-    classes = counted.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), F.first(F.size("head") - F.col("least")).alias("most"))
-    classes = materialize(_join(classes, lone, "short", "left").select("print", "rep", "n", (F.coalesce("lone", F.lit(0)) <= F.col("most")).alias("meets")))
-
-    met = classes.where("meets").select(F.col("rep").alias("_row"), "n")
-    sets = materialize(_join(rows.select("_row", "text"), met, "_row", "left_semi").mapInArrow(_sets(n, seed), "_row bigint, entries array<bigint>"))
+    with scratch(rows.sparkSession):
+        listed, classes = _classes(rows, n, percent, seed)
+        met = classes.where("meets").select(F.col("rep").alias("_row"), "n")
+        sets = materialize(_join(rows.select("_row", "text"), met, "_row", "left_semi").mapInArrow(_sets(n, seed), "_row bigint, entries array<bigint>"))
+        prefixes = materialize(_met(sets, met, percent).mapInArrow(_prefixes(percent), "_row bigint, n bigint, frequent int, krare int, khot int, rares int, sign array<int>, entries array<bigint>"))
+        group = connected_components(_links(prefixes, sets, percent)).select(F.col("node").alias("rep"), "component")
+        class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+        return materialize(listed.join(class_of, "print", "left").select("_row", "doc_id", "n", F.coalesce("component", "_row").alias("component")), keep=True)
+
+
+def _classes(rows: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``_row, doc_id, n, print`` of every row, and ``print, rep, n, meets`` of every set that occurs."""
+    with scratch(rows.sparkSession):
+        counted = materialize(rows.mapInArrow(_count_shingles(n, seed, percent), "_row bigint, doc_id bigint, n bigint, print binary, short bigint, least int, head array<bigint>"))
+        # Equal sets have equal prints: a shingle whose least and greatest (short) print are equal is in one class only.
+        held = counted.select("short", F.explode("head").alias("entry")).groupBy("entry").agg(F.min("short").alias("short"), F.max("short").alias("other"))
+        lone = held.where("short = other").groupBy("short").agg(F.count("*").alias("lone"))
+        classes = counted.where("n > 0").groupBy("print").agg(F.min("_row").alias("rep"), F.first("n").alias("n"), F.first("short").alias("short"), F.first(F.size("head") - F.col("least")).alias("most"))
+        classes = _join(classes, lone, "short", "left").select("print", "rep", "n", (F.coalesce("lone", F.lit(0)) <= F.col("most")).alias("meets"))
+        return materialize(counted.select("_row", "doc_id", "n", "print"), keep=True), materialize(classes, keep=True)
+
+
+def _met(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``_row, n, met``: each set's shingles that other sets hold too, where they can be enough."""
     entries = sets.select("_row", F.explode("entries").alias("e"))
     counts = entries.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
     held = _join(entries, counts, "e").groupBy("_row").agg(F.collect_list(F.struct("c", "e")).alias("met"))
-    left = _join(held, met, "_row").where(100 * F.size("met") >= percent * F.col("n")).select("_row", "n", "met")
-    prefixes = materialize(left.mapInArrow(_prefixes(percent), "_row bigint, n bigint, frequent int, krare int, khot int, rares int, sign array<int>, entries array<bigint>"))
+    return _join(held, sizes, "_row").where(100 * F.size("met") >= percent * F.col("n")).select("_row", "n", "met")
+
+
+def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs ``a, b`` that have the components of all similar pairs."""
     info = prefixes.select("_row", *_INFO)
     index = prefixes.select("_row", (F.col("n") - F.col("frequent")).alias("own"), "rares", F.posexplode("entries").alias("at", "entry")).select("_row", "own", "entry", (F.col("at") >= F.col("rares")).alias("frequent"))
     pivots = index.groupBy("entry").agg(F.min_by("_row", F.struct("own", "_row")).alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -285,15 +302,11 @@ def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     tried = materialize(starred.where(_may_be_similar(percent)).select("a", "b"))
     links = materialize(_similar(tried, sets, percent))
 
-    group = materialize(connected_components(links).select(F.col("node").alias("_row"), "component"))
+    group = connected_components(links).select(F.col("node").alias("_row"), "component")
     kinds = [_crossing(index.where("frequent" if kind else "not frequent").select("entry", "_row"), group, info, percent, kind) for kind in (False, True)]
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = materialize(_join(kinds[0].unionByName(kinds[1]), known, ["a", "b"], "left_anti"))
-    links = links.unionByName(_similar(crossing, sets, percent))
-
-    group = connected_components(links).select(F.col("node").alias("rep"), "component")
-    class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    return materialize(listed.join(class_of, "print", "left").select("_row", "doc_id", "n", F.coalesce("component", "_row").alias("component")))
+    return links.unionByName(_similar(crossing, sets, percent))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

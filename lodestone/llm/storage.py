@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_open: list[list[str]] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for those it is asked to keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, so that what follows doesn't
-    recompute it and a lost executor can't change it. Column names and types stay."""
+    recompute it and a lost executor can't change it. Column names and types stay.
+
+    Within ``scratch`` the table goes at its end; one to ``keep`` goes with the scratch around that, if there is one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
