@@ -2,14 +2,16 @@
 
 Unit vectors with cosine >= c are within sqrt(2 - 2c) of each other, so cosine links are a distance join in a
 metric space. A cover tree of nested levels with halving radii over a bounded sample of the vectors deals all
-vectors to its leaves; each node knows the largest distance to any vector below it, over all rows. The dual
-traversal walks pairs of nodes from the roots and drops a pair when the distance of the centres exceeds both
-covering radii plus the threshold. The leaf pairs that are left are joined tile by tile: a task gets two tiles,
-builds their own cover trees below the leaves and goes on traversing; node pairs whose radii prove every pair
-similar are counted without comparing vectors.
-
-Only counts, the smallest neighbour and a spanning forest of the links leave a task. Equal vectors are one class
-from the start, and no pair list is ever made.
+vectors to its leaves; each leaf knows the largest distance to any vector dealt to it, over all rows, and each node
+above it a bound. The dual traversal walks pairs of nodes of that tree from its root and drops a pair when the
+distance of the centres exceeds both covering radii plus the threshold. The leaf pairs that are left are joined tile
+by tile: a task gets two tiles, builds their own cover trees and traverses those; node pairs whose radii prove every
+pair similar are counted without comparing vectors. Where a net of the next radius doesn't thin the points out, as
+with vectors that lie about equally far from each other, a node isn't divided: its pairs are compared as products of
+matrices in single precision, and in double precision where that comes near the threshold.
+
+Only counts and a spanning forest of the links leave a task. Equal vectors are one class from the start, and no pair
+list is ever made.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
+from .storage import materialize, scratch
 
 #: Vectors in the sampled tree, rows of a tile, vectors of a node that is compared outright.
-SAMPLE, TILE, LEAF = 1_024, 2_048, 64
+SAMPLE, TILE, LEAF = 1_024, 4_096, 64
+#: Rows of a tile that are compared with another node at once; centres after which a net must have thinned the points out.
+BLOCK, TRIED = 512, 32
 _SLACK = 1e-9
 
 
@@ -64,7 +68,7 @@ class CoverTree:
             nxt = int(np.argmax(near))
             if near[nxt] <= half:
                 break
-            if len(centres) * 4 > len(members):
+            if len(centres) % TRIED == 0 and int((near <= half).sum()) < 4 * len(centres):
                 return at
         for k, c in enumerate(centres):
             self.children[at].append(self._add(points, members[owner == k], int(members[c]), half, leaf, least))
@@ -90,22 +94,32 @@ def dual_traversal(a: CoverTree, x: np.ndarray, b: CoverTree, y: np.ndarray, thr
 
 
 class _Forest:
-    """Union-find over a task's rows; keeps the links that joined two sets."""
+    """The set of each of a task's rows; keeps the links that joined two sets."""
 
     def __init__(self, n: int):
-        self.parent, self.links = list(range(n)), []
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        p, q = self.find(i), self.find(j)
-        if p != q:
-            self.parent[p] = q
-            self.links.append((i, j))
+        self.of, self.links = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Links row ``i`` with each of ``others``."""
+        sets, first = np.unique(self.of[others], return_index=True)
+        for k, j in zip(sets.tolist(), others[first].tolist()):
+            if k != self.of[i]:
+                self.of[self.of == k] = self.of[i]
+                self.links.append((i, j))
+
+
+def leaf_pairs(tree: CoverTree, points: np.ndarray, far: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+    """Pairs of leaves (numbered in order) of a tree over sampled ``points`` that may hold rows within ``threshold``;
+    ``far``: each leaf's largest distance to a row dealt to it."""
+    leaves = [i for i in range(len(tree.centre)) if not tree.children[i]]
+    number = {i: k for k, i in enumerate(leaves)}
+    below: dict[int, list[int]] = {}
+    for i in reversed(range(len(tree.centre))):  # children come after their parent
+        below[i] = [number[i]] if i in number else [k for c in tree.children[i] for k in below[c]]
+        centres = points[[tree.centre[leaves[k]] for k in below[i]]]
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ points[tree.centre[i]])) if i not in number else np.zeros(1)
+        tree.reach[i] = float((gaps + far[below[i]]).max())
+    return {(k, m) for i, j, _ in dual_traversal(tree, points, tree, points, threshold) for k in below[i] for m in below[j]}
 
 
 def tile_links(x: np.ndarray, y: np.ndarray, xw: np.ndarray, yw: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -113,6 +127,7 @@ def tile_links(x: np.ndarray, y: np.ndarray, xw: np.ndarray, yw: np.ndarray, sam
     rows of ``y`` numbered after those of ``x``. ``same``: ``y`` is ``x``, whose counts then come first."""
     xl, yl = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     xu, yu = x / xl[:, None], y / yl[:, None]
+    xs, ys = xu.astype(np.float32), yu.astype(np.float32)
     a = CoverTree(xu)
     b = a if same else CoverTree(yu)
     threshold = float(np.sqrt(2 - 2 * cosine))
@@ -125,23 +140,29 @@ def tile_links(x: np.ndarray, y: np.ndarray, xw: np.ndarray, yw: np.ndarray, sam
             sure = False
         if sure:
             xn[p] += yw[q].sum()
-            yn[q] += xw[p].sum()
+            if not same:
+                yn[q] += xw[p].sum()
             if same and i == j:
                 xn[p] -= xw[p]
-            for k in p.tolist():
-                forest.join(k, int(q[0]) + shift)
-            for k in q.tolist():
-                forest.join(int(p[0]), k + shift)
+            forest.join(int(p[0]), q + shift)
+            forest.join(int(q[0]) + shift, p)
             continue
-        hit = (x[p] @ y[q].T) / (xl[p][:, None] * yl[q][None, :]) >= cosine
-        if same:
-            hit &= p[:, None] != q[None, :]
-        if hit.any():
-            xn[p] += hit @ yw[q]
-            yn[q] += xw[p] @ hit
-            for k, m in zip(*np.nonzero(hit)):
-                if forest.find(int(p[k])) != forest.find(int(q[m]) + shift):
-                    forest.join(int(p[k]), int(q[m]) + shift)
+        slack = (x.shape[1] + 8) * 1.2e-7  # of products of unit vectors in single precision
+        for at in range(0, len(p), BLOCK):
+            rows = p[at : at + BLOCK]
+            close = xs[rows] @ ys[q].T >= cosine - slack
+            rows, cols = rows[close.any(1)], q[close.any(0)]
+            if not len(rows):
+                continue
+            hit = (x[rows] @ y[cols].T) / (xl[rows][:, None] * yl[cols][None, :]) >= cosine
+            if same:
+                hit &= rows[:, None] != cols[None, :]
+            xn[rows] += hit @ yw[cols]
+            if not same:
+                yn[cols] += xw[rows] @ hit
+            for k, r in enumerate(rows.tolist()):
+                if hit[k].any():
+                    forest.join(r, cols[hit[k]] + shift)
     return xn, yn, forest.links
 
 
@@ -159,6 +180,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 3, sam
     equal vec_ids are separate rows and link like any other; a component of null ids has a null id. Other columns
     are ignored.
     """
+    with scratch(vectors.sparkSession):
+        placed = materialize(_placed(vectors, cosine, seed, sample, tile), keep=True)
+    ids = placed.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    out = placed.join(ids, "component")
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _placed(vectors: DataFrame, cosine: float, seed: int, sample: int, tile: int) -> DataFrame:
+    """``vec_id, n_links, component`` (a row number) of every row."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("_row", F.monotonically_increasing_id())
     usable = F.coalesce(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False))
@@ -213,13 +243,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 3, sam
             of[k], first = (first, parts), first + parts
             shares, filled = (of[k], n) if parts == 1 else (None, 0)
         tiles += [(d, k, *of[k]) for k in mine]
-        centres = shared.value.get(d)
-        if centres is None:
-            gap = np.zeros((1, 1))
-        else:
-            far = np.array([reach.get((d, k), (0, 0.0))[1] for k in range(len(centres))])
-            gap = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T))) - far[:, None] - far[None, :]
-        near |= {(*min(of[k], of[m]), *max(of[k], of[m])) for k in mine for m in mine if gap[k, m] <= threshold + _SLACK}
+        near_leaves = {(0, 0)}
+        if d in trees:
+            far = np.array([reach.get((d, k), (0, 0.0))[1] for k in range(len(leaves[d]))])
+            near_leaves = leaf_pairs(trees[d], chosen[d], far, threshold)
+        near |= {(*min(of[k], of[m]), *max(of[k], of[m])) for k, m in near_leaves if k in of and m in of}
     rowed = spark.createDataFrame(tiles or [(0, 0, 0, 1)], "dim int, leaf int, first int, parts int")
     tiled = dealt.join(rowed, ["dim", "leaf"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("parts")).cast("int"))
     pairs = spark.createDataFrame(sorted(near) or [(0, 1, 0, 1)], "fa int, na int, fb int, nb int")
@@ -272,11 +300,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 3, sam
         .join(group, "node", "left")
         .select("v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
-    placed = rows.join(of_class, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_row").alias("component"))
-    placed = materialize(placed)
-    ids = placed.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = placed.join(ids, "component")
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.join(of_class, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_row").alias("component"))
 
 
 def op4_embeddings(spark, sf_dir: str) -> DataFrame:
