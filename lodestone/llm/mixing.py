@@ -120,8 +120,10 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
         "sid int, _block int, _shards array<int>, _part bigint",
     )
     planned = dealt.join(table, ["sid", "_block"], "left")
-    in_part = _part_of_block(planned.where("_part is not null").select("sid", "_row", "size", "_part"), seed)
-    planned = planned.join(in_part, "_row", "left")
+    partly = planned.where("_part is not null")
+    in_part = _part_of_block(partly.select("sid", "_row", "size", "_part"), seed)
+    # Only the rows of blocks that are used in part are exchanged, one block a source.
+    planned = planned.where("_part is null").withColumn("_in", F.lit(0)).unionByName(partly.join(in_part, "_row", "left"))
     whole = F.coalesce(F.size("_shards"), F.lit(0)) - F.col("_part").isNotNull().cast("int")
     copies = F.when(F.col("size") > 0, whole + F.coalesce(F.col("_in"), F.lit(0))).otherwise(0)
     return planned.withColumn("copies", copies.cast("int")).select(

@@ -467,8 +467,8 @@ def test_other_splits_between_jobs_change_nothing(spark, documents, monkeypatch,
     before, count = spark.conf.get("spark.sql.files.maxPartitionBytes"), [0]
     write = storage.materialize
 
-    def moved(df):
-        out = write(df)
+    def moved(df, keep=False):
+        out = write(df, keep)
         count[0] += 1
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(600 + 150 * count[0]))
         return out
