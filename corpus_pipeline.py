@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, mixing, packing, pii, quality
-from lodestone.llm.storage import materialize, numbered
+from lodestone.llm.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shards of the source mix, and the bytes of text in a part of one.
@@ -36,13 +36,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A shard of more than ``PART_BYTES`` is dealt to as many random parts as it needs, each in random order: no task
     grows with the input.
     """
-    keyed = numbered(docs, "_doc")
-    sized = keyed.select("_doc", "source", mixing.word_count(F.col("text")).alias("size"), F.octet_length("text").alias("bytes"))
-    mixed = materialize(mixing.mix_sources(sized, n_shards=SHARDS).select("_doc", "shards", "bytes", "copies"))
-    total = mixed.agg(F.sum(F.col("bytes") * F.col("copies"))).first()[0] or 0
-    parts = 1 + total // (SHARDS * PART_BYTES)
-    places = mixed.select("_doc", F.posexplode("shards").alias("copy", "shard")).withColumn("_order", F.xxhash64("_doc", "copy"))
-    dealt = keyed.join(places, "_doc").withColumn("_part", F.pmod(F.col("_order"), F.lit(parts)))
+    mixed = mixing.mix_sources(docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("size")), n_shards=SHARDS)
+    parts = 1 + int(1.5 * (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)) // (SHARDS * PART_BYTES)
+    copies = mixed.select(*COLUMNS, F.posexplode("shards").alias("copy", "shard")).withColumn("_order", F.xxhash64("doc_id", "text", "copy"))
+    dealt = copies.withColumn("_part", F.pmod(F.col("_order"), F.lit(parts)))
     return dealt.repartition(SHARDS * parts, "shard", "_part").sortWithinPartitions("shard", "_part", "_order").select(*COLUMNS)
 
 
