@@ -196,8 +196,9 @@ def url_host_name(url: Column) -> Column:
 
 
 def is_safe_url(url: Column) -> Column:
-    """http or https, and no local or private host."""
-    host = url_host_name(url)
+    """http or https, and no local or private host; an IPv6 host stands in brackets."""
+    inner = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?\[([^\]]*)\]", 1))
+    host = F.when(inner != "", inner).otherwise(url_host_name(url))
     private = host.isin("localhost", "127.0.0.1", "::1") | host.startswith("10.") | host.startswith("172.16.") | host.startswith("192.168.")
     return url.rlike("(?i)^https?://") & ~private
 

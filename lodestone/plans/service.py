@@ -84,6 +84,19 @@ def _excerpt(s, d):
     return docs.select("doc_id", F.md5(A.excerpt(F.col("text"), F.lit("tion ible 2024-01-15"))).alias("digest"))
 
 
+#: Bounds that fit the values of the events, which stand for latencies.
+_BOUNDS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0)
+
+
+def _alert(low, high, minutes, least):
+    def run(s, d):
+        status = F.when(F.col("status") == 500, 500).when(F.col("request_id") % 7 == 0, 429).when(F.col("request_id") % 5 == 0, 404).otherwise(200)
+        hit = O.status_alerts(T.request_log(s, d).withColumn("status", status), low, high, f"{minutes} minutes", "1 minute", least, by=("path",))
+        return hit.select("path", F.unix_seconds("start").alias("start"), "total", "errors")
+
+    return run
+
+
 QUERIES = {
     "working_memory_last10": lambda s, d: M.last_messages(T.messages(s, d)),
     "working_history": lambda s, d: M.oldest_messages(T.messages(s, d), 5),
@@ -116,8 +129,10 @@ QUERIES = {
     "honesty_guard": _honesty,
     "error_rates": lambda s, d: O.error_rates(T.request_log(s, d)),
     "latency_percentiles": lambda s, d: O.latency_percentiles(T.request_log(s, d)),
-    "histogram_quantile": lambda s, d: O.histogram_quantile(T.request_log(s, d), 0.95),
+    "histogram_quantile": lambda s, d: O.histogram_quantile(T.request_log(s, d), 0.95, _BOUNDS),
     "alert_5xx": lambda s, d: O.windowed_error_ratio(T.request_log(s, d), "5 minutes", "1 minute").select(F.unix_seconds("start").alias("start"), "total", "errors"),
+    "alert_4xx": _alert(400, 500, 10, 0.25),
+    "alert_429": _alert(429, 430, 5, 0.1),
     "active_buckets": lambda s, d: O.active_buckets(T.request_log(s, d)),
     "ratelimit_tier": lambda s, d: s.createDataFrame([(p,) for p in (*O.TIERS, "/qa/history", "/docs/x", "/health", "/monitoring/errors", "/other", "/searching")], "path string").select("path", O.tier(F.col("path")).alias("t")).select("path", "t.*"),
 }
@@ -128,8 +143,9 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}
 _HITS = "hits AS (SELECT document_id AS query_id, document_id, chunk_id, content, (chunk_index + 1)::INT AS rank FROM lines)"
 _CITE = """cited AS (SELECT item_id, text, CASE WHEN item_id % 3 < 2 THEN chr(10) || '---' || chr(10) || '**Sources:**' || chr(10) || '1. `' || item_id || '` (document `' || item_id * 2 || '`)' || chr(10) || '   > ' || substr(text, 1, 200) ELSE '' END || CASE WHEN item_id % 3 = 0 THEN chr(10) || '2. `x` (document `y`)' ELSE '' END AS block FROM benchmark)"""
 _SUMMARY = lambda where: f"SELECT session_id, count(*) AS message_count, CASE WHEN count(*) FILTER (role = 'user') = 0 THEN 'Conversation with no recorded queries' ELSE 'Conversation about: ' || {_short('arg_min(content, turn) FILTER (role = ' + chr(39) + 'user' + chr(39) + ')', 120)} END AS summary FROM messages {where} GROUP BY session_id"
-_LE = "CASE " + " ".join(f"WHEN latency <= {b} THEN {b}" for b in O.BUCKETS) + " ELSE 'inf'::DOUBLE END"
-_LOWER = "CASE le " + " ".join(f"WHEN {b} THEN {a}" for a, b in zip(O.BUCKETS, O.BUCKETS[1:])) + f" WHEN 'inf'::DOUBLE THEN {O.BUCKETS[-1]} ELSE 0.0 END"
+_LE = "CASE " + " ".join(f"WHEN latency <= {b} THEN {b}" for b in _BOUNDS) + " ELSE 'inf'::DOUBLE END"
+_LOWER = "CASE le " + " ".join(f"WHEN {b} THEN {a}" for a, b in zip(_BOUNDS, _BOUNDS[1:])) + f" WHEN 'inf'::DOUBLE THEN {_BOUNDS[-1]} ELSE 0.0 END"
+_ALERT = lambda low, high, minutes, least: with_sql(f"SELECT path, start, count(*) AS total, count(*) FILTER (status >= {low} AND status < {high}) AS errors FROM (SELECT path, status, unnest(range(epoch(ts)::BIGINT // 60 * 60 - {60 * minutes - 60}, epoch(ts)::BIGINT // 60 * 60 + 60, 60)) AS start FROM (SELECT path, CASE WHEN status = 500 THEN 500 WHEN request_id % 7 = 0 THEN 429 WHEN request_id % 5 = 0 THEN 404 ELSE 200 END AS status, date_trunc('second', ts) AS ts FROM log)) GROUP BY ALL HAVING count(*) FILTER (status >= {low} AND status < {high}) > {least} * count(*)", "log")
 _TIER_ROWS = [(p, False, *t) for p, t in O.TIERS.items()] + [("/qa/history", False, 10, 60, 3), ("/docs/x", True, 0, 0, 0), ("/health", True, 0, 0, 0), ("/monitoring/errors", False, 120, 60, 20), ("/other", False, 60, 60, 0), ("/searching", False, 60, 60, 15)]
 
 ORACLES = {
@@ -166,8 +182,10 @@ SELECT query_id, round(sum(CASE WHEN l > 20 AND len(w) > 0 AND len(list_intersec
     "honesty_guard": "SELECT event_id, (event_id % 50 = 0) OR (event_id % 2 = 0 AND event_id % 4 <> 0 AND (event_id % 101) / 100.0 - 0.05 >= 0 AND (event_id % 101) / 100.0 - 0.05 < 0.1) OR (event_id % 2 = 1 AND (event_id % 101) / 100.0 - 0.05 < 0.35) OR event_id % 6 IN (0, 2, 3, 4) AS refused FROM events",
     "error_rates": with_sql("SELECT path AS endpoint, count(*) AS total_requests, count(*) FILTER (status BETWEEN 400 AND 499) AS client_errors_4xx, count(*) FILTER (status BETWEEN 500 AND 599) AS server_errors_5xx, round(count(*) FILTER (status BETWEEN 400 AND 599) / count(*) * 100::DOUBLE, 2) AS error_rate_percent FROM log GROUP BY ROLLUP (path)", "log"),
     "latency_percentiles": with_sql("SELECT path, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99, min(latency) AS min, max(latency) AS max, round(avg(latency), 4) AS mean FROM log GROUP BY path", "log"),
-    "histogram_quantile": with_sql("", "log").rstrip() + f", b AS (SELECT path, {_LE} AS le, count(*) AS n FROM log GROUP BY ALL), c AS (SELECT path, le, n, sum(n) OVER (PARTITION BY path ORDER BY le) AS cum, sum(n) OVER (PARTITION BY path) * 0.95::DOUBLE AS rank FROM b), e AS (SELECT *, cum - n AS below, {_LOWER}::DOUBLE AS lower FROM c) SELECT path, round(CASE WHEN le = 'inf'::DOUBLE THEN {O.BUCKETS[-1]} ELSE lower + (le - lower) * (rank - below) / n END, 6) AS value FROM e WHERE cum >= rank AND below < rank",
+    "histogram_quantile": with_sql("", "log").rstrip() + f", b AS (SELECT path, {_LE} AS le, count(*) AS n FROM log GROUP BY ALL), c AS (SELECT path, le, n, sum(n) OVER (PARTITION BY path ORDER BY le) AS cum, sum(n) OVER (PARTITION BY path) * 0.95::DOUBLE AS rank FROM b), e AS (SELECT *, cum - n AS below, {_LOWER}::DOUBLE AS lower FROM c) SELECT path, round(CASE WHEN le = 'inf'::DOUBLE THEN {_BOUNDS[-1]} ELSE lower + (le - lower) * (rank - below) / n END, 6) AS value FROM e WHERE cum >= rank AND below < rank",
     "alert_5xx": with_sql("SELECT start, count(*) AS total, count(*) FILTER (status >= 500) AS errors FROM (SELECT status, unnest(range(epoch(ts)::BIGINT // 60 * 60 - 240, epoch(ts)::BIGINT // 60 * 60 + 60, 60)) AS start FROM (SELECT status, date_trunc('second', ts) AS ts FROM log)) GROUP BY start HAVING count(*) FILTER (status >= 500) > 0.05 * count(*)", "log"),
+    "alert_4xx": _ALERT(400, 500, 10, 0.25),
+    "alert_429": _ALERT(429, 430, 5, 0.1),
     "active_buckets": with_sql("SELECT count(DISTINCT ip || ' ' || path) AS active FROM log", "log"),
     "ratelimit_tier": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(k).lower()}, {a}, {b}, {c})" for p, k, a, b, c in _TIER_ROWS) + ') AS t(path, skipped, "limit", "window", burst)',
 }

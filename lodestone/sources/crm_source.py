@@ -34,7 +34,9 @@ def generated(entity: str, seed: int = 42) -> Iterator[tuple]:
 
 
 class CrmDataSource(DataSource):
-    """``spark.read.format("crm").option("entity", "deals")``; with ``url`` a REST service, else generated rows."""
+    """``spark.read.format("crm").option("entity", "deals")``; with ``url`` a REST service, else generated rows.
+
+    The REST reader pushes filters, so the session needs ``spark.sql.python.filterPushdown.enabled``."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,11 +58,15 @@ class GeneratedReader(DataSourceReader):
 
 
 class RestReader(DataSourceReader):
-    """One partition a page range; ``stage`` equality and ``value`` minimum become query parameters."""
+    """Pages of ``page_size`` rows; ``stage`` and ``contact_id`` equality and ``value`` minimum become query parameters.
+
+    With ``total``, the service's number of rows, each page of it is a partition of its own; the last one, or the
+    only one without ``total``, goes on until a page comes empty, so no row is lost if the number is too small.
+    """
 
     def __init__(self, options):
         self.url, self.entity = options["url"].rstrip("/"), options.get("entity", "contacts")
-        self.total, self.size = int(options.get("total", "1000")), int(options.get("page_size", "200"))
+        self.total, self.size = int(options.get("total", "0")), int(options.get("page_size", "200"))
         self.params: dict[str, object] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -73,11 +79,18 @@ class RestReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(o) for o in range(0, self.total, self.size)]
+        starts = range(0, max(self.total, 1), self.size)
+        return [InputPartition((o, o == starts[-1])) for o in starts]
 
     def read(self, partition) -> Iterator[tuple]:
         names = [c.split()[0] for c in SCHEMAS[self.entity].split(", ")]
-        query = urlencode({**self.params, "offset": partition.value, "limit": self.size})
-        with urlopen(f"{self.url}/{self.entity}?{query}", timeout=30) as r:  # noqa: S310
-            for row in json.load(r):
+        offset, last = partition.value
+        while True:
+            query = urlencode({**self.params, "offset": offset, "limit": self.size})
+            with urlopen(f"{self.url}/{self.entity}?{query}", timeout=30) as r:  # noqa: S310
+                rows = json.load(r)
+            for row in rows:
                 yield tuple(row.get(n) for n in names)
+            if not last or not rows:
+                return
+            offset += len(rows)

@@ -51,8 +51,10 @@ def rate_limit(log: DataFrame, limit: int = 10, window: float = 60.0, burst: int
     return rows.mapInPandas(run, _OUT)
 
 
-def rate_limit_stream(log: DataFrame, limit: int = 10, window: float = 60.0, burst: int = 3) -> DataFrame:
-    """The same over a stream; state is the admitted times of each key and goes after twice the window without requests."""
+def rate_limit_stream(log: DataFrame, limit: int = 10, window: float = 60.0, burst: int = 3, late: str = "1 minute") -> DataFrame:
+    """The same over a stream; state is the admitted times of each key and goes when the watermark, ``late`` behind
+    the newest request, is a window past the last of them. Time is that of the requests, so a replay decides alike
+    at any speed; requests that come later than ``late`` are dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -62,10 +64,12 @@ def rate_limit_stream(log: DataFrame, limit: int = 10, window: float = 60.0, bur
         kept = list(state.get[0]) if state.exists else []
         allowed, wait, kept = admit(rows["at"].tolist(), kept, limit + burst, window)
         state.update((kept,))
-        state.setTimeoutDuration(int(2 * window * 1000))
+        state.setTimeoutTimestamp(max(int((rows["at"].iloc[-1] + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows[["ip", "path", "request_id", "at"]].assign(allowed=allowed, retry_after=wait)
 
-    return log.groupBy("ip", "path").applyInPandasWithState(run, _OUT, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # The time that counts is when a request leaves the window, so that even one at the epoch is after the first watermark.
+    timed = log.withColumn("_leaves", F.timestamp_micros(((F.col("at") + window) * 1e6).cast("long"))).withWatermark("_leaves", late)
+    return timed.groupBy("ip", "path").applyInPandasWithState(run, _OUT, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "5 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:

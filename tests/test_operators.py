@@ -256,3 +256,53 @@ def test_rate_limit_query_keeps_the_clients(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted((x.request_id, x.ip, x.allowed) for x in QUERIES["rate_limit"](spark, str(tmp_path)).collect())
     assert got == [(i, "2" if i >= 5 else "1", i not in (3, 4)) for i in range(8)]
+
+
+def test_an_ipv6_loopback_is_no_safe_url(spark):
+    urls = ["http://[::1]/", "https://[::1]:8443/x", "http://u@[::1]/", "http://[2001:db8::1]/", "https://example.org/", "http://localhost:80/", "ftp://example.org/"]
+    assert values(spark, urls, X.is_safe_url) == [False, False, False, True, True, False, False]
+
+
+@pytest.mark.parametrize("total", [None, "3", "250"])
+def test_rest_source_reads_every_page(spark, total):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    deals = [{"external_id": f"d{i}", "value": float(i), "stage": "lead" if i % 3 else "won"} for i in range(1105)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            rows = [d for d in deals if q.get("stage", d["stage"]) == d["stage"] and d["value"] >= float(q.get("min_value", 0))]
+            body = json.dumps(rows[int(q["offset"]) : int(q["offset"]) + min(int(q["limit"]), 100)]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(CrmDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("crm").option("entity", "deals").option("url", f"http://127.0.0.1:{server.server_port}").option("page_size", "100")
+    if total:
+        reader = reader.option("total", total)
+    got = reader.load()
+    assert sorted(x.external_id for x in got.collect()) == sorted(d["external_id"] for d in deals)
+    assert got.where("stage = 'lead' and value >= 1000").count() == sum(d["stage"] == "lead" and d["value"] >= 1000 for d in deals)
+    server.shutdown()
+
+
+def test_alerts_hold_for_windows_in_a_row(spark):
+    from lodestone.operators import monitoring as O
+
+    log = spark.createDataFrame([("a", 60 * m + s, 429 if m in (3, 4, 5, 9) else 200) for m in range(12) for s in (0, 30)], "service string, at long, status int")
+    log = log.withColumn("ts", F.timestamp_seconds("at"))
+    one = O.status_alerts(log, 429, 430, "1 minute", "1 minute", 0.5, ("service",))
+    three = O.status_alerts(log, 429, 430, "1 minute", "1 minute", 0.5, ("service",), hold=3)
+    minutes = lambda df: sorted(x.m for x in df.select((F.unix_seconds("start") / 60).cast("int").alias("m")).collect())
+    assert minutes(one) == [3, 4, 5, 9] and minutes(three) == [5]
