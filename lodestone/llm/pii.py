@@ -13,16 +13,20 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
-KEY = b"lodestone-surrogates"
+#: Setting of the session that holds the secret from which surrogates are drawn.
+KEY_SETTING = "spark.lodestone.surrogate.key"
 MAX_DRAWS = 64
+_random: dict[str, bytes] = {}
 
 #: (type, pattern), in order of precedence where matches overlap. A group named x is what is replaced, else the match.
 PATTERNS = (
@@ -79,10 +83,20 @@ def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
             surface = text[s:e]
             if kind == "card" and not _luhn(surface) or kind == "iban" and not _iban(surface):
                 continue
-            if any(s < b and a < e for a, b, _, _ in found):
-                continue
-            found.append((s, e, kind, _normal(kind, surface, text[max(0, s - 12) : s])))
-    return sorted(found)
+            _add(found, (s, e, kind, _normal(kind, surface, text[max(0, s - 12) : s])))
+    # Whoever a title has shown to be a person is one without it too.
+    full = sorted({n for _, _, kind, normal in found if kind == "name" and " " in (n := normal.split(":", 1)[1])}, key=len, reverse=True)
+    if full:
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, n.split())) for n in full) + r")(?!\w)", text):
+            _add(found, (*m.span(), "name", _normal("name", m.group(), "")))
+    return found
+
+
+def _add(found: list[tuple[int, int, str, str]], entity: tuple[int, int, str, str]) -> None:
+    """Puts ``entity`` in its place among the others, in text order, unless it overlaps one of them."""
+    at = bisect(found, entity)
+    if (at == 0 or found[at - 1][1] <= entity[0]) and (at == len(found) or entity[1] <= found[at][0]):
+        found.insert(at, entity)
 
 
 def _normal(kind: str, surface: str, before: str) -> str:
@@ -122,7 +136,13 @@ class _Stream:
         return int.from_bytes(x, "big") % n
 
 
-def surrogate(kind: str, normal: str, draw: int = 0, key: bytes = KEY) -> str:
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret (``KEY_SETTING``); where it has none, a random one for as long as the application runs."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _random.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def surrogate(kind: str, normal: str, draw: int, key: bytes) -> str:
     """The normalized form of the replacement of an entity."""
     s = _Stream(key, kind, normal, draw)
     if kind == "name":
@@ -214,7 +234,7 @@ def _entity(normal: str) -> Column:
     return F.when(F.col("kind") == "name", F.substring_index(normal, ":", -1)).otherwise(F.col(normal))
 
 
-def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: bytes | None = None) -> DataFrame:
     """``kind, normal`` (distinct) -> also ``surrogate``, distinct within a kind and none of them a real entity.
 
     A name is one entity whatever its titles: it has the gender that all titles with one agree on, else none. Names
@@ -222,6 +242,7 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     the first draw, then the smallest entity, stays, and the rest, and whatever equals an entity that occurs, draw
     again. Rounds after the first see only those.
     """
+    key = key or session_key(entities.sparkSession)
     named = entities.select("kind", "normal", _entity("normal").alias("entity"))
     gender = F.when(F.col("kind") == "name", F.nullif(F.substring_index("normal", ":", 1), F.lit("n")))
     titles = named.groupBy("kind", "entity").agg(F.min(gender).alias("low"), F.max(gender).alias("high"))
@@ -258,9 +279,12 @@ def _rewrite(keep: list[str]):
     return run
 
 
-def replace_personal_data(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` (text and any other columns) with every entity in ``text`` replaced, and ``n_entities`` (int).
 
+    Surrogates are drawn from ``key``; without one from the session's (``session_key``). A full name that a title has
+    shown to be a person's is replaced wherever it stands in that text.
+
     Null and empty texts and texts without entities come back unchanged with 0. Repeated rows are all rewritten,
     alike. Other columns are kept; ``n_entities`` and underscored working columns of that name are replaced.
     ``docs`` must give the same rows on every read, as files do.

@@ -445,6 +445,28 @@ def test_a_name_is_one_person_under_all_titles(documents):
     assert by[1] == by[2] != by[3] == by[4] == by[5] and by[1].split()[0] in pii.NAMES["latin", "f"]
 
 
+def test_a_person_without_a_title_is_known_again(documents, spark):
+    text = "Dr. Maria Lopez wrote. Ms. Maria  Lopez agreed; Maria Lopez left. Maria Lopezka and Anna Maria stayed."
+    got = [pii.replace_personal_data(documents([(1, text)]), k).first().text for k in (b"one", b"one", b"two")]
+    assert got[0] == got[1] != got[2]
+    assert not re.search(r"Maria\s+Lopez(?!ka)", got[0]) and "Maria Lopezka and Anna Maria stayed." in got[0]
+    name = got[0].split(" wrote")[0].removeprefix("Dr. ")
+    assert got[0].count(name) + got[0].count(name.replace(" ", "  ")) >= 2 and name.split()[0] in pii.NAMES["latin", "f"]
+
+
+def test_many_entities_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"u{i}@example.org" for i in range(n))
+        began = time.process_time()
+        found = pii.find_entities(text)
+        took.append(time.process_time() - began)
+        assert [text[a:b] for a, b, _, _ in found] == text.split()
+    assert took[1] < 24 * took[0]
+
+
 # Row numbers
 
 
