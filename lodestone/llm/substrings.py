@@ -9,7 +9,7 @@ The shape is that of difference-cover suffix sorting, bounded to the ``WIDTH`` b
 2. *Sort sampled triples.* A sample's triple is (bytes before, core, bytes after), up to the reach of any string
    that covers it, each part named by a hash. Samples are sorted by core and then by the rest. A core that
    occurs once can't be part of a repeat and is discarded.
-3. *Recurse on names.* Samples with equal names for the whole triple repeat with all the strings around them:
+3. *Settle by names.* No recursion is needed, as only ``WIDTH`` bytes count. Samples with equal names for the whole triple repeat with all the strings around them:
    all but the first are settled without looking at bytes. Only the first of each name goes on, and only where
    one core has several names.
 4. *Merge remaining suffixes.* For these the strings at the offsets between samples are named from their bytes and

@@ -573,3 +573,18 @@ def test_pipeline(spark):
         docs = out
     pieces = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
     assert len({x.doc_id for x in pieces}) == docs.select("doc_id").distinct().count()
+
+
+def test_source_mix_in_many_parts(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    rows = [(i, prose(r, r.randrange(1, 40)), "abc"[i % 3]) for i in range(200)] + [(300, None, None), (301, "", "a"), (None, "same", "b"), (None, "same", "b")]
+    docs = documents(rows).select("doc_id", "text", "source", F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    whole = Counter(map(tuple, corpus_pipeline.source_mix(spark, docs, "").collect()))
+    monkeypatch.setattr(corpus_pipeline, "PART_BYTES", 400)
+    parts = corpus_pipeline.source_mix(spark, docs, "")
+    assert parts.rdd.getNumPartitions() > corpus_pipeline.SHARDS
+    assert Counter(map(tuple, parts.collect())) == whole and tuple(parts.columns) == corpus_pipeline.COLUMNS
+    assert max(whole.values()) <= 4 and {x[0] for x in whole} <= {x[0] for x in rows}
+    assert corpus_pipeline.source_mix(spark, docs.limit(0), "").count() == 0
