@@ -19,7 +19,7 @@ def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     """``queries`` (query_id, query, embedding) -> ``query_id, query_type, n_chunks, support, refused, response``.
 
     Greetings and off-topic questions skip retrieval. The others are routed to semantic, keyword or hybrid search,
-    re-ranked, answered by the offline model, checked and, if the check fails, answered once more; then formatted.
+    re-ranked, answered by the offline model and checked; then formatted.
     """
     routed = queries.withColumn("query_type", X.query_class(F.col("query")))
     asked = routed.where(~F.col("query_type").isin("greeting", "irrelevant"))
