@@ -1,11 +1,12 @@
-"""Packing of tokenized documents into sequences by greedy configurations.
+"""Packing of tokenized documents into sequences by a configuration linear program.
 
 Only longer documents are cut. What has to be packed is then a histogram of piece lengths, at most ``capacity``
-entries however large the corpus. A configuration is a multiset of lengths that fits one sequence. Each round prices
-the lengths, mostly by size and a premium for long ones and a little by how much of each is left, takes the best
-configuration, a knapsack solved by dynamic programming, and packs it as often as whole pieces allow. No linear
-program over configurations is solved and no gap to its optimum is known. What is left after the last round goes by
-best fit: with all lengths there and many pieces of each, that can be a good part of them.
+entries however large the corpus. A configuration is a multiset of lengths that fits one sequence. The program asks
+for the fewest sequences, counted by configuration and in fractions, that hold all pieces. It is solved by
+multiplicative weights: every length carries a price, a knapsack solved by dynamic programming finds the dearest
+configurations, and each use of one lowers the prices of its lengths by a factor. The sums of what was used are the
+fractional solution; the prices, scaled so that no configuration costs more than one, bound the optimum from below.
+The fractions are then rounded to whole sequences of whole configurations and the pieces left over go by best fit.
 
 The driver sees the histogram and returns configurations with repetitions; pieces find their place by their rank
 within their length.
@@ -26,82 +27,104 @@ from .storage import materialize
 CAPACITY, END = 1024, 2
 
 
-def best_configuration(prices: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
-    """The dearest multiset of lengths that fits ``len(prices) - 1`` with at most ``left`` pieces of each length:
-    a bounded knapsack by dynamic programming over the capacity. Returns (length, copies).
-
-    The program is the unbounded one over the lengths still there; an answer that asks for more pieces of a
-    length than are left is cut and the room filled again with that length priced at nothing.
+#: Of each part of the rounds: its share, the factor exp(-step) of a price whose length was used once over, and how
+#: far below the dearest configuration another may be to be used in the same round.
+SCHEDULE = ((0.2, 0.15, 0.03), (0.3, 0.05, 0.02), (0.5, 0.02, 0.01))
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every fill up to ``capacity``: the dearest multiset of ``lengths`` (ascending) in it, the number + 1 of the
+    length taken last where one ends just there, and the largest such fill up to it."""
+    fills = np.arange(capacity + 1)
+    value, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    upto = np.searchsorted(lengths, fills, "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        gain = value[c - lengths[: upto[c]]] + prices[: upto[c]]
+        k = int(gain.argmax())
+        if gain[k] > value[c - 1]:
+            value[c], taken[c] = gain[k], k + 1
+        else:
+            value[c] = value[c - 1]
+    return value, taken, np.maximum.accumulate(np.where(taken > 0, fills, 0))
+
+
+def dearest_with_each(lengths: np.ndarray, taken: np.ndarray, ends: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each length (rows) in the dearest configuration that holds at least one piece of a length (columns)."""
+    copies = np.eye(len(lengths))
+    column, fill = np.arange(len(lengths)), ends[capacity - lengths]
+    while True:
+        column, fill = column[fill > 0], fill[fill > 0]
+        if not len(column):
+            return copies
+        k = taken[fill] - 1
+        copies[k, column] += 1
+        fill = ends[fill - lengths[k]]
+
+
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """The configuration program of ``counts`` pieces of ``lengths`` (ascending, all counts above 0), solved by
+    ``rounds`` of pricing: ({((length, copies), ...): sequences}, lower bound of the optimum).
+
+    The sequences hold the volume of all pieces; of a single length they may hold a few percent more or less. Each
+    part of the schedule starts from the mean of the last one's prices; the last part's uses are the solution.
     """
-    capacity = len(prices) - 1
-    config: dict[int, int] = {}
-    free, room = left.copy(), capacity
-    while room > 0:
-        lengths = np.flatnonzero(free[: room + 1] > 0)
-        lengths = lengths[lengths > 0]
-        if not len(lengths):
-            break
-        value = np.zeros(room + 1)
-        taken = np.zeros(room + 1, np.int64)
-        price = prices[lengths]
-        for c in range(int(lengths[0]), room + 1):
-            n = int(np.searchsorted(lengths, c, "right"))
-            gain = value[c - lengths[:n]] + price[:n]
-            k = int(np.argmax(gain))
-            if gain[k] > value[c - 1] + 1e-15:
-                value[c], taken[c] = gain[k], lengths[k]
-            else:
-                value[c] = value[c - 1]
-        c, wanted = room, {}
-        while c > 0:
-            if taken[c]:
-                wanted[int(taken[c])] = wanted.get(int(taken[c]), 0) + 1
-                c -= int(taken[c])
-            else:
-                c -= 1
-        if not wanted:
-            break
-        cut = False
-        for length, k in wanted.items():
-            k2 = min(k, int(free[length]))
-            cut |= k2 < k
-            config[length] = config.get(length, 0) + k2
-            free[length] -= k2
-            room -= k2 * length
-        if not cut:
-            break
-    return sorted(config.items(), reverse=True)
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 800, step: float = 0.05) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(repetitions, [(length, copies)]) that pack the histogram exactly.
-
-    Prices start at each length's share of a sequence, the optimum if every sequence can be filled, with a
-    premium for long pieces, which are hard to place late. Each round packs the best configuration as often as
-    whole pieces allow and updates the prices by what is left over.
+    n = counts.astype(float)
+    # No two pieces over half a sequence share one: their number is a bound too.
+    prices = lengths / capacity
+    bound, used = float(n[lengths > capacity / 2].sum()), {}
+    for share, step, near in SCHEDULE:
+        used, mean, turns = {}, np.zeros(len(n)), max(1, round(rounds * share))
+        for _ in range(turns):
+            value, taken, ends = knapsack(lengths, prices, capacity)
+            prices = prices / value[capacity]
+            bound = max(bound, float(n @ prices))
+            mean += prices / turns
+            copies = dearest_with_each(lengths, taken, ends, capacity)
+            worth = prices @ copies
+            # Prices only fall, so what is near the dearest of the round's start is as near to the dearest now.
+            while worth[best := int(worth.argmax())] >= 1 - near:
+                at = np.flatnonzero(copies[:, best])
+                k = copies[at, best]
+                times = float((n[at] / k).min())
+                config = tuple(zip(lengths[at].tolist(), k.astype(int).tolist()))
+                used[config] = used.get(config, 0.0) + times
+                change = prices[at] * np.expm1(-step * k * times / n[at])
+                prices[at] += change
+                worth += change @ copies[at]
+        prices = mean / knapsack(lengths, mean, capacity)[0][capacity]
+        bound = max(bound, float(n @ prices))
+    volume = sum(times * sum(x * k for x, k in config) for config, times in used.items())
+    scale = float(lengths @ n) / volume
+    return {config: times * scale for config, times in used.items()}, bound
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 240) -> tuple[list[tuple[int, list[tuple[int, int]]]], float]:
+    """[(repetitions, [(length, copies)])] that pack the histogram exactly, and the program's lower bound of their sum.
+
+    Rounding goes through the configurations from the most used one, carries the fractions along and takes whole
+    repetitions while whole pieces are there for them.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    start = np.maximum(left, 1).astype(float)
-    size = np.arange(capacity + 1) / capacity
-    out: list[tuple[int, list[tuple[int, int]]]] = []
-    for length in np.flatnonzero(left[capacity:]) + capacity:
-        out.append((int(left[length]), [(int(length), 1)]))
-        left[length] = 0
-    for _ in range(rounds):
-        if left.sum() <= 1:
-            break
-        # A length of which more than the average share is left gets dearer.
-        rest = left / start
-        mean = float((left * size).sum() / max((start * size).sum(), 1e-9))
-        weight = np.exp(step * np.clip(rest - mean, -1, 1)) * (1 + size)
-        config = best_configuration(size * weight, left)
-        times = min(int(left[length]) // k for length, k in config)
-        for length, k in config:
-            left[length] -= times * k
-        out.append((times, config))
-    return out + _best_fit(left, capacity)
+    full = int(left[capacity])
+    out: list[tuple[int, list[tuple[int, int]]]] = [(full, [(capacity, 1)])] if full else []
+    left[capacity] = 0
+    lengths = np.flatnonzero(left)
+    if not len(lengths):
+        return out, float(full)
+    solution, bound = configuration_program(lengths, left[lengths], capacity, rounds)
+    carried = 0.0
+    for config, times in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+        carried += times
+        whole = int(carried)
+        carried -= whole
+        whole = min(whole, *(int(left[x]) // k for x, k in config))
+        if whole:
+            for x, k in config:
+                left[x] -= whole * k
+            out.append((whole, list(reversed(config))))
+    return out + _best_fit(left, capacity), bound + full
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -213,12 +236,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = place_table(configurations(histogram, capacity))
+    packed, _ = configurations(histogram, capacity)
+    table = place_table(packed)
 
     within = Window.partitionBy("length", "_cell").orderBy("_row", "piece")
     ranked = celled.withColumn("_in", F.row_number().over(within) - 1).join(counts.drop("n"), ["length", "_cell"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in"))
-    # At most a few entries a configuration and ``rounds`` configurations: bounded whatever the input.
+    # A few entries a configuration; rounds and lengths bound the configurations, whatever the input.
     slots: dict[int, list[tuple[int, int, int]]] = {}
     for length, low, _, sequence, offset in table:
         slots.setdefault(length, []).append((low, sequence, offset))

@@ -343,7 +343,7 @@ def test_packing_is_exact_and_tight(documents):
 def test_configurations_hold_every_piece():
     r = random.Random(1)
     for sizes in ([600] * 10, [1024] * 3, [1], [341] * 9 + [342] * 3, [r.randrange(1, 1025) for _ in range(300)]):
-        packed = packing.configurations(Counter(sizes))
+        packed, bound = packing.configurations(Counter(sizes))
         held = Counter()
         for times, config in packed:
             assert sum(x * k for x, k in config) <= 1024
@@ -351,6 +351,25 @@ def test_configurations_hold_every_piece():
                 held[x] += times * k
         assert held == Counter(sizes)
         assert sum(t for t, _ in packed) <= sum(t for t, _ in packing._best_fit(np.bincount(sizes, minlength=1025), 1024)) + 1
+        assert bound <= sum(t for t, _ in packed) + 1e-6
+
+
+def test_configurations_near_the_bound_of_the_program():
+    r = random.Random(2)
+    sparse = {513: 500, 257: 700, 255: 900, 171: 800}
+    thirds = {342: 1000, 341: 800, 700: 300, 300: 900, 600: 400, 425: 777}
+    natural = Counter(min(1023, max(1, int(r.lognormvariate(5.5, 1)))) for _ in range(5000))
+    wide = {x: r.randrange(1000, 10_000) for x in range(1, 1025)}
+    for histogram in (sparse, thirds, natural, wide):
+        packed, bound = packing.configurations(histogram)
+        total = sum(t for t, _ in packed)
+        assert sum(x * n for x, n in histogram.items()) / 1024 - 1e-6 <= bound <= total <= 1.01 * bound + 2
+        rest = {x: n for x, n in histogram.items() if x < 1024}
+        lengths = np.array(sorted(rest))
+        solution, low = packing.configuration_program(lengths, np.array([rest[x] for x in sorted(rest)]), 1024, 240)
+        assert all(sum(x * k for x, k in config) <= 1024 for config in solution)
+        assert sum(solution.values()) <= 1.01 * low
+        assert sum(x * k * t for config, t in solution.items() for x, k in config) == pytest.approx(sum(x * n for x, n in rest.items()))
 
 
 # Toxicity
