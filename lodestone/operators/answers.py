@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 MIN_SENTENCE, MIN_OVERLAP, MIN_SUPPORT = 20, 0.4, 0.3
+MAX_RETRIES = 2
+# What a failed check tells the model, and the note on an answer that is let through.
+MISSING = "MISSING CITATIONS: Your answer does not cite any sources. Please include at least one citation linking back to the chunk IDs provided in the context."
+INVALID = ("INVALID CITATIONS: The following chunk IDs do not exist in the retrieved context: ", ". Please cite only chunk IDs from the provided context.")
+UNSUPPORTED = ("UNSUPPORTED CLAIMS: Only ", "% of your claims overlap with the retrieved chunks. Make sure every factual statement in your answer is grounded in the provided context.")
+FORCED = "(Max retries reached — proceeding with current answer.)"
 GREETING = "Hello! I'm your knowledge assistant. Ask me a question about your documents."
 IRRELEVANT = "I'm sorry, but your query doesn't appear to be something I can help with. I'm designed to answer questions based on your document knowledge base. Please try asking a question about your documents."
 
@@ -57,6 +63,22 @@ def claim_support(answer: Column, context: Column) -> Column:
     return F.when((F.size(known) == 0) | (F.size(sentences) == 0), 0.0).otherwise(F.try_divide(n.cast("double"), F.size(sentences)))
 
 
+def review(citations: Column, known: Column, support: Column, retries: Column) -> Column:
+    """The critic's verdict on an answer, ``{passed, feedback, retries}``: it must cite, cite only the ids in ``known``,
+    and have a ``support`` of 30 %. After ``MAX_RETRIES`` failures it passes anyhow. Nulls count as nothing cited, known
+    or supported."""
+    cited = F.coalesce(F.transform(citations, lambda c: F.coalesce(c["chunk_id"].cast("string"), F.lit(""))), F.array().cast("array<string>"))
+    ids = F.coalesce(F.transform(known, lambda i: i.cast("string")), F.array().cast("array<string>"))
+    strange = F.filter(cited, lambda i: (i != "") & ~F.array_contains(ids, i))
+    share = F.coalesce(support, F.lit(0.0))
+    sources = F.when(F.size(cited) == 0, MISSING).when(F.size(strange) > 0, F.concat(F.lit(INVALID[0]), F.array_join(strange, ", "), F.lit(INVALID[1])))
+    claims = F.when(share < MIN_SUPPORT, F.concat(F.lit(UNSUPPORTED[0]), F.bround(share * 100, 0).cast("int").cast("string"), F.lit(UNSUPPORTED[1])))
+    forced = retries >= MAX_RETRIES
+    passed = forced | (sources.isNull() & claims.isNull())
+    feedback = F.array_join(F.array_compact(F.array(sources, claims, F.when(forced, FORCED))), "\n")
+    return F.struct(passed.alias("passed"), feedback.alias("feedback"), (retries + F.when(passed, 0).otherwise(1)).alias("retries"))
+
+
 def invalid_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     """Citations of chunks that the query didn't get."""
     return citations.join(chunks.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as ML
 from ..functions import text as X
 from ..operators import answers as A
+from ..operators import memory as M
 from ..operators import retrieval as R
 from ..sources import files
 from ..sources import tables as T
@@ -15,12 +16,16 @@ from ..streaming import limits
 from . import retrieval as RQ
 
 
-def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """``queries`` (query_id, query, embedding) -> ``query_id, query_type, n_chunks, support, refused, response``.
+def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, model=ML.quoting_model) -> DataFrame:
+    """``queries`` (query_id, query, embedding and, optionally, history) -> ``query_id, query_type, n_chunks, n_citations,
+    confidence, support, retries, passed, refused, response``.
 
-    Greetings and off-topic questions skip retrieval. The others are routed to semantic, keyword or hybrid search,
-    re-ranked, answered by the offline model and checked; then formatted.
+    Greetings and off-topic questions skip retrieval. The others are routed to semantic, keyword or hybrid search and
+    re-ranked, keyword hits that this drops first; ``model`` answers over the ``k`` first chunks, whole. An answer that
+    the critic rejects is asked for once more with its feedback; what fails again carries it as a note.
     """
+    if "history" not in queries.columns:
+        queries = queries.withColumn("history", F.lit(""))
     routed = queries.withColumn("query_type", X.query_class(F.col("query")))
     asked = routed.where(~F.col("query_type").isin("greeting", "irrelevant"))
     wants = lambda *kinds: asked.where(F.col("query_type").isin(*kinds))
@@ -28,34 +33,59 @@ def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     keyword = R.Bm25Index(chunks).search(wants("keyword", "hybrid").select("query_id", "query"), R.CANDIDATES)
     fused = R.hybrid_search(semantic, keyword, R.FUSED)
     hits = fused.join(asked.select("query_id", "query"), "query_id").join(chunks.select("id", "content"), "id")
-    best = ML.rerank(hits, k)
-    shown = best.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.substring("content", 1, 300).alias("content"), "reranker_score", "bm25_score")
-    context = shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("context"), F.max("reranker_score").alias("best"), F.max("bm25_score").alias("bm25"), F.count("*").alias("n_chunks"))
+    best = ML.rerank_keeping_keywords(hits, R.FUSED).where(F.col("rank") <= k)
+    shown = best.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), "content", "reranker_score", "bm25_score")
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "content", "chunk_id")))
+    context = shown.groupBy("query_id").agg(in_order.alias("c"), F.max("reranker_score").alias("best"), F.max("bm25_score").alias("bm25"), F.count("*").alias("n_chunks"))
+    context = context.select("query_id", F.array_join(F.col("c.content"), "\n").alias("context"), F.col("c.chunk_id").alias("known"), "best", "bm25", "n_chunks")
     full = routed.join(A.context_prompt(shown), "query_id", "left").join(context, "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
-    full = full.withColumn("answer", ML.offline_answer(F.col("prompt"), F.col("n_chunks")))
-    full = full.withColumn("support", F.round(A.claim_support(F.col("answer"), F.coalesce("context", F.lit(""))), 6))
-    refused = A.is_refused(F.col("answer"), F.col("n_chunks") > 0, F.col("best"), F.col("bm25"), F.lit(True))
-    full = full.withColumn("refused", refused).withColumn("answer", F.when(F.col("refused"), X.NO_ANSWER).otherwise(F.col("answer")))
+    full = full.withColumn("prompt", F.concat("prompt", F.lit("\n\nQuestion: "), "query", F.coalesce("history", F.lit(""))))
+    full = _answered(full, "first", F.col("prompt"), F.lit(0), model)
+    again = F.when(~F.col("first.review.passed"), F.concat("prompt", F.lit("\n\nFeedback: "), F.col("first.review.feedback")))
+    full = _answered(full, "second", again, F.col("first.review.retries"), model)
+    full = full.withColumn("last", F.when(F.col("first.review.passed") | F.col("prompt").isNull(), F.col("first")).otherwise(F.col("second")))
+    refused = A.is_refused(F.col("last.text"), F.col("n_chunks") > 0, F.col("best"), F.col("bm25"), F.lit(True))
+    full = full.withColumn("refused", refused)
+    none = F.array().cast(full.schema["last"].dataType["citations"].dataType)
+    answer, confidence = F.when(F.col("refused"), X.NO_ANSWER).otherwise(F.col("last.text")), F.when(F.col("refused"), 0.0).otherwise(F.col("last.confidence"))
+    citations = F.when(F.col("refused"), none).otherwise(F.col("last.citations"))
+    response = A.respond(F.col("query_type"), answer, confidence, citations, F.col("last.review.feedback"), F.col("last.review.passed"), F.lit(""))
+    return full.select(
+        "query_id", "query_type", "n_chunks", F.size(citations).alias("n_citations"), confidence.alias("confidence"), F.col("last.support").alias("support"),
+        F.col("last.review.retries").alias("retries"), F.col("last.review.passed").alias("passed"), "refused", response.alias("response"),
+    )
+
+
+def _answered(rows: DataFrame, name: str, prompt, retries, model) -> DataFrame:
+    """``rows`` with the struct ``name``: a model's answer to ``prompt``, read as JSON or else as plain text, its review."""
+    rows = rows.withColumn("_raw", ML.ask(prompt, model))
+    json = F.from_json(X.model_json(F.col("_raw")), ML.ANSWER)
     none = F.array().cast("array<struct<chunk_id:string,document_id:string,content_snippet:string>>")
-    passed = F.col("support") >= A.MIN_SUPPORT
-    response = A.respond(F.col("query_type"), F.col("answer"), F.lit(0.0), none, F.when(passed, "").otherwise("claims lack support"), passed, F.lit(""))
-    return full.select("query_id", "query_type", "n_chunks", "support", "refused", response.alias("response"))
+    rows = rows.withColumn("_text", F.coalesce(json["answer_text"], F.col("_raw"), ML.offline_answer(F.col("prompt"), F.col("n_chunks"))))
+    rows = rows.withColumn("_citations", F.coalesce(json["citations"], none)).withColumn("_confidence", F.coalesce(json["confidence_score"], F.lit(0.0)))
+    rows = rows.withColumn("_support", F.round(A.claim_support(F.col("_text"), F.coalesce("context", F.lit(""))), 6))
+    verdict = A.review(F.col("_citations"), F.col("known"), F.col("_support"), retries)
+    fields = [F.col(f"_{n}").alias(n) for n in ("text", "citations", "confidence", "support")]
+    return rows.withColumn(name, F.struct(*fields, verdict.alias("review"))).drop("_raw", "_text", "_citations", "_confidence", "_support")
 
 
 def _qa(s, d):
     q = T.table(s, d, "benchmark").select((F.col("item_id") * 100).alias("query_id"), F.concat(F.when(F.col("item_id") % 3 == 0, "hello ").when(F.col("item_id") % 3 == 1, "explain ").otherwise("define "), F.col("text")).alias("query"))
     q = q.join(RQ._vq(s, d), "query_id", "left")
-    return answer_pipeline(q, RQ._chunks(s, d), RQ._corpus(s, d).select("id", "embedding"))
+    history = M.history_block(T.messages(s, d)).select((F.col("session_id") * 100).alias("query_id"), "history")
+    return answer_pipeline(q.join(history, "query_id", "left"), RQ._chunks(s, d), RQ._corpus(s, d).select("id", "embedding"))
 
 
-def _rerank(s, d):
-    hits = RQ._hybrid(s, d).join(RQ._text_queries(s, d), "query_id").join(RQ._chunks(s, d), "id")
-    return ML.rerank(hits.select("query_id", "query", "id", "content", "rank", "hybrid_score"), 10).select("query_id", "id", "hybrid_score", "reranker_score", "rank")
+def _found(s, d):
+    return RQ._hybrid(s, d).join(RQ._text_queries(s, d), "query_id").join(RQ._chunks(s, d), "id")
+
+
+_RERANKED = ("query_id", "id", "hybrid_score", "reranker_score", "rank")
 
 
 def _limiter(s, d):
     log = T.request_log(s, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return limits.rate_limit(log.select("ip", "path", "request_id", "at"), limit=2, window=600.0, burst=1)
+    return limits.rate_limit(log.select("ip", "path", "request_id", "at"), limit=2, window=86400.0, burst=1)
 
 
 def _docs(s, d):
@@ -77,11 +107,21 @@ QUERIES = {
     "ingest_chunks": _embedded,
     "scrape_pages": lambda s, d: files.scrape(T.table(s, d, "pages")).select("page_id", "url", "title", "filename", F.length("text").alias("length")),
     "html_text": lambda s, d: files.scrape(T.table(s, d, "pages")).select("page_id", F.md5("text").alias("digest")),
-    "hybrid_rerank": _rerank,
+    "hybrid_rerank": lambda s, d: ML.rerank(_found(s, d), 10).select(*_RERANKED),
+    "hybrid_rerank_kept": lambda s, d: ML.rerank_keeping_keywords(_found(s, d), 10).select(*_RERANKED),
+    "entity_context": lambda s, d: _docs(s, d).select("document_id", F.explode(ML.entities_in_context(F.col("text"))).alias("e")).select("document_id", "e.*"),
     "qa_pipeline": _qa,
     "rate_limit": _limiter,
     "fuzzy_match": _fuzzy,
 }
 
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_BEST = f"""WITH {RQ._HYB}, pas AS (SELECT doc_id AS id, {_WORDS.format('text')} AS p FROM documents), qs AS (SELECT query_id, {_WORDS.format('query')} AS w FROM tq),
+rr AS (SELECT query_id, id, bm25_score, hybrid_score, rank AS place, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_intersect(w, p)) / len(w)::DOUBLE, 6) END AS reranker_score FROM fused JOIN pas USING (id) JOIN qs USING (query_id)),
+best AS (SELECT query_id, id, hybrid_score, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, id)::INT AS rank FROM rr QUALIFY rank <= 10)"""
+
 #: What no SQL expresses is tested against plain functions.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "hybrid_rerank": f"{_BEST} SELECT * FROM best",
+    "hybrid_rerank_kept": f"{_BEST}, listed AS (SELECT query_id, id, hybrid_score, 0.0::DOUBLE AS reranker_score, place, 0 AS kept FROM rr ANTI JOIN best USING (query_id, id) WHERE bm25_score > 0 UNION ALL SELECT *, 1 FROM best) SELECT query_id, id, hybrid_score, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY kept, place, id)::INT AS rank FROM listed",
+}
