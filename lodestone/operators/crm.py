@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Stages, in pipeline order, and what counts as late or no longer open.
 STAGES = ("lead", "qualified", "proposal", "negotiation", "closed_won", "closed_lost")
 LATE_STAGES = ("negotiation", "closed won", "closed_won")
 NOT_OPEN = ("closed lost", "closed_won", "cancelled")
+CONTACT_TYPES = ("call", "email", "meeting")
 PRESETS = ("top_deals", "recent_activities", "deals_by_stage", "contacts_list", "hot_leads", "pipeline_summary")
 
 
@@ -145,8 +146,12 @@ def new_documents(bridge: DataFrame, existing: DataFrame) -> DataFrame:
     return bridge.join(existing.select(F.col("filename").alias("title")), "title", "left_anti")
 
 
-def context_text(contacts: DataFrame, deals: DataFrame, activities: DataFrame, intent: str) -> DataFrame:
-    """The lines of the context block for an intent, ``section, position, line``; ``activities`` newest first."""
+def context_text(contacts: DataFrame, deals: DataFrame, activities: DataFrame, intent: str, recent: int = 20) -> DataFrame:
+    """The lines of the context block for an intent, ``section, position, line``. Of the activities only the ``recent``
+    newest count, for contacts only those of them that are calls, e-mails or meetings."""
+    activities = activities.orderBy(F.col("date").desc(), "activity_id").limit(recent)
+    if intent == "contact":
+        activities = activities.where(F.lower("type").isin(*CONTACT_TYPES))
     na = F.lit("N/A")
     out = None
 
@@ -195,5 +200,24 @@ def quick_query(preset: str, contacts: DataFrame, deals: DataFrame, activities:
     }[preset]()
 
 
+def markdown_list(rows: DataFrame, title: str, *order, items: int = 5, fields: int = 4) -> DataFrame:
+    """The ``items`` first rows as one Markdown ``text``: a bold title, then a line a row with its first ``fields`` values
+    that aren't null. Only those rows come together; no row gives the title alone."""
+    parts = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), iso(F.col(c)) if t.startswith("timestamp") else F.col(c).cast("string"))) for c, t in rows.dtypes)))
+    line = F.concat(F.lit("- "), F.array_join(F.slice(parts, 1, fields), ", "))
+    first = rows.orderBy(*order).limit(items).select(F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return first.agg(F.array_join(F.concat(F.array(F.lit(f"\n**{title}:**")), lines["line"]), "\n").alias("text"))
+
+
+def normalize_email(email: Column) -> Column:
+    return F.trim(F.lower(email))
+
+
+def display_name(name: Column, email: Column) -> Column:
+    """The given name, or the part of the address before the @ where it is null or empty."""
+    return F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(F.split(email, "@")[0])
+
+
 def date_range(deals: DataFrame, now: dt.datetime, back: int, ahead: int) -> DataFrame:
     return filter_deals(deals, close_from=now - dt.timedelta(days=back), close_to=now + dt.timedelta(days=ahead))

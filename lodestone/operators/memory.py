@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.models import embed, hashing_embedder
 from ..functions.text import clean_topics, shorten
 
 MAX_WORKING, HISTORY, MIN_CONFIDENCE, TTL_DAYS = 10, 6, 0.3, 90
@@ -53,6 +54,28 @@ def confident(facts: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
     return facts.where(F.col("confidence") >= least)
 
 
+def add_facts(facts: DataFrame, new: DataFrame, model=hashing_embedder) -> DataFrame:
+    """``facts`` (id, fact, embedding, source, source_id, confidence) and the ``new`` ones, embedded. New facts need
+    ``id`` and ``fact``; the source is a conversation and the confidence 1 unless given. A null fact has no embedding."""
+    given = lambda c, default: F.coalesce(F.col(c), default) if c in new.columns else default
+    rows = new.select(
+        "id", "fact", F.when(F.col("fact").isNotNull(), embed(F.col("fact"), model)).alias("embedding"), given("source", F.lit("conversation")).alias("source"),
+        given("source_id", F.lit(None).cast("string")).alias("source_id"), given("confidence", F.lit(1.0)).alias("confidence"),
+    )
+    return facts.unionByName(rows)
+
+
+def clear(messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """``messages`` without those of ``sessions`` (session_id); without any of them if no sessions are given."""
+    return messages.limit(0) if sessions is None else messages.join(sessions.select("session_id"), "session_id", "left_anti")
+
+
+def cleared(messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """How many messages ``clear`` removes, as ``removed``."""
+    gone = messages if sessions is None else messages.join(sessions.select("session_id"), "session_id", "left_semi")
+    return gone.agg(F.count("*").alias("removed"))
+
+
 def count_usage(procedures: DataFrame, uses: DataFrame, key: str) -> DataFrame:
     added = uses.groupBy(key).agg(F.count("*").alias("_n"))
     return procedures.join(added, key, "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("_n", F.lit(0))).drop("_n")

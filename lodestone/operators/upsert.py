@@ -33,6 +33,13 @@ def delete_where_parent(children: DataFrame, parents: DataFrame, key: str) -> Da
     return children.join(parents.select(key), key, "left_anti")
 
 
+def clear_column(rows: DataFrame, gone: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with a null ``column`` where ``gone`` has the key; ``cleared`` tells which rows lost a value by that."""
+    marked = rows.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+    hit = F.col("_gone").isNotNull()
+    return marked.withColumn("cleared", hit & F.col(column).isNotNull()).withColumn(column, F.when(~hit, F.col(column))).drop("_gone")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``content_hash`` and ``is_duplicate``: an earlier id has the same text."""
     hashed = docs.withColumn("content_hash", F.sha2(F.col(text_col), 256))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import crm as C
+from ..operators import sync as Y
 from ..operators import upsert as U
 from ..sources import tables as T
 from ..sources.tables import with_sql
@@ -69,6 +70,33 @@ def _bridge(s, d):
     return out.select("source", "external_id", "title", "text")
 
 
+def _contact_activities(s, d):
+    """The events as kinds of activities, some of which concern contacts."""
+    kind = F.when(F.col("type") == "view", "Call").when(F.col("type") == "click", "email").when(F.col("type") == "purchase", "meeting").otherwise("note")
+    return T.activities(s, d).withColumn("type", kind)
+
+
+def _sync_run(s, d):
+    runs = s.createDataFrame([(1, "success", NOW, NOW, 1, 2, 3, None), (2, "error", NOW, NOW, None, None, None, "timeout")], Y.RUNS)
+    delta = {"contacts": T.contacts(s, d).where("contact_id % 7 = 0"), "deals": _delta_deals(s, d), "activities": T.activities(s, d).where("activity_id % 5 = 0")}
+    end = NOW + dt.timedelta(minutes=5)
+    ended = Y.finish_run(Y.start_run(runs, 3, NOW), 3, end, delta)
+    out = Y.finish_run(Y.start_run(ended, 4, end), 4, end, error="no route")
+    return out.select("run_id", "status", F.unix_seconds("started_at").alias("started"), F.unix_seconds("completed_at").alias("completed"), "contacts_synced", "deals_synced", "activities_synced", "error_message")
+
+
+def _sync_merge(s, d):
+    base = {"contacts": T.contacts(s, d), "deals": T.deals(s, d), "activities": T.activities(s, d)}
+    delta = {"contacts": base["contacts"].where("contact_id % 7 = 0").withColumn("phone", F.lit("+1-555-0100")), "deals": _delta_deals(s, d), "activities": base["activities"].where("activity_id % 5 = 0").withColumn("contact_id", F.lit(-1).cast("bigint"))}
+    merged = Y.merge(base, delta)
+    return merged["deals"].groupBy("stage").agg(F.count("*").alias("n"), F.count("contact_id").alias("linked"), F.round(F.sum("value"), 2).alias("value"))
+
+
+def _accounts(s, d):
+    c = T.contacts(s, d).select("contact_id", F.when(F.col("contact_id") % 3 == 0, F.col("name")).when(F.col("contact_id") % 3 == 1, "").alias("name"), F.concat(F.lit("  "), F.upper("email"), F.lit(" ")).alias("email"))
+    return c.select("contact_id", C.normalize_email(F.col("email")).alias("email"), C.display_name(F.col("name"), F.trim("email")).alias("display_name"))
+
+
 def _relative(s, d):
     from ..functions.formatting import relative_time
 
@@ -94,7 +122,7 @@ QUERIES = {
     "deals_filtered": lambda s, d: C.filter_deals(T.deals(s, d), "qualified", 100000.0, dt.datetime(1995, 1, 1), dt.datetime(2030, 1, 1)),
     "deals_date_range": lambda s, d: C.date_range(T.deals(s, d), dt.datetime(1998, 1, 1), 90, 30),
     "contacts_search": lambda s, d: C.search_contacts(_c(s, d), "00_1"),
-    "contacts_contains": lambda s, d: C.contacts_containing(_c(s, d), "an"),
+    "contacts_contains": lambda s, d: C.contacts_containing(_c(s, d), "9@EX"),
     "contacts_page": lambda s, d: C.page(_c(s, d), "name", "contact_id", offset=20, limit=25),
     "deals_page": lambda s, d: C.page(C.filter_deals(T.deals(s, d), stage="lead"), "name", "deal_id", offset=10, limit=50),
     "activities_page": lambda s, d: C.page(T.activities(s, d), F.col("date").desc(), "activity_id", offset=50, limit=100),
@@ -105,7 +133,11 @@ QUERIES = {
     "crm_upsert_deals": _upsert_deals,
     "crm_upsert_activities": _upsert_activities,
     "crm_bridge": _bridge,
-    "crm_context_text": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), T.activities(s, d), "contact"),
+    "crm_context_text": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), _contact_activities(s, d), "contact"),
+    "crm_sync_run": _sync_run,
+    "crm_sync_merge": _sync_merge,
+    "quick_query_markdown": lambda s, d: C.markdown_list(C.quick_query("top_deals", _c(s, d), T.deals(s, d), T.activities(s, d)), "Top Deals", F.col("value").desc_nulls_last(), "deal_id"),
+    "account_names": _accounts,
     "crm_context_summary": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), T.activities(s, d), "none"),
     "crm_cross_refs": _cross_refs,
     "relative_time": _relative,
@@ -128,7 +160,7 @@ ORACLES = {
     "deals_filtered": with_sql("SELECT * FROM deals WHERE stage = 'qualified' AND value >= 100000 AND close_date >= TIMESTAMP '1995-01-01' AND close_date <= TIMESTAMP '2030-01-01'", "deals"),
     "deals_date_range": with_sql("SELECT * FROM deals WHERE close_date >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND close_date <= TIMESTAMP '1998-01-01' + INTERVAL 30 DAY", "deals"),
     "contacts_search": with_sql("SELECT * FROM contacts WHERE name ILIKE '%00_1%' OR email ILIKE '%00_1%' OR company ILIKE '%00_1%'", "contacts"),
-    "contacts_contains": with_sql("SELECT * FROM contacts WHERE contains(lower(name), 'an') OR contains(lower(email), 'an') OR contains(lower(company), 'an')", "contacts"),
+    "contacts_contains": with_sql("SELECT * FROM contacts WHERE contains(lower(name), '9@ex') OR contains(lower(email), '9@ex') OR contains(lower(company), '9@ex')", "contacts"),
     "contacts_page": with_sql("SELECT *, (SELECT count(*) FROM contacts) AS total FROM contacts ORDER BY name, contact_id LIMIT 25 OFFSET 20", "contacts"),
     "deals_page": with_sql("SELECT *, (SELECT count(*) FROM deals WHERE stage = 'lead') AS total FROM deals WHERE stage = 'lead' ORDER BY name, deal_id LIMIT 50 OFFSET 10", "deals"),
     "activities_page": with_sql("SELECT *, (SELECT count(*) FROM activities) AS total FROM activities ORDER BY date DESC, activity_id LIMIT 100 OFFSET 50", "activities"),
@@ -142,7 +174,10 @@ ORACLES = {
 UNION ALL SELECT 'crm-deal', deal_id, 'Deal: ' || name, CASE WHEN coalesce(value, 0) <> 0 THEN 'CRM Deal: ' || name || chr(10) || 'Value: $' || format('{{:,.2f}}', value) ELSE 'Value: N/A' || chr(10) || 'Stage: ' || stage || chr(10) || 'Close Date: ' || coalesce({_ISO('close_date')}, 'N/A') END FROM deals
 UNION ALL SELECT 'crm-activity', activity_id, 'Activity: ' || type || ' — ' || strftime(date, '%Y-%m-%d'), 'CRM Activity: ' || type || chr(10) || 'Date: ' || {_ISO('date')} || chr(10) || 'Description: ' || description FROM activities""", "contacts", "deals", "activities"),
     "crm_context_text": with_sql("""SELECT 1 AS section, contact_id AS position, '- **' || name || '** (Email: ' || coalesce(email, 'N/A') || ', Phone: ' || coalesce(phone, 'N/A') || ', Company: ' || coalesce(company, 'N/A') || ')' AS line FROM contacts
-UNION ALL SELECT * FROM (SELECT 3, activity_id, '- **' || type || '** on ' || strftime(date, '%Y-%m-%d') || ': ' || substr(description, 1, 200) FROM activities ORDER BY date DESC, activity_id LIMIT 10)""", "contacts", "activities"),
+UNION ALL SELECT * FROM (SELECT 3, activity_id, '- **' || type || '** on ' || strftime(date, '%Y-%m-%d') || ': ' || substr(description, 1, 200) FROM (SELECT activity_id, CASE type WHEN 'view' THEN 'Call' WHEN 'click' THEN 'email' WHEN 'purchase' THEN 'meeting' ELSE 'note' END AS type, date, description FROM activities ORDER BY date DESC, activity_id LIMIT 20) WHERE lower(type) IN ('call', 'email', 'meeting') ORDER BY date DESC, activity_id LIMIT 10)""", "contacts", "activities"),
+    "crm_sync_run": with_sql("SELECT * FROM (VALUES (1, 'success', 0, 0, 1, 2, 3, NULL), (2, 'error', 0, 0, NULL, NULL, NULL, 'timeout'), (3, 'success', 0, 300, (SELECT count(*) FROM contacts WHERE contact_id % 7 = 0), (SELECT count(*) FILTER (deal_id % 10 = 0) + count(*) FILTER (deal_id % 97 = 1) FROM deals), (SELECT count(*) FROM activities WHERE activity_id % 5 = 0), NULL), (4, 'error', 300, 300, NULL, NULL, NULL, 'no route')) AS t(run_id, status, started, completed, contacts_synced, deals_synced, activities_synced, error_message)", "contacts", "deals", "activities").replace("SELECT * FROM (VALUES", "SELECT run_id::BIGINT AS run_id, status, started::BIGINT + 1705276800 AS started, completed::BIGINT + 1705276800 AS completed, contacts_synced::BIGINT AS contacts_synced, deals_synced::BIGINT AS deals_synced, activities_synced::BIGINT AS activities_synced, error_message FROM (VALUES"),
+    "quick_query_markdown": with_sql("SELECT chr(10) || '**Top Deals:**' || chr(10) || string_agg('- deal_id: ' || deal_id || ', name: ' || name || ', value: ' || value || ', stage: ' || stage, chr(10) ORDER BY value DESC, deal_id) AS text FROM (SELECT * FROM deals ORDER BY value DESC NULLS LAST, deal_id LIMIT 5)", "deals"),
+    "account_names": with_sql("SELECT contact_id, email, CASE WHEN contact_id % 3 = 0 THEN name ELSE upper(string_split(email, '@')[1]) END AS display_name FROM contacts", "contacts"),
     "crm_context_summary": with_sql("""SELECT * FROM (SELECT 1 AS section, contact_id AS position, '- ' || name || ' (' || coalesce(company, 'N/A') || ')' AS line FROM contacts ORDER BY name, contact_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 2, deal_id, '- ' || name || ' — Stage: ' || stage FROM deals ORDER BY name, deal_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 3, activity_id, '- ' || type || ' on ' || strftime(date, '%Y-%m-%d') FROM activities ORDER BY date DESC, activity_id LIMIT 5)""", "contacts", "deals", "activities"),
@@ -151,3 +186,4 @@ SELECT entity, chunk_id, document_id, substr(content, 1, 200) AS content_snippet
     "relative_time": with_sql("SELECT activity_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS ago FROM (SELECT activity_id, floor(epoch(TIMESTAMP '2024-01-15' ) - epoch(date))::BIGINT AS s FROM activities)", "activities"),
     "relevance_band": "SELECT doc_id, CASE WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024.0, 1)) ELSE printf('%.1f MB', round(n_chars / 1048576.0, 1)) END AS size, CASE WHEN n_chars / 5000.0 >= 0.8 THEN 'high' WHEN n_chars / 5000.0 >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM documents",
 }
+ORACLES["crm_sync_merge"] = ORACLES["crm_upsert_deals"]

@@ -23,9 +23,30 @@ def _facts(s, d):
 
 
 def _wiki(s, d):
-    """An entry a document: its first 120 characters, its first words as topics, the id as the update order."""
+    """An entry a document: its text as the summary, its source, language and all words as topics, the id as the order."""
     docs = T.table(s, d, "documents")
-    return docs.select(F.col("doc_id").alias("document_id"), F.substring("text", 1, 120).alias("summary"), F.slice(F.split(F.lower("text"), " "), 1, 5).alias("topics"), F.col("doc_id").alias("updated_at"))
+    return docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("summary"), F.concat(F.array("source", "lang"), F.split(F.lower("text"), " ")).alias("topics"), F.col("doc_id").alias("updated_at"))
+
+
+def _reviewed(s, d):
+    """Every benchmark text as an answer over the lines of a document; the citations are none, right or partly strange."""
+    q = T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
+    context = _hits(s, d).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("content")), " ").alias("context"), F.array_sort(F.collect_list("chunk_id")).alias("known"))
+    cite = lambda c: F.struct(c.cast("string").alias("chunk_id"))
+    first = F.array(cite(F.col("known")[0]))
+    cited = F.when(F.col("query_id") % 3 == 0, F.concat(first, F.array(cite(F.lit("x")), cite(F.lit("y"))))).when(F.col("query_id") % 3 == 1, first).otherwise(F.array().cast("array<struct<chunk_id:string>>"))
+    support = A.claim_support(F.col("answer"), F.col("context"))
+    return q.join(context, "query_id").select("query_id", A.review(cited, F.col("known"), support, (F.col("query_id") % 4).cast("int")).alias("r")).select("query_id", "r.*")
+
+
+def _facts_added(s, d):
+    old = _facts(s, d).select("id", F.lit("old").alias("fact"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit("import").alias("source"), F.lit(None).cast("string").alias("source_id"), "confidence")
+    new = T.table(s, d, "documents").select((F.col("doc_id") + 1_000_000_000).alias("id"), F.col("text").alias("fact"), F.col("doc_id").cast("string").alias("source_id"))
+    return M.add_facts(old, new).select("id", F.md5("fact").alias("fact"), F.size("embedding").alias("dims"), "source", "source_id", "confidence")
+
+
+def _even(s, d):
+    return T.messages(s, d).where("session_id % 2 = 0").select("session_id").distinct()
 
 
 def _doc_chunks(s, d):
@@ -109,7 +130,7 @@ QUERIES = {
     "facts_min_conf": lambda s, d: M.confident(_facts(s, d), 0.5).select("id", "confidence"),
     "fact_search": lambda s, d: R.semantic_search(_facts(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), M.confident(_facts(s, d), 0.5), 5),
     "usage_increment": lambda s, d: M.count_usage(T.table(s, d, "events").select("event_type", F.lit(1).alias("usage_count")).distinct(), T.table(s, d, "events").where("value > 10"), "event_type"),
-    "topics_overlap": lambda s, d: M.with_topics(_wiki(s, d), ["the", "of", "der", "de"]).select("document_id", "summary"),
+    "topics_overlap": lambda s, d: M.with_topics(_wiki(s, d), ["the", "of", "der", "de"]).select("document_id", F.md5("summary").alias("summary")),
     "metadata_filter": lambda s, d: T.table(s, d, "events").where(F.get_json_object("props", "$.k").cast("int") == 42).select("event_id", "props"),
     "reassemble_text": lambda s, d: M.reassemble(T.lines(s, d)).select("document_id", F.md5("text").alias("digest"), "chunks"),
     "document_with_chunks": _doc_chunks,
@@ -117,12 +138,16 @@ QUERIES = {
     "recent_documents": lambda s, d: T.table(s, d, "documents").orderBy(F.col("doc_id").desc()).limit(5).select("doc_id", "source", "n_chars"),
     "cascade_delete": _cascade,
     "dedup_exact": lambda s, d: U.exact_duplicates(T.table(s, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "content_hash", "is_duplicate"),
-    "wiki_upsert": lambda s, d: U.upsert(_wiki(s, d), _wiki(s, d).where("document_id % 5 = 0").withColumn("summary", F.lit("new")), "document_id").select("document_id", "summary"),
+    "wiki_upsert": lambda s, d: U.upsert(_wiki(s, d), _wiki(s, d).where("document_id % 5 = 0").withColumn("summary", F.lit("new")), "document_id").select("document_id", F.md5("summary").alias("summary")),
     "wiki_backfill": lambda s, d: M.wiki_backfill(T.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "source"), _wiki(s, d).where("document_id % 3 <> 0")),
-    "wiki_search": lambda s, d: M.wiki_search(_wiki(s, d), " Tion ").select("document_id", "match"),
+    "wiki_search": lambda s, d: M.wiki_search(_wiki(s, d), " SRC1 ").select("document_id", "match"),
     "context_prompt": lambda s, d: A.context_prompt(_hits(s, d)),
     "bm25_excerpt": _excerpt,
     "claim_support": _claims,
+    "critic_review": _reviewed,
+    "facts_added": _facts_added,
+    "memory_clear": lambda s, d: M.clear(T.messages(s, d), _even(s, d)).groupBy("session_id").agg(F.count("*").alias("n")),
+    "memory_cleared": lambda s, d: M.cleared(T.messages(s, d), _even(s, d)),
     "invalid_citations": _invalid,
     "format_citations": lambda s, d: _citations(s, d).select("item_id", A.format_citations(F.col("c")).alias("block")),
     "synthesize": _synthesize,
@@ -137,6 +162,7 @@ QUERIES = {
     "ratelimit_tier": lambda s, d: s.createDataFrame([(p,) for p in (*O.TIERS, "/qa/history", "/docs/x", "/health", "/monitoring/errors", "/other", "/searching")], "path string").select("path", O.tier(F.col("path")).alias("t")).select("path", "t.*"),
 }
 
+_text = lambda t: t.replace("'", "''")
 _short = lambda c, n: f"CASE WHEN length({c}) > {n} THEN substr({c}, 1, {n - 3}) || '...' ELSE {c} END"
 _VEC = "list_dot_product({}, {})"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')))"
@@ -160,7 +186,7 @@ ORACLES = {
     "facts_min_conf": "SELECT vec_id AS id, (vec_id % 10) / 10.0::DOUBLE AS confidence FROM embeddings WHERE (vec_id % 10) / 10.0 >= 0.5",
     "fact_search": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) AS similarity FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id % 10 >= 5) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM h QUALIFY rank <= 5",
     "usage_increment": "SELECT event_type, 1 + count(*) FILTER (value > 10) AS usage_count FROM events GROUP BY event_type",
-    "topics_overlap": "SELECT doc_id AS document_id, substr(text, 1, 120) AS summary FROM documents WHERE list_has_any(string_split(lower(text), ' ')[1:5], ['the', 'of', 'der', 'de'])",
+    "topics_overlap": "SELECT doc_id AS document_id, md5(text) AS summary FROM documents WHERE list_has_any(list_concat([source, lang], string_split(lower(text), ' ')), ['the', 'of', 'der', 'de'])",
     "metadata_filter": "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k')::INT = 42",
     "reassemble_text": with_sql("SELECT document_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS digest, count(*)::INT AS chunks FROM lines GROUP BY document_id", "lines"),
     "document_with_chunks": with_sql("SELECT doc_id AS document_id, md5(any_value(text)) AS digest, count(chunk_id) AS chunks, max(chunk_index) AS last FROM documents LEFT JOIN lines ON document_id = doc_id GROUP BY doc_id", "lines"),
@@ -168,14 +194,17 @@ ORACLES = {
     "recent_documents": "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 5",
     "cascade_delete": with_sql("SELECT document_id, count(*) AS chunks FROM lines WHERE document_id % 4 <> 0 GROUP BY document_id", "lines"),
     "dedup_exact": "SELECT doc_id, sha256(text) AS content_hash, doc_id > min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents",
-    "wiki_upsert": "SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE substr(text, 1, 120) END AS summary FROM documents",
+    "wiki_upsert": "SELECT doc_id AS document_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE text END) AS summary FROM documents",
     "wiki_backfill": "SELECT doc_id AS document_id, source FROM documents WHERE doc_id % 3 = 0",
-    "wiki_search": "WITH w AS (SELECT doc_id, substr(text, 1, 120) AS summary, string_split(lower(text), ' ')[1:5] AS topics FROM documents), a AS (SELECT doc_id FROM w WHERE summary ILIKE '%Tion%' ORDER BY doc_id DESC LIMIT 50) SELECT doc_id AS document_id, 'summary' AS match FROM a UNION ALL SELECT doc_id, 'topic' FROM (SELECT * FROM w ORDER BY doc_id DESC LIMIT 100) WHERE len(list_filter(topics, lambda t: contains(t, 'tion'))) > 0 AND doc_id NOT IN (SELECT doc_id FROM a)",
+    "wiki_search": "WITH w AS (SELECT doc_id, text AS summary, list_concat([source, lang], string_split(lower(text), ' ')) AS topics FROM documents), a AS (SELECT doc_id FROM w WHERE summary ILIKE '%SRC1%' ORDER BY doc_id DESC LIMIT 50) SELECT doc_id AS document_id, 'summary' AS match FROM a UNION ALL SELECT doc_id, 'topic' FROM (SELECT * FROM w ORDER BY doc_id DESC LIMIT 100) WHERE len(list_filter(topics, lambda t: contains(lower(t), 'src1'))) > 0 AND doc_id NOT IN (SELECT doc_id FROM a)",
     "context_prompt": with_sql("", "lines").rstrip() + f", {_HITS} SELECT query_id, string_agg('[Chunk ' || rank || '] (chunk_id: ' || chunk_id || ', document_id: ' || document_id || ')' || chr(10) || 'Content: ' || content, chr(10) || chr(10) ORDER BY rank) AS prompt FROM hits GROUP BY query_id",
     "claim_support": with_sql("", "lines").rstrip() + f""", {_HITS}, ctx AS (SELECT query_id, {_WORDS.format("lower(trim(string_agg(content, ' ' ORDER BY content)))")} AS known FROM hits GROUP BY query_id),
 sents AS (SELECT query_id, known, list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '[.!?\\n]+'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM ctx JOIN benchmark ON item_id = query_id),
 each AS (SELECT query_id, known, len(ss) AS total, unnest(ss) AS s FROM sents), scored AS (SELECT query_id, total, length(s) AS l, {_WORDS.format('s')} AS w, known FROM each)
 SELECT query_id, round(sum(CASE WHEN l > 20 AND len(w) > 0 AND len(list_intersect(w, known)) >= 0.4 * len(w) THEN 1 ELSE 0 END) / any_value(total)::DOUBLE, 6) AS support, sum(CASE WHEN l > 20 AND len(w) > 0 AND len(list_intersect(w, known)) >= 0.4 * len(w) THEN 1 ELSE 0 END) / any_value(total)::DOUBLE >= 0.3 AS passed FROM scored GROUP BY query_id""",
+    "facts_added": "SELECT vec_id AS id, md5('old') AS fact, len(embedding)::INT AS dims, 'import' AS source, NULL AS source_id, (vec_id % 10) / 10.0::DOUBLE AS confidence FROM embeddings UNION ALL SELECT doc_id + 1000000000, md5(text), 64, 'conversation', doc_id::VARCHAR, 1.0::DOUBLE FROM documents",
+    "memory_clear": with_sql("SELECT session_id, count(*) AS n FROM messages WHERE session_id % 2 <> 0 GROUP BY session_id", "messages"),
+    "memory_cleared": with_sql("SELECT count(*) AS removed FROM messages WHERE session_id % 2 = 0", "messages"),
     "invalid_citations": with_sql("", "lines").rstrip() + f", {_HITS}, c AS (SELECT query_id, CASE WHEN chunk_id % 3 = 0 THEN chunk_id + 7 ELSE chunk_id END AS chunk_id FROM hits) SELECT * FROM c ANTI JOIN hits USING (query_id, chunk_id)",
     "format_citations": f"WITH {_CITE} SELECT item_id, block FROM cited",
     "synthesize": f"WITH {_CITE} SELECT item_id, CASE WHEN item_id % 17 = 0 THEN 'I''m sorry, but I encountered an error processing your question: timeout' || chr(10) || chr(10) || 'Please try again or rephrase your question.' WHEN item_id % 5 = 0 THEN '{A.GREETING.replace(chr(39), chr(39) * 2)}' WHEN item_id % 5 = 1 THEN '{A.IRRELEVANT.replace(chr(39), chr(39) * 2)}' ELSE text || CASE WHEN item_id % 11 > 0 THEN chr(10) || chr(10) || '*Confidence: ' || (item_id % 11) * 10 || '%*' ELSE '' END || CASE WHEN block <> '' THEN chr(10) || block ELSE '' END || CASE WHEN item_id % 8 = 0 THEN chr(10) || chr(10) || '> ⚠️ **Quality note:** check sources' ELSE '' END END AS response FROM cited",
@@ -189,3 +218,10 @@ SELECT query_id, round(sum(CASE WHEN l > 20 AND len(w) > 0 AND len(list_intersec
     "active_buckets": with_sql("SELECT count(DISTINCT ip || ' ' || path) AS active FROM log", "log"),
     "ratelimit_tier": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(k).lower()}, {a}, {b}, {c})" for p, k, a, b, c in _TIER_ROWS) + ') AS t(path, skipped, "limit", "window", burst)',
 }
+
+_SUPPORT, _KEPT = ORACLES["claim_support"].rsplit("\nSELECT query_id, round(", 1)
+ORACLES["critic_review"] = f"""{_SUPPORT}, sup AS (SELECT query_id, round({_KEPT}), known AS (SELECT query_id, min(chunk_id) AS first FROM hits GROUP BY query_id),
+parts AS (SELECT query_id, query_id % 4 AS tries, CASE query_id % 3 WHEN 2 THEN '{_text(A.MISSING)}' WHEN 0 THEN '{_text(A.INVALID[0])}x, y{_text(A.INVALID[1])}' END AS sources,
+  CASE WHEN NOT passed THEN '{_text(A.UNSUPPORTED[0])}' || round_even(support * 100, 0)::INT || '{_text(A.UNSUPPORTED[1])}' END AS claims FROM sup JOIN known USING (query_id))
+SELECT query_id, tries >= 2 OR (sources IS NULL AND claims IS NULL) AS passed, concat_ws(chr(10), sources, claims, CASE WHEN tries >= 2 THEN '{_text(A.FORCED)}' END) AS feedback,
+  (tries + CASE WHEN tries >= 2 OR (sources IS NULL AND claims IS NULL) THEN 0 ELSE 1 END)::INT AS retries FROM parts"""
