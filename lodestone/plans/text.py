@@ -21,6 +21,11 @@ def _questions(s):
     return s.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
 
 
+def _asked(s, d):
+    """The questions above, and every benchmark text as one."""
+    return _questions(s).unionByName(T.table(s, d, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("query_id"), F.col("text").alias("query")))
+
+
 def _docs(s, d):
     return T.table(s, d, "documents")
 
@@ -65,7 +70,7 @@ def _entities(s, d):
 def _llm_json(s, d):
     b = T.table(s, d, "benchmark")
     conf = (F.col("item_id") % 10) / 10.0
-    body = F.concat(F.lit('{"answer_text": "'), F.regexp_replace(F.substring("text", 1, 30), r"[^a-zA-Z ]", ""), F.lit('", "confidence_score": '), conf.cast("string"), F.lit("}"))
+    body = F.concat(F.lit('{"answer_text": "'), F.regexp_replace("text", r"[^a-zA-Z ]", ""), F.lit('", "confidence_score": '), conf.cast("string"), F.lit("}"))
     raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("Here it is "), body, F.lit(" bye"))).otherwise("no json here")
     parsed = F.from_json(X.model_json(raw), "answer_text string, confidence_score double")
     return b.select("item_id", parsed["answer_text"].alias("answer_text"), parsed["confidence_score"].alias("confidence"))
@@ -74,9 +79,9 @@ def _llm_json(s, d):
 QUERIES = {
     "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.tokenize(F.col("text")), " ")).alias("digest"), F.size(X.tokenize(F.col("text"))).alias("n_tokens")),
     "route_query": _route,
-    "is_crm_query": lambda s, d: _questions(s).select("query_id", X.is_crm_query(F.col("query")).alias("is_crm")),
-    "crm_intent": lambda s, d: _questions(s).select("query_id", X.crm_intent(F.col("query")).alias("intent")),
-    "crm_entities": lambda s, d: _questions(s).select("query_id", F.explode(X.crm_entities(F.col("query"))).alias("e")).select("query_id", "e.*"),
+    "is_crm_query": lambda s, d: _asked(s, d).select("query_id", X.is_crm_query(F.col("query")).alias("is_crm")),
+    "crm_intent": lambda s, d: _asked(s, d).select("query_id", X.crm_intent(F.col("query")).alias("intent")),
+    "crm_entities": lambda s, d: _asked(s, d).select("query_id", F.explode(X.crm_entities(F.col("query"))).alias("e")).select("query_id", "e.*"),
     "date_tokens": lambda s, d: _docs(s, d).select("doc_id", F.array_join(X.date_tokens(F.col("text")), ",").alias("dates"), F.size(X.date_tokens(F.col("text"))).alias("n")),
     "strip_markdown": _markdown,
     "parser_dispatch": lambda s, d: _names(s, d).select("doc_id", X.parser_of(F.col("filename")).alias("parser")),
@@ -95,6 +100,7 @@ QUERIES = {
 }
 
 _Q = "questions AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(QUESTIONS)) + ") AS t(query_id, query))"
+_ASKED = "asked AS (SELECT query_id, query FROM questions UNION ALL SELECT (item_id + 1000)::INT, text FROM benchmark)"
 _any = lambda c, ps: "(" + " OR ".join("regexp_matches({}, '{}')".format(c, p.replace("'", "''")) for p in ps) + ")"
 _ROUTE = f"CASE WHEN q = '' OR {_any('q', X.GREETING)} THEN 'greeting' WHEN {_any('q', X.IRRELEVANT)} THEN 'irrelevant' WHEN regexp_matches(q, '{X.DATE}') THEN 'hybrid' WHEN {_any('q', X.KEYWORD)} THEN 'keyword' WHEN {_any('q', X.SEMANTIC)} THEN 'semantic' ELSE 'hybrid' END"
 _score = lambda ps: " + ".join("regexp_matches(q, '{}')::INT".format(p.replace("'", "''")) for p in ps)
@@ -109,15 +115,15 @@ _ents = " UNION ALL ".join(
     for k, (p, kind, c) in enumerate(X.TEXT_ENTITY)
 )
 _ents += f" UNION ALL SELECT doc_id, unnest(n), 'CONCEPT', 0.4::DOUBLE, generate_subscripts(n, 1) + 5000000 FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '{X.ACRONYM[0]}')) AS n FROM documents)"
-_crm_ents = " UNION ALL ".join(f"SELECT query_id, regexp_replace(trim(unnest(regexp_extract_all(query, '(?i){p}', 1))), '\\s+', ' ', 'g') AS name, '{k}' AS type FROM questions" for p, k in X.CRM_ENTITY)
+_crm_ents = " UNION ALL ".join(f"SELECT query_id, regexp_replace(trim(unnest(regexp_extract_all(query, '(?i){p}', 1))), '\\s+', ' ', 'g') AS name, '{k}' AS type FROM asked" for p, k in X.CRM_ENTITY)
 _TOKENS = "list_transform(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda t: t <> ''), lambda t: lower(t))"
 
 ORACLES = {
     "tokenize": f"SELECT doc_id, md5(array_to_string({_TOKENS}, ' ')) AS digest, len({_TOKENS})::INT AS n_tokens FROM documents",
     "route_query": f"WITH {_Q} SELECT query_id::INT AS query_id, {_ROUTE} AS query_type FROM (SELECT query_id, lower(trim(query)) AS q FROM questions UNION ALL SELECT item_id + 1000, lower(trim(text)) FROM benchmark)",
-    "is_crm_query": f"WITH {_Q} SELECT query_id, {_any('lower(trim(query))', X.CRM_QUERY)} AS is_crm FROM questions",
-    "crm_intent": f"WITH {_Q}, scored AS (SELECT query_id, {_INTENT} FROM (SELECT query_id, lower(trim(query)) AS q FROM questions)) SELECT query_id, CASE WHEN {_BEST} = 0 THEN 'none' " + " ".join(f"WHEN s_{i} = {_BEST} THEN '{i}'" for i in X.CRM_INTENT) + " END AS intent FROM scored",
-    "crm_entities": f"WITH {_Q} SELECT query_id, name, type, 0.9::DOUBLE AS confidence FROM ({_crm_ents}) WHERE length(name) > 2",
+    "is_crm_query": f"WITH {_Q}, {_ASKED} SELECT query_id, {_any('lower(trim(query))', X.CRM_QUERY)} AS is_crm FROM asked",
+    "crm_intent": f"WITH {_Q}, {_ASKED}, scored AS (SELECT query_id, {_INTENT} FROM (SELECT query_id, lower(trim(query)) AS q FROM asked)) SELECT query_id, CASE WHEN {_BEST} = 0 THEN 'none' " + " ".join(f"WHEN s_{i} = {_BEST} THEN '{i}'" for i in X.CRM_INTENT) + " END AS intent FROM scored",
+    "crm_entities": f"WITH {_Q}, {_ASKED} SELECT query_id, name, type, 0.9::DOUBLE AS confidence FROM ({_crm_ents}) WHERE length(name) > 2",
     "date_tokens": f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{X.DATE}'), ',') AS dates, len(regexp_extract_all(text, '{X.DATE}'))::INT AS n FROM documents",
     "strip_markdown": f"SELECT doc_id, md5(regexp_replace({_MD}, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS digest FROM (SELECT doc_id, '# ' || replace(text, chr(10), chr(10) || '- ') || chr(10) || '```code' || chr(10) || 'block```' || chr(10) || '**bold** and *it* [link](http://x) ~~gone~~ `x`' || chr(10) || '1. one' || chr(10) || '---' || repeat(chr(10), 4) || 'end' AS text0 FROM documents)",
     "parser_dispatch": f"WITH {_FILES} SELECT doc_id, CASE ext WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' WHEN '.txt' THEN 'text' WHEN '.md' THEN 'text' END AS parser FROM exts",
@@ -131,6 +137,6 @@ ORACLES = {
     "entity_id": "SELECT p_partkey, substr(md5(lower(p_brand) || '|organization'), 1, 16) AS entity_id FROM part",
     "regex_entities": f"WITH e AS (SELECT *, substr(md5(lower(name) || '|' || lower(type)), 1, 16) AS entity_id FROM ({_ents}) WHERE length(name) >= 2) SELECT doc_id, entity_id, name, type, confidence FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, entity_id ORDER BY place) = 1",
     "topics_normalize": "SELECT doc_id, coalesce(string_agg(t, '|' ORDER BY i), '') AS topics FROM (SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, lower(trim(unnest(p))) AS t, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.,]') AS p FROM documents)) WHERE t <> '' GROUP BY ALL) GROUP BY doc_id",
-    "llm_json": "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN regexp_replace(substr(text, 1, 30), '[^a-zA-Z ]', '', 'g') END AS answer_text, CASE WHEN item_id % 3 < 2 THEN (item_id % 10) / 10.0::DOUBLE END AS confidence FROM benchmark",
+    "llm_json": "SELECT item_id, CASE WHEN item_id % 3 < 2 THEN regexp_replace(text, '[^a-zA-Z ]', '', 'g') END AS answer_text, CASE WHEN item_id % 3 < 2 THEN (item_id % 10) / 10.0::DOUBLE END AS confidence FROM benchmark",
     "page_count": "SELECT source, greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM documents GROUP BY source",
 }
