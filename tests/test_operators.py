@@ -306,3 +306,107 @@ def test_alerts_hold_for_windows_in_a_row(spark):
     three = O.status_alerts(log, 429, 430, "1 minute", "1 minute", 0.5, ("service",), hold=3)
     minutes = lambda df: sorted(x.m for x in df.select((F.unix_seconds("start") / 60).cast("int").alias("m")).collect())
     assert minutes(one) == [3, 4, 5, 9] and minutes(three) == [5]
+
+
+def test_critic_rejects_once_and_lets_through_after_two_failures(spark):
+    known, cite = F.array(F.lit("c1")), lambda *ids: F.array(*(F.struct(F.lit(i).alias("chunk_id")) for i in ids))
+    none = F.array().cast("array<struct<chunk_id:string>>")
+    of = lambda cited, support, retries: spark.range(1).select(A.review(cited, known, F.lit(support), F.lit(retries)).alias("r")).select("r.*").first()
+    assert tuple(of(cite("c1"), 0.3, 0)) == (True, "", 0)
+    assert tuple(of(none, 0.3, 0)) == (False, A.MISSING, 1)
+    assert of(cite("c1", "zz", "yy"), 1.0, 1).feedback == A.INVALID[0] + "zz, yy" + A.INVALID[1]
+    assert "Only 12%" in of(cite("c1"), 0.125, 0).feedback
+    assert tuple(of(none, 1.0, 2)) == (True, A.MISSING + "\n" + A.FORCED, 2)
+    assert tuple(of(F.lit(None).cast("array<struct<chunk_id:string>>"), None, 0))[::2] == (False, 1)
+
+
+def _answers(spark, model):
+    from lodestone.plans.composites import answer_pipeline
+
+    chunks = spark.createDataFrame([(1, "The harbour of Bremen opens at seven in the morning."), (2, "Nothing of interest."), (3, "Trains leave late."), (4, "Ferries leave early.")], "id long, content string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "define harbour of bremen", [1.0, 0.0]), (2, "hello", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
+    return {r.query_id: r for r in answer_pipeline(queries, chunks, vectors, 2, model).collect()}
+
+
+def test_pipeline_quotes_and_cites_whole_chunks(spark):
+    got = _answers(spark, ML.quoting_model)
+    assert (got[1].passed, got[1].retries, got[1].n_citations, got[1].support) == (True, 0, 1, 1.0)
+    assert "harbour of Bremen" in got[1].response and "**Sources:**" in got[1].response
+    assert got[2].response == A.GREETING
+
+
+def test_pipeline_asks_again_with_the_feedback(spark):
+    def model():
+        good = '```json\n{"answer_text": "The harbour of Bremen opens at seven in the morning.", "citations": [{"chunk_id": "1", "document_id": "1", "content_snippet": ""}], "confidence_score": 0.9}\n```'
+        return lambda prompts: [good if "Feedback: MISSING" in p else "It surely opens sometime, somewhere." for p in prompts]
+
+    got = _answers(spark, model)[1]
+    assert (got.passed, got.retries, got.n_citations, got.confidence) == (True, 1, 1, 0.9)
+
+
+def test_pipeline_notes_what_fails_twice_and_runs_without_a_model(spark):
+    got = _answers(spark, lambda: lambda prompts: ["Plain text without any source at all."] * len(prompts))[1]
+    assert (got.passed, got.retries, got.n_citations) == (False, 2, 0) and "Quality note" in got.response
+    # The offline answer counts as a refusal by its first words.
+    silent = _answers(spark, lambda: lambda prompts: [None] * len(prompts))[1]
+    assert silent.refused and silent.response.startswith(X.NO_ANSWER)
+
+
+def test_keyword_hits_come_back_in_front(spark):
+    rows = [(1, "a b", 1, "a b", 1, 0.0), (1, "a b", 2, "zzz", 2, 3.0), (1, "a b", 3, "a", 3, 1.0), (1, "a b", 4, "none", 4, 0.0)]
+    hits = spark.createDataFrame(rows, "query_id int, query string, id int, content string, rank int, bm25_score double")
+    got = [tuple(r) for r in ML.rerank_keeping_keywords(hits, 1).orderBy("rank").select("id", "reranker_score", "rank").collect()]
+    assert got == [(2, 0.0, 1), (3, 0.0, 2), (1, 1.0, 3)]
+
+
+def test_mean_pool(spark):
+    rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "t array<array<double>>, m array<int>")
+    assert [r[0] for r in rows.select(ML.mean_pool(F.col("t"), F.col("m"))).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+
+
+def test_entities_with_the_text_around_them(spark):
+    text = "x" * 60 + " Dr. Ada Byron " + "y" * 60 + " NASA"
+    got = values(spark, [text, None, ""], ML.entities_in_context)
+    assert [(e.name, e.type) for e in got[0]] == [("Ada Byron", "PERSON"), ("NASA", "CONCEPT")]
+    assert got[0][0].context == "x" * 39 + " Dr. Ada Byron " + "y" * 39 and got[1:] == [[], []]
+
+
+def test_sync_records_success_and_failure(spark):
+    from lodestone.operators import sync as Y
+
+    schema = {"contacts": "contact_id long, name string", "deals": "deal_id long, contact_id long", "activities": "activity_id long, contact_id long"}
+    base = {n: spark.createDataFrame([(1, "a")] if n == "contacts" else [(1, 1)], s) for n, s in schema.items()}
+    new = {"contacts": spark.createDataFrame([(1, "b"), (2, "c")], schema["contacts"]), "deals": spark.createDataFrame([(1, 9), (2, 2), (3, 9)], schema["deals"]), "activities": spark.createDataFrame([], schema["activities"])}
+    written = {}
+    runs = Y.sync(new.get, base, written.__setitem__, spark.createDataFrame([], Y.RUNS), 7, lambda: dt.datetime(2024, 1, 1))
+    assert [tuple(r) for r in runs.select("run_id", "status", "contacts_synced", "deals_synced", "activities_synced", "error_message").collect()] == [(7, "success", 2, 3, 0, None)]
+    assert sorted(map(tuple, written["deals"].collect())) == [(1, 1), (2, 2), (3, None)]
+
+    def broken(name):
+        raise OSError("no route")
+
+    failed = Y.sync(broken, base, written.__setitem__, runs, 8, lambda: dt.datetime(2024, 1, 2)).orderBy("run_id").collect()
+    assert [(r.status, r.error_message) for r in failed] == [("success", None), ("error", "no route")]
+
+
+def test_facts_without_text_and_cleared_sessions(spark):
+    from lodestone.operators import memory as M
+
+    old = spark.createDataFrame([], "id long, fact string, embedding array<double>, source string, source_id string, confidence double")
+    new = spark.createDataFrame([(1, "Ada likes tea", 0.4), (2, None, None)], "id long, fact string, confidence double")
+    got = {r.id: r for r in M.add_facts(old, new).collect()}
+    assert (len(got[1].embedding), got[1].source, got[1].confidence) == (64, "conversation", 0.4)
+    assert (got[2].embedding, got[2].confidence) == (None, 1.0)
+    messages = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "session_id int, turn int")
+    one = messages.where("session_id = 1").select("session_id").distinct()
+    assert M.clear(messages, one).count() == 1 and M.clear(messages).count() == 0
+    assert M.cleared(messages, one).first().removed == 2 and M.cleared(messages).first().removed == 3
+
+
+def test_markdown_list_skips_nulls_and_keeps_order(spark):
+    rows = spark.createDataFrame([(i, None if i == 2 else f"n{i}", 1.5, "x", "y") for i in range(7)], "k int, name string, v double, a string, b string")
+    text = C.markdown_list(rows, "Some Rows", F.col("k").desc(), items=2).first().text
+    assert text == "\n**Some Rows:**\n- k: 6, name: n6, v: 1.5, a: x\n- k: 5, name: n5, v: 1.5, a: x"
+    assert C.markdown_list(rows.where("k = 2"), "T", "k").first().text == "\n**T:**\n- k: 2, v: 1.5, a: x, b: y"
+    assert C.markdown_list(rows.limit(0), "T", "k").first().text == "\n**T:**"
