@@ -410,3 +410,10 @@ def test_markdown_list_skips_nulls_and_keeps_order(spark):
     assert text == "\n**Some Rows:**\n- k: 6, name: n6, v: 1.5, a: x\n- k: 5, name: n5, v: 1.5, a: x"
     assert C.markdown_list(rows.where("k = 2"), "T", "k").first().text == "\n**T:**\n- k: 2, v: 1.5, a: x, b: y"
     assert C.markdown_list(rows.limit(0), "T", "k").first().text == "\n**T:**"
+
+
+def test_cross_references_of_many_names_are_the_same(spark):
+    names = spark.createDataFrame([("Acme", None), ("Bob", "Robert"), ("nobody", None)], "name string, db_match string")
+    chunks = spark.createDataFrame([(1, 1, "acme and Bob"), (2, 1, "Robert"), (3, 1, None), (4, 1, "")], "chunk_id int, document_id int, content string")
+    of = lambda n: sorted(map(tuple, C.cross_references(names, chunks, n).select("entity", "chunk_id", "match_type").collect()))
+    assert of(1) == of(10_000) == [("Acme", 1, "direct"), ("Bob", 1, "direct"), ("Bob", 2, "company")]
