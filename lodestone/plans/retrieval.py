@@ -73,9 +73,6 @@ def _verify(s, d):
     return a.intersect(b).groupBy("query_id").agg(F.count("*").alias("overlap"))
 
 
-#: Least similarity of the pairs that are listed.
-ALIKE = 0.3
-
 QUERIES = {
     "semantic_search": lambda s, d: _semantic(s, d, 10),
     "bm25_search": lambda s, d: _bm25(s, d, 10),
@@ -86,7 +83,7 @@ QUERIES = {
     "rrf_search": lambda s, d: R.reciprocal_rank_fusion(_semantic(s, d), _bm25(s, d), 20),
     "bm25_date_boost": _date_boost,
     "min_max_normalize": _min_max,
-    "cosine_pairs": lambda s, d: R.semantic_search(_vq(s, d), _corpus(s, d), None).where(F.col("similarity") >= ALIKE).select("query_id", "id", "similarity"),
+    "cosine_pairs": lambda s, d: R.semantic_search(_vq(s, d), _corpus(s, d), None).select("query_id", "id", "similarity"),
     "l2_normalize": lambda s, d: _vectors(s, d).select("id", F.round(R.l2_normalize(F.col("embedding"))[0], 6).alias("first"), F.round(R.norm(R.l2_normalize(F.col("embedding"))), 6).alias("norm")),
     "recall_at_k": lambda s, d: R.recall_at_k(_semantic(s, d, 10), _vectors(s, d).select("id", "label")),
     "list_vector_ids": lambda s, d: _vectors(s, d).where("embedding is not null").select("id").orderBy("id").limit(10_000),
@@ -136,7 +133,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grp, CASE WHEN grp <
     "rrf_search": f"WITH {_HYB}, rrf AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (SELECT query_id, id, rank FROM sem100 UNION ALL SELECT query_id, id, rank FROM bm100) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id)::INT AS rank FROM rrf QUALIFY rank <= 20",
     "bm25_date_boost": f"WITH {_INDEX}, {_TQ}, dated AS (SELECT query_id, query || ' 2024-01-15 the' AS query FROM tq), dates AS (SELECT query_id, array_to_string(regexp_extract_all(query, '{DATE}'), ' ') || ' the' AS query FROM dated), {_bm25_sql('p1', 'dated')}, {_bm25_sql('p2', 'dates')} SELECT query_id, id, max(bm25_score) AS bm25_score FROM (SELECT * FROM p1 WHERE rank <= 50 AND bm25_score > 0 UNION ALL SELECT * FROM p2 WHERE rank <= 50 AND bm25_score > 0) GROUP BY ALL",
     "min_max_normalize": f"SELECT user_id AS query_id, event_id AS id, round({_SCALE('value')}, 6) AS scaled FROM events WINDOW w AS (PARTITION BY user_id)",
-    "cosine_pairs": f"WITH {_SEM} SELECT query_id, id, similarity FROM sem0 WHERE similarity >= {ALIKE}",
+    "cosine_pairs": f"WITH {_SEM} SELECT query_id, id, similarity FROM sem0",
     "l2_normalize": "SELECT vec_id AS id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, 1.0::DOUBLE AS norm FROM embeddings",
     "recall_at_k": f"WITH {_SEM} SELECT query_id, round(avg((l.label = o.label)::INT), 6) AS recall FROM sem JOIN embeddings l ON l.vec_id = id JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 10 GROUP BY query_id",
     "list_vector_ids": "SELECT vec_id AS id FROM embeddings WHERE embedding IS NOT NULL ORDER BY id LIMIT 10000",
