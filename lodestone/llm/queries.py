@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact, jaccard, mixing, packing, pii, quality, sharding, substrings, toxicity, urls
+from . import centroids, embeddings, exact, jaccard, mixing, packing, pii, quality, sharding, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": substrings.op1_suffix_array,
@@ -19,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op12_centroids": centroids.op12_centroids,
     "op13_exact": exact.op13_exact,
 }
 
 ORACLES: dict[str, str] = {
     "op7_urls": urls.ORACLE,
     "op9_quality": quality.ORACLE,
+    "op12_centroids": centroids.ORACLE,
     "op13_exact": exact.ORACLE,
 }
