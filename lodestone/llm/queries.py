@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, embeddings, exact, jaccard, mixing, packing, pii, quality, sharding, substrings, toxicity, urls
+from . import alignment, centroids, embeddings, exact, jaccard, mixing, packing, pii, quality, sharding, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": substrings.op1_suffix_array,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_alignment": alignment.op11_alignment,
     "op12_centroids": centroids.op12_centroids,
     "op13_exact": exact.op13_exact,
 }
