@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,9 @@ def pieces(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[byte
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``a``, ``b``: ascending byte offsets where tokens end, the last ones equal. Numbers of the linked tokens, link by
     link, and whether a group ends with the link."""
-    ends = np.union1d(a, b)
+    ends = np.concatenate((a, b))
+    ends.sort(kind="stable")  # merges two sorted runs
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     i, j = np.searchsorted(a, ends), np.searchsorted(b, ends)
     return i, j, (a[i] == ends) & (b[j] == ends)
 
@@ -134,7 +137,7 @@ class Aligner:
         """Units of all ``texts``, one after the other, and where each text's begin (and the last ends)."""
         parts = [_CUT.split(t) if t else [] for t in texts]
         at = np.cumsum([0, *map(len, parts)])
-        of = np.fromiter((u for p in parts for u in map(self.seen.__getitem__, p)), np.int64, int(at[-1]))
+        of = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(parts)), np.int64, int(at[-1]))
         if self.seen.fresh:
             self._add(self.seen.fresh)
             self.chars += sum(map(len, self.seen.fresh))
@@ -145,14 +148,33 @@ class Aligner:
         of, _ = self.units([text])
         return not self.bad[of].any()
 
+    def _encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, and how many each unit has. Units that neither begin nor end with white space are encoded together,
+        as the text they make with single spaces between them."""
+        if len(units) > 1 and any(u[0].isspace() or u[-1].isspace() for u in units):
+            half = len(units) // 2
+            return tuple(np.concatenate(x) for x in zip(self._encode_a(units[:half]), self._encode_a(units[half:])))
+        ids = np.asarray(self.encode_a(" " + " ".join(units)), np.int64)
+        if len(units) == 1:
+            return ids, np.array([len(ids)])
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        return ids, np.diff(np.searchsorted(np.cumsum(self.a_bytes[ids]), ends) + 1, prepend=0)
+
     def _add(self, units: list[str]) -> None:
-        a, b = [self.encode_a(" " + u) for u in units], self.encode_b(units)
-        raw, table, lengths = [b" " + u.encode() for u in units], self.b_table, self.a_bytes.tolist()
-        bad = np.array([b"".join(map(table.__getitem__, y)) != u or sum(map(lengths.__getitem__, x)) != len(u) for u, x, y in zip(raw, a, b)])
-        for i in np.flatnonzero(bad):  # a stand-in that aligns: one token each
-            a[i], b[i] = [0], [0]
-        n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        ids_a, n_a = self._encode_a(units)
+        b = self.encode_b(units)
+        n_b = np.fromiter(map(len, b), np.int64, len(b))
+        ids_b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        size = np.array([len(u.encode()) + 1 for u in units])
+        bad = (_sums(self.a_bytes[ids_a], np.cumsum([0, *n_a])) != size) | (_sums(self.b_bytes[ids_b], np.cumsum([0, *n_b])) != size)
+        if not bad.any():
+            raw, bytes_b = b" " + " ".join(units).encode(), b"".join(map(self.b_table.__getitem__, ids_b.tolist()))
+        if bad.any() or raw != bytes_b:
+            table = self.b_table
+            bad |= np.array([b"".join(map(table.__getitem__, ids)) != b" " + u.encode() for u, ids in zip(units, b)])
+            ids_a, ids_b = ids_a[~np.repeat(bad, n_a)], ids_b[~np.repeat(bad, n_b)]
+            n_a, n_b = np.where(bad, 1, n_a), np.where(bad, 1, n_b)  # a stand-in that aligns: one token each
+            ids_a, ids_b = (np.insert(ids, (np.cumsum(np.where(bad, 0, n)) - np.where(bad, 0, n))[bad], 0) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
         len_a, len_b = self.a_bytes[ids_a], self.b_bytes[ids_b]
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         len_a[first_a[bad]] = len_b[first_b[bad]] = 1
