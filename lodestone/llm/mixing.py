@@ -70,13 +70,14 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
 
     Defined results: null sources form one source, last in order; null sizes count 0; rows of size 0 are never
     taken; repeated rows are separate rows; an empty table stays empty. Columns with this function's own names
-    are replaced. Runs on the same input agree. What reaches the driver: at most ``max_blocks`` block totals
-    plus one row a source.
+    are replaced. Draws hang on what a row holds, not on where it lies: runs on the same rows agree however Spark
+    cuts the files, and of rows alike in every column any may be the one that is taken. What reaches the driver: at
+    most ``max_blocks`` block totals plus one row a source.
     """
     rows = rows.drop("source_size", "target", "copies", "taken", "shards", "sid", "_row", "_block", "_key")
     names = rows.columns
     spark = rows.sparkSession
-    base = materialize(rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_row", F.monotonically_increasing_id()))
+    base = materialize(rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64(*names)))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = materialize(source_targets(sizes, weights, share, float(most)))
     found = targets.orderBy("sid").collect()
@@ -86,7 +87,7 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
 
     sources = targets.withColumn("_blocks", F.greatest(F.lit(1), F.floor(F.col("source_rows") / shared_out)).cast("long"))
     dealt = base.join(F.broadcast(sources) if len(found) <= 10_000 else sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")).cast("int"))
     words: dict[tuple[int, int], int] = {(r["sid"], r["_block"]): r["w"] for r in dealt.groupBy("sid", "_block").agg(F.sum("size").alias("w")).collect()}
 
     rng = np.random.default_rng(seed)
@@ -121,7 +122,7 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
     )
     planned = dealt.join(table, ["sid", "_block"], "left")
     partly = planned.where("_part is not null")
-    in_part = _part_of_block(partly.select("sid", "_row", "size", "_part"), seed)
+    in_part = _part_of_block(partly.select("sid", "_row", "_key", "size", "_part"), seed)
     # Only the rows of blocks that are used in part are exchanged, one block a source.
     planned = planned.where("_part is null").withColumn("_in", F.lit(0)).unionByName(partly.join(in_part, "_row", "left"))
     whole = F.coalesce(F.size("_shards"), F.lit(0)) - F.col("_part").isNotNull().cast("int")
@@ -141,7 +142,7 @@ def _part_of_block(rows: DataFrame, seed: int, rows_each: int = 64) -> DataFrame
     cells in order while they fit, then the largest rows that fit of the cell in which the words run out."""
     count = Window.partitionBy("sid")
     cells = rows.groupBy("sid").agg(F.greatest(F.lit(1), F.floor(F.count("*") / rows_each)).alias("_n")).join(rows, "sid")
-    cells = cells.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), "_row"), F.col("_n")))
+    cells = cells.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.col("_n")))
     sums = cells.groupBy("sid", "_cell").agg(F.sum("size").alias("_w"), F.first("_part").alias("_part"))
     upto = F.coalesce(F.sum("_w").over(count.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("_upto", upto).where("_upto <= _part")
@@ -149,7 +150,7 @@ def _part_of_block(rows: DataFrame, seed: int, rows_each: int = 64) -> DataFrame
     full = cells.where("_upto + _w <= _part").select("_row")
     last = cells.where("_upto + _w > _part").groupBy("sid", "_cell").agg(
         F.first(F.col("_part") - F.col("_upto")).alias("_left"),
-        F.reverse(F.array_sort(F.collect_list(F.struct("size", "_row")))).alias("_all"),
+        F.reverse(F.array_sort(F.collect_list(F.struct("size", "_key", "_row")))).alias("_all"),
     )
     start = F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("rows"))
     fill = F.aggregate(

@@ -25,7 +25,8 @@ from .storage import materialize
 
 #: Setting of the session that holds the secret from which surrogates are drawn.
 KEY_SETTING = "spark.lodestone.surrogate.key"
-MAX_DRAWS = 64
+#: The draw from which surrogates get longer; later draws of domains that are broadcast at most.
+LONGER_FROM, BROADCAST_ROWS = 8, 500_000
 _random: dict[str, bytes] = {}
 
 #: (type, pattern), in order of precedence where matches overlap. A group named x is what is replaced, else the match.
@@ -142,9 +143,11 @@ def session_key(spark: SparkSession) -> bytes:
     return given.encode() if given else _random.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
-def surrogate(kind: str, normal: str, draw: int, key: bytes) -> str:
-    """The normalized form of the replacement of an entity."""
+def surrogate(kind: str, normal: str, draw: int, key: bytes, domain_draw: int = 0) -> str:
+    """The normalized form of the replacement of an entity; an e-mail address has its domain's replacement."""
     s = _Stream(key, kind, normal, draw)
+    # Where short forms run out, later draws are longer: there is always room for one more.
+    more = 0 if draw < LONGER_FROM else 1 + (draw - LONGER_FROM) // 2
     if kind == "name":
         gender, _, name = normal.partition(":")
         script = "cyrillic" if re.search("[А-Яа-яЁё]", name) else "latin"
@@ -156,24 +159,32 @@ def surrogate(kind: str, normal: str, draw: int, key: bytes) -> str:
         out = [given[s.below(len(given))] for _ in parts[:-1]] + [family[s.below(len(family))] + tail]
         return f"{gender}:{' '.join(out)}"
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return ".".join(str(1 + s.below(254)) for _ in range(4 + more))
     if kind == "email":
         local, _, domain = normal.partition("@")
-        labels = domain.split(".")
-        # Same domain, same surrogate domain; the top level stays.
-        d = _Stream(key, "domain", domain, 0)
-        return f"{_like(local, s)}@{'.'.join([_like(x, d) for x in labels[:-1]] + labels[-1:])}"
+        return f"{_like(local + local[-1:] * more, s)}@{surrogate('domain', domain, domain_draw, key)}"
+    if kind == "domain":
+        labels = domain_labels(normal)
+        labels[0] += "a" * more
+        # The top level stays.
+        return ".".join([_like(x, s) for x in labels[:-1]] + labels[-1:])
     if kind == "card":
-        body = normal[0] + "".join(str(s.below(10)) for _ in normal[2:])
+        body = normal[0] + "".join(str(s.below(10)) for _ in normal[2:] + "0" * min(more, 19 - len(normal)))
         return next(body + c for c in "0123456789" if _luhn(body + c)) if len(normal) >= 13 else _like(normal, s)
     if kind == "iban":
-        body = _like(normal[4:], s)
+        body = _like(normal[4:] + "0" * more, s)
         rest = int("".join(str(int(c, 36)) for c in f"{body}{normal[:2]}00")) % 97
         return f"{normal[:2]}{98 - rest:02d}{body}"
     if kind == "phone" and normal.startswith("+"):
         keep = max(2, len(normal) - 10)  # the country code
-        return normal[:keep] + _like(normal[keep:], s)
-    return _like(normal, s)
+        return normal[:keep] + _like(normal[keep:] + "0" * more, s)
+    return _like(normal + ("0" if normal[-1:].isdigit() else "a") * more, s)
+
+
+def domain_labels(domain: str) -> list[str]:
+    """The labels of a domain; one without a dot gets an empty top level."""
+    labels = domain.split(".")
+    return labels if len(labels) > 1 else [domain, ""]
 
 
 def _like(text: str, s: _Stream) -> str:
@@ -200,7 +211,7 @@ def written(kind: str, surface: str, replacement: str) -> str:
         return replacement.partition(":")[2]
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(replacement)
-        return "".join(next(chars, "0") if c.isalnum() or c == "+" else c for c in surface)
+        return "".join(next(chars, "0") if c.isalnum() or c == "+" else c for c in surface) + "".join(chars)
     if kind == "email":
         return "".join(r.upper() if c.isupper() else r for c, r in zip(surface, replacement)) if len(surface) == len(replacement) else replacement
     return replacement
@@ -223,8 +234,9 @@ def _detect(with_entities: bool, keep: list[str]):
 def _draw(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(k, n, d, key) for k, n, d in zip(*(batch.column(c).to_pylist() for c in ("kind", "normal", "draw")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "normal", "draw")), pa.array(made, pa.string())], names=["kind", "normal", "draw", "surrogate"])
+            names = ["kind", "normal", "draw", "domain_draw"]
+            made = [surrogate(k, n, d, key, x) for k, n, d, x in zip(*(batch.column(c).to_pylist() for c in names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.string())], names=[*names, "surrogate"])
 
     return run
 
@@ -238,9 +250,8 @@ def surrogate_table(entities: DataFrame, key: bytes | None = None) -> DataFrame:
     """``kind, normal`` (distinct) -> also ``surrogate``, distinct within a kind and none of them a real entity.
 
     A name is one entity whatever its titles: it has the gender that all titles with one agree on, else none. Names
-    are compared as they are written, without gender. In each round the drawn surrogates are grouped; of equal ones
-    the first draw, then the smallest entity, stays, and the rest, and whatever equals an entity that occurs, draw
-    again. Rounds after the first see only those.
+    are compared as they are written, without gender. Domains of e-mail addresses are entities of their own, so that
+    different ones stay different and addresses of one stay together.
     """
     key = key or session_key(entities.sparkSession)
     named = entities.select("kind", "normal", _entity("normal").alias("entity"))
@@ -248,19 +259,34 @@ def surrogate_table(entities: DataFrame, key: bytes | None = None) -> DataFrame:
     titles = named.groupBy("kind", "entity").agg(F.min(gender).alias("low"), F.max(gender).alias("high"))
     one = F.concat(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("n"), F.lit(":"), F.col("entity"))
     single = titles.select("kind", F.when(F.col("kind") == "name", one).otherwise(F.col("entity")).alias("normal"))
-    real = titles.select("kind", F.col("entity").alias("shown")).withColumn("taken", F.lit(1))
-    schema = "kind string, normal string, draw int, surrogate string"
+    domain = F.when(F.col("kind") == "email", F.substring_index("normal", "@", -1))
+    domains = single.where("kind = 'email'").select(F.lit("domain").alias("kind"), domain.alias("normal")).distinct()
+    # Domains whose first draw was taken; the others need no lookup.
+    later = materialize(_settled(domains.withColumn("domain_draw", F.lit(0)), key).where("draw > 0").select(F.col("normal").alias("domain"), F.col("draw").alias("domain_draw")))
+    later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later
+    single = single.withColumn("domain", domain).join(later, "domain", "left").select("kind", "normal", F.coalesce("domain_draw", F.lit(0)).alias("domain_draw"))
+    drawn = _settled(single, key).select("kind", _entity("normal").alias("entity"), "surrogate")
+    return named.join(drawn, ["kind", "entity"]).select("kind", "normal", "surrogate")
+
+
+def _settled(single: DataFrame, key: bytes) -> DataFrame:
+    """``kind, normal`` (distinct), ``domain_draw`` -> also ``draw, surrogate``, all surrogates of a kind different.
+
+    In each round the drawn surrogates are grouped; of equal ones the first draw, then the smallest entity, stays, and
+    the rest, and whatever equals an entity that occurs, draw again. Rounds after the first see only those, and
+    surrogates get longer with the rounds, so the last one always comes.
+    """
+    real = single.select("kind", _entity("normal").alias("shown")).withColumn("taken", F.lit(1))
+    schema = "kind string, normal string, draw int, domain_draw int, surrogate string"
     table = materialize(single.withColumn("draw", F.lit(0)).mapInArrow(_draw(key), schema))
-    for _ in range(MAX_DRAWS):
+    while True:
         same = Window.partitionBy("kind", "shown").orderBy("draw", "normal")
         judged = table.withColumn("shown", _entity("surrogate")).join(real, ["kind", "shown"], "left").withColumn("place", F.row_number().over(same))
-        again = materialize(judged.where("place > 1 or taken is not null").select("kind", "normal", "draw"))
+        again = materialize(judged.where("place > 1 or taken is not null").select("kind", "normal", "draw", "domain_draw"))
         if again.isEmpty():
-            drawn = table.select("kind", _entity("normal").alias("entity"), "surrogate")
-            return named.join(drawn, ["kind", "entity"]).select("kind", "normal", "surrogate")
+            return table
         redrawn = again.withColumn("draw", F.col("draw") + 1).mapInArrow(_draw(key), schema)
-        table = materialize(table.join(again.drop("draw"), ["kind", "normal"], "left_anti").unionByName(redrawn))
-    raise RuntimeError(f"entities still collide after {MAX_DRAWS} draws: use longer surrogates")
+        table = materialize(table.join(again.select("kind", "normal"), ["kind", "normal"], "left_anti").unionByName(redrawn))
 
 
 def _rewrite(keep: list[str]):

@@ -91,22 +91,23 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int = 24, seed: int = 17, blo
     stay empty. Columns of ``rows`` are kept, but for ones named like this function's own (``shard``, ``slot``
     and the underscored working columns), which are replaced.
     """
-    own = ["shard", "slot", "_row", "_block", "_place", "_bounds", "_order", "_part", "_rows", "_before"]
+    own = ["shard", "slot", "_row", "_key", "_block", "_place", "_bounds", "_order", "_part", "_rows", "_before"]
     rows = rows.drop(*own)
     names = rows.columns
     spark = rows.sparkSession
-    # The row number makes repeated rows differ; written out, no retry can number rows anew.
-    base = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    # Places hang on what a row holds, so that runs agree however the files are cut; the number, written out, only
+    # tells rows apart that are alike in every column.
+    base = materialize(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64(*names)))
     total = base.count()
     blocks = min(max_blocks, max(64, math.ceil(total / block_rows)))
-    dealt = base.withColumn("_block", F.pmod(_key(seed, "_row"), F.lit(blocks)).cast("int"))
+    dealt = base.withColumn("_block", F.pmod(_key(seed, "_key"), F.lit(blocks)).cast("int"))
     counted = {r["_block"]: r["n"] for r in dealt.groupBy("_block").agg(F.count("*").alias("n")).collect()}
     sizes = [counted.get(b, 0) for b in range(blocks)]
     matrix = communication_matrix(sizes, n_shards, seed)
     bounds = [(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)]
     table = spark.createDataFrame(bounds, "_block int, _bounds array<bigint>")
 
-    inside = Window.partitionBy("_block").orderBy(_key(seed + 1, "_row"), "_row")
+    inside = Window.partitionBy("_block").orderBy(_key(seed + 1, "_key"), "_row")
     sent = (
         dealt.withColumn("_place", F.row_number().over(inside) - 1)
         .join(table, "_block")
@@ -115,7 +116,7 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int = 24, seed: int = 17, blo
     )
     # A shard can be larger than a task should be: it is ordered in parts by the leading bits of the key.
     bits = max(0, min(12, math.ceil(math.log2(max(1, total / n_shards / block_rows)))))
-    sent = sent.withColumn("_order", _key(seed + 2, "_row"))
+    sent = sent.withColumn("_order", _key(seed + 2, "_key"))
     sent = sent.withColumn("_part", F.shiftright(F.col("_order"), 64 - bits).cast("int") if bits else F.lit(0))
     if bits:
         sent = materialize(sent)

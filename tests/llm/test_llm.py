@@ -255,6 +255,19 @@ def test_shards_are_exact(documents, spark):
     assert sharding.shuffle_into_shards(docs.limit(3), 7).count() == 3
 
 
+@pytest.mark.parametrize("operator", ["mix", "shards"])
+def test_runs_agree_however_rows_lie(documents, operator):
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randrange(40)), r.choice("aab")) for i in range(3000)]
+    runs = []
+    for parts in (2, 7):
+        r.shuffle(rows)
+        docs = documents(rows, parts).selectExpr("doc_id", "source", "length(text) AS size")
+        out = mixing.mix_sources(docs).select("doc_id", "taken", "shards") if operator == "mix" else sharding.shuffle_into_shards(docs, 5, block_rows=100).select("doc_id", "shard", "slot")
+        runs.append(sorted(map(repr, out.collect())))
+    assert runs[0] == runs[1]
+
+
 def test_communication_matrix_law():
     matrix = sharding.communication_matrix([30, 0, 70], 4, 1)
     assert [sum(x) for x in matrix] == [30, 0, 70] and [sum(c) for c in zip(*matrix)] == [25] * 4
@@ -458,6 +471,47 @@ def test_written_names_never_collide(spark):
     assert len(got) == len(people) == len(shown) and not shown & {n.partition(":")[2] for _, n in people}
 
 
+def settle(real, key):
+    """The rounds of draws as a plain loop; domains first."""
+
+    def rounds(entities, of):
+        draws, made = dict.fromkeys(entities, 0), {e: of(e, 0) for e in entities}
+        while True:
+            first = {}
+            for e in sorted(entities, key=lambda e: (draws[e], e)):
+                first.setdefault(made[e], e)
+            again = [e for e in entities if first[made[e]] != e or made[e] in entities]
+            if not again:
+                return draws, made
+            for e in again:
+                draws[e] += 1
+                made[e] = of(e, draws[e])
+
+    domains, _ = rounds({e.partition("@")[2] for k, e in real if k == "email"}, lambda e, d: pii.surrogate("domain", e, d, key))
+    kinds = {k for k, _ in real}
+    return {(k, e): s for k in kinds for e, s in rounds({e for x, e in real if x == k}, lambda e, d: pii.surrogate(k, e, d, key, domains.get(e.partition("@")[2], 0)))[1].items()}
+
+
+@pytest.mark.parametrize("key", [b"e", b"f", b"g"])
+def test_short_forms_never_run_out(spark, key):
+    """All one-letter and one-digit mailboxes of a domain, all domains of a letter, all two-digit phone ends."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = [("email", f"{c}@corp.example.com") for c in letters + "0123456789"] + [("email", f"x@{c}.org") for c in letters] + [("phone", f"+1{i:02d}") for i in range(100)]
+    got = {(x.kind, x.normal): x.surrogate for x in pii.surrogate_table(spark.createDataFrame(real, "kind string, normal string"), key).collect()}
+    assert got == settle(real, key)
+    assert len(set(got.items())) == len(real) == len({(k, s) for (k, _), s in got.items()}) and not set(got.values()) & {e for _, e in real}
+    domains = {}
+    for (k, e), s in got.items():
+        if k == "email":
+            domains.setdefault(e.partition("@")[2], set()).add(s.partition("@")[2])
+    assert all(len(d) == 1 for d in domains.values()) and len(set().union(*domains.values())) == 27
+
+
+def test_longer_surrogates_are_written_whole():
+    assert pii.written("phone", "+1 (7) 5", "+17512") == "+1 (7) 512"
+    assert pii._luhn(pii.surrogate("card", "4111111111111111", 20, b"k"))
+
+
 def test_a_name_is_one_person_under_all_titles(documents):
     rows = [(1, "Dr Anna Stone"), (2, "Mrs Anna Stone"), (3, "Mr Alex Hale"), (4, "Ms Alex Hale"), (5, "Prof Alex Hale")]
     by = {x.doc_id: x.text.split(" ", 1)[1] for x in pii.replace_personal_data(documents(rows)).collect()}
