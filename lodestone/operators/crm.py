@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from . import matching
+
 # Stages, in pipeline order, and what counts as late or no longer open.
 STAGES = ("lead", "qualified", "proposal", "negotiation", "closed_won", "closed_lost")
 LATE_STAGES = ("negotiation", "closed won", "closed_won")
@@ -175,18 +178,16 @@ def context_text(contacts: DataFrame, deals: DataFrame, activities: DataFrame, i
     return out
 
 
-def cross_references(names: DataFrame, chunks: DataFrame, max_names: int = 10_000) -> DataFrame:
+def cross_references(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entities (``name`` and, where a database name matched, ``db_match``) mentioned in chunks, each pair of lower-cased
-    name and chunk once. Up to ``max_names`` names are broadcast; more are dealt to blocks of that size, each of which
-    meets each part of the chunks in a task of its own."""
+    name and chunk once: of names alike the direct one, then the first. Chunks are walked by automata of the names."""
     n = names.select(F.col("name").alias("entity"), F.lower("name").alias("direct"), F.lower("db_match").alias("company"))
     each = n.select("entity", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("direct").alias("key")), F.struct(F.lit(1).alias("rank"), F.col("company").alias("key")))).alias("k")).select("entity", "k.*").where("key <> ''")
-    text = F.lower("content")
-    count = names.count()
-    each = F.broadcast(each) if count <= max_names else each.repartition(-(-count // max_names)).hint("shuffle_replicate_nl")
-    hit = chunks.join(each, F.contains(text, F.col("key")))
-    first = hit.groupBy("key", "chunk_id", "document_id").agg(F.min(F.struct("rank", "entity")).alias("m"), F.first(F.substring("content", 1, 200)).alias("content_snippet"))
-    return first.select(F.col("m.entity").alias("entity"), "chunk_id", "document_id", "content_snippet", F.when(F.col("m.rank") == 0, "direct").otherwise("company").alias("match_type"))
+    one = written(each.groupBy("key").agg(F.min(F.struct("rank", "entity")).alias("m")), "names")
+    texts = chunks.select("chunk_id", "document_id", F.substring("content", 1, 200).alias("content_snippet"), F.lower("content").alias("_text"))
+    few = one.count() <= matching.SHARD_NAMES
+    hit = matching.contained(texts, "_text", one.select("key")).join(F.broadcast(one) if few else one, "key")
+    return hit.select(F.col("m.entity").alias("entity"), "chunk_id", "document_id", "content_snippet", F.when(F.col("m.rank") == 0, "direct").otherwise("company").alias("match_type"))
 
 
 def quick_query(preset: str, contacts: DataFrame, deals: DataFrame, activities: DataFrame, limit: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import matching
+
 MAX_PAIRS, MIN_COUNT = 50, 2
 
 
@@ -90,16 +92,16 @@ def search(entities: DataFrame, term: str, kind: str | None = None, limit: int =
 
 
 def graph_score(chunks: DataFrame, names: DataFrame, each: float = 0.3) -> DataFrame:
-    """``chunks`` with ``graph_score``: ``each`` for every name of ``names`` (the few of one question) it contains."""
-    listed = names.agg(F.collect_set(F.lower("entity")).alias("names"))
-    text = F.lower("content")
-    hits = F.size(F.filter("names", lambda n: F.contains(F.col("_text"), n)))
-    return chunks.withColumn("_text", text).join(F.broadcast(listed)).withColumn("graph_score", F.round(hits * each, 6)).drop("_text", "names")
+    """``chunks`` with ``graph_score``: ``each`` for every distinct name of ``names`` (entity) it contains, case aside."""
+    lowered = chunks.withColumn("_text", F.lower("content"))
+    counted = matching.count_contained(lowered, "_text", names.select(F.lower("entity").alias("key")), "_hits")
+    return counted.withColumn("graph_score", F.round(F.col("_hits") * each, 6)).drop("_text", "_hits")
 
 
 def entity_mentions(entities: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of a document that contain one of the document's entities (document_id, name)."""
-    return entities.join(chunks, "document_id").where(F.contains(F.lower("content"), F.lower("name"))).select("document_id", "entity_id", "chunk_id").distinct()
+    """Chunks of a document that contain one of the document's entities (document_id, name), case aside."""
+    names = entities.select("document_id", "entity_id", F.lower("name").alias("name"))
+    return matching.contained_by_group(names, chunks.select("document_id", "chunk_id", F.lower("content").alias("content")), "document_id", "entity_id", "chunk_id")
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

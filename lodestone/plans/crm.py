@@ -59,9 +59,10 @@ def _sync_status(s, d):
 
 
 def _cross_refs(s, d):
-    # The question's entities: the two most frequent words of eight letters or more are stable over scale factors.
-    names = s.createDataFrame([("ation", "tion"), ("thing", None), ("Er", "nope")], "name string, db_match string")
-    return C.cross_references(names, T.lines(s, d))
+    """All contacts with their companies and all parts with their last words, in all lines."""
+    names = T.contacts(s, d).select("name", F.col("company").alias("db_match"))
+    parts = T.table(s, d, "part").select(F.col("p_name").alias("name"), F.substring_index("p_name", " ", -1).alias("db_match"))
+    return C.cross_references(names.unionByName(parts), T.lines(s, d))
 
 
 def _bridge(s, d):
@@ -181,8 +182,9 @@ UNION ALL SELECT * FROM (SELECT 3, activity_id, '- **' || type || '** on ' || st
     "crm_context_summary": with_sql("""SELECT * FROM (SELECT 1 AS section, contact_id AS position, '- ' || name || ' (' || coalesce(company, 'N/A') || ')' AS line FROM contacts ORDER BY name, contact_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 2, deal_id, '- ' || name || ' — Stage: ' || stage FROM deals ORDER BY name, deal_id LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 3, activity_id, '- ' || type || ' on ' || strftime(date, '%Y-%m-%d') FROM activities ORDER BY date DESC, activity_id LIMIT 5)""", "contacts", "deals", "activities"),
-    "crm_cross_refs": with_sql(""", names(entity, key, rank) AS (VALUES ('ation', 'ation', 0), ('thing', 'thing', 0), ('Er', 'er', 0), ('ation', 'tion', 1), ('Er', 'nope', 1))
-SELECT entity, chunk_id, document_id, substr(content, 1, 200) AS content_snippet, CASE WHEN rank = 0 THEN 'direct' ELSE 'company' END AS match_type FROM lines JOIN names ON contains(lower(content), key)""".lstrip(), "lines").replace("\n,", ","),
+    "crm_cross_refs": with_sql(""", pairs AS (SELECT name, company AS db_match FROM contacts UNION ALL SELECT p_name, string_split(p_name, ' ')[-1] FROM part),
+names AS (SELECT lower(key) AS key, min({'rank': rank, 'entity': name}) AS m FROM (SELECT name, name AS key, 0 AS rank FROM pairs UNION ALL SELECT name, db_match, 1 FROM pairs) WHERE key <> '' GROUP BY lower(key))
+SELECT m.entity AS entity, chunk_id, document_id, substr(content, 1, 200) AS content_snippet, CASE WHEN m.rank = 0 THEN 'direct' ELSE 'company' END AS match_type FROM lines JOIN names ON contains(lower(content), key)""".lstrip(), "lines", "contacts").replace("\n,", ","),
     "relative_time": with_sql("SELECT activity_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || 'm ago' WHEN s < 86400 THEN (s // 3600)::VARCHAR || 'h ago' ELSE (s // 86400)::VARCHAR || 'd ago' END AS ago FROM (SELECT activity_id, floor(epoch(TIMESTAMP '2024-01-15' ) - epoch(date))::BIGINT AS s FROM activities)", "activities"),
     "relevance_band": "SELECT doc_id, CASE WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024.0, 1)) ELSE printf('%.1f MB', round(n_chars / 1048576.0, 1)) END AS size, CASE WHEN n_chars / 5000.0 >= 0.8 THEN 'high' WHEN n_chars / 5000.0 >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM documents",
 }

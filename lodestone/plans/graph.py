@@ -29,6 +29,13 @@ def _text_mentions(s, d):
     return G.entity_mentions(e, T.lines(s, d))
 
 
+def _all_names(s, d):
+    """All customers and parts, and the words of the parts' names."""
+    part, customer = T.table(s, d, "part"), T.table(s, d, "customer")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("entity"))
+    return customer.select(F.col("c_name").alias("entity")).unionByName(part.select(F.col("p_name").alias("entity"))).unionByName(words)
+
+
 def _parse(s, d):
     """Model output for entities: names of two characters or more at a confidence of at least 0.5, the first of an id."""
     raw = T.table(s, d, "part").select("p_partkey", F.split("p_brand", "#")[0].alias("kind"), F.col("p_type").alias("name"), ((F.col("p_partkey") % 10) / 10.0).alias("confidence"))
@@ -67,7 +74,7 @@ QUERIES = {
     "entity_mentions": _text_mentions,
     "entity_parse": _parse,
     "relation_parse": _relations,
-    "graph_score": lambda s, d: G.graph_score(T.lines(s, d), s.createDataFrame([("tion",), ("The",), ("zzzz",)], "entity string")).select("chunk_id", "graph_score"),
+    "graph_score": lambda s, d: G.graph_score(T.lines(s, d), _all_names(s, d)).select("chunk_id", "graph_score"),
 }
 
 _EDGES = """edges AS (SELECT a.entity AS source, b.entity AS target, count(*) AS weight, round(least(1.0::DOUBLE, count(*) / 10.0::DOUBLE), 2) AS confidence FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2),
@@ -97,7 +104,8 @@ ORACLES = {
     "entity_subgraph_edges": _g("SELECT source, target, weight FROM edges WHERE source IN (SELECT entity FROM reach) AND target IN (SELECT entity FROM reach)", _REACH("SELECT entity FROM entities WHERE entity = 'Brand#11'", 1)),
     "entity_parse": "SELECT substr(md5(lower(p_type) || '|brand'), 1, 16) AS entity_id, min(p_partkey) AS first_seen, max((p_partkey % 10) / 10.0::DOUBLE) AS confidence FROM part WHERE length(p_type) >= 2 AND (p_partkey % 10) / 10.0 >= 0.5 GROUP BY 1",
     "relation_parse": _g("SELECT source, target, max(confidence) AS confidence FROM (SELECT p_brand AS source, 'Brand#' || ((p_partkey % 5 + 1) * 10 + p_size % 5 + 1) AS target, (p_partkey % 10) / 10.0::DOUBLE AS confidence FROM part) WHERE confidence >= 0.6 AND source <> target AND source IN (SELECT entity FROM entities WHERE confidence IS NOT NULL) AND target IN (SELECT entity FROM entities WHERE confidence IS NOT NULL) GROUP BY ALL"),
-    "graph_score": with_sql("SELECT chunk_id, round((contains(lower(content), 'tion')::INT + contains(lower(content), 'the')::INT + contains(lower(content), 'zzzz')::INT) * 0.3::DOUBLE, 6) AS graph_score FROM lines", "lines"),
+    "graph_score": with_sql(""", names AS (SELECT DISTINCT lower(n) AS name FROM (SELECT c_name AS n FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part) WHERE n <> '')
+SELECT chunk_id, round(count(name) * 0.3::DOUBLE, 6) AS graph_score FROM lines LEFT JOIN names ON contains(lower(content), name) GROUP BY chunk_id""".lstrip(), "lines").replace("\n,", ","),
 }
 from .text import _ents  # noqa: E402
 

@@ -11,6 +11,7 @@ from lodestone.functions import text as X
 from lodestone.operators import answers as A
 from lodestone.operators import crm as C
 from lodestone.operators import graph as G
+from lodestone.operators import matching
 from lodestone.operators import monitoring as O
 from lodestone.operators import retrieval as R
 from lodestone.operators import upsert as U
@@ -412,8 +413,39 @@ def test_markdown_list_skips_nulls_and_keeps_order(spark):
     assert C.markdown_list(rows.limit(0), "T", "k").first().text == "\n**T:**"
 
 
-def test_cross_references_of_many_names_are_the_same(spark):
-    names = spark.createDataFrame([("Acme", None), ("Bob", "Robert"), ("nobody", None)], "name string, db_match string")
+def test_cross_references_of_many_names_are_the_same(spark, monkeypatch):
+    names = spark.createDataFrame([("Acme", None), ("Bob", "Robert"), ("nobody", None), ("", "")], "name string, db_match string")
     chunks = spark.createDataFrame([(1, 1, "acme and Bob"), (2, 1, "Robert"), (3, 1, None), (4, 1, "")], "chunk_id int, document_id int, content string")
-    of = lambda n: sorted(map(tuple, C.cross_references(names, chunks, n).select("entity", "chunk_id", "match_type").collect()))
-    assert of(1) == of(10_000) == [("Acme", 1, "direct"), ("Bob", 1, "direct"), ("Bob", 2, "company")]
+    of = lambda: sorted(map(tuple, C.cross_references(names, chunks).select("entity", "chunk_id", "match_type").collect()))
+    whole = of()
+    monkeypatch.setattr(matching, "SHARD_NAMES", 1)
+    assert of() == whole == [("Acme", 1, "direct"), ("Bob", 1, "direct"), ("Bob", 2, "company")]
+
+
+@pytest.mark.parametrize("shard", [3, 1000])
+def test_automata_against_plain_search(spark, monkeypatch, shard):
+    monkeypatch.setattr(matching, "SHARD_NAMES", shard)
+    monkeypatch.setattr(matching, "PAIRS", 2)
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abé ") for _ in range(n))
+    names = ["", "a", "ab", "aba", "ba", "é a", *(word(r.randrange(1, 5)) for _ in range(20)), None]
+    texts = [(i, word(r.randrange(0, 40))) for i in range(60)] + [(90, None), (91, ""), (92, "ab" * 5000)]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    keys = spark.createDataFrame([(n,) for n in names], "key string")
+    want = sorted((i, n) for i, t in texts for n in set(names) - {None, ""} if n in (t or ""))
+    assert sorted(map(tuple, matching.contained(df, "text", keys).collect())) == want
+    counted = {x["id"]: x["n"] for x in matching.count_contained(df, "text", keys, "n").collect()}
+    assert counted == {i: sum(1 for x, _ in want if x == i) for i, _ in texts}
+    assert matching.contained(df, "text", keys.limit(0)).count() == 0
+
+
+def test_names_meet_the_texts_of_their_own_group(spark, monkeypatch):
+    for name, value in (("HOT_ROWS", 5), ("HOT_DOCUMENTS", 10**9), ("HOT_PARTS", 3)):
+        monkeypatch.setattr(matching, name, value)
+    r = random.Random(6)
+    names = [(g, f"e{i}", "".join(r.choice("ab") for _ in range(r.randrange(4)))) for g in (1, 2, 3, None) for i in range(4)] + [(1, "e0", "ab"), (9, "e9", "a")]
+    texts = [(r.choice([1, 1, 1, 2, 4, None]), i, "".join(r.choice("abc") for _ in range(r.randrange(9)))) for i in range(50)] + [(2, 99, None)]
+    e = spark.createDataFrame(names, "document_id int, entity_id string, name string")
+    t = spark.createDataFrame(texts, "document_id int, chunk_id int, content string")
+    got = matching.contained_by_group(e, t, "document_id", "entity_id", "chunk_id").collect()
+    assert sorted(map(tuple, got)) == sorted({(g, x, i) for g, x, n in names for h, i, c in texts if g is not None and g == h and n and c and n in c})
