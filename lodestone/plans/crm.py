@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import changes as H
 from ..operators import crm as C
 from ..operators import sync as Y
 from ..operators import upsert as U
 from ..sources import tables as T
+from ..sources.store import new_path
 from ..sources.tables import with_sql
 
 NOW = dt.datetime(2024, 1, 15)
@@ -93,6 +95,28 @@ def _sync_merge(s, d):
     return merged["deals"].groupBy("stage").agg(F.count("*").alias("n"), F.count("contact_id").alias("linked"), F.round(F.sum("value"), 2).alias("value"))
 
 
+def _next_snapshot(s, d):
+    """A later state of the source: some deals changed, some gone, some new, one in thirteen without a stage."""
+    base = T.deals(s, d)
+    kept = base.where("deal_id % 17 <> 4").withColumn("value", F.when(F.col("deal_id") % 10 == 0, F.col("value") + 100.0).otherwise(F.col("value")))
+    kept = kept.withColumn("stage", F.when(F.col("deal_id") % 13 != 1, F.col("stage")))
+    return kept.unionByName(base.where("deal_id % 97 = 1").withColumn("deal_id", F.col("deal_id") + 10_000_000))
+
+
+def _sync_diff(s, d):
+    return H.diff(T.deals(s, d), _next_snapshot(s, d), "deal_id").select("deal_id", "stage", F.round("value", 2).alias("value"), "change")
+
+
+def _sync_runs(s, d):
+    """Three snapshots, the second delivered twice."""
+    base, later = T.deals(s, d), _next_snapshot(s, d)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
+    table = H.SyncedTable(s, new_path(s, "deals"), kinds, "deal_id")
+    for batch, rows in ((0, base), (1, later), (1, later), (2, base)):
+        table.sync(rows, batch)
+    return table.record()
+
+
 def _accounts(s, d):
     c = T.contacts(s, d).select("contact_id", F.when(F.col("contact_id") % 3 == 0, F.col("name")).when(F.col("contact_id") % 3 == 1, "").alias("name"), F.concat(F.lit("  "), F.upper("email"), F.lit(" ")).alias("email"))
     return c.select("contact_id", C.normalize_email(F.col("email")).alias("email"), C.display_name(F.col("name"), F.trim("email")).alias("display_name"))
@@ -137,6 +161,8 @@ QUERIES = {
     "crm_context_text": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), _contact_activities(s, d), "contact"),
     "crm_sync_run": _sync_run,
     "crm_sync_merge": _sync_merge,
+    "crm_sync_diff": _sync_diff,
+    "crm_sync_runs": _sync_runs,
     "quick_query_markdown": lambda s, d: C.markdown_list(C.quick_query("top_deals", _c(s, d), T.deals(s, d), T.activities(s, d)), "Top Deals", F.col("value").desc_nulls_last(), "deal_id"),
     "account_names": _accounts,
     "crm_context_summary": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), T.activities(s, d), "none"),
@@ -148,6 +174,10 @@ QUERIES = {
 _ISO = lambda c: f"CASE WHEN strftime({c}, '%f') = '000000' THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
 _DELTA = """changed AS (SELECT deal_id, name, value + 100.0 AS value, stage, close_date, contact_id FROM deals WHERE deal_id % 10 = 0
   UNION ALL SELECT deal_id + 10000000, name, value, 'lead', close_date, -1 FROM deals WHERE deal_id % 97 = 1)"""
+# A comparison column by column.
+_NEXT = """later AS (SELECT deal_id, name, value + CASE WHEN deal_id % 10 = 0 THEN 100.0 ELSE 0.0 END AS value, CASE WHEN deal_id % 13 <> 1 THEN stage END AS stage, close_date, contact_id FROM deals WHERE deal_id % 17 <> 4
+  UNION ALL SELECT deal_id + 10000000, name, value, stage, close_date, contact_id FROM deals WHERE deal_id % 97 = 1)"""
+_CHANGE = "CASE WHEN o.deal_id IS NULL THEN 'insert' WHEN n.deal_id IS NULL THEN 'delete' WHEN (o.name, o.value, o.stage, o.close_date, o.contact_id) IS DISTINCT FROM (n.name, n.value, n.stage, n.close_date, n.contact_id) THEN 'update' ELSE 'unchanged' END"
 
 ORACLES = {
     "top_deals": with_sql("SELECT deal_id, d.name, value, stage, close_date, coalesce(c.name, 'N/A') AS contact FROM deals d LEFT JOIN contacts c USING (contact_id) ORDER BY value DESC NULLS LAST, deal_id LIMIT 10", "contacts", "deals"),
@@ -177,6 +207,8 @@ UNION ALL SELECT 'crm-activity', activity_id, 'Activity: ' || type || ' — ' ||
     "crm_context_text": with_sql("""SELECT 1 AS section, contact_id AS position, '- **' || name || '** (Email: ' || coalesce(email, 'N/A') || ', Phone: ' || coalesce(phone, 'N/A') || ', Company: ' || coalesce(company, 'N/A') || ')' AS line FROM contacts
 UNION ALL SELECT * FROM (SELECT 3, activity_id, '- **' || type || '** on ' || strftime(date, '%Y-%m-%d') || ': ' || substr(description, 1, 200) FROM (SELECT activity_id, CASE type WHEN 'view' THEN 'Call' WHEN 'click' THEN 'email' WHEN 'purchase' THEN 'meeting' ELSE 'note' END AS type, date, description FROM activities ORDER BY date DESC, activity_id LIMIT 20) WHERE lower(type) IN ('call', 'email', 'meeting') ORDER BY date DESC, activity_id LIMIT 10)""", "contacts", "activities"),
     "crm_sync_run": with_sql("SELECT * FROM (VALUES (1, 'success', 0, 0, 1, 2, 3, NULL), (2, 'error', 0, 0, NULL, NULL, NULL, 'timeout'), (3, 'success', 0, 300, (SELECT count(*) FROM contacts WHERE contact_id % 7 = 0), (SELECT count(*) FILTER (deal_id % 10 = 0) + count(*) FILTER (deal_id % 97 = 1) FROM deals), (SELECT count(*) FROM activities WHERE activity_id % 5 = 0), NULL), (4, 'error', 300, 300, NULL, NULL, NULL, 'no route')) AS t(run_id, status, started, completed, contacts_synced, deals_synced, activities_synced, error_message)", "contacts", "deals", "activities").replace("SELECT * FROM (VALUES", "SELECT run_id::BIGINT AS run_id, status, started::BIGINT + 1705276800 AS started, completed::BIGINT + 1705276800 AS completed, contacts_synced::BIGINT AS contacts_synced, deals_synced::BIGINT AS deals_synced, activities_synced::BIGINT AS activities_synced, error_message FROM (VALUES"),
+    "crm_sync_diff": with_sql(f", {_NEXT} SELECT deal_id, CASE WHEN n.deal_id IS NULL THEN o.stage ELSE n.stage END AS stage, round(CASE WHEN n.deal_id IS NULL THEN o.value ELSE n.value END, 2) AS value, {_CHANGE} AS change FROM deals o FULL JOIN later n USING (deal_id)", "deals").replace("\n,", ","),
+    "crm_sync_runs": with_sql(f", {_NEXT}, changes AS (SELECT {_CHANGE} AS change FROM deals o FULL JOIN later n USING (deal_id)), counts AS (SELECT {', '.join(f'count(*) FILTER (change = {c!r}) AS {c}' for c in H.CHANGES)} FROM changes) SELECT 0::BIGINT AS batch, count(*) AS insert, 0::BIGINT AS update, 0::BIGINT AS delete, 0::BIGINT AS unchanged FROM deals UNION ALL SELECT 1, insert, update, delete, unchanged FROM counts UNION ALL SELECT 2, delete, update, insert, unchanged FROM counts", "deals").replace("\n,", ","),
     "quick_query_markdown": with_sql("SELECT chr(10) || '**Top Deals:**' || chr(10) || string_agg('- deal_id: ' || deal_id || ', name: ' || name || ', value: ' || value || ', stage: ' || stage, chr(10) ORDER BY value DESC, deal_id) AS text FROM (SELECT * FROM deals ORDER BY value DESC NULLS LAST, deal_id LIMIT 5)", "deals"),
     "account_names": with_sql("SELECT contact_id, email, CASE WHEN contact_id % 3 = 0 THEN name ELSE upper(string_split(email, '@')[1]) END AS display_name FROM contacts", "contacts"),
     "crm_context_summary": with_sql("""SELECT * FROM (SELECT 1 AS section, contact_id AS position, '- ' || name || ' (' || coalesce(company, 'N/A') || ')' AS line FROM contacts ORDER BY name, contact_id LIMIT 5)

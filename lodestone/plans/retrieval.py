@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import DATE
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..operators import upsert as U
 from ..sources import tables as T
+from ..sources.store import new_path, written
 
 
 def _vectors(s, d):
@@ -40,9 +42,49 @@ def _bm25(s, d, k=R.CANDIDATES):
     return R.Bm25Index(_chunks(s, d)).search(_text_queries(s, d), k)
 
 
-def _hybrid(s, d):
+def _fused(s, d):
+    """Fused hits and the keyword hits among them, found once."""
+    keyword = written(_bm25(s, d), "hits")
     # Half of a score of six digits has seven: eight leave no ties to round.
-    return R.hybrid_search(_semantic(s, d), _bm25(s, d), R.FUSED, digits=8)
+    return R.hybrid_search(_semantic(s, d), keyword, R.FUSED, digits=8), keyword
+
+
+def _hybrid(s, d):
+    return _fused(s, d)[0]
+
+
+def _promoted(s, d):
+    fused, keyword = _fused(s, d)
+    return R.promote(written(fused, "hits"), keyword)
+
+
+def _survivors(s, d):
+    fused, keyword = _fused(s, d)
+    return R.survivors(keyword, fused).select("query_id", "id", "bm25_score")
+
+
+def _changed_documents(s, d):
+    """What becomes of the documents: a third comes later, some then change and some go."""
+    docs = _chunks(s, d)
+    later = docs.where("id % 3 = 1")
+    changed = docs.where("id % 5 = 2").withColumn("content", F.concat("content", F.lit(" Addendum the of")))
+    return docs.where("id % 3 <> 1"), later, changed, docs.where("id % 7 = 3").select("id")
+
+
+def _refreshed(s, d):
+    """An index that follows its documents through three changes, the second one delivered twice."""
+    first, later, changed, gone = _changed_documents(s, d)
+    live = I.LiveIndex(s, new_path(s, "live"))
+    live.change(1, first)
+    live.change(2, later.unionByName(changed.where("id % 3 <> 1")).where("id % 7 <> 3"), gone)
+    live.change(2, later, gone)
+    live.change(3, changed.where("id % 3 = 1 AND id % 7 <> 3"), first.where("id % 11 = 5").select("id"))
+    return live
+
+
+def _refresh_stats(s, d):
+    stats = _refreshed(s, d).stats()
+    return I.inverse_frequencies(stats).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 def _date_boost(s, d):
@@ -78,8 +120,10 @@ QUERIES = {
     "bm25_search": lambda s, d: _bm25(s, d, 10),
     "bm25_stats": lambda s, d: R.Bm25Index(_chunks(s, d)).idf().select("token", "df", F.round("idf", 6).alias("idf")),
     "hybrid_search": _hybrid,
-    "hybrid_survivors": lambda s, d: R.survivors(_bm25(s, d), _hybrid(s, d)).select("query_id", "id", "bm25_score"),
-    "hybrid_promoted": lambda s, d: R.promote(_hybrid(s, d), _bm25(s, d)),
+    "hybrid_survivors": _survivors,
+    "bm25_refresh": lambda s, d: _refreshed(s, d).search(_text_queries(s, d), 10),
+    "bm25_refresh_stats": _refresh_stats,
+    "hybrid_promoted": _promoted,
     "rrf_search": lambda s, d: R.reciprocal_rank_fusion(_semantic(s, d), _bm25(s, d), 20),
     "bm25_date_boost": _date_boost,
     "min_max_normalize": _min_max,
@@ -99,12 +143,15 @@ _TOK = "regexp_split_to_array({}, '[^a-zA-Z0-9]+')"
 _SEM = f"""vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 sem0 AS (SELECT query_id, vec_id AS id, round(list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM vq, embeddings WHERE embedding IS NOT NULL),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS rank FROM sem0)"""
-_INDEX = """tok AS (SELECT doc_id AS id, lower(t) AS token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS t FROM documents) WHERE t <> ''),
+_INDEX_OF = lambda docs: f"""tok AS (SELECT id, lower(t) AS token FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS t FROM {docs}) WHERE t <> ''),
 postings AS (SELECT token, id, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT doc_id AS id, len(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda t: t <> '')) AS dl FROM documents),
+dl AS (SELECT doc_id AS id, len(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda t: t <> '')) AS dl FROM {docs}),
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 idf0 AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, totals GROUP BY token),
-idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM idf0) ELSE raw END AS idf FROM idf0)"""
+idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM idf0) ELSE raw END AS idf FROM idf0)"""
+_INDEX = _INDEX_OF("documents")
+# The documents as they are after the three changes.
+_LIVE = """live AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN text || ' Addendum the of' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3 AND NOT (doc_id % 3 <> 1 AND doc_id % 11 = 5))"""
 _TQ = "tq AS (SELECT item_id * 100 AS query_id, text AS query FROM benchmark)"
 
 
@@ -124,6 +171,8 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_sco
 ORACLES = {
     "semantic_search": f"WITH {_SEM} SELECT * FROM sem WHERE rank <= 10",
     "bm25_search": f"WITH {_INDEX}, {_TQ}, {_bm25_sql('bm', 'tq')} SELECT * FROM bm WHERE rank <= 10 AND bm25_score > 0",
+    "bm25_refresh": f"WITH {_LIVE}, {_INDEX_OF('live')}, {_TQ}, {_bm25_sql('bm', 'tq')} SELECT * FROM bm WHERE rank <= 10 AND bm25_score > 0",
+    "bm25_refresh_stats": f"WITH {_LIVE}, {_INDEX_OF('live')} SELECT token, df, round(idf, 6) AS idf FROM idf",
     "bm25_stats": f"WITH {_INDEX} SELECT token, df, round(idf, 6) AS idf FROM idf",
     "hybrid_search": f"WITH {_HYB} SELECT query_id, id, similarity, bm25_score, hybrid_score, rank FROM fused",
     "hybrid_survivors": f"WITH {_HYB} SELECT query_id, id, bm25_score FROM bm100 ANTI JOIN fused USING (query_id, id)",

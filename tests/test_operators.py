@@ -1,16 +1,22 @@
 """Golden cases and properties of the core operators."""
 
 import datetime as dt
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import models as ML
 from lodestone.functions import text as X
 from lodestone.operators import answers as A
+from lodestone.operators import changes as H
 from lodestone.operators import crm as C
 from lodestone.operators import graph as G
+from lodestone.operators import index as I
 from lodestone.operators import matching
 from lodestone.operators import monitoring as O
 from lodestone.operators import retrieval as R
@@ -449,3 +455,142 @@ def test_names_meet_the_texts_of_their_own_group(spark, monkeypatch):
     t = spark.createDataFrame(texts, "document_id int, chunk_id int, content string")
     got = matching.contained_by_group(e, t, "document_id", "entity_id", "chunk_id").collect()
     assert sorted(map(tuple, got)) == sorted({(g, x, i) for g, x, n in names for h, i, c in texts if g is not None and g == h and n and c and n in c})
+
+
+def bm25(docs, queries, k):
+    """Plain Okapi BM25 over {id: text}."""
+    tok = lambda t: [x.lower() for x in re.split("[^a-zA-Z0-9]+", t) if x]
+    bags = {i: Counter(tok(t)) for i, t in docs.items() if t is not None}
+    n, df = len(bags), Counter(t for b in bags.values() for t in b)
+    avg = sum(sum(b.values()) for b in bags.values()) / max(1, n)
+    raw = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in df.items()}
+    floor = 0.25 * sum(raw.values()) / max(1, len(raw))
+    out = []
+    for q, text in queries:
+        found = []
+        for i, b in bags.items():
+            dl = sum(b.values())
+            s = sum(m * (raw[t] if raw[t] >= 0 else floor) * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * dl / avg)) for t, m in Counter(tok(text)).items() if t in b)
+            if round(s, 6) > 0:
+                found.append((-round(s, 6), i))
+        out += [(q, i, -s, place) for place, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+def corpus_of(r, n):
+    words = [f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(400)]
+    return {i: " ".join(r.choice(words) for _ in range(r.randrange(0, 60))) for i in range(n)}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_bounded_search_against_plain_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(I, "MAX_QUERIES", block)
+    monkeypatch.setattr(I, "CELLS", 4000)
+    r = random.Random(9)
+    docs = corpus_of(r, 300)
+    docs |= {400 + i: docs[7] for i in range(20)} | {500: None, 501: ""}
+    queries = [(q, " ".join(r.choice([t or "x" for t in docs.values()]).split()[:12]) + " w1 w1 unknown") for q in range(7)] + [(90, ""), (91, None), (92, "unknown")]
+    chunks = spark.createDataFrame(list(docs.items()), "id long, content string").repartition(3)
+    got = R.Bm25Index(chunks).search(spark.createDataFrame(queries, "query_id long, query string"), 5)
+    assert sorted(map(tuple, got.select("query_id", "id", "bm25_score", "rank").collect())) == bm25(docs, [(q, t or "") for q, t in queries], 5)
+
+
+def test_documents_that_cannot_reach_the_best_are_skipped():
+    """Of long queries over many documents only a part of all products is made, with the same result."""
+    r = random.Random(11)
+    n, vocabulary = 4000, 400
+    weight = np.array([8.0 / (1 + t) ** 0.5 for t in range(vocabulary)][::-1])
+    often = np.array([min(1.0, 0.002 + (t / vocabulary) ** 4) for t in range(vocabulary)])
+    rng = np.random.default_rng(3)
+    holds = rng.random((n, vocabulary)) < often
+    names = np.array([f"t{i:03d}" for i in range(vocabulary)], object)
+    query = [np.unique(np.concatenate([rng.choice(vocabulary, 25), [5, 6, 7, 8]])) for _ in range(10)]
+    for i in range(10):
+        holds[rng.choice(n, 20)[:, None], query[i]] = True
+    of = lambda: I.Weights(np.repeat(np.arange(10), [len(q) for q in query]), np.concatenate([names[q] for q in query]), np.concatenate([weight[q] for q in query]), 10, 50.0, 10)
+
+    def run(bounded):
+        w = of()
+        for low in range(0, n, 200):
+            row, token = np.nonzero(holds[low : low + 200])
+            known = {t: i for i, t in enumerate(w.tokens)}
+            at = np.array([known.get(names[t], -1) for t in token])
+            if not bounded:
+                w.least[:] = -np.inf
+            w.add(list(range(low, low + 200)), np.full(200, 50.0), at[at >= 0], row[at >= 0], np.ones((at >= 0).sum()))
+        return w
+
+    bounded, whole = run(True), run(False)
+    assert bounded.best == whole.best and bounded.scored < 0.8 * whole.scored
+
+
+def test_live_index_equals_a_rebuild(spark, tmp_path):
+    r = random.Random(10)
+    docs = corpus_of(r, 120)
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, content string")
+    gone = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    queries = [(q, docs[r.randrange(120)] + " w1") for q in range(6)]
+    live = I.LiveIndex(spark, str(tmp_path / "live"))
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    assert live.search(q).count() == 0
+    steps = [({i: docs[i] for i in range(80)}, []), ({i: docs[i] + " w2 w2" for i in range(70, 120)}, [3, 4, 999]), ({5: None, 3: "w1 again"}, [70, 71]), ({}, [3])]
+    state = {}
+    for batch, (put, drop) in enumerate(steps):
+        for _ in range(2):  # a batch delivered again changes nothing
+            live.change(batch, frame(put) if put else None, gone(drop) if drop else None)
+        state = {i: t for i, t in state.items() if i not in drop} | put
+        got = sorted(map(tuple, live.search(q, 8).select("query_id", "id", "bm25_score", "rank").collect()))
+        assert got == bm25(state, queries, 8)
+    with pytest.raises(ValueError):
+        live.change(1, frame({1: "late"})) if live.batches() != [0, 1, 2, 3] else live.change(-1, frame({1: "late"}))
+
+
+def test_a_change_reads_only_the_parts_of_its_ids(spark, tmp_path):
+    live = I.LiveIndex(spark, str(tmp_path / "live"))
+    live.change(1, spark.range(200).selectExpr("id", "concat('word', id) AS content"))
+    part = spark.createDataFrame([(7,)], "id long").select(live._part("id")).first()[0]
+    plan = live.documents().where(F.col("part").isin([part]))._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(part" in plan.replace("#", "(") or "PartitionFilters: [" in plan and f"= {part}" in plan
+    live.change(2, None, spark.createDataFrame([(7,)], "id long"))
+    assert live.documents().count() == 199 and I.totals(live.stats()).first()["n"] == 199
+
+
+def test_changes_between_snapshots(spark):
+    schema = "id int, a string, b double"
+    old = [(1, "x", 1.0), (2, None, 2.0), (3, "", 3.0), (4, "gone", 4.0), (None, "n", 0.0), (5, "same", None)]
+    new = [(1, "x", 1.5), (2, "", 2.0), (3, None, 3.0), (6, "new", 6.0), (5, "same", None), (None, "m", 0.0)]
+    got = H.diff(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema).select("b", "id", "a"), "id")
+    want = [(1, "x", 1.5, "update"), (2, "", 2.0, "update"), (3, None, 3.0, "update"), (4, "gone", 4.0, "delete"), (5, "same", None, "unchanged"), (6, "new", 6.0, "insert")]
+    assert sorted(map(tuple, got.select("id", "a", "b", "change").collect())) == want
+
+
+def test_a_batch_replayed_after_a_failure_changes_nothing(spark, tmp_path, monkeypatch):
+    table = H.SyncedTable(spark, str(tmp_path / "deals"), "id int, a string", "id")
+    rows = lambda d: spark.createDataFrame(list(d.items()), "id int, a string")
+    read = lambda: {r["id"]: r["a"] for r in table.current().collect()}
+    table.sync(rows({1: "a", 2: "b"}), 0)
+    first = H.diff
+    monkeypatch.setattr(H, "diff", lambda *a: (_ for _ in ()).throw(OSError("no route")))
+    with pytest.raises(OSError):
+        table.sync(rows({2: "c"}), 1)
+    monkeypatch.setattr(H, "diff", first)
+    # A run that ended before its record: the table of its batch is there, its record isn't.
+    rows({9: "half"}).write.parquet(str(tmp_path / "deals/table/batch=1"))
+    assert read() == {1: "a", 2: "b"}
+    for _ in range(2):
+        table.sync(rows({2: "c", 3: "d"}), 1)
+        assert read() == {2: "c", 3: "d"}
+    table.sync(rows({1: "other"}), 0)
+    assert read() == {2: "c", 3: "d"}
+    assert sorted(map(tuple, table.record().collect())) == [(0, 2, 0, 0, 0), (1, 1, 1, 1, 0)]
+
+
+def test_snapshots_as_a_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    for n, d in enumerate(({1: "a"}, {1: "b", 2: "c"})):
+        spark.createDataFrame(list(d.items()), "id int, a string").coalesce(1).write.mode("append").parquet(str(folder))
+        table = H.SyncedTable(spark, str(tmp_path / "out"), "id int, a string", "id")
+        source = spark.readStream.schema("id int, a string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+        table.stream(source, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        assert {r["id"]: r["a"] for r in table.current().collect()} == d
+    assert sorted(map(tuple, table.record().collect())) == [(0, 1, 0, 0, 0), (1, 1, 1, 0, 0)]
