@@ -26,8 +26,9 @@ from .storage import materialize, scratch
 PIECE = 1 << 18
 #: The two largest primes below 2**31.
 PRIMES = (2147483647, 2147483629)
-#: Rows of a group that are compared in one task with a copy of the first; groups and rows that are broadcast at most.
-SALT_ROWS, HOT_GROUPS, BROADCAST_ROWS = 1000, 1000, 500_000
+#: Rows of a group that are compared in one task with a copy of the first; groups that are broadcast at most, and
+#: their least rows; rows that are broadcast at most.
+SALT_ROWS, HOT_GROUPS, HOT_ROWS, BROADCAST_ROWS = 64, 1000, 1000, 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -149,7 +150,7 @@ def _grouped(prints: DataFrame) -> DataFrame:
     """
     groups = prints.groupBy(*_PRINT).agg(F.count("*").alias("group_size"), F.min(F.expr(_FIRST)).alias("_first")).where("group_size > 1")
     groups = materialize(groups.select(*_PRINT, "group_size", F.col("_first._row").alias("rep"), F.col("_first.doc_id").alias("keep_id")))
-    bar = max(SALT_ROWS, prints.count() // HOT_GROUPS)
+    bar = max(HOT_ROWS, prints.count() // HOT_GROUPS)
     hot, cold = F.broadcast(groups.where(F.col("group_size") >= bar)), groups.where(F.col("group_size") < bar)
     out = prints.join(hot, _PRINT).unionByName(prints.join(hot, _PRINT, "left_anti").join(cold, _PRINT, "left"), allowMissingColumns=True)
     return out.select("_row", "doc_id", "text_sha256", *_PRINT, F.coalesce("rep", "_row").alias("rep"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
