@@ -70,14 +70,16 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
 
     Defined results: null sources form one source, last in order; null sizes count 0; rows of size 0 are never
     taken; repeated rows are separate rows; an empty table stays empty. Columns with this function's own names
-    are replaced. Draws hang on what a row holds, not on where it lies: runs on the same rows agree however Spark
+    are replaced. ``rows`` must give the same rows on every read, as files do. Draws hang on what a row holds, not on where it lies: runs on the same rows agree however Spark
     cuts the files, and of rows alike in every column any may be the one that is taken. What reaches the driver: at
     most ``max_blocks`` block totals plus one row a source.
     """
     rows = rows.drop("source_size", "target", "copies", "taken", "shards", "sid", "_row", "_block", "_key")
     names = rows.columns
     spark = rows.sparkSession
-    base = materialize(rows.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.xxhash64(*names)))
+    rows = rows.withColumn("_key", F.xxhash64(*names)).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    # Only what draws need is written; the rows themselves are read again at the end.
+    base = materialize(rows.select("source", "size", "_key").withColumn("_row", F.monotonically_increasing_id()))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     targets = materialize(source_targets(sizes, weights, share, float(most)))
     found = targets.orderBy("sid").collect()
@@ -86,8 +88,12 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
     n_blocks = [max(1, r["source_rows"] // shared_out) for r in found]
 
     sources = targets.withColumn("_blocks", F.greatest(F.lit(1), F.floor(F.col("source_rows") / shared_out)).cast("long"))
-    dealt = base.join(F.broadcast(sources) if len(found) <= 10_000 else sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")).cast("int"))
+
+    def deal(df: DataFrame) -> DataFrame:
+        of = df.join(F.broadcast(sources) if len(found) <= 10_000 else sources, df["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+        return of.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")).cast("int"))
+
+    dealt = deal(base)
     words: dict[tuple[int, int], int] = {(r["sid"], r["_block"]): r["w"] for r in dealt.groupBy("sid", "_block").agg(F.sum("size").alias("w")).collect()}
 
     rng = np.random.default_rng(seed)
@@ -120,11 +126,16 @@ def mix_sources(rows: DataFrame, n_shards: int = 16, seed: int = 29, share: floa
         [(s, b, shards, rest[s][1] if rest[s][0] == b else None) for (s, b), shards in plan.items()],
         "sid int, _block int, _shards array<int>, _part bigint",
     )
-    planned = dealt.join(table, ["sid", "_block"], "left")
-    partly = planned.where("_part is not null")
-    in_part = _part_of_block(partly.select("sid", "_row", "_key", "size", "_part"), seed)
-    # Only the rows of blocks that are used in part are exchanged, one block a source.
-    planned = planned.where("_part is null").withColumn("_in", F.lit(0)).unionByName(partly.join(in_part, "_row", "left"))
+    used = dealt.join(table.where("_part is not null"), ["sid", "_block"])
+    in_part = _part_of_block(used.select("sid", "_row", "_key", "size", "_part"), seed).join(used.select("_row", "_key"), "_row")
+    chosen = in_part.groupBy("_key").agg(F.count("*").alias("_chosen"))
+    planned = deal(rows).join(table, ["sid", "_block"], "left")
+    # Only the rows of blocks that are used in part are exchanged, one block a source. Of rows alike in every column
+    # as many are taken as were drawn.
+    partly = planned.where("_part is not null").join(chosen, "_key", "left")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("size"))
+    partly = partly.withColumn("_in", (place <= F.coalesce("_chosen", F.lit(0))).cast("int")).drop("_chosen")
+    planned = planned.where("_part is null").withColumn("_in", F.lit(0)).unionByName(partly)
     whole = F.coalesce(F.size("_shards"), F.lit(0)) - F.col("_part").isNotNull().cast("int")
     copies = F.when(F.col("size") > 0, whole + F.coalesce(F.col("_in"), F.lit(0))).otherwise(0)
     return planned.withColumn("copies", copies.cast("int")).select(
