@@ -10,17 +10,25 @@ from . import matching
 MAX_PAIRS, MIN_COUNT = 50, 2
 
 
-def cooccurrence(mentions: DataFrame, least: int = MIN_COUNT) -> DataFrame:
-    """``mentions`` (chunk_id, entity; distinct) -> undirected edges ``source, target, weight, confidence``.
+def pairs(mentions: DataFrame, *chunk: str) -> DataFrame:
+    """``source, target``, source first by name, for each chunk (columns ``chunk``) that mentions both.
 
     A chunk's entities are paired in one array, so there is one exchange to gather them and none to pair them; a
     chunk holds few entities.
     """
-    each = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity")).alias("e")).where("size(e) > 1")
+    each = mentions.groupBy(*chunk).agg(F.array_sort(F.collect_set("entity")).alias("e")).where("size(e) > 1")
     first = each.select(F.posexplode("e").alias("i", "source"), "e")
-    pairs = first.select("source", F.explode(F.slice("e", F.col("i") + 2, F.greatest(F.size("e") - F.col("i") - 1, F.lit(0)))).alias("target"))
-    edges = pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
-    return edges.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("weight") / 10.0), 2))
+    return first.select("source", F.explode(F.slice("e", F.col("i") + 2, F.greatest(F.size("e") - F.col("i") - 1, F.lit(0)))).alias("target"))
+
+
+def confidence(weight: Column) -> Column:
+    return F.round(F.least(F.lit(1.0), weight / 10.0), 2)
+
+
+def cooccurrence(mentions: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """``mentions`` (chunk_id, entity; distinct) -> undirected edges ``source, target, weight, confidence``."""
+    edges = pairs(mentions, "chunk_id").groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    return edges.withColumn("confidence", confidence(F.col("weight")))
 
 
 def top_edges(edges: DataFrame, k: int = MAX_PAIRS) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators.live import LiveCorpus, LiveGraph
 from ..sources import tables as T
+from ..sources.store import new_path, written
 from ..sources.tables import with_sql
 
 
@@ -58,6 +60,48 @@ def _delete(s, d):
     return kept.groupBy("entity").agg(F.count("*").alias("mentions")).join(entities, "entity")
 
 
+def _line_mentions(s, d):
+    """The names in each line of the documents."""
+    found = T.lines(s, d).select("document_id", "chunk_id", F.explode(X.text_entities(F.col("content"))).alias("e"))
+    return found.select("document_id", "chunk_id", F.col("e.name").alias("entity")).distinct()
+
+
+def _refreshed_graph(s, d):
+    """A graph that follows its documents: a third comes later, some change and some go, and one batch comes twice."""
+    now = written(_line_mentions(s, d), "mentions")
+    ids = T.table(s, d, "documents").select(F.col("doc_id").alias("document_id"))
+    changed = now.withColumn("entity", F.concat("entity", F.lit(" (changed)"))).where("document_id % 5 = 2")
+    live = LiveGraph(s, new_path(s, "graph"))
+    live.change(1, ids.where("document_id % 3 <> 1"), now)
+    second = ids.where("document_id % 3 = 1 OR document_id % 5 = 2 OR document_id % 7 = 3")
+    rows = now.where("document_id % 3 = 1").unionByName(changed.where("document_id % 3 <> 1")).where("document_id % 7 <> 3")
+    live.change(2, second, rows)
+    live.change(2, second, rows)
+    live.compact(3)
+    third = ids.where("(document_id % 3 = 1 AND document_id % 5 = 2 AND document_id % 7 <> 3) OR (document_id % 3 <> 1 AND document_id % 11 = 5)")
+    live.change(4, third, changed.where("document_id % 3 = 1"))
+    return live
+
+
+def _cascade(s, d):
+    """What chunks, wiki, vectors, graph and index hold of each document after a quarter of the documents went."""
+    docs = T.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    lines = T.lines(s, d).select("document_id", "chunk_id", "content")
+    vectors = T.table(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("vec_id").alias("vector_id"))
+    every = docs.select("document_id").unionByName(vectors.select("document_id"))
+    corpus = LiveCorpus(s, new_path(s, "corpus"))
+    corpus.change(1, every, _line_mentions(s, d), chunks=lines, wiki=docs.withColumnRenamed("text", "summary"), vectors=vectors)
+    corpus.change(2, docs.where("document_id % 4 = 0"))
+    chunks = corpus.tables["chunks"].rows()
+    indexed = corpus.index.documents().select(F.col("id").alias("chunk_id")).join(chunks.select("chunk_id", "document_id"), "chunk_id", "left")
+    stores = {name: t.rows() for name, t in corpus.tables.items()} | {"mentions": corpus.graph.rows(), "indexed": indexed}
+    counts = None
+    for name, rows in stores.items():
+        one = rows.select("document_id", F.lit(name).alias("store"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.groupBy("document_id").agg(*(F.count_if(F.col("store") == name).alias(name) for name in stores))
+
+
 QUERIES = {
     "graph_nodes": lambda s, d: _entities(s, d),
     "graph_mentions": lambda s, d: T.mentions(s, d).groupBy("entity").agg(F.count("*").alias("chunks")),
@@ -74,6 +118,9 @@ QUERIES = {
     "entity_mentions": _text_mentions,
     "entity_parse": _parse,
     "relation_parse": _relations,
+    "graph_refresh": lambda s, d: _refreshed_graph(s, d).edges(),
+    "graph_refresh_entities": lambda s, d: _refreshed_graph(s, d).entities(),
+    "corpus_cascade": _cascade,
     "graph_score": lambda s, d: G.graph_score(T.lines(s, d), _all_names(s, d)).select("chunk_id", "graph_score"),
 }
 
@@ -110,3 +157,13 @@ SELECT chunk_id, round(count(name) * 0.3::DOUBLE, 6) AS graph_score FROM lines L
 from .text import _ents  # noqa: E402
 
 ORACLES["entity_mentions"] = with_sql("", "lines").rstrip() + ", " + _LINES_ENT.format(_ents) + " SELECT DISTINCT document_id, entity_id, chunk_id FROM ents JOIN lines USING (document_id) WHERE contains(lower(content), lower(name))"
+
+_NAMED = with_sql("", "lines").rstrip() + ", named AS (SELECT DISTINCT doc_id AS chunk_id, name AS entity FROM (" + _ents.replace("FROM documents", "FROM (SELECT chunk_id AS doc_id, content AS text FROM lines)") + ") WHERE length(name) >= 2)"
+_NOW = _NAMED + """, now AS (SELECT chunk_id, CASE WHEN document_id % 5 = 2 THEN entity || ' (changed)' ELSE entity END AS entity FROM named JOIN lines USING (chunk_id)
+WHERE document_id % 7 <> 3 AND NOT (document_id % 3 <> 1 AND document_id % 11 = 5))
+"""
+ORACLES["graph_refresh"] = _NOW + "SELECT a.entity AS source, b.entity AS target, count(*) AS weight, round(least(1.0::DOUBLE, count(*) / 10.0::DOUBLE), 2) AS confidence FROM now a JOIN now b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2"
+ORACLES["graph_refresh_entities"] = _NOW + "SELECT entity, count(*) AS mentions FROM now GROUP BY entity"
+ORACLES["corpus_cascade"] = _NAMED + """, held AS (SELECT document_id, 'chunks' AS store FROM lines UNION ALL SELECT doc_id, 'wiki' FROM documents UNION ALL SELECT vec_id, 'vectors' FROM embeddings
+UNION ALL SELECT document_id, 'mentions' FROM named JOIN lines USING (chunk_id) UNION ALL SELECT document_id, 'indexed' FROM lines)
+SELECT document_id, """ + ", ".join(f"count(*) FILTER (store = '{s}') AS {s}" for s in ("chunks", "wiki", "vectors", "mentions", "indexed")) + " FROM held WHERE NOT (document_id % 4 = 0 AND document_id IN (SELECT doc_id FROM documents)) GROUP BY document_id"
