@@ -11,7 +11,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,26 +76,6 @@ def rerank(hits: DataFrame, k: int, model: Callable[[], Callable] = lexical_scor
     return top_per_query(scored, k, F.col("reranker_score").desc(), "id")
 
 
-def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of lower-cased texts."""
-
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([round(SequenceMatcher(None, p.lower(), q.lower()).ratio(), 6) for p, q in zip(x, y)], dtype="float64")
-
-    return run(a, b)
-
-
-def fuzzy_match(queries: DataFrame, names: DataFrame, least: float = 0.6, max_queries: int = 1_000) -> DataFrame:
-    """Pairs of ``queries`` (query_id, query) and ``names`` (name) with a ratio above ``least``. The queries are a checked,
-    bounded batch; the length bound 2 min / (a + b) drops most names before the ratio is computed."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"at most {max_queries} queries a batch")
-    a, b = F.length("query"), F.length("name")
-    pairs = names.join(F.broadcast(queries), 2 * F.least(a, b) > least * (a + b))
-    return pairs.withColumn("ratio", fuzzy_ratio(F.col("query"), F.col("name"))).where(F.col("ratio") > least)
-
-
 def rerank_keeping_keywords(hits: DataFrame, k: int, model: Callable[[], Callable] = lexical_scorer, candidates: int = 100) -> DataFrame:
     """``rerank``, after the hits with a ``bm25_score`` that it drops: those come first, in their old order, scored 0."""
     query = Window.partitionBy("query_id")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import matching
 
 MAX_PAIRS, MIN_COUNT = 50, 2
+#: An entity of this many neighbours is a hub; parts that those who come to one are dealt to.
+HUB, SALTS = 10_000, 32
 
 
 def pairs(mentions: DataFrame, *chunk: str) -> DataFrame:
@@ -41,16 +44,59 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 def within(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Entities at most ``depth`` (1 to 3) undirected steps from ``start`` (entity), with their distance, 0 included."""
+    found = walks(edges, start.select(F.lit(0).alias("seed"), "entity"), depth)
+    return found.drop("seed")
+
+
+def adjacency(edges: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
+    """``edges`` in both directions as ``entity, salt, target, target_salts``, written once.
+
+    Entities of ``hub`` neighbours or more are there ``salts`` times, so that those who come to one are dealt to as
+    many tasks; there are at most a ``hub``-th as many of them as edges.
+    """
+    both = written(mirrored(edges), "edges")
+    hubs = both.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= hub).select(F.col("source").alias("hub"))
+    if hubs.isEmpty():
+        return both.select(F.col("source").alias("entity"), F.lit(0).alias("salt"), "target", F.lit(1).alias("target_salts"))
+    hubs = hubs.withColumn("salts", F.lit(salts))
+    dealt = both.join(hubs, F.col("source") == F.col("hub"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("hub", "salts")
+    to = dealt.join(hubs, F.col("target") == F.col("hub"), "left")
+    return written(to.select(F.col("source").alias("entity"), "salt", "target", F.coalesce("salts", F.lit(1)).alias("target_salts")), "edges")
+
+
+def walks(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None, hub: int = HUB, salts: int = SALTS) -> DataFrame:
+    """``seed, entity, distance`` of all entities at most ``depth`` (1 to 3) undirected steps from the entities of each
+    seed (``seeds``: seed, entity), those at distance 0 included.
+
+    The frontiers of all seeds are one table and go through the edges together; what a seed has seen is kept by seed
+    and entity. With ``limit``, a seed that has as many entities beyond its own goes no further: all that is missing
+    then is farther than these.
+    """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1 to 3")
-    both = mirrored(edges)
-    reached = start.select("entity", F.lit(0).alias("distance")).distinct()
-    frontier = reached
+    near = adjacency(edges, hub, salts)
+    own = seeds.select("seed", "entity").where("entity IS NOT NULL").distinct()
+    many = near.groupBy("entity").agg((F.max("salt") + 1).alias("_salts"))
+    frontier = own.join(many, "entity", "left").select("seed", "entity", F.lit(0).alias("distance"), F.coalesce("_salts", F.lit(1)).alias("_salts"))
+    reached = frontier = written(frontier, "walks")
     for step in range(1, depth + 1):
-        nxt = frontier.join(both, frontier["entity"] == both["source"]).select(F.col("target").alias("entity")).distinct()
-        frontier = nxt.join(reached, "entity", "left_anti").withColumn("distance", F.lit(step))
+        if limit is not None and step > 1:
+            full = reached.where("distance > 0").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+            frontier = frontier.join(full, "seed", "left_anti")
+        salted = frontier.select("seed", "entity", F.pmod(F.xxhash64("seed"), F.col("_salts").cast("long")).cast("int").alias("salt"))
+        to = salted.join(near, ["entity", "salt"]).select("seed", F.col("target").alias("entity"), F.lit(step).alias("distance"), F.col("target_salts").alias("_salts")).distinct()
+        frontier = to.join(reached.select("seed", "entity"), ["seed", "entity"], "left_anti")
+        if step < depth:
+            frontier = written(frontier.select(*reached.columns), "walks")
         reached = reached.unionByName(frontier)
-    return reached
+    return reached.drop("_salts")
+
+
+def nearest(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
+    """``seed, entity, distance, rank``: the ``limit`` nearest entities of each seed without its own, ties by name."""
+    found = walks(edges, seeds, depth, limit).where("distance > 0")
+    order = Window.partitionBy("seed").orderBy("distance", "entity")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def match_entity(name: Column, query: str) -> Column:

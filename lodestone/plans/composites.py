@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as ML
 from ..functions import text as X
 from ..operators import answers as A
+from ..operators import fuzzy
 from ..operators import memory as M
 from ..operators import retrieval as R
 from ..sources import files
@@ -97,9 +98,13 @@ def _embedded(s, d):
 
 
 def _fuzzy(s, d):
-    names = T.contacts(s, d).select("name")
-    q = s.createDataFrame([(1, "customer#000000012"), (2, "Custmer#000000100"), (3, "nobody at all")], "query_id int, query string")
-    return ML.fuzzy_match(q, names, 0.9).select("query_id", "name", "ratio")
+    """Every contact by a name as someone types it: a letter left out, and sometimes a digit changed."""
+    names = T.contacts(s, d).select("contact_id", "name")
+    at = (F.col("contact_id") % 8 + 1).cast("int")
+    typed = F.concat(F.substring(F.col("name"), F.lit(1), at - 1), F.substring(F.col("name"), at + 1, F.length("name")))
+    typed = F.when(F.col("contact_id") % 3 == 0, F.regexp_replace(typed, "[05]$", "7")).otherwise(typed)
+    queries = names.select(F.col("contact_id").alias("query_id"), typed.alias("query"))
+    return fuzzy.fuzzy_match(queries, names.select("name"), 0.9).select("query_id", "name", "ratio")
 
 
 QUERIES = {

@@ -21,6 +21,14 @@ def _entities(s, d):
     return m.select("entity", F.substring("entity", 1, 7).alias("type"), F.when(F.col("n") % 5 != 0, F.round(F.col("n") / 1000.0, 3)).alias("confidence"))
 
 
+def _every_seed(edges):
+    return G.mirrored(edges).select(F.col("source").alias("seed"), F.col("source").alias("entity")).distinct()
+
+
+def _text_edges(s, d):
+    return written(G.cooccurrence(_line_mentions(s, d)), "edges")
+
+
 def _seeds(s, d):
     return _entities(s, d).where("entity = 'Brand#11'")
 
@@ -112,6 +120,8 @@ QUERIES = {
     "entity_match": lambda s, d: _entities(s, d).where(G.match_entity(F.col("entity"), "all of brand#12 and brand#34")).select("entity"),
     "entity_search": lambda s, d: G.search(_entities(s, d), "brand#2", None, 5),
     "related_entities": lambda s, d: G.related_entities(_edges(s, d), _entities(s, d), "Brand#1", 2, 2, 15),
+    "brand_walks": lambda s, d: G.nearest(_edges(s, d), _entities(s, d).select(F.col("entity").alias("seed"), "entity"), 3, 20),
+    "text_walks": lambda s, d: (lambda e: G.nearest(e, _every_seed(e), 3, 50))(_text_edges(s, d)),
     "expand_entities": lambda s, d: G.expand_entities(_edges(s, d), _entities(s, d), "Brand#", 3).select("entity", F.array_join("neighbours", ",").alias("neighbours")),
     "entity_subgraph": lambda s, d: G.subgraph(_edges(s, d), _seeds(s, d), 2)[0],
     "entity_subgraph_edges": lambda s, d: G.subgraph(_edges(s, d), _seeds(s, d), 1)[1].select("source", "target", "weight"),
@@ -167,3 +177,9 @@ ORACLES["graph_refresh_entities"] = _NOW + "SELECT entity, count(*) AS mentions
 ORACLES["corpus_cascade"] = _NAMED + """, held AS (SELECT document_id, 'chunks' AS store FROM lines UNION ALL SELECT doc_id, 'wiki' FROM documents UNION ALL SELECT vec_id, 'vectors' FROM embeddings
 UNION ALL SELECT document_id, 'mentions' FROM named JOIN lines USING (chunk_id) UNION ALL SELECT document_id, 'indexed' FROM lines)
 SELECT document_id, """ + ", ".join(f"count(*) FILTER (store = '{s}') AS {s}" for s in ("chunks", "wiki", "vectors", "mentions", "indexed")) + " FROM held WHERE NOT (document_id % 4 = 0 AND document_id IN (SELECT doc_id FROM documents)) GROUP BY document_id"
+
+_NEAREST = """, w AS (WITH RECURSIVE r(seed, entity, distance) AS (SELECT source, source, 0 FROM both_ways UNION SELECT seed, target, distance + 1 FROM r JOIN both_ways ON source = entity WHERE distance < 3)
+SELECT seed, entity, min(distance)::INT AS distance FROM r GROUP BY ALL HAVING min(distance) > 0)
+SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, entity)::INT AS rank FROM w QUALIFY rank <= """
+ORACLES["brand_walks"] = _g("").rstrip() + _NEAREST + "20"
+ORACLES["text_walks"] = _NAMED + ", mentions AS (SELECT * FROM named), " + _EDGES + _NEAREST + "50"

@@ -138,6 +138,38 @@ def test_bounded_walk_against_search(spark):
     assert got == dist
 
 
+@pytest.mark.parametrize("hub, limit", [(10_000, None), (4, None), (10_000, 3), (3, 5)])
+def test_walks_of_many_seeds_against_search(spark, hub, limit):
+    r = random.Random(hub + (limit or 0))
+    edges = [(f"n{a:02d}", f"n{b:02d}") for a, b in ((min(r.randrange(40), r.randrange(40)), r.randrange(40)) for _ in range(45)) if a != b]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seeds = [(s, f"n{s:02d}") for s in range(40)] + [(7, "n01"), (7, "n01"), (50, None), (51, "unknown")]
+    want = []
+    for seed in {s for s, _ in seeds}:
+        dist = {e: 0 for s, e in seeds if s == seed and e}
+        frontier = set(dist)
+        for step in (1, 2, 3):
+            frontier = {y for x in frontier for y in near.get(x, ())} - set(dist)
+            dist |= dict.fromkeys(frontier, step)
+        best = sorted((d, e) for e, d in dist.items() if d)[:limit]
+        want += [(seed, e, d, i) for i, (d, e) in enumerate(best, 1)]
+    df = spark.createDataFrame(edges, "source string, target string")
+    start = spark.createDataFrame(seeds, "seed int, entity string")
+    found = G.walks(df, start, 3, limit, hub, 4)
+    assert found.count() == found.select("seed", "entity").distinct().count()
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "entity"))
+    got = found.where("distance > 0").withColumn("rank", rank).where(F.col("rank") <= (limit or 1000))
+    assert sorted(map(tuple, got.select("seed", "entity", "distance", "rank").collect())) == sorted(want)
+    if hub == 10_000:
+        got = G.nearest(df, start, 3, limit or 1000).select("seed", "entity", "distance", "rank")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_honesty_of_empty_answers(spark):
     df = spark.createDataFrame([("", True, 1.0), (None, True, 1.0), ("fine", False, 1.0), ("fine", True, 0.05), ("fine", True, -0.5), ("fine", True, 0.5)], "a string, c boolean, s double")
     got = [r[0] for r in df.select(A.is_refused(F.col("a"), F.col("c"), F.col("s"), F.lit(0.0), F.lit(True))).collect()]
