@@ -13,6 +13,8 @@ from ..sources.store import written
 
 #: Length of the longest grams.
 MAX_Q = 3
+#: Pairs whose ratio a task computes, about.
+TASK_PAIRS = 20_000
 #: Ratios are rounded to six places, so that one this much below a threshold can come out above it.
 ROUNDING = 1e-6
 
@@ -129,7 +131,9 @@ def fuzzy_match(queries: DataFrame, names: DataFrame, least: float = 0.6, by: st
     if not 0 < least < 1:
         raise ValueError("least must be between 0 and 1")
     side = lambda rows, c: rows.select(F.lower(c).alias("_t")).where("_t <> ''").distinct()
-    near = candidates(side(queries, "query"), side(names, "name"), least, by)
+    near = written(candidates(side(queries, "query"), side(names, "name"), least, by), "pairs")
+    # Pairs are small rows of much work: tasks by their number, not by bytes.
+    near = near.repartition(1 + near.count() // TASK_PAIRS)
     scored = near.withColumn("ratio", ratio(F.col("q"), F.col("n"))).where(F.col("ratio") > least)
     return queries.join(scored, F.lower("query") == F.col("q")).join(names, F.col("n") == F.lower("name")).select(*queries.columns, *names.columns, "ratio")
 
