@@ -14,6 +14,7 @@ from ..operators import retrieval as R
 from ..operators import upsert as U
 from ..sources import tables as T
 from ..sources.tables import with_sql
+from ..streaming import alerts as L
 
 NOW = dt.datetime(2024, 1, 10)
 
@@ -158,6 +159,7 @@ QUERIES = {
     "alert_5xx": lambda s, d: O.windowed_error_ratio(T.request_log(s, d), "5 minutes", "1 minute").select(F.unix_seconds("start").alias("start"), "total", "errors"),
     "alert_4xx": _alert(400, 500, 10, 0.25),
     "alert_429": _alert(429, 430, 5, 0.1),
+    "alert_states": lambda s, d: L.transitions(T.counter_samples(s, d)),
     "active_buckets": lambda s, d: O.active_buckets(T.request_log(s, d)),
     "ratelimit_tier": lambda s, d: s.createDataFrame([(p,) for p in (*O.TIERS, "/qa/history", "/docs/x", "/health", "/monitoring/errors", "/other", "/searching")], "path string").select("path", O.tier(F.col("path")).alias("t")).select("path", "t.*"),
 }
@@ -215,6 +217,16 @@ SELECT query_id, round(sum(CASE WHEN l > 20 AND len(w) > 0 AND len(list_intersec
     "alert_5xx": with_sql("SELECT start, count(*) AS total, count(*) FILTER (status >= 500) AS errors FROM (SELECT status, unnest(range(epoch(ts)::BIGINT // 60 * 60 - 240, epoch(ts)::BIGINT // 60 * 60 + 60, 60)) AS start FROM (SELECT status, date_trunc('second', ts) AS ts FROM log)) GROUP BY start HAVING count(*) FILTER (status >= 500) > 0.05 * count(*)", "log"),
     "alert_4xx": _ALERT(400, 500, 10, 0.25),
     "alert_429": _ALERT(429, 430, 5, 0.1),
+    "alert_states": with_sql("", "log", "samples").rstrip() + f""", inc AS (SELECT service, status, (epoch("at")::BIGINT // 60 + 1) * 60 AS tick, CASE WHEN value >= before THEN value - before ELSE value END AS n
+  FROM (SELECT service, instance, status, date_trunc('second', "at") AS "at", value, lag(value) OVER (PARTITION BY service, instance, status ORDER BY "at") AS before FROM (SELECT service, instance, status, "at", max(value) AS value FROM samples GROUP BY ALL)) WHERE before IS NOT NULL),
+rules(alert, low, high, width, least, hold) AS (VALUES {', '.join(f"('{r.alert}', {r.low}, {r.high}, {r.width}, {r.least}::DOUBLE, {r.hold})" for r in L.RULES)}),
+held AS (SELECT alert, hold, service, "at", sum(CASE WHEN status >= low AND status < high THEN n ELSE 0 END) / sum(n)::DOUBLE AS ratio FROM (SELECT *, unnest(range(tick, tick + width, 60)) AS "at" FROM inc, rules)
+  GROUP BY alert, hold, least, service, "at" HAVING sum(CASE WHEN status >= low AND status < high THEN n ELSE 0 END) > least * sum(n)),
+runs AS (SELECT *, "at" - 60 * row_number() OVER (PARTITION BY alert, service ORDER BY "at") AS run FROM held),
+spans AS (SELECT alert, hold, service, min("at") AS a, max("at") AS z FROM runs GROUP BY alert, hold, service, run)
+SELECT alert, service, "at", 'pending' AS state, ratio FROM spans JOIN held USING (alert, hold, service) WHERE "at" = a
+UNION ALL SELECT alert, service, "at", 'firing', ratio FROM spans JOIN held USING (alert, hold, service) WHERE "at" = a + hold AND z >= a + hold
+UNION ALL SELECT alert, service, z + 60, CASE WHEN z >= a + hold THEN 'resolved' ELSE 'inactive' END, NULL FROM spans""",
     "active_buckets": with_sql("SELECT count(DISTINCT ip || ' ' || path) AS active FROM log", "log"),
     "ratelimit_tier": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(k).lower()}, {a}, {b}, {c})" for p, k, a, b, c in _TIER_ROWS) + ') AS t(path, skipped, "limit", "window", burst)',
 }

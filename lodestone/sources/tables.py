@@ -3,7 +3,7 @@ pruning and filters reach the scan. ``SQL`` holds the same projections for DuckD
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,15 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request counters of each user's process by path and status, sampled at each request; they start over every day."""
+    n = F.col("request_id")
+    status = F.when(n % 11 == 0, 500).when(n % 7 == 0, 429).when(n % 5 == 0, 404).otherwise(200)
+    log = request_log(spark, sf_dir).select(F.col("path").alias("service"), F.col("ip").alias("instance"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), "request_id", F.to_date("ts").alias("_day"))
+    run = Window.partitionBy("service", "instance", "status", "_day").orderBy("at", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    return log.select("service", "instance", "status", "at", F.sum(n % 3 + 1).over(run).alias("value"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
 
@@ -92,6 +101,8 @@ SQL = {
   o_orderdate AS close_date, o_custkey AS contact_id FROM orders)""",
     "activities": "activities AS (SELECT event_id AS activity_id, event_type AS type, props AS description, ts AS date, user_id AS contact_id FROM events)",
     "log": "log AS (SELECT event_id AS request_id, ts, user_id::VARCHAR AS ip, '/' || event_type AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS latency FROM events)",
+    "samples": """samples AS (SELECT path AS service, ip AS instance, status, ts AS "at", sum(request_id % 3 + 1) OVER (PARTITION BY path, ip, status, ts::DATE ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING)::BIGINT AS value
+  FROM (SELECT path, ip, ts, request_id, CASE WHEN request_id % 11 = 0 THEN 500 WHEN request_id % 7 = 0 THEN 429 WHEN request_id % 5 = 0 THEN 404 ELSE 200 END AS status FROM log))""",
     "messages": "messages AS (SELECT conv_id AS session_id, turn, role, text AS content FROM conversations)",
     "lines": """lines AS (SELECT doc_id * 100000 + i - 1 AS chunk_id, doc_id AS document_id, (i - 1)::INT AS chunk_index, content FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(content) <> '')""",
