@@ -14,7 +14,9 @@ from ..operators import retrieval as R
 from ..sources import files
 from ..sources import tables as T
 from ..streaming import limits
+from ..streaming import sessions as S
 from . import retrieval as RQ
+from . import text as XQ
 
 
 def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, model=ML.quoting_model) -> DataFrame:
@@ -107,6 +109,18 @@ def _fuzzy(s, d):
     return fuzzy.fuzzy_match(queries, names.select("name"), 0.9).select("query_id", "name", "ratio")
 
 
+def counting_model():
+    """An offline model whose answers tell how many messages of history it was given."""
+    return lambda prompts: [f"I read {p.count('**Q:** ') + p.count('**A:** ')} messages. {p.split('Question: ', 1)[1].split(chr(10), 1)[0][:80]}" for p in prompts]
+
+
+def _turns(s, d):
+    """Every user message is asked anew, so that each question sees the answers that its session got here."""
+    asked = T.messages(s, d).where("role = 'user'").select("session_id", "turn", F.translate("content", "\n*", " ").alias("query"))
+    out = S.converse(asked, counting_model)
+    return out.select("session_id", "turn", "query_type", "history", "message_count", "summary", F.array_join("topics", ",").alias("topics"), "response")
+
+
 QUERIES = {
     "chunk_documents": lambda s, d: files.chunks(_docs(s, d)).select("document_id", "chunk_index", F.length("content").alias("length"), F.md5("content").alias("digest")),
     "ingest_chunks": _embedded,
@@ -116,6 +130,7 @@ QUERIES = {
     "hybrid_rerank_kept": lambda s, d: ML.rerank_keeping_keywords(_found(s, d), 10).select(*_RERANKED),
     "entity_context": lambda s, d: _docs(s, d).select("document_id", F.explode(ML.entities_in_context(F.col("text"))).alias("e")).select("document_id", "e.*"),
     "qa_pipeline": _qa,
+    "session_turns": _turns,
     "rate_limit": _limiter,
     "fuzzy_match": _fuzzy,
 }
@@ -125,8 +140,20 @@ _BEST = f"""WITH {RQ._HYB}, pas AS (SELECT doc_id AS id, {_WORDS.format('text')}
 rr AS (SELECT query_id, id, bm25_score, hybrid_score, rank AS place, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_intersect(w, p)) / len(w)::DOUBLE, 6) END AS reranker_score FROM fused JOIN pas USING (id) JOIN qs USING (query_id)),
 best AS (SELECT query_id, id, hybrid_score, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, id)::INT AS rank FROM rr QUALIFY rank <= 10)"""
 
+_SHORT = lambda c, n: f"CASE WHEN length({c}) > {n} THEN substr({c}, 1, {n - 3}) || '...' ELSE {c} END"
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+_TOPICS = """list_transform(list_filter(list_transform(regexp_split_to_array(lower(query), '\\s+'), lambda w: regexp_replace(w, '^[.,!?()\\[\\]{}:;"'']+|[.,!?()\\[\\]{}:;"'']+$', '', 'g')), lambda w: length(w) BETWEEN 4 AND 20 AND NOT regexp_full_match(w, '\\d+')), lambda w: replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || substr(w, 2))"""  # ß becomes SS, as in Spark
+_SESSIONS = T.with_sql("", "messages").rstrip() + f""", asked AS (SELECT session_id, turn, replace(replace(content, chr(10), ' '), '*', '') AS query, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS k FROM messages WHERE role = 'user'),
+routed AS (SELECT session_id, turn, query, k, {XQ._ROUTE} AS query_type FROM (SELECT *, lower(trim(query)) AS q FROM asked)),
+said AS (SELECT *, CASE query_type WHEN 'greeting' THEN {_QUOTED(A.GREETING)} WHEN 'irrelevant' THEN {_QUOTED(A.IRRELEVANT)} ELSE 'I read ' || least(6, 2 * (k - 1)) || ' messages. ' || substr(query, 1, 80) END AS response, {_TOPICS} AS words FROM routed),
+pairs AS (SELECT *, '**Q:** ' || {_SHORT('query', 150)} || chr(10) || '**A:** ' || {_SHORT('response', 150)} AS pair FROM said)
+SELECT session_id, turn, query_type, CASE WHEN k = 1 THEN '' ELSE chr(10) || '---' || chr(10) || '**Recent conversation:**' || chr(10) || string_agg(pair, chr(10)) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS history,
+  2 * k AS message_count, 'Conversation about: ' || first_value({_SHORT('query', 120)}) OVER (PARTITION BY session_id ORDER BY turn) AS summary,
+  array_to_string(list_sort(list_distinct(flatten(list(words) OVER (PARTITION BY session_id ORDER BY turn)))) [1:10], ',') AS topics, response FROM pairs"""
+
 #: What no SQL expresses is tested against plain functions.
 ORACLES = {
+    "session_turns": _SESSIONS,
     "hybrid_rerank": f"{_BEST} SELECT * FROM best",
     "hybrid_rerank_kept": f"{_BEST}, listed AS (SELECT query_id, id, hybrid_score, 0.0::DOUBLE AS reranker_score, place, 0 AS kept FROM rr ANTI JOIN best USING (query_id, id) WHERE bm25_score > 0 UNION ALL SELECT *, 1 FROM best) SELECT query_id, id, hybrid_score, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY kept, place, id)::INT AS rank FROM listed",
 }
