@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting as FM
 from ..functions import text as X
+from ..operators import robots as RB
 from ..sources import tables as T
 
 #: Questions for classification, one of each kind and some ties.
@@ -76,7 +77,17 @@ def _llm_json(s, d):
     return b.select("item_id", parsed["answer_text"].alias("answer_text"), parsed["confidence_score"].alias("confidence"))
 
 
+def _robots(s, d):
+    """A file for each origin of the pages, by the length of its name: empty, for all, for all and for us, none."""
+    sites = T.table(s, d, "pages").groupBy(RB.origin(F.col("url")).alias("origin")).agg(F.min(RB.path(F.col("url"))).alias("first"))
+    ours = F.concat(F.lit(f"User-agent: *\r\nDisallow: /\r\n\r\n# ours\r\nuser-agent: {RB.AGENT.title()}\r\ndisallow: /en/6\r\nDisallow:   "), F.substring("first", 1, 5))
+    kind = F.length("origin") % 4
+    content = F.when(kind == 0, "").when(kind == 1, "User-agent: *\nDisallow: /en/1\nDisallow: /en\nDisallow:\nUser-agent: other\nDisallow: /\n").when(kind == 2, ours)
+    return sites.select("origin", content.alias("content"))
+
+
 QUERIES = {
+    "robots_judged": lambda s, d: RB.judge(T.table(s, d, "pages"), _robots(s, d)).select("page_id", "robots_allowed", "robots_rule"),
     "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.array_join(X.tokenize(F.col("text")), " ")).alias("digest"), F.size(X.tokenize(F.col("text"))).alias("n_tokens")),
     "route_query": _route,
     "is_crm_query": lambda s, d: _asked(s, d).select("query_id", X.is_crm_query(F.col("query")).alias("is_crm")),
@@ -132,6 +143,17 @@ ORACLES = {
     "pdf_date": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 4 = 0 THEN '+00:00:' ELSE '' END WHEN event_id % 4 = 2 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y%m%d%H%M%S') END AS iso FROM events",
     "html_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages",
     "safe_url": "SELECT page_id, regexp_matches(url, '(?i)^https?://') AND NOT (h IN ('localhost', '127.0.0.1', '::1') OR h LIKE '10.%' OR h LIKE '172.16.%' OR h LIKE '192.168.%') AS safe FROM (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h FROM pages)",
+    "robots_judged": f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) AS origin, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS p FROM pages),
+u AS (SELECT page_id, origin, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM p), sites AS (SELECT origin, min(path) AS first FROM u GROUP BY origin),
+robots AS (SELECT origin, CASE length(origin) % 4 WHEN 0 THEN '' WHEN 1 THEN 'User-agent: *' || chr(10) || 'Disallow: /en/1' || chr(10) || 'Disallow: /en' || chr(10) || 'Disallow:' || chr(10) || 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10)
+  WHEN 2 THEN 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || '# ours' || chr(10) || 'user-agent: {RB.AGENT.title()}' || chr(10) || 'disallow: /en/6' || chr(10) || 'Disallow:   ' || substr(first, 1, 5) END AS content FROM sites),
+lines AS (SELECT origin, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM robots),
+parsed AS (SELECT origin, lower(trim(split_part(line, ':', 1))) AS field, trim(substr(line, instr(line, ':') + 1)) AS value, i FROM lines WHERE contains(line, ':')),
+owned AS (SELECT origin, field, value, last_value(CASE WHEN field = 'user-agent' THEN lower(value) END IGNORE NULLS) OVER (PARTITION BY origin ORDER BY i ROWS UNBOUNDED PRECEDING) AS who FROM parsed),
+meant AS (SELECT DISTINCT origin, value AS rule, who FROM owned WHERE field = 'disallow' AND value <> '' AND who IN ('*', '{RB.AGENT}')),
+rules AS (SELECT origin, rule FROM meant s WHERE who <> '*' OR NOT EXISTS (FROM meant o WHERE o.origin = s.origin AND o.who <> '*')),
+hit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule FROM u JOIN rules USING (origin) WHERE starts_with(path, rule) GROUP BY page_id)
+SELECT page_id, CASE WHEN content IS NOT NULL THEN hit.rule IS NULL END AS robots_allowed, hit.rule AS robots_rule FROM u JOIN robots USING (origin) LEFT JOIN hit USING (page_id)""",
     "url_filename": "SELECT page_id, substr(replace(h, '.', '_') || '__' || CASE WHEN p = '' THEN 'index' ELSE p END || '.html', 1, 255) AS filename FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, replace(regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/', '_') AS p FROM pages)",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "entity_id": "SELECT p_partkey, substr(md5(lower(p_brand) || '|organization'), 1, 16) AS entity_id FROM part",

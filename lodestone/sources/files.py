@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.robots import judge
 
 # Tags whose text is skipped, and tags that break lines.
 SKIP_TAGS = frozenset("script style noscript svg canvas nav footer header aside".split())
@@ -185,13 +186,21 @@ def ingest(spark: SparkSession, path: str, size: int = CHUNK_SIZE, overlap: int
     return first, chunks(first.where("text is not null"), size, overlap)
 
 
-def scrape(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) -> title, visible text and description of the pages with a safe url."""
+#: Bytes of a page beyond which it is refused.
+MAX_PAGE = 10 * 1024 * 1024
+
+
+def scrape(pages: DataFrame, robots: DataFrame | None = None, most: int = MAX_PAGE) -> DataFrame:
+    """``pages`` (page_id, url, html) -> title, visible text and description of the pages with a safe url, of at most
+    ``most`` bytes and, where ``robots`` (origin, content) are given, not forbidden by their site."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [html_text(h or "") for h in b["html"]]
             yield b.drop(columns=["html"]).assign(text=[t for t, _ in found], description=[m.get("description") for _, m in found])
 
+    pages = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) <= most)
+    if robots is not None:
+        pages = judge(pages, robots).where(F.coalesce("robots_allowed", F.lit(True)))
     safe = pages.where(X.is_safe_url(F.col("url"))).select("page_id", "url", X.html_title(F.col("html")).alias("title"), "html")
     return safe.mapInPandas(run, "page_id bigint, url string, title string, text string, description string").withColumn("filename", X.url_filename(F.col("url")))
 
