@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..sources.store import written
 from . import matching
 
@@ -178,6 +179,72 @@ def context_text(contacts: DataFrame, deals: DataFrame, activities: DataFrame, i
     return out
 
 
+# Headings of the context block; the last three stand over summaries, before a number.
+HEADINGS = ("### CRM Contacts", "### CRM Deals / Opportunities", "### CRM Activities", "### CRM Contacts (all — ", "### CRM Deals (all — ", "### CRM Activities (recent — ")
+RECENT, LISTED, SUMMARY = 20, 10, 5
+
+
+def context_blocks(contacts: DataFrame, deals: DataFrame, activities: DataFrame, most: int = 50) -> DataFrame:
+    """``intent, context``: the block of each of the five intents, five rows whatever the tables hold.
+
+    Contacts (by name) and deals (by name) take ``most`` lines, the room of a prompt; activities the 10 newest of the 20
+    newest, for contacts only calls, e-mails and meetings. Where an intent's own sections are empty, what is left is
+    summed up in 5 lines each. Each table is read for its first rows and its count; null names and dates become N/A.
+    """
+    na = F.lit("N/A")
+    text = lambda c: F.coalesce(c, na)
+    day = text(F.date_format("date", "yyyy-MM-dd"))
+    worth = F.when(F.coalesce("value", F.lit(0.0)) != 0, money(F.col("value"))).otherwise(na)
+    newest = [F.col("date").desc_nulls_last(), F.col("activity_id")]
+    last = activities.orderBy(*newest).limit(RECENT)
+    for_contacts = last.where(F.lower("type").isin(*CONTACT_TYPES))
+    by = lambda key: [F.col("name").asc_nulls_last(), F.col(key)]
+    contact = F.concat(F.lit("- **"), text(F.col("name")), F.lit("** (Email: "), text(F.col("email")), F.lit(", Phone: "), text(F.col("phone")), F.lit(", Company: "), text(F.col("company")), F.lit(")"))
+    deal = F.concat(F.lit("- **"), text(F.col("name")), F.lit("** (Value: "), worth, F.lit(", Stage: "), text(F.col("stage")), F.lit(", Close: "), text(iso(F.col("close_date"))), F.lit(")"))
+    activity = F.concat(F.lit("- **"), text(F.col("type")), F.lit("** on "), day, F.lit(": "), F.coalesce(F.substring("description", 1, 200), F.lit("")))
+    parts = None
+
+    def add(name: str, rows: DataFrame, order: list, line: Column, heading: str, lines: int, counted: bool = False) -> None:
+        nonlocal parts
+        first = rows.orderBy(*order).limit(lines).select(F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
+        body = F.array_join(F.array_sort(F.collect_list(F.struct("place", "line")))["line"], "\n")
+        one = first.agg(F.lit(name).alias("part"), body.alias("body"), F.lit(0).cast("long").alias("total"))
+        if counted:
+            one = one.unionByName(rows.agg(F.lit(name).alias("part"), F.lit("").alias("body"), F.count("*").alias("total"))).groupBy("part").agg(F.max("body").alias("body"), F.max("total").alias("total"))
+        head = F.concat(F.lit(heading), F.col("total").cast("string"), F.lit(" total)")) if counted else F.lit(heading)
+        one = one.where("body <> ''").select("part", F.concat(head, F.lit("\n"), "body").alias("text"))
+        parts = one if parts is None else parts.unionByName(one)
+
+    add("contacts", contacts, by("contact_id"), contact, HEADINGS[0], most)
+    add("deals", deals, by("deal_id"), deal, HEADINGS[1], most)
+    add("activities", last, newest, activity, HEADINGS[2], LISTED)
+    add("touches", for_contacts, newest, activity, HEADINGS[2], LISTED)
+    add("all_contacts", contacts, by("contact_id"), F.concat(F.lit("- "), text(F.col("name")), F.lit(" ("), text(F.col("company")), F.lit(")")), HEADINGS[3], SUMMARY, True)
+    add("all_deals", deals, by("deal_id"), F.concat(F.lit("- "), text(F.col("name")), F.lit(" — Stage: "), text(F.col("stage"))), HEADINGS[4], SUMMARY, True)
+    add("all_activities", last, newest, F.concat(F.lit("- "), text(F.col("type")), F.lit(" on "), day), HEADINGS[5], SUMMARY, True)
+    names = ("contacts", "deals", "activities", "touches", "all_contacts", "all_deals", "all_activities")
+    wide = parts.groupBy().agg(*(F.max(F.when(F.col("part") == n, F.col("text"))).alias(n) for n in names))
+    block = lambda own, rest: F.coalesce(F.nullif(F.concat_ws("\n", *own), F.lit("")), F.concat_ws("\n", *rest))
+    made = {
+        "contact": block(["contacts", "touches"], [F.lit("")]),
+        "deal": block(["deals"], ["all_activities"]),
+        "cross_reference": block(["deals", "activities"], ["all_contacts"]),
+        "activity": block(["activities"], [F.lit("")]),
+        "quick_query": F.concat_ws("\n", "all_contacts", "all_deals", "all_activities"),
+    }
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(i).alias("intent"), c.alias("context")) for i, c in made.items()))).alias("b")).select("b.*")
+
+
+def question_context(questions: DataFrame, contacts: DataFrame, deals: DataFrame, activities: DataFrame, most: int = 50) -> DataFrame:
+    """Every question (query_id, query) with ``intent`` (``none`` where it isn't about the CRM), the ``entities`` it names
+    and its ``context`` (empty for ``none``). Blocks are made once an intent, five rows that every task gets."""
+    about = F.coalesce(X.is_crm_query(F.col("query")), F.lit(False))
+    none = F.array().cast("array<struct<name:string,type:string,confidence:double>>")
+    q = questions.select("query_id", F.when(about, X.crm_intent(F.col("query"))).otherwise("none").alias("intent"), F.when(about, F.coalesce(X.crm_entities(F.col("query")), none)).otherwise(none).alias("entities"))
+    blocks = F.broadcast(context_blocks(contacts, deals, activities, most))
+    return q.join(blocks, "intent", "left").select("query_id", "intent", "entities", F.coalesce("context", F.lit("")).alias("context"))
+
+
 def cross_references(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entities (``name`` and, where a database name matched, ``db_match``) mentioned in chunks, each pair of lower-cased
     name and chunk once: of names alike the direct one, then the first. Chunks are walked by automata of the names."""

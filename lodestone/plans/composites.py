@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import models as ML
 from ..functions import text as X
 from ..operators import answers as A
+from ..operators import crm as C
 from ..operators import fuzzy
 from ..operators import memory as M
 from ..operators import retrieval as R
@@ -19,13 +20,14 @@ from . import retrieval as RQ
 from . import text as XQ
 
 
-def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, model=ML.quoting_model) -> DataFrame:
+def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, model=ML.quoting_model, crm: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """``queries`` (query_id, query, embedding and, optionally, history) -> ``query_id, query_type, n_chunks, n_citations,
     confidence, support, retries, passed, refused, response``.
 
     Greetings and off-topic questions skip retrieval. The others are routed to semantic, keyword or hybrid search and
     re-ranked, keyword hits that this drops first; ``model`` answers over the ``k`` first chunks, whole. An answer that
-    the critic rejects is asked for once more with its feedback; what fails again carries it as a note.
+    the critic rejects is asked for once more with its feedback; what fails again carries it as a note. With ``crm``
+    (contacts, deals, activities), questions about them are given the block of their intent after the chunks.
     """
     if "history" not in queries.columns:
         queries = queries.withColumn("history", F.lit(""))
@@ -42,6 +44,9 @@ def answer_pipeline(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k
     context = shown.groupBy("query_id").agg(in_order.alias("c"), F.max("reranker_score").alias("best"), F.max("bm25_score").alias("bm25"), F.count("*").alias("n_chunks"))
     context = context.select("query_id", F.array_join(F.col("c.content"), "\n").alias("context"), F.col("c.chunk_id").alias("known"), "best", "bm25", "n_chunks")
     full = routed.join(A.context_prompt(shown), "query_id", "left").join(context, "query_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    if crm is not None:
+        known = C.question_context(asked.select("query_id", "query"), *crm).select("query_id", F.when(F.col("context") != "", F.concat(F.lit("\n\n"), "context")).alias("_crm"))
+        full = full.join(known, "query_id", "left").withColumn("prompt", F.concat("prompt", F.coalesce("_crm", F.lit("")))).drop("_crm")
     full = full.withColumn("prompt", F.concat("prompt", F.lit("\n\nQuestion: "), "query", F.coalesce("history", F.lit(""))))
     full = _answered(full, "first", F.col("prompt"), F.lit(0), model)
     again = F.when(~F.col("first.review.passed"), F.concat("prompt", F.lit("\n\nFeedback: "), F.col("first.review.feedback")))

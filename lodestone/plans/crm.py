@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import changes as H
 from ..operators import crm as C
 from ..operators import sync as Y
@@ -13,6 +14,7 @@ from ..operators import upsert as U
 from ..sources import tables as T
 from ..sources.store import new_path
 from ..sources.tables import with_sql
+from . import text as XQ
 
 NOW = dt.datetime(2024, 1, 15)
 
@@ -159,6 +161,7 @@ QUERIES = {
     "crm_upsert_activities": _upsert_activities,
     "crm_bridge": _bridge,
     "crm_context_text": lambda s, d: C.context_text(_c(s, d), T.deals(s, d), _contact_activities(s, d), "contact"),
+    "crm_question_context": lambda s, d: C.question_context(XQ._asked(s, d), _c(s, d), T.deals(s, d), _contact_activities(s, d)).select("query_id", "intent", F.size("entities").alias("entities"), "context"),
     "crm_sync_run": _sync_run,
     "crm_sync_merge": _sync_merge,
     "crm_sync_diff": _sync_diff,
@@ -179,7 +182,25 @@ _NEXT = """later AS (SELECT deal_id, name, value + CASE WHEN deal_id % 10 = 0 TH
   UNION ALL SELECT deal_id + 10000000, name, value, stage, close_date, contact_id FROM deals WHERE deal_id % 97 = 1)"""
 _CHANGE = "CASE WHEN o.deal_id IS NULL THEN 'insert' WHEN n.deal_id IS NULL THEN 'delete' WHEN (o.name, o.value, o.stage, o.close_date, o.contact_id) IS DISTINCT FROM (n.name, n.value, n.stage, n.close_date, n.contact_id) THEN 'update' ELSE 'unchanged' END"
 
+# Blocks of lines: heading, line, order and number of lines.
+_PART = lambda head, line, order, n, rows: f"(SELECT {head} || chr(10) || string_agg({line}, chr(10) ORDER BY {order}) FROM (SELECT *, count(*) OVER () AS total FROM {rows} ORDER BY {order} LIMIT {n}))"
+_HEAD = lambda i: f"'{C.HEADINGS[i]}'" + (" || any_value(total) || ' total)'" if i > 2 else "")
+_ACTIVITY = "'- **' || type || '** on ' || strftime(date, '%Y-%m-%d') || ': ' || substr(description, 1, 200)"
+_CONTEXTS = with_sql(f""", {XQ._Q}, {XQ._ASKED}, kinds AS (SELECT activity_id, CASE type WHEN 'view' THEN 'Call' WHEN 'click' THEN 'email' WHEN 'purchase' THEN 'meeting' ELSE 'note' END AS type, date, description FROM activities ORDER BY date DESC, activity_id LIMIT 20),
+touches AS (SELECT * FROM kinds WHERE lower(type) IN ('call', 'email', 'meeting')),
+parts AS (SELECT {_PART(_HEAD(0), "'- **' || name || '** (Email: ' || coalesce(email, 'N/A') || ', Phone: ' || coalesce(phone, 'N/A') || ', Company: ' || coalesce(company, 'N/A') || ')'", 'name, contact_id', 50, 'contacts')} AS contacts,
+  {_PART(_HEAD(1), "'- **' || name || '** (Value: ' || CASE WHEN coalesce(value, 0) <> 0 THEN '$' || format('{:,.2f}', value) ELSE 'N/A' END || ', Stage: ' || stage || ', Close: ' || coalesce(" + _ISO('close_date') + ", 'N/A') || ')'", 'name, deal_id', 50, 'deals')} AS deals,
+  {_PART(_HEAD(2), _ACTIVITY, 'date DESC, activity_id', 10, 'kinds')} AS acts, {_PART(_HEAD(2), _ACTIVITY, 'date DESC, activity_id', 10, 'touches')} AS touched,
+  {_PART(_HEAD(3), "'- ' || name || ' (' || coalesce(company, 'N/A') || ')'", 'name, contact_id', 5, 'contacts')} AS all_contacts, {_PART(_HEAD(4), "'- ' || name || ' — Stage: ' || stage", 'name, deal_id', 5, 'deals')} AS all_deals,
+  {_PART(_HEAD(5), "'- ' || type || ' on ' || strftime(date, '%Y-%m-%d')", 'date DESC, activity_id', 5, 'kinds')} AS all_activities),
+scored AS (SELECT query_id, query, q, {XQ._INTENT} FROM (SELECT query_id, query, lower(trim(query)) AS q FROM asked)),
+routed AS (SELECT query_id, CASE WHEN NOT ({XQ._any('q', X.CRM_QUERY)}) THEN 'none' WHEN {XQ._BEST} = 0 THEN 'none' {' '.join(f"WHEN s_{i} = {XQ._BEST} THEN '{i}'" for i in X.CRM_INTENT)} END AS intent,
+  CASE WHEN {XQ._any('q', X.CRM_QUERY)} THEN {' + '.join(f"len(list_filter(list_transform(regexp_extract_all(query, '(?i){p}', 1), lambda n: regexp_replace(trim(n), chr(92) || 's+', ' ', 'g')), lambda n: length(n) > 2))" for p, _ in X.CRM_ENTITY)} ELSE 0 END::INT AS entities FROM scored)
+SELECT query_id, intent, entities, CASE intent WHEN 'contact' THEN concat_ws(chr(10), contacts, touched) WHEN 'deal' THEN deals WHEN 'cross_reference' THEN concat_ws(chr(10), deals, acts) WHEN 'activity' THEN acts
+  WHEN 'quick_query' THEN concat_ws(chr(10), all_contacts, all_deals, all_activities) ELSE '' END AS context FROM routed, parts""", "contacts", "deals", "activities").replace("\n,", ",", 1)
+
 ORACLES = {
+    "crm_question_context": _CONTEXTS,
     "top_deals": with_sql("SELECT deal_id, d.name, value, stage, close_date, coalesce(c.name, 'N/A') AS contact FROM deals d LEFT JOIN contacts c USING (contact_id) ORDER BY value DESC NULLS LAST, deal_id LIMIT 10", "contacts", "deals"),
     "top_deals_total": with_sql("SELECT count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total_value FROM (SELECT * FROM deals ORDER BY value DESC NULLS LAST, deal_id LIMIT 10)", "deals"),
     "recent_activities": with_sql("SELECT activity_id, type, substr(description, 1, 200) AS description, date, coalesce(c.name, 'N/A') AS contact FROM activities a LEFT JOIN contacts c USING (contact_id) ORDER BY date DESC, activity_id LIMIT 20", "contacts", "activities"),
