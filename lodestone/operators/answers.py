@@ -31,7 +31,8 @@ def excerpt(content: Column, query: Column) -> Column:
     lines = F.split(content, "\n")
     hit = lambda line: F.exists(words, lambda w: F.contains(F.lower(line), w))
     first = F.array_position(F.transform(lines, hit), F.lit(True))
-    kept = F.transform(F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>")), F.trim)
+    # F.trim itself as the function would be given the index as the characters to trim.
+    kept = F.transform(F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>")), lambda line: F.trim(line))
     dated = F.transform(kept, lambda line, i: F.when(line.rlike(r"\d{2,4}[-./]\d{1,2}[-./]\d{2,4}"), i + 1).otherwise(0))
     last = F.greatest(F.array_max(F.concat(dated, F.array(F.lit(0)))), F.lit(1))
     return F.array_join(F.slice(kept, last, F.greatest(F.size(kept), F.lit(1))), "\n")
@@ -52,7 +53,7 @@ def claim_support(answer: Column, context: Column) -> Column:
     """Share of sentences of more than 20 characters of which 40% of the words of three letters or more are in
     ``context``, of all sentences; 0 without sentences or context words."""
     known = F.array_distinct(X.words(F.lower(F.trim(context)), r"^[a-z]{3,}$"))
-    sentences = F.filter(F.transform(F.split(F.lower(F.trim(answer)), r"[.!?\n]+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(F.lower(F.trim(answer)), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
 
     def supported(s: Column) -> Column:
         w = F.array_distinct(X.words(s, r"^[a-z]{3,}$"))
