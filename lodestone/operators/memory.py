@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import embed, hashing_embedder
-from ..functions.text import clean_topics, shorten
+from ..functions.text import capital, clean_topics, shorten
 
 MAX_WORKING, HISTORY, MIN_CONFIDENCE, TTL_DAYS = 10, 6, 0.3, 90
 
@@ -39,7 +39,7 @@ def session_summary(messages: DataFrame) -> DataFrame:
 
 def session_topics(messages: DataFrame, most: int = 10) -> DataFrame:
     """The first ``most`` topic words of the user's messages in each session, sorted."""
-    each = messages.where("role = 'user'").select("session_id", F.explode(clean_topics(F.col("content"))).alias("topic")).distinct()
+    each = messages.where("role = 'user'").select("session_id", F.explode(clean_topics(F.col("content"), capital)).alias("topic")).distinct()
     w = Window.partitionBy("session_id").orderBy("topic")
     top = each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     return top.groupBy("session_id").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
