@@ -15,6 +15,8 @@ from ..sources.store import written
 MAX_Q = 3
 #: Pairs whose ratio a task computes, about.
 TASK_PAIRS = 20_000
+#: Texts that a text becomes at most by leaving out characters, where pairs are found by these.
+MAX_VARIANTS = 256
 #: Ratios are rounded to six places, so that one this much below a threshold can come out above it.
 ROUNDING = 1e-6
 
@@ -24,7 +26,13 @@ def ratio(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([round(SequenceMatcher(None, p, q).ratio(), 6) for p, q in zip(x, y)], dtype="float64")
+        out, same = [], SequenceMatcher(None)
+        for p, q in zip(x, y):
+            same.set_seq1(p)
+            if q != same.b:  # what it makes of the second text is kept
+                same.set_seq2(q)
+            out.append(round(same.ratio(), 6))
+        return pd.Series(out, dtype="float64")
 
     return run(a, b)
 
@@ -93,9 +101,67 @@ def _prefix_pair(queries: DataFrame, names: DataFrame, least: float, q: int) ->
     return written(_prefixes(queries, counts, least, q)[0], "grams"), written(right, "grams")
 
 
+def cuts(least: float) -> list[tuple[int, int, int]]:
+    """Lengths a and b of two texts, and the least characters they have in common, in order, at a ratio above ``least``:
+    where either text becomes at most ``MAX_VARIANTS`` others when it is cut to these."""
+    low, out = least - ROUNDING, []
+    for a in range(1, MAX_VARIANTS + 1):
+        for b in range(max(1, math.ceil(a * low / (2 - low) - ROUNDING)), min(MAX_VARIANTS, math.floor(a * (2 - low) / low + ROUNDING)) + 1):
+            k = max(1, math.ceil(low * (a + b) / 2 - ROUNDING))
+            if k <= min(a, b) and max(math.comb(a, k), math.comb(b, k)) <= MAX_VARIANTS:
+                out.append((a, b, k))
+    return out
+
+
+def _shortened(texts: DataFrame, to: DataFrame, most: int) -> DataFrame:
+    """``_t, token``: the hash of each different text that is left of one when it is cut to ``k`` characters, with the
+    lengths ``a`` and ``b`` of the pairs it is cut for. ``to``: length, a, b, k; ``most`` characters are left out at most."""
+    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    rows = texts.withColumn("length", F.length("_t")).join(F.broadcast(to), "length")
+    out = None
+    for n in range(most + 1):
+        variants = F.array("_t")
+        for _ in range(n):
+            variants = F.array_distinct(F.flatten(F.transform(variants, one)))
+        part = rows.where(F.col("length") - F.col("k") == n).select("_t", "a", "b", F.explode(variants).alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("_t", F.xxhash64("a", "b", "v").alias("token"))
+
+
+def _near_texts(queries: DataFrame, names: DataFrame, lengths: DataFrame, most: int) -> DataFrame:
+    """``q, n``, distinct: texts of the ``lengths`` (a, b, k) that have k characters in common, in order."""
+    left = _shortened(queries, lengths.withColumn("length", F.col("a")), most).withColumnRenamed("_t", "q")
+    right = _shortened(names, lengths.withColumn("length", F.col("b")), most).withColumnRenamed("_t", "n")
+    return left.join(right, "token").select("q", "n").distinct()
+
+
 def candidates(queries: DataFrame, names: DataFrame, least: float, by: str | None = None) -> DataFrame:
     """``q, n``: pairs of distinct lower-cased texts (``_t``) whose common characters allow a ratio above ``least``.
 
+    Texts that become few others when they are cut to the characters which a pair of their lengths must have in common
+    in order (``cuts``) meet on one of these, whatever grams they share: work grows with the texts and the pairs that
+    are near. Pairs of other lengths meet as ``_by_tokens`` tells; with ``by`` all pairs do.
+    """
+    if by is not None:
+        return _by_tokens(queries, names, least, by)
+    spark = queries.sparkSession
+    short_ones = cuts(least)
+    near = spark.createDataFrame(short_ones, "a int, b int, k int")
+    own = [side.select(F.length("_t").alias(c)).distinct() for side, c in ((queries, "a"), (names, "b"))]
+    low = least - ROUNDING
+    met = F.broadcast(written(own[0].join(own[1], 2 * F.least("a", "b") >= low * (F.col("a") + F.col("b")) - ROUNDING).join(F.broadcast(near), ["a", "b"], "left"), "lengths"))
+    found = _near_texts(queries, names, met.where("k IS NOT NULL"), max((max(a, b) - k for a, b, k in short_ones), default=0))
+    other = met.where("k IS NULL").select("a", "b")
+    if other.isEmpty():
+        return found
+    of = lambda side, c: written(side.join(F.broadcast(other.select(c).distinct()), F.length("_t") == F.col(c), "left_semi"), "texts")
+    rest = _by_tokens(of(queries, "a"), of(names, "b"), least)
+    return found.unionByName(rest.join(F.broadcast(other), (F.length("q") == F.col("a")) & (F.length("n") == F.col("b")), "left_semi"))
+
+
+def _by_tokens(queries: DataFrame, names: DataFrame, least: float, by: str | None = None) -> DataFrame:
+    """Pairs as in ``candidates``, found by rare tokens.
+
     Two exact ways, the one of fewer meetings is taken unless ``by`` names it. ``grams``: texts meet on a rare gram;
     those too short for long grams, and those that such may be partners of, meet on single characters. ``bags``: texts
     of the same characters are one class, classes meet on a rare character, and only classes that are near enough
@@ -133,7 +199,7 @@ def fuzzy_match(queries: DataFrame, names: DataFrame, least: float = 0.6, by: st
     side = lambda rows, c: rows.select(F.lower(c).alias("_t")).where("_t <> ''").distinct()
     near = written(candidates(side(queries, "query"), side(names, "name"), least, by), "pairs")
     # Pairs are small rows of much work: tasks by their number, not by bytes.
-    near = near.repartition(1 + near.count() // TASK_PAIRS)
+    near = near.repartition(1 + near.count() // TASK_PAIRS, F.xxhash64("n")).sortWithinPartitions("n")
     scored = near.withColumn("ratio", ratio(F.col("q"), F.col("n"))).where(F.col("ratio") > least)
     return queries.join(scored, F.lower("query") == F.col("q")).join(names, F.col("n") == F.lower("name")).select(*queries.columns, *names.columns, "ratio")
 

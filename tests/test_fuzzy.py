@@ -68,3 +68,22 @@ def test_best_matches_and_empty_tables(spark):
     assert fuzzy.fuzzy_match(queries.limit(0), names).count() == 0 and fuzzy.fuzzy_match(queries, names.limit(0)).count() == 0
     with pytest.raises(ValueError):
         fuzzy.fuzzy_match(queries, names, 1.5)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.8, 0.9, 0.97])
+def test_fuzzy_match_by_what_is_left_of_short_names(spark, least):
+    r = random.Random(7)
+    names = [f"Customer#{r.randrange(3000):09d}" for _ in range(150)] + ["a", "ab", "aab", "Anna Lee", "x" * 300, "x" * 299 + "y", ""]
+    queries = [(i, perturbed(r, n)) for i, n in enumerate(names)]
+    got = fuzzy.fuzzy_match(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame([(n,) for n in names], "name string"), least)
+    assert sorted(tuple(x) for x in got.select("query_id", "name", "ratio").collect()) == brute(queries, names, least)
+
+
+def test_names_of_like_digits_leave_few_pairs(spark):
+    """Numbered names share their grams and characters; those left to compare are near in order too."""
+    r = random.Random(5)
+    names = [f"customer#{i:09d}" for i in r.sample(range(100_000), 2000)]
+    queries = [n[: i % 8] + n[i % 8 + 1 :] for i, n in enumerate(names)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "_t string")
+    left = {by: fuzzy.candidates(frame(queries), frame(names), 0.9, by).count() for by in (None, "bags")}
+    assert left[None] < left["bags"] / 4
