@@ -13,6 +13,8 @@ from ..sources.store import written
 
 #: Names and their characters in one automaton; more are dealt to several, each of which walks the texts.
 SHARD_NAMES, SHARD_CHARS = 200_000, 1 << 23
+#: Characters of a name that a text must hold before more of it is looked up.
+HEAD = 8
 #: Pairs put out at a time.
 PAIRS = 100_000
 #: Parts of a document that holds a thousandth of all chunks or more; there are a thousand such documents at most.
@@ -83,19 +85,56 @@ def contained(texts: DataFrame, column: str, names: DataFrame) -> DataFrame:
 
 
 def count_contained(texts: DataFrame, column: str, names: DataFrame, out: str) -> DataFrame:
-    """``texts`` with ``out``: how many distinct keys of ``names`` its ``column`` contains."""
-    columns = [c for c in texts.columns if c != out]
-    counted = texts.select(*columns, F.lit(0).cast("long").alias(out))
-    schema = counted.schema
-
-    def emit(batch: pa.RecordBatch, hits: list[list[int]], keys: list[str]) -> Iterator[pa.RecordBatch]:
-        before = batch.column(out).to_pylist()
-        total = pa.array([b + len(h) for b, h in zip(before, hits)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), total], names=[*columns, out])
+    """``texts`` with ``out``: how many distinct keys of ``names`` its ``column`` contains.
 
-    for keys in _shards(names):
-        counted = _walked(counted, column, keys, emit, schema)
-    return counted
+    Names of up to ``HEAD`` characters, and the beginnings of longer ones, make the automata. Where a text has such a
+    beginning, its pieces of the lengths of the names that begin so meet the names in a join: automata grow with the
+    beginnings, not with the names. Equal texts count as one until they get their number.
+    """
+    columns = [c for c in texts.columns if c != out]
+    texts = texts.select(*columns, F.unhex(F.sha2(column, 256)).alias("_text_hash"))
+    keys = written(names.select("key").where("key <> ''").distinct(), "names")
+    heads = written(keys.groupBy(F.substring("key", 1, HEAD).alias("head")).agg(F.collect_set(F.length("key")).alias("lengths")), "heads")
+    found = written(_beginnings(texts.where(F.col(column).isNotNull()), column, heads).distinct(), "found")
+    long = found.where("piece IS NOT NULL").select("_text_hash", "piece").distinct().join(keys, F.col("piece") == F.col("key")).select("_text_hash", F.lit(1).cast("long").alias("n"))
+    hits = long.unionByName(found.where("piece IS NULL").select("_text_hash", "n")).groupBy("_text_hash").agg(F.sum("n").alias("_n"))
+    return texts.join(hits, "_text_hash", "left").select(*columns, F.coalesce("_n", F.lit(0).cast("long")).alias(out))
+
+
+def _beginnings(texts: DataFrame, column: str, heads: DataFrame) -> DataFrame:
+    """``_text_hash, shard, piece, n``: pieces of a text that begin with a ``head`` and have one of its ``lengths``; in a
+    row without a piece, how many of the shard's heads that are whole names it contains."""
+    kind = texts.schema["_text_hash"]
+    schema = T.StructType([kind, T.StructField("shard", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
+    shards, out = max(1, -(-heads.count() // SHARD_NAMES)), None
+    for shard in range(shards):
+        part = heads.where(F.pmod(F.xxhash64("head"), F.lit(shards)) == shard).select("head", "lengths").toArrow()
+        shared = texts.sparkSession.sparkContext.broadcast((part["head"].to_pylist(), part["lengths"].to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, shard=shard) -> Iterator[pa.RecordBatch]:
+            names, lengths = shared.value
+            whole = [min(n) <= HEAD for n in lengths]
+            longer = [[x for x in n if x > HEAD] for n in lengths]
+            made = automaton(names)
+            for batch in batches:
+                rows: list[tuple] = []
+                for i, (own, text) in enumerate(zip(batch.column("_text_hash").to_pylist(), batch.column(column).to_pylist())):
+                    known, pieces = set(), set()
+                    for end, k in made.iter(text) if made is not None else ():
+                        if whole[k]:
+                            known.add(k)
+                        start = end + 1 - len(names[k])
+                        pieces.update(text[start : start + n] for n in longer[k] if start + n <= len(text))
+                    rows += [(own, shard, piece, 0) for piece in pieces]
+                    if known:
+                        rows.append((own, shard, None, len(known)))
+                    if len(rows) >= PAIRS or i == batch.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.binary(), pa.int32(), pa.string(), pa.int64()))], names=schema.names)
+                        rows = []
+
+        found = texts.select("_text_hash", column).mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def contained_by_group(entities: DataFrame, texts: DataFrame, group: str, entity: str, text_id: str) -> DataFrame:
