@@ -41,6 +41,8 @@ _LAST = np.iinfo(np.int64).max
 FULL, BORDER, RANGE, CROWDED = 0, 1, 2, 3
 #: Samples of a core up to which one task merges the strings around it.
 CROWD = 10_000
+#: Tasks that one string around a crowded core is dealt to.
+DEALS = 64
 #: 48 bits of the names of core and triple. Cores that share 48 bits do no harm: the triple's name and the bytes that
 #: are merged later tell them apart.
 _SAMPLES = "core bigint, name bigint, ord bigint, _row bigint, at int, upto int"
@@ -270,6 +272,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["_row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _repeated(strings: DataFrame) -> DataFrame:
+    """The ``strings`` (key, name, ord, _row, at) that occurred before. One that many texts hold is dealt to ``DEALS``
+    tasks; only the first of each part, whose ``deal`` is null then, meet each other."""
+    place = lambda: F.row_number().over(Window.partitionBy("key", "name", "deal").orderBy("ord", "_row", "at"))
+    dealt = strings.withColumn("deal", F.pmod("_row", F.lit(DEALS)))
+    dealt = dealt.withColumn("deal", F.when(place() > 1, F.col("deal")))
+    return dealt.withColumn("place", place()).where("deal is not null or place > 1")
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) -> ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
@@ -300,20 +311,16 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == RANGE, F.struct("at", "upto"))).alias("ranges"),
     )
     each = materialize(each)
-    # Both uses below read the one exchange of the texts.
-    found = each.drop("crowded").join(rows.select("_row", "text").hint("merge"), "_row")
+    # All uses below read the one exchange of the texts.
+    found = each.join(rows.select("_row", "text").hint("merge"), "_row")
     border = found.where(F.size("border") > 0).select("_row", "ord", "border", "text").mapInArrow(_contexts, "key bigint, ord bigint, _row bigint, at int, before int, bytes binary")
     merged = border.repartition("key").sortWithinPartitions("key", "ord", "_row", "at").mapInArrow(_merge, "_row bigint, low int, high int")
-    crowded = each.where(F.size("crowded") > 0).select("_row", "ord", "crowded")
-    if not crowded.isEmpty():
-        strings = crowded.join(rows.select("_row", "text").hint("merge"), "_row").mapInArrow(_strings, "key bigint, name bigint, ord bigint, _row bigint, at int")
-        strings = materialize(strings)
-        place = F.struct("ord", "_row", "at")
-        first = strings.groupBy("key", "name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = strings.join(first.hint("merge"), ["key", "name"]).where(place > F.col("first"))
+    if not each.where(F.size("crowded") > 0).isEmpty():
+        crowded = found.where(F.size("crowded") > 0).select("_row", "ord", "crowded", "text")
+        again = _repeated(crowded.mapInArrow(_strings, "key bigint, name bigint, ord bigint, _row bigint, at int"))
         merged = merged.unionByName(again.select("_row", F.col("at").alias("low"), F.col("at").alias("high")))
     merged = merged.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("merged"))
-    cut = found.drop("ord", "border").join(merged.hint("merge"), "_row", "left").where(F.col("merged").isNotNull() | (F.size("full") > 0) | (F.size("ranges") > 0))
+    cut = found.drop("ord", "border", "crowded").join(merged.hint("merge"), "_row", "left").where(F.col("merged").isNotNull() | (F.size("full") > 0) | (F.size("ranges") > 0))
     schema = "_row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     cut = cut.mapInArrow(_remove, schema).withColumnRenamed("kept_sha256", "cut_sha256")
     if not with_kept:

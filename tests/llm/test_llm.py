@@ -82,6 +82,26 @@ def test_a_frequent_core_is_no_single_tasks_work(documents, monkeypatch, crowd):
     assert max(at.values(), default=0) <= crowd
 
 
+def test_crowded_cores_read_the_one_exchange_of_texts(documents, monkeypatch):
+    """Strings around crowded cores need no table and no exchange of the texts of their own."""
+    r = random.Random(11)
+    rows = [(i, prose(r, 40) + "(c) 2024 all rights of this text are reserved ok" + prose(r, 40)) for i in range(20)]
+    monkeypatch.setattr(substrings, "CROWD", 0)
+    tables, write = [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df: tables.append(df.columns) or write(df))
+    assert sorted(map(tuple, substrings.remove_repeats(documents(rows)).collect())) == sorted(brute_repeats(rows))
+    assert len(tables) == 1 and "crowded" in tables[0]
+
+
+def test_strings_that_occurred_before_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "DEALS", 3)
+    r = random.Random(12)
+    rows = [(r.randrange(2), r.randrange(3), r.randrange(4), row, at) for row in range(40) for at in range(r.randrange(4))]
+    got = substrings._repeated(spark.createDataFrame(rows, "key bigint, name bigint, ord bigint, _row bigint, at int"))
+    want = [x for x in rows if any(x[:2] == y[:2] and y[2:] < x[2:] for y in rows)]
+    assert sorted(tuple(x)[:5] for x in got.collect()) == sorted(want)
+
+
 def test_repeats_of_null_ids_and_repeated_rows(documents):
     text = prose(random.Random(2), 60)
     got = [tuple(r)[:3] for r in substrings.remove_repeats(documents([(None, text), (1, text), (1, text)], 1)).collect()]
