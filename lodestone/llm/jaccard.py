@@ -20,7 +20,7 @@ estimated cost: a longer prefix costs index entries but asks for more matches.
 Components need no list of all pairs within a group: first each prefix shingle links its documents to the one of
 them with the least of its own, verified exactly; then all candidate pairs *between* the components found so far are
 verified. Pairs inside a component can't change it, so no link between components is lost. Inside the join a pair is
-dropped when counts of their shared kind of shingles, bucket by bucket, can't add up to the overlap.
+dropped when the buckets that only one of the two has a shingle in leave less than the overlap.
 
 Joins whose sides grow with the data are sort-merge joins at every size, so that small runs show the plan of large ones.
 """
@@ -43,8 +43,8 @@ from .storage import materialize, numbered, scratch
 RARE = 32
 #: Cost of an index entry against one of comparing a shingle.
 INDEX_COST = 20.0
-#: Buckets in which a document's shingles are counted for the bound on overlaps.
-BUCKETS = 16
+#: Words of 64 buckets that tell which of them hold a document's shingles, for the bound on overlaps.
+WORDS = 8
 #: Ratio of the sizes in one class of sizes.
 SIZE_CLASS = 1.05
 #: Members that are compared with one document in one task.
@@ -105,6 +105,13 @@ def prefix_of(held: np.ndarray, least: int) -> tuple[int, int]:
     return int(lengths[k]), int(choices[k])
 
 
+def sign_of(shingles: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of bits, set where a shingle falls into the bucket of its last bits."""
+    held = np.zeros(64 * WORDS, bool)
+    held[shingles & (64 * WORDS - 1)] = True
+    return np.packbits(held).view(np.int64)
+
+
 def _prefixes(percent: int):
     """``_row, n, met`` (array of structs of the documents that hold it, ``c``, and the shingle, ``e``) -> the prefixes
     of the rare and the frequent ones, in order."""
@@ -115,7 +122,7 @@ def _prefixes(percent: int):
             offsets = met.offsets.to_numpy()
             inner = met.values
             counts, shingles = inner.field("c").to_numpy(), inner.field("e").to_numpy()
-            columns: tuple[list, ...] = ([], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [])
             entries: list[np.ndarray] = []
             signs = []
             for n, a, b in zip(batch.column("n").to_pylist(), offsets[:-1], offsets[1:]):
@@ -124,30 +131,30 @@ def _prefixes(percent: int):
                 c, e = c[order], e[order]
                 need = (percent * n + 99) // 100
                 m = int(np.searchsorted(c, RARE, "right"))
-                signs.append(np.bincount(e & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32))
+                signs.append(sign_of(e))
                 rare, k = prefix_of(c[:m], max(1, need - (len(c) - m))) if m else (0, 0)
                 hot, l = prefix_of(c[m:], max(1, need - m)) if len(c) - m >= need else (0, 0)
-                for col, x in zip(columns, (len(c) - m, k, l, rare)):
+                for col, x in zip(columns, (len(c) - m, len(c), k, l, rare)):
                     col.append(x)
                 entries.append(np.concatenate((e[:rare], e[m : m + hot])))
             ends = np.cumsum([0, *map(len, entries)])
             flat = np.concatenate(entries) if entries else np.empty(0, np.int64)
-            sign = np.concatenate(signs) if signs else np.empty(0, np.int32)
+            sign = np.concatenate(signs) if signs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"),
                     batch.column("n"),
                     *(pa.array(x, pa.int32()) for x in columns),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * BUCKETS, pa.int32()), pa.array(sign)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * WORDS, pa.int32()), pa.array(sign)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["_row", "n", "frequent", "krare", "khot", "rares", "sign", "entries"],
+                names=["_row", "n", "frequent", "others", "krare", "khot", "rares", "sign", "entries"],
             )
 
     return run
 
 
-_INFO = ("n", "frequent", "krare", "khot", "sign")
+_INFO = ("n", "frequent", "others", "krare", "khot", "sign")
 
 
 def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -168,9 +175,11 @@ def _overlap(percent: int) -> Column:
 
 
 def _may_be_similar(percent: int) -> Column:
-    """The sizes, and the shingles in each bucket that others hold too, allow the overlap."""
-    most = sum((F.least(F.col("xsign")[i], F.col("ysign")[i]) for i in range(1, BUCKETS)), F.least(F.col("xsign")[0], F.col("ysign")[0]))
-    return (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (most >= _overlap(percent))
+    """The sizes, and the buckets of the shingles that others hold too (``others``), allow the overlap: a bucket of one
+    of the two alone holds a shingle that they don't share."""
+    apart = sum((F.bit_count(F.col("xsign")[i].bitwiseXOR(F.col("ysign")[i])) for i in range(1, WORDS)), F.bit_count(F.col("xsign")[0].bitwiseXOR(F.col("ysign")[0])))
+    most = F.col("xothers") + F.col("yothers") - apart
+    return (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least("xothers", "yothers") >= _overlap(percent)) & (most >= 2 * _overlap(percent))
 
 
 def _verify(percent: int):
@@ -263,7 +272,7 @@ def _components(rows: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
         listed, classes = _classes(rows, n, percent, seed)
         met = classes.where("meets").select(F.col("rep").alias("_row"), "n")
         sets = materialize(_join(rows.select("_row", "text"), met, "_row", "left_semi").mapInArrow(_sets(n, seed), "_row bigint, entries array<bigint>"))
-        prefixes = materialize(_met(sets, met, percent).mapInArrow(_prefixes(percent), "_row bigint, n bigint, frequent int, krare int, khot int, rares int, sign array<int>, entries array<bigint>"))
+        prefixes = materialize(_met(sets, met, percent).mapInArrow(_prefixes(percent), "_row bigint, n bigint, frequent int, others int, krare int, khot int, rares int, sign array<bigint>, entries array<bigint>"))
         group = connected_components(_links(prefixes, sets, percent)).select(F.col("node").alias("rep"), "component")
         class_of = classes.select("print", "rep").join(group, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
         return materialize(listed.join(class_of, "print", "left").select("_row", "doc_id", "n", F.coalesce("component", "_row").alias("component")), keep=True)

@@ -160,6 +160,21 @@ def test_components_against_brute_force(documents, monkeypatch, n, percent, rare
     assert left == set(want)
 
 
+def test_the_bound_on_overlaps_is_sound_and_drops_sets_below_the_threshold(spark):
+    """Sets of one text each that lost a sixth of their shingles aren't similar, and don't become rows of the join."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        n, shared = 100 if k < 100 else int(rng.integers(1, 400)), int(rng.integers(0, 101))
+        own = rng.integers(-(1 << 63), 1 << 63, 2 * n)
+        a, b = own[:n], np.concatenate((own[: n * shared // 100], own[n : 2 * n - n * shared // 100]))
+        rows.append((k, n, n, n, n, jaccard.sign_of(a).tolist(), jaccard.sign_of(b).tolist(), n * shared // 100))
+    df = spark.createDataFrame(rows, "k int, xn bigint, yn bigint, xothers int, yothers int, xsign array<bigint>, ysign array<bigint>, shared int")
+    kept = {x["k"] for x in df.where(jaccard._may_be_similar(80)).collect()}
+    assert kept >= {x[0] for x in rows if 100 * x[7] >= 80 * (2 * x[1] - x[7])}
+    assert not any(x[7] <= 80 for x in rows if x[0] in kept and x[0] < 100)
+
+
 def test_prefixes_share_enough_shingles():
     r = np.random.default_rng(0)
     held = lambda s: 2 + (s % np.uint64(50)).astype(np.int64)
