@@ -280,6 +280,22 @@ def test_semantic_search_of_more_queries_than_a_block(spark):
     assert found[0] == found[1] and len(found[0]) == 125
 
 
+def test_vectors_of_one_row_group_meet_in_all_tasks(spark, tmp_path):
+    """A file's splits hold rows only where a row group starts: those without would leave their tasks idle."""
+    rows = [(i, [float(i % 7 + 1), 1.0, float(i % 5)]) for i in range(4000)]
+    spark.createDataFrame(rows, "id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/v")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        v = spark.read.parquet(f"{tmp_path}/v")
+        assert v.rdd.getNumPartitions() >= 4
+        found = R.semantic_search(v.where("id < 3").withColumnRenamed("id", "query_id"), v, None)
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+        assert len(tasks) >= 4 and sum(x.n for x in tasks) == 3 * 4000 and max(x.n for x in tasks) <= 2 * 3 * 4000 / len(tasks)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_cosine_pairs_keeps_partners_beyond_a_hundred(spark, tmp_path):
     from lodestone.plans.retrieval import QUERIES
 
