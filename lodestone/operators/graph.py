@@ -48,14 +48,18 @@ def within(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return found.drop("seed")
 
 
-def adjacency(edges: DataFrame, hub: int = HUB, salts: int = SALTS) -> DataFrame:
-    """``edges`` in both directions as ``entity, salt, target, target_salts``, written once.
+def adjacency(edges: DataFrame, hub: int = HUB, salts: int = SALTS, first: int | None = None) -> DataFrame:
+    """``edges`` in both directions as ``entity, salt, target, target_salts``, written once; with ``first`` only each
+    entity's first neighbours by name.
 
     Entities of ``hub`` neighbours or more are there ``salts`` times, so that those who come to one are dealt to as
     many tasks; there are at most a ``hub``-th as many of them as edges.
     """
     both = written(mirrored(edges), "edges")
     hubs = both.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= hub).select(F.col("source").alias("hub"))
+    if first is not None:
+        by_name = Window.partitionBy("source").orderBy("target")
+        both = written(both.withColumn("_n", F.row_number().over(by_name)).where(F.col("_n") <= first).drop("_n"), "edges")
     if hubs.isEmpty():
         return both.select(F.col("source").alias("entity"), F.lit(0).alias("salt"), "target", F.lit(1).alias("target_salts"))
     hubs = hubs.withColumn("salts", F.lit(salts))
@@ -69,13 +73,21 @@ def walks(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = No
     seed (``seeds``: seed, entity), those at distance 0 included.
 
     The frontiers of all seeds are one table and go through the edges together; what a seed has seen is kept by seed
-    and entity. With ``limit``, a seed that has as many entities beyond its own goes no further: all that is missing
-    then is farther than these.
+    and entity.
+
+    With ``limit``, those that ``nearest`` ranks up to it are there, and not all others: a seed that has as many
+    entities beyond its own goes no further, as all that is missing then is farther than these, and of an entity's
+    neighbours only the first by name are followed, ``limit`` and as many as a seed has of its own. A seed that goes on
+    has seen fewer than these, so an entity with more neighbours gives it all that it still lacks, and any neighbour
+    left out has a later name. So a seed makes at most about ``limit`` squared rows a step, however large the hubs are.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1 to 3")
-    near = adjacency(edges, hub, salts)
     own = seeds.select("seed", "entity").where("entity IS NOT NULL").distinct()
+    first = None
+    if limit is not None:
+        first = limit + (own.groupBy("seed").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    near = adjacency(edges, hub, salts, first)
     many = near.groupBy("entity").agg((F.max("salt") + 1).alias("_salts"))
     frontier = own.join(many, "entity", "left").select("seed", "entity", F.lit(0).alias("distance"), F.coalesce("_salts", F.lit(1)).alias("_salts"))
     reached = frontier = written(frontier, "walks")

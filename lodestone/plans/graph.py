@@ -34,7 +34,7 @@ def _seeds(s, d):
 
 
 def _text_mentions(s, d):
-    e = T.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.explode(X.text_entities(F.col("text"))).alias("e"))
+    e = X.each_entity(T.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), "text")
     e = e.select("document_id", "e.name", X.entity_id(F.col("e.name"), F.col("e.type")).alias("entity_id")).distinct()
     return G.entity_mentions(e, T.lines(s, d))
 
@@ -70,7 +70,7 @@ def _delete(s, d):
 
 def _line_mentions(s, d):
     """The names in each line of the documents."""
-    found = T.lines(s, d).select("document_id", "chunk_id", F.explode(X.text_entities(F.col("content"))).alias("e"))
+    found = X.each_entity(T.lines(s, d).select("document_id", "chunk_id", "content"), "content")
     return found.select("document_id", "chunk_id", F.col("e.name").alias("entity")).distinct()
 
 

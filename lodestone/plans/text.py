@@ -61,7 +61,7 @@ def _route(s, d):
 
 
 def _entities(s, d):
-    e = _docs(s, d).select("doc_id", F.explode(X.text_entities(F.col("text"))).alias("e")).select("doc_id", "e.*")
+    e = X.each_entity(_docs(s, d).select("doc_id", "text"), "text").select("doc_id", "e.*")
     e = e.withColumn("entity_id", X.entity_id(F.col("name"), F.col("type")))
     # The first spelling of an entity in a document is the one that stays.
     first = e.groupBy("doc_id", "entity_id").agg(F.min_by(F.struct("name", "type", "confidence"), "place").alias("v"))

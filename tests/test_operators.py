@@ -170,6 +170,26 @@ def test_walks_of_many_seeds_against_search(spark, hub, limit):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_a_hub_gives_each_seed_what_it_lacks_only(spark):
+    """Leaves of a hub lack ``limit`` entities: pairs of leaves would grow with the square of the hub."""
+    leaves = [f"x{i:04d}" for i in range(600)]
+    edges = spark.createDataFrame([("hub", x) for x in leaves] + [("x0001", "x0599"), ("x0002", "y")], "source string, target string")
+    seeds = G.mirrored(edges).select(F.col("source").alias("seed"), F.col("source").alias("entity")).distinct()
+    assert G.walks(edges, seeds, 3, 5).count() < 602 * 40
+    near = {"hub": set(leaves), **{x: {"hub"} for x in leaves}, "y": {"x0002"}}
+    for a, b in (("x0001", "x0599"), ("x0599", "x0001"), ("x0002", "y")):
+        near[a].add(b)
+    want = []
+    for seed in near:
+        dist, frontier = {seed: 0}, {seed}
+        for step in (1, 2, 3):
+            frontier = {y for x in frontier for y in near[x]} - set(dist)
+            dist |= dict.fromkeys(frontier, step)
+        want += [(seed, e, d, i) for i, (d, e) in enumerate(sorted((d, e) for e, d in dist.items() if d)[:5], 1)]
+    got = G.nearest(edges, seeds, 3, 5).select("seed", "entity", "distance", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_honesty_of_empty_answers(spark):
     df = spark.createDataFrame([("", True, 1.0), (None, True, 1.0), ("fine", False, 1.0), ("fine", True, 0.05), ("fine", True, -0.5), ("fine", True, 0.5)], "a string, c boolean, s double")
     got = [r[0] for r in df.select(A.is_refused(F.col("a"), F.col("c"), F.col("s"), F.lit(0.0), F.lit(True))).collect()]
