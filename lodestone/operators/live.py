@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import MIN_COUNT, confidence, pairs
 from .index import LiveIndex
@@ -16,13 +17,18 @@ PARTS = 64
 class LiveRows:
     """Rows of documents in a folder of its own, a segment a change.
 
-    A segment holds the new rows, in parts by document, and the rows that earlier segments lose by it. Its commit is
-    written last: what a change that failed left is written over, and a batch given again changes nothing.
+    A segment holds the new rows, in parts by document, and the documents that earlier segments lose by it. Its commit
+    is written last: what a change that failed left is written over, and a batch given again changes nothing.
     ``compact`` starts over from one segment, so that reading doesn't slow down with the number of changes.
     """
 
+    #: Whether rows of other documents are left out by a join before they are written. Wide rows would go through an
+    #: exchange more for it; theirs are looked for by key in what was written, and only if there are some, it is again.
+    JOINED = False
+
     def __init__(self, spark: SparkSession, path: str, columns: str, key: str = "document_id", parts: int = PARTS):
         self.spark, self.path, self.columns, self.key, self.parts = spark, path.rstrip("/"), columns, key, parts
+        self.keys = T.StructType([T._parse_datatype_string(columns)[key]])
 
     def _complete(self, what: str) -> list[int]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -35,7 +41,7 @@ class LiveRows:
         """Committed batches, in order."""
         return self._complete("commits")
 
-    def _read(self, what: str, schema: str, batch: int) -> DataFrame:
+    def _read(self, what: str, schema, batch: int) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{what}/batch={batch}")
 
     def _put(self, df: DataFrame, what: str, batch: int, by: str | None = None) -> None:
@@ -43,9 +49,9 @@ class LiveRows:
         writer = (df.hint("rebalance", by) if by else df).write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{what}/batch={batch}")
 
-    def _all(self, what: str, schema: str) -> DataFrame:
-        """Segments since the last compaction, with their ``batch``."""
-        done = self.batches()
+    def _all(self, what: str, schema: str, before: int | None = None) -> DataFrame:
+        """Segments since the last compaction, with their ``batch``; those before one, as they were then."""
+        done = [b for b in self.batches() if before is None or b < before]
         base = max((b for b in self._complete("bases") if b in done), default=None)
         out = self.spark.createDataFrame([], schema + ", batch int")
         for b in done:
@@ -56,9 +62,13 @@ class LiveRows:
     def _part(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
 
-    def _live(self) -> DataFrame:
-        lost = self._all("lost", self.columns).groupBy(self.key).agg(F.max("batch").alias("_lost"))
-        rows = self._all("rows", self.columns + ", part int")
+    def _live(self, before: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """Live rows, or those that were before a batch; with ``ids`` those of these documents, whose parts are read."""
+        rows = self._all("rows", self.columns + ", part int", before)
+        if ids is not None:
+            parts = [r["part"] for r in ids.select(self._part().alias("part")).distinct().collect()]  # as many as a segment has, at most
+            rows = rows.where(F.col("part").isin(parts)).join(ids.select(self.key), self.key, "left_semi")
+        lost = self._all("lost", self.spark.createDataFrame([], self.keys)._jdf.schema().toDDL(), before).groupBy(self.key).agg(F.max("batch").alias("_lost"))
         return rows.join(lost, self.key, "left").where("_lost IS NULL OR _lost <= batch").drop("_lost", "batch")
 
     def rows(self) -> DataFrame:
@@ -66,8 +76,8 @@ class LiveRows:
         return self._live().drop("part")
 
     def lost(self, batch: int) -> DataFrame:
-        """Rows that went, or were replaced, by ``batch``."""
-        return self._read("lost", self.columns, batch)
+        """Rows that went, or were replaced, by ``batch``: found in the segments before it, not kept a second time."""
+        return self._live(batch, self._read("lost", self.keys, batch)).drop("part")
 
     def _derive(self, batch: int, new: DataFrame, lost: DataFrame) -> None:
         """What a subclass keeps beside the rows."""
@@ -80,14 +90,17 @@ class LiveRows:
             return
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after {done[-1]}")
-        ids = documents.select(self.key).where(F.col(self.key).isNotNull()).distinct().withColumn("part", self._part())
+        ids = documents.select(self.key).where(F.col(self.key).isNotNull()).distinct()
         self._put(ids, "ids", batch)
-        ids = self._read("ids", ids._jdf.schema().toDDL(), batch)
-        empty = self.spark.createDataFrame([], self.columns)
-        new = (empty if rows is None else rows.select(*empty.columns)).join(ids, self.key, "left_semi")
-        self._put(new.withColumn("part", self._part()), "rows", batch, by="part")
-        parts = [r["part"] for r in ids.select("part").distinct().collect()]  # as many as a segment has, at most
-        self._put(self._live().where(F.col("part").isin(parts)).join(ids, [self.key, "part"], "left_semi").select(*empty.columns), "lost", batch)
+        ids = self._read("ids", ids.schema, batch)
+        new = self.spark.createDataFrame([], self.columns)
+        if rows is not None:
+            new = rows.select(*new.columns).where(F.col(self.key).isNotNull())
+        put = lambda df: self._put(df.withColumn("part", self._part()), "rows", batch, by="part")
+        put(new.join(ids, self.key, "left_semi") if self.JOINED else new)
+        if not self.JOINED and not self._read("rows", self.keys, batch).distinct().join(ids, self.key, "left_anti").isEmpty():
+            put(new.join(ids, self.key, "left_semi"))
+        self._put(self._live(ids=ids).select(self.key).distinct(), "lost", batch)
         self._derive(batch, self._read("rows", self.columns, batch), self.lost(batch))
         self._put(self.spark.range(1), "commits", batch)
 
@@ -99,7 +112,7 @@ class LiveRows:
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after {done[-1]}")
         self._put(self._live(), "rows", batch, by="part")
-        self._put(self.spark.createDataFrame([], self.columns), "lost", batch)
+        self._put(self.spark.createDataFrame([], self.keys), "lost", batch)
         self._fold(batch)
         self._put(self.spark.range(1), "bases", batch)
         self._put(self.spark.range(1), "commits", batch)
@@ -115,6 +128,7 @@ class LiveGraph(LiveRows):
     is there while its sum is large enough: what only deleted documents mention goes with them.
     """
 
+    JOINED = True
     PAIRS, ENTITIES = "source string, target string, weight bigint", "entity string, mentions bigint"
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", parts: int = PARTS):
@@ -125,6 +139,8 @@ class LiveGraph(LiveRows):
         return df.groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
 
     def _derive(self, batch: int, new: DataFrame, lost: DataFrame) -> None:
+        self._put(lost, "went", batch)
+        lost = self._read("went", self.columns, batch)
         signed = [(rows.where("entity IS NOT NULL").distinct(), sign) for rows, sign in ((new, 1), (lost, -1))]
         counted = lambda rows, sign: rows.groupBy("entity").agg((sign * F.count("*")).alias("mentions"))
         linked = lambda rows, sign: pairs(rows, "document_id", "chunk_id").groupBy("source", "target").agg((sign * F.count("*")).alias("weight"))

@@ -74,6 +74,27 @@ def test_a_change_reads_only_the_parts_of_its_documents(spark, tmp_path, monkeyp
     assert table.rows().count() == 99 and [tuple(x) for x in table.lost(1).collect()] == [(7, 7)]
 
 
+def test_texts_of_a_change_go_through_one_exchange(spark, tmp_path, monkeypatch):
+    """They are dealt to their parts; neither a join with the documents nor what goes takes them along again."""
+    table = LiveRows(spark, str(tmp_path / "t"), "document_id long, content string", parts=2)
+    plans, put = {}, LiveRows._put
+    monkeypatch.setattr(LiveRows, "_put", lambda self, df, what, *a, **k: (plans.setdefault(what, []).append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), put(self, df, what, *a, **k))[1])
+    rows = spark.range(20).selectExpr("id AS document_id", "concat('text ', id) AS content")
+    table.change(0, rows.select("document_id"), rows)
+    table.change(1, ids(spark, [3, 4]))
+    assert all(columns == ["document_id"] for columns, _ in plans["lost"])
+    assert not any("Join" in plan for _, plan in plans["rows"])
+    assert sorted(map(tuple, table.lost(1).collect())) == [(3, "text 3"), (4, "text 4")] and table.rows().count() == 18
+    # Rows of other documents, or without one, are still left out.
+    more = spark.createDataFrame([(3, "new"), (5, "not told"), (None, "nobody's")], "document_id long, content string")
+    table.change(2, ids(spark, [3, 6]), more)
+    assert sorted(x.content for x in table.rows().where("document_id < 7").collect()) == ["new", "text 0", "text 1", "text 2", "text 5"]
+    assert [tuple(x) for x in table.lost(2).collect()] == [(6, "text 6")] and table.lost(1).count() == 2
+    table.compact(3)
+    table.change(4, ids(spark, [3]))
+    assert [tuple(x) for x in table.lost(4).collect()] == [(3, "new")] and table.rows().count() == 17
+
+
 def test_a_graph_change_that_failed_halfway_is_written_over(spark, tmp_path, monkeypatch):
     graph = LiveGraph(spark, str(tmp_path / "g"), parts=2)
     first, second = {1: {10: {"a", "b"}}}, {1: {10: {"a", "c"}}, 2: {20: {"b"}}}
