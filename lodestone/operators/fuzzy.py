@@ -3,38 +3,42 @@
 from __future__ import annotations
 
 import math
-from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequences
 from ..sources.store import written
 
 #: Length of the longest grams.
 MAX_Q = 3
 #: Pairs whose ratio a task computes, about.
 TASK_PAIRS = 20_000
+#: Texts that a task cuts short.
+TASK_TEXTS = 5_000
 #: Texts that a text becomes at most by leaving out characters, where pairs are found by these.
 MAX_VARIANTS = 256
 #: Ratios are rounded to six places, so that one this much below a threshold can come out above it.
 ROUNDING = 1e-6
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts as they are, to six places."""
+def ratio(a: Column, b: Column, common: Column | None = None) -> Column:
+    """Ratcliff-Obershelp similarity of two texts as they are, to six places.
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out, same = [], SequenceMatcher(None)
-        for p, q in zip(x, y):
-            same.set_seq1(p)
-            if q != same.b:  # what it makes of the second text is kept
-                same.set_seq2(q)
-            out.append(round(same.ratio(), 6))
-        return pd.Series(out, dtype="float64")
+    With ``common``, a text that is left of both when characters are left out, it is null but for the first such text
+    of its length: a pair that meets on all of them is told once.
+    """
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return sequences.ratios(x, y)
+
+    def once(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        return sequences.ratios(x, y, z)
 
-    return run(a, b)
+    # As if it were random: else a condition on it is pushed down as a second call.
+    columns = [a, b] if common is None else [a, b, common]
+    return F.arrow_udf(run if common is None else once, "double").asNondeterministic()(*columns)
 
 
 def gram_length(least: float) -> int:
@@ -113,26 +117,53 @@ def cuts(least: float) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shortened(texts: DataFrame, to: DataFrame, most: int) -> DataFrame:
-    """``_t, token``: the hash of each different text that is left of one when it is cut to ``k`` characters, with the
-    lengths ``a`` and ``b`` of the pairs it is cut for. ``to``: length, a, b, k; ``most`` characters are left out at most."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-    rows = texts.withColumn("length", F.length("_t")).join(F.broadcast(to), "length")
-    out = None
+def _shortened(texts: DataFrame, text: str, to: DataFrame, most: int) -> DataFrame:
+    """The rows of ``texts`` with ``_cut``, the different texts that are left of their ``text`` when it is cut to ``_k``
+    characters, and the lengths ``_a`` and ``_b`` of the pairs it is cut for. ``to``: _length, _a, _b, _k; ``most``
+    characters are left out at most."""
+
+    def without(n: int, begin: Column, start: Column) -> Column:
+        """``begin`` and the text from ``start`` on, ``n`` of its characters left out."""
+        if not n:
+            return F.array(F.concat(begin, F.substring(text, start, F.col("_length"))))
+        return F.flatten(F.transform(F.sequence(start, F.col("_length") - n + 1), lambda i: without(n - 1, F.concat(begin, F.substring(text, start, i - start)), i + 1)))
+
+    rows, out = texts.withColumn("_length", F.length(text)).join(F.broadcast(to), "_length"), None
     for n in range(most + 1):
-        variants = F.array("_t")
-        for _ in range(n):
-            variants = F.array_distinct(F.flatten(F.transform(variants, one)))
-        part = rows.where(F.col("length") - F.col("k") == n).select("_t", "a", "b", F.explode(variants).alias("v"))
+        part = rows.where(F.col("_length") - F.col("_k") == n).withColumn("_cut", F.array_distinct(without(n, F.lit(""), F.lit(1))))
         out = part if out is None else out.unionByName(part)
-    return out.select("_t", F.xxhash64("a", "b", "v").alias("token"))
+    return out.drop("_length", "_k")
+
+
+def _near(left: DataFrame, right: DataFrame, lengths: DataFrame, most: int) -> DataFrame:
+    """Rows of ``left`` (_q, a text, and others) and ``right`` (_n and others) whose texts have the ``lengths`` (a, b, k)
+    and k characters in common, in order; with their ``ratio``, each pair of rows once.
+
+    They meet on the hash of what is left of both, and a pair that meets more than once is told at the first of these
+    texts, so that pairs go through no exchange. Each row of ``right`` has a hash once, so no pair is told twice.
+    """
+    token = lambda v: F.xxhash64("_a", "_b", v)
+    to = lambda c: lengths.select(F.col(c).alias("_length"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("k").alias("_k"))
+    # No text has none left; an inner explode would filter by that before the rows are dealt out, and make all texts twice.
+    left = _shortened(left, "_q", to("a"), most).withColumn("_cut", F.explode_outer("_cut")).withColumn("_token", token(F.col("_cut"))).drop("_a", "_b")
+    right = _shortened(right, "_n", to("b"), most).withColumn("_token", F.explode_outer(F.array_distinct(F.transform("_cut", token)))).drop("_a", "_b", "_cut")
+    met = left.join(right, "_token").withColumn("ratio", ratio(F.col("_q"), F.col("_n"), F.col("_cut")))
+    return met.where("ratio IS NOT NULL").drop("_token", "_cut")
 
 
-def _near_texts(queries: DataFrame, names: DataFrame, lengths: DataFrame, most: int) -> DataFrame:
-    """``q, n``, distinct: texts of the ``lengths`` (a, b, k) that have k characters in common, in order."""
-    left = _shortened(queries, lengths.withColumn("length", F.col("a")), most).withColumnRenamed("_t", "q")
-    right = _shortened(names, lengths.withColumn("length", F.col("b")), most).withColumnRenamed("_t", "n")
-    return left.join(right, "token").select("q", "n").distinct()
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of little size and much work: dealt to tasks by their number, not by bytes."""
+    return rows.repartition(1 + rows.count() // TASK_TEXTS)
+
+
+def _lengths(queries: DataFrame, names: DataFrame, least: float) -> tuple[DataFrame, DataFrame, int]:
+    """Lengths of the texts (``_t``) that may be pairs: ``a, b, k`` of those that meet by what is left of them, ``a, b`` of
+    the others, and the most characters that are left out."""
+    short_ones, low = cuts(least), least - ROUNDING
+    near = queries.sparkSession.createDataFrame(short_ones, "a int, b int, k int")
+    own = [side.select(F.length("_t").alias(c)).distinct() for side, c in ((queries, "a"), (names, "b"))]
+    met = F.broadcast(written(own[0].join(own[1], 2 * F.least("a", "b") >= low * (F.col("a") + F.col("b")) - ROUNDING).join(F.broadcast(near), ["a", "b"], "left"), "lengths"))
+    return met.where("k IS NOT NULL"), met.where("k IS NULL").select("a", "b"), max((max(a, b) - k for a, b, k in short_ones), default=0)
 
 
 def candidates(queries: DataFrame, names: DataFrame, least: float, by: str | None = None) -> DataFrame:
@@ -144,19 +175,16 @@ def candidates(queries: DataFrame, names: DataFrame, least: float, by: str | Non
     """
     if by is not None:
         return _by_tokens(queries, names, least, by)
-    spark = queries.sparkSession
-    short_ones = cuts(least)
-    near = spark.createDataFrame(short_ones, "a int, b int, k int")
-    own = [side.select(F.length("_t").alias(c)).distinct() for side, c in ((queries, "a"), (names, "b"))]
-    low = least - ROUNDING
-    met = F.broadcast(written(own[0].join(own[1], 2 * F.least("a", "b") >= low * (F.col("a") + F.col("b")) - ROUNDING).join(F.broadcast(near), ["a", "b"], "left"), "lengths"))
-    found = _near_texts(queries, names, met.where("k IS NOT NULL"), max((max(a, b) - k for a, b, k in short_ones), default=0))
-    other = met.where("k IS NULL").select("a", "b")
-    if other.isEmpty():
-        return found
-    of = lambda side, c: written(side.join(F.broadcast(other.select(c).distinct()), F.length("_t") == F.col(c), "left_semi"), "texts")
+    near, other, most = _lengths(queries, names, least)
+    found = _near(queries.withColumnRenamed("_t", "_q"), names.withColumnRenamed("_t", "_n"), near, most).select(F.col("_q").alias("q"), F.col("_n").alias("n"))
+    return found if other.isEmpty() else found.unionByName(_of_lengths(queries, names, other, least))
+
+
+def _of_lengths(queries: DataFrame, names: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
+    """Pairs as in ``candidates``, of the ``lengths`` (a, b) alone, found by rare tokens."""
+    of = lambda side, c: written(side.join(F.broadcast(lengths.select(c).distinct()), F.length("_t") == F.col(c), "left_semi"), "texts")
     rest = _by_tokens(of(queries, "a"), of(names, "b"), least)
-    return found.unionByName(rest.join(F.broadcast(other), (F.length("q") == F.col("a")) & (F.length("n") == F.col("b")), "left_semi"))
+    return rest.join(F.broadcast(lengths), (F.length("q") == F.col("a")) & (F.length("n") == F.col("b")), "left_semi")
 
 
 def _by_tokens(queries: DataFrame, names: DataFrame, least: float, by: str | None = None) -> DataFrame:
@@ -192,16 +220,31 @@ def _by_tokens(queries: DataFrame, names: DataFrame, least: float, by: str | Non
 def fuzzy_match(queries: DataFrame, names: DataFrame, least: float = 0.6, by: str | None = None) -> DataFrame:
     """Pairs of ``queries`` (query_id, query) and ``names`` (name) with a ``ratio`` above ``least``, case aside.
 
-    Equal texts are compared once. Null and empty texts match nothing; a repeated row matches as often as it comes.
+    Null and empty texts match nothing; a repeated row matches as often as it comes. Pairs of short texts (``cuts``) get
+    their ratio where they meet; of other lengths, equal texts are compared once and pairs are written before.
     """
     if not 0 < least < 1:
         raise ValueError("least must be between 0 and 1")
     side = lambda rows, c: rows.select(F.lower(c).alias("_t")).where("_t <> ''").distinct()
-    near = written(candidates(side(queries, "query"), side(names, "name"), least, by), "pairs")
+    texts, found = (side(queries, "query"), side(names, "name")), None
+    columns = [*queries.columns, *names.columns, "ratio"]
+    if by is None:
+        near, other, most = _lengths(*texts, least)
+        times = names.where("name <> ''")
+        times = times.groupBy("name").agg(F.count("*").alias("_times")) if names.columns == ["name"] else times.withColumn("_times", F.lit(1))
+        met = _near(_spread(queries.where("query <> ''").withColumn("_q", F.lower("query"))), _spread(times.withColumn("_n", F.lower("name"))), near, most)
+        found = met.where(F.col("ratio") > least).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*columns)
+        if other.isEmpty():
+            return found
+        pairs = _of_lengths(*texts, other, least)
+    else:
+        pairs = candidates(*texts, least, by)
+    pairs = written(pairs, "pairs")
     # Pairs are small rows of much work: tasks by their number, not by bytes.
-    near = near.repartition(1 + near.count() // TASK_PAIRS, F.xxhash64("n")).sortWithinPartitions("n")
-    scored = near.withColumn("ratio", ratio(F.col("q"), F.col("n"))).where(F.col("ratio") > least)
-    return queries.join(scored, F.lower("query") == F.col("q")).join(names, F.col("n") == F.lower("name")).select(*queries.columns, *names.columns, "ratio")
+    pairs = pairs.repartition(1 + pairs.count() // TASK_PAIRS, F.xxhash64("n")).sortWithinPartitions("n")
+    scored = pairs.withColumn("ratio", ratio(F.col("q"), F.col("n"))).where(F.col("ratio") > least)
+    rest = queries.join(scored, F.lower("query") == F.col("q")).join(names, F.col("n") == F.lower("name")).select(*columns)
+    return rest if found is None else found.unionByName(rest)
 
 
 def best_matches(queries: DataFrame, names: DataFrame, least: float = 0.6, k: int = 1) -> DataFrame:

@@ -2,10 +2,13 @@
 
 import random
 from difflib import SequenceMatcher
+from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import sequences
 from lodestone.operators import fuzzy
 
 
@@ -87,3 +90,32 @@ def test_names_of_like_digits_leave_few_pairs(spark):
     frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "_t string")
     left = {by: fuzzy.candidates(frame(queries), frame(names), 0.9, by).count() for by in (None, "bags")}
     assert left[None] < left["bags"] / 4
+
+
+def test_ratios_of_a_batch_of_pairs_are_those_of_difflib():
+    r = random.Random(4)
+    for letters in ("ab", "abcä", "01 2ü€😀", "ab#01234"):
+        a, b = (["".join(r.choices(letters, k=r.randrange(30))) for _ in range(300)] + more for more in (["x" * 210, "ab" * 120, ""], ["x" * 209 + "y", "ba" * 110, ""]))
+        want = [round(SequenceMatcher(None, p, q).ratio(), 6) for p, q in zip(a, b)]
+        assert sequences.ratios(pa.array(["before", *a]).slice(1), pa.array(b)).to_pylist() == want
+
+
+def test_a_pair_has_one_first_text_in_common():
+    r = random.Random(6)
+    for _ in range(100):
+        a, b = ("".join(r.choices("01ä", k=r.randrange(1, 9))) for _ in range(2))
+        k = r.randrange(1, min(len(a), len(b)) + 1)
+        left, right = ({"".join(c) for c in combinations(t, k)} for t in (a, b))
+        texts = sorted(left | right | {"q" * k})
+        told = [t for t, v in zip(texts, sequences.ratios(pa.array([a] * len(texts)), pa.array([b] * len(texts)), pa.array(texts)).to_pylist()) if v is not None]
+        assert len(told) == bool(left & right) and set(told) <= left & right
+
+
+def test_pairs_of_short_names_go_through_no_exchange(spark):
+    """Pairs are many times the names: they get their ratio where they meet, and rows that come twice match twice."""
+    names = ["Customer#000000011", "Customer#000000101", "Customer#000000101", "customer#000000101"]
+    queries = [(1, "Cutomer#000000011"), (2, "Cutomer#000000011"), (2, "Cutomer#000000011"), (3, "CUSTOMER#00000011")]
+    got = fuzzy.fuzzy_match(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame([(n,) for n in names], "name string"), 0.9)
+    assert sorted(tuple(x) for x in got.select("query_id", "name", "ratio").collect()) == brute(queries, names, 0.9)
+    over = got._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[0]
+    assert not any(node in over for node in ("Join", "Aggregate", "Repartition", "Sort"))
