@@ -102,6 +102,8 @@ def is_first(a: np.ndarray, b: np.ndarray, common: np.ndarray, of_common: np.nda
 
 def ratios(a: pa.Array, b: pa.Array, common: pa.Array | None = None) -> pa.Array:
     """Ratcliff-Obershelp similarity of each pair of texts, to six places; with ``common`` null where it ``is_first`` not."""
+    if not len(a):  # whose column may come without offsets
+        return pa.array([], pa.float64())
     a, b, common = Texts(a), Texts(b), None if common is None else Texts(common)
     kind = np.result_type(*(x.codes.dtype for x in (a, b, common) if x is not None))
     of_a, of_b = a.lengths, b.lengths

@@ -98,6 +98,8 @@ def test_ratios_of_a_batch_of_pairs_are_those_of_difflib():
         a, b = (["".join(r.choices(letters, k=r.randrange(30))) for _ in range(300)] + more for more in (["x" * 210, "ab" * 120, ""], ["x" * 209 + "y", "ba" * 110, ""]))
         want = [round(SequenceMatcher(None, p, q).ratio(), 6) for p, q in zip(a, b)]
         assert sequences.ratios(pa.array(["before", *a]).slice(1), pa.array(b)).to_pylist() == want
+    none = pa.Array.from_buffers(pa.string(), 0, [None, pa.py_buffer(b""), pa.py_buffer(b"")])
+    assert sequences.ratios(none, none).to_pylist() == []
 
 
 def test_a_pair_has_one_first_text_in_common():
